@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verbatlas.llm.decontamination import contaminated
+from verbatlas.llm.licenses import license_digest, scan_licenses
+from verbatlas.llm.media import media_features, sniff_media, store_texts
 from verbatlas.llm.mixing import mix_to_targets
 from verbatlas.llm.sharding import shard_documents
+from verbatlas.llm.tokens import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +31,31 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_features(sniff_media(store_texts(table(spark, sf_dir, "documents"))))
+    inside = F.concat(F.lit(";embedded="), F.array_join(F.transform("embedded", lambda e: F.concat_ws("@", e["type"], e["offset"].cast("string"))), ","))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat("feature", inside).alias("feature"), "detected_type", "type_corrected")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op5_media": op5_media,
+    "op7_token_counts": op7_token_counts,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE: dict[str, str] = {}
