@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.decontamination import contaminated
+from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.licenses import license_digest, scan_licenses
 from verbatlas.llm.media import media_features, sniff_media, store_texts
 from verbatlas.llm.mixing import mix_to_targets
 from verbatlas.llm.sharding import shard_documents
+from verbatlas.llm.suffix_tree import score_held_out
 from verbatlas.llm.tokens import count_tokens
 
 
@@ -45,6 +47,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_media": op5_media,
     "op7_token_counts": op7_token_counts,
+    "op8_language": op8_language,
+    "op9_scores": op9_scores,
     "op10_licenses": op10_licenses,
 }
 
