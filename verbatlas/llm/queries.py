@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.decontamination import contaminated
+from verbatlas.llm.jaccard import jaccard_groups
 from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.licenses import license_digest, scan_licenses
 from verbatlas.llm.media import media_features, sniff_media, store_texts
@@ -39,6 +40,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat("feature", inside).alias("feature"), "detected_type", "type_corrected")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op5_media": op5_media,
+    "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
     "op9_scores": op9_scores,
