@@ -19,6 +19,19 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def text_groups(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about ``most`` bytes, so that arrays stay small."""
+    group, n = [], 0
+    for t in texts:
+        group.append(t)
+        n += len(t or b"") + 1
+        if n >= most:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list[bytes | None]], list[list]], columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs``' id (and ``keep``) beside ``columns``, which ``work`` makes from a batch of texts in UTF-8, null as None."""
     slim = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).cast("string").cast("binary").alias("_text"))

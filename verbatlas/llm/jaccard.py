@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.batches import map_texts, split_words
+from verbatlas.llm.batches import LOWER, map_texts, text_groups
 from verbatlas.operators.components import connected_components
 from verbatlas.sources.shared import stash
 
@@ -31,22 +30,51 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=500_000)
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+#: A random 64-bit value for each byte, A-Z as a-z, and the odd base of the polynomial that makes a word's hash.
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)[np.frombuffer(LOWER, np.uint8)]
+_BASE = _U(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and how many words each text has."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = ~_SPACE[raw]
+    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    lengths = stops - starts
+    powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    sums = np.add.reduceat(_BYTE[raw[inside]] * powers[place], np.cumsum(lengths) - lengths)
+    return mixed(sums + lengths.astype(np.uint64)), counts
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct ``width``-word shingles; of fewer words, the whole sequence as one; empty without words."""
+    for group in text_groups(texts):
+        h, counts = word_hashes([t or b"" for t in group])
+        stops = np.cumsum(counts)
+        codes: dict[int, np.ndarray] = {}
+        for n in range(1, width + 1):
+            if n == width or (counts == n).any():
+                code = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+                for i in range(n):
+                    code = mixed(code * _BASE + h[i : len(h) - n + 1 + i])
+                codes[n] = code
+        for stop, count in zip(stops.tolist(), counts.tolist(), strict=True):
+            n = min(width, count)
+            own = np.sort(codes[n][stop - count : stop - n + 1]) if count else h[:0]
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield own[new]
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct ``width``-word shingles; of fewer words, the whole sequence as one; empty without words."""
-    words = split_words(text or b"")
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    n = min(width, len(words))
-    code = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        code = mixed(code * _U(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(code)
+    return next(shingle_sets([text], width))
 
 
 def set_key(found: np.ndarray) -> int:
@@ -87,10 +115,17 @@ class Bounds:
 
             def risk(s: int) -> float:
                 mean = (k + s) * math.exp(-least / (k + s))
-                return 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(s))
-
-            options = range(1, 4 + k // 8)
-            self.known[c] = (k, next((s for s in options if risk(s) < 1e-5), min(options, key=risk)))
+                terms = [math.exp(-mean)]
+                for i in range(1, s):
+                    terms.append(terms[-1] * mean / i)
+                return 1 - sum(terms)
+
+            best = (2.0, 1)
+            for s in range(1, 4 + k // 8):
+                best = min(best, (risk(s), s))
+                if best[0] < 1e-5:
+                    break
+            self.known[c] = (k, best[1])
         return self.known[c]
 
     def prefix(self, n: int) -> int:
@@ -113,11 +148,16 @@ def index_entries(found: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.nda
             continue  # linked sets of this class are equal
         parts = k + spare
         part = ((found >> _U(32)) * _U(parts)) >> _U(32)
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        tag = _U(c * 2) * _U(0xD6E8FEB86659FD93)
+        edge = np.empty(len(part), bool)
+        edge[0] = True
+        np.not_equal(part[1:], part[:-1], out=edge[1:])
+        at = np.flatnonzero(edge)
+        tag = _U(c * 2 * 0xD6E8FEB86659FD93 % (1 << 64))
         keys.append(mixed(np.add.reduceat(scrambled, at) + tag + part[at] * _U(0xA0761D6478BD642F)))
         places.append(at)
-        lengths.append(np.diff(np.append(at, len(found))))
+        run = np.empty_like(at)
+        run[:-1], run[-1] = at[1:] - at[:-1], len(found) - at[-1]
+        lengths.append(run)
         if parts - len(at) >= spare:
             first = np.arange(bounds.prefix(len(found)))
             keys.append(mixed(scrambled[first] + tag + _U(0xE7037ED1A0B428DB)))
@@ -211,8 +251,7 @@ def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds)
             return pa.RecordBatch.from_pydict({"bucket": pa.array([*full.tolist(), *range(min(1, len(edges)))], pa.int32()), "entries": pa.array([*blobs, *[b""] * min(1, len(edges))], pa.binary()), "edges": pa.array([*[b""] * len(blobs), *[edges.tobytes()] * min(1, len(edges))], pa.binary())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingle_set(text, width)
+            for found in shingle_sets(batch.column(0).to_pylist(), width):
                 if not len(found) or (key := set_key(found)) in seen:
                     continue
                 seen.add(key)
@@ -329,7 +368,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sizes(texts: list[bytes | None]) -> list[list]:
-        found = [shingle_set(t, width) for t in texts]
+        found = list(shingle_sets(texts, width))
         return [[len(s) for s in found], [set_key(s) for s in found]]
 
     keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long"), "jaccard-keys")
@@ -342,7 +381,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     texts = docs.join(members, "id")
 
     def sets_of(raw: list[bytes | None]) -> list[list]:
-        found = [shingle_set(t, width) for t in raw]
+        found = list(shingle_sets(raw, width))
         return [[set_key(s) for s in found], [s.tobytes() for s in found]]
 
     made = map_texts(texts, "id", "text", sets_of, "found long, shingles binary", ("set", "component", "copies", "blocks", "block")).where("found = set").dropDuplicates(["set"])
