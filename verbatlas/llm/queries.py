@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatlas.llm.cotraining import quality_scores
 from verbatlas.llm.decontamination import contaminated
 from verbatlas.llm.jaccard import jaccard_groups
 from verbatlas.llm.language import identify_held_out
@@ -34,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_features(sniff_media(store_texts(table(spark, sf_dir, "documents"))))
     inside = F.concat(F.lit(";embedded="), F.array_join(F.transform("embedded", lambda e: F.concat_ws("@", e["type"], e["offset"].cast("string"))), ","))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_media": op5_media,
     "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
