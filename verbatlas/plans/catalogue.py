@@ -1,10 +1,4 @@
-"""Registered queries over the supplied tables."""
+"""All registered queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from verbatlas.plans import table_queries, text_queries  # noqa: F401  registers them
+from verbatlas.plans.registry import ORACLE, QUERIES  # noqa: F401
