@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it (also inside lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_marks(text: Column) -> Column:
     """Without combining marks and the elongation sign. Null stays null, as in every function here unless it says otherwise."""
     return F.regexp_replace(text, MARKS, "")
@@ -85,8 +91,12 @@ def folded_words(text: Column) -> Column:
 
 def shingles(items: Column, n: int) -> Column:
     """Distinct runs of n items; a shorter array gives itself as one, an empty one nothing."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(F.size(items) >= n, F.array_distinct(runs)).when(F.size(items) > 0, F.array(F.array_join(items, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(runs)).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(items, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -107,9 +117,13 @@ def occurrences_of(text: Column, needle: Column) -> Column:
 
 def positions_of(items: Column, run: Column) -> Column:
     """1-based positions of every item inside a place where ``run`` stands in ``items``."""
-    last = F.size(items) - F.size(run) + 1
-    starts = F.when((F.size(run) > 0) & (last > 0), F.filter(F.sequence(F.lit(1), last), lambda i: F.slice(items, i, F.size(run)) == run)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + F.size(run) - 1)))))
+
+    def of(t: Column) -> Column:
+        last = F.size(t) - F.size(run) + 1
+        starts = F.when((F.size(run) > 0) & (last > 0), F.filter(F.sequence(F.lit(1), last), lambda i: F.slice(t, i, F.size(run)) == run)).otherwise(F.array().cast("array<int>"))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + F.size(run) - 1)))))
+
+    return bound(items, of)
 
 
 def quoted_runs(text: Column, least: int = 3) -> Column:

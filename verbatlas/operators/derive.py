@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbatlas.functions.text import bound, shingles
 from verbatlas.operators.components import connected_components
 
 
@@ -51,8 +52,6 @@ def capped_items(items: DataFrame, df_max: int, item: str = "item") -> DataFrame
 
 
 def shingle_items(units: DataFrame, tokens: Column, n: int, least_words: int) -> DataFrame:
-    from verbatlas.functions.text import shingles
-
     return units.select("unit_id", tokens.alias("t")).where(F.size("t") >= least_words).select("unit_id", F.explode(shingles(F.col("t"), n)).alias("item"))
 
 
@@ -86,8 +85,8 @@ def quote_links(documents: DataFrame, doc_tokens: Column, units: DataFrame, unit
     """doc_id, unit_id, matched_runs, evidence: documents that hold an n-word run of a unit; evidence is the unit's last such run."""
 
     def grams(frame: DataFrame, key: str, tokens: Column, name: str) -> DataFrame:
-        t = frame.select(F.col(key).alias(name), tokens.alias("t")).where(F.size("t") >= n)
-        return t.select(name, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))).alias("pos", "gram"))
+        grams_of = bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))))
+        return frame.select(F.col(key).alias(name), F.posexplode(grams_of).alias("pos", "gram"))
 
     docs = grams(documents, doc_id, doc_tokens, "doc_id").select("doc_id", "gram").distinct()
     return docs.join(grams(units, unit_id, unit_tokens, "unit_id"), "gram").groupBy("doc_id", "unit_id").agg(F.countDistinct("pos").alias("matched_runs"), F.max_by("gram", "pos").alias("evidence"))
