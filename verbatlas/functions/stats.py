@@ -9,21 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Terms of a tail that are summed one by one; ln n! up to this size comes from a sum, beyond it from Stirling's series.
-EXACT_FACTORIAL = 64
+from verbatlas.functions.text import bound
+
 #: Numbers whose match to a count proves nothing by itself (fixed values).
 LOADED, LOADED_RATIOS = (7, 19, 40, 99, 114, 786), (7, 19, 114)
 
 
 def log_factorial(n: Column) -> Column:
-    """ln n!: exact logs for small n, Stirling's series to 1e-12 beyond."""
-    x = n.cast("double")
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-    table = [0.0]
-    for i in range(1, EXACT_FACTORIAL + 1):
-        table.append(table[-1] + math.log(i))
-    small = F.element_at(F.array(*map(F.lit, table)), F.least(n, F.lit(EXACT_FACTORIAL)).cast("int") + 1)
-    return F.when(n <= EXACT_FACTORIAL, small).otherwise(series)
+    """ln n! to 1e-11: Stirling's series eight steps up, and back by a product."""
+
+    def of(x: Column) -> Column:
+        y = x + 8.0
+        square = y * y
+        series = (1.0 / 12 - (1.0 / 360 - (1.0 / 1260 - 1.0 / 1680 / square) / square) / square) / y
+        product = (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7) * y
+        return (y + 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+    return bound(n.cast("double"), of)
 
 
 def log_binom_pmf(k: Column, n: Column, p: Column) -> Column:
@@ -31,45 +33,46 @@ def log_binom_pmf(k: Column, n: Column, p: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(p) + (n - k) * F.log1p(-p)
 
 
-def binomial_tail(k: Column, n: Column, p: Column, upper: bool) -> Column:
-    """P(X >= k) if ``upper``, else P(X <= k); k is clamped to [0, n]; 1 for n = 0.
+def _outward(start: Column, up: Column, n: Column, p: Column) -> Column:
+    """Sum of the terms from ``start`` away from the mean, by the ratio of neighbours, until terms no longer count."""
+    first = F.exp(log_binom_pmf(start, n, p))
+    width = F.ceil(40 + 12 * F.sqrt(n * p * (1 - p))).cast("long")
+    steps = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.least(width, F.when(up, n - start).otherwise(start))))
 
-    The smaller side of the distribution is summed, outward from its edge by the ratio of
-    neighbouring terms, and stops where terms no longer count: work grows with the standard
-    deviation, not with n.
-    """
-    k, n, p = (c.cast(t) for c, t in ((k, "long"), (n, "long"), (p, "double")))
-    k = F.greatest(F.lit(0), F.least(k, n))
-    mean = n * p
-    width = F.ceil(40 + 12 * F.sqrt(mean * (1 - p))).cast("long")
+    def add(acc: Column, i: Column) -> Column:
+        at = F.when(up, start + i).otherwise(start - i)
+        ratio = F.when(up, F.try_divide(n - at + 1, at) * p / (1 - p)).otherwise(F.try_divide(at + 1, n - at) * (1 - p) / p)
+        return bound(F.when((at < 0) | (at > n), F.lit(0.0)).otherwise(acc["term"] * ratio), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
 
-    def outward(start: Column, up: bool) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(width, (n - start) if up else start)).cast("int"))
-        odds = p / (1 - p)
+    return F.aggregate(steps, bound(first, lambda t: F.struct(t.alias("term"), t.alias("sum"))), add, lambda a: F.least(F.lit(1.0), a["sum"]))
 
-        def add(acc: Column, i: Column) -> Column:
-            at = (start + i) if up else (start - i)
-            ratio = (n - at + 1) / at * odds if up else (at + 1) / (n - at) / odds
-            inside = (at <= n) if up else (at >= 0)
-            term = F.when(inside, acc["term"] * ratio).otherwise(F.lit(0.0))
-            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-        first = F.exp(log_binom_pmf(start, n, p))
-        return F.aggregate(steps, F.struct(first.alias("term"), first.alias("sum")), add, lambda a: F.least(F.lit(1.0), a["sum"]))
+def binomial_tail(k: Column, n: Column, p: Column, upper: bool | Column) -> Column:
+    """P(X >= k) if ``upper``, else P(X <= k); k is clamped to [0, n]; 1 for n = 0.
 
-    if upper:
-        inner = F.when(k > mean, outward(k, True)).otherwise(F.greatest(F.lit(0.0), 1 - outward(k - 1, False)))
-        return F.when((n <= 0) | (k <= 0), 1.0).when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(inner)
-    inner = F.when(k < mean, outward(k, False)).otherwise(F.greatest(F.lit(0.0), 1 - outward(k + 1, True)))
-    return F.when((n <= 0) | (k >= n), 1.0).when(p <= 0, 1.0).when(p >= 1, 0.0).otherwise(inner)
+    The side away from the mean is summed, so work grows with the standard deviation, not with n.
+    """
+    up = F.lit(upper) if isinstance(upper, bool) else upper
+    inputs = F.struct(F.greatest(F.lit(0), F.least(k, n)).cast("long").alias("k"), n.cast("long").alias("n"), p.cast("double").alias("p"), up.alias("up"))
+
+    def of(s: Column) -> Column:
+        k, n, p, up = s["k"], s["n"], s["p"], s["up"]
+        mean = n * p
+        direct = F.when(up, k >= mean).otherwise(k <= mean)
+        start = F.when(direct, k).when(up, k - 1).otherwise(k + 1)
+        inner = bound(_outward(start, up == direct, n, p), lambda x: F.when(direct, x).otherwise(F.greatest(F.lit(0.0), 1 - x)))
+        everything = (n <= 0) | F.when(up, (k <= 0) | (p >= 1)).otherwise((k >= n) | (p <= 0))
+        return F.when(everything, 1.0).when((p <= 0) | (p >= 1), 0.0).otherwise(inner)
+
+    return bound(inputs, of)
 
 
 def binomial_test(k: Column, n: Column, p: Column) -> Column:
     """struct<p_value, direction>: two-sided by doubling the observed side's tail, at most 1."""
     expected = n * p
-    tail = F.when(k >= expected, binomial_tail(k, n, p, True)).otherwise(binomial_tail(k, n, p, False))
-    direction = F.when(k > expected, "more").when(k < expected, "fewer").otherwise("as_expected")
-    return F.struct(F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"), F.when(n <= 0, "as_expected").otherwise(direction).alias("direction"))
+    tail = binomial_tail(k, n, p, k >= expected)
+    direction = F.when((n <= 0) | (k == expected), "as_expected").when(k > expected, "more").otherwise("fewer")
+    return F.struct(F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"), direction.alias("direction"))
 
 
 def poisson_tail_upper(k: Column, lam: Column) -> Column:
@@ -91,17 +94,24 @@ def assess(observed: Column, n: Column, rate: Column, alpha: float = 0.05) -> Co
     within_chance, and warnings: small_sample (n < 20), few_expected (< 5), small_effect (significant
     but |h| < 0.2).
     """
-    share = F.when(n > 0, observed / n).otherwise(0.0)
-    h = 2 * F.asin(F.sqrt(share)) - 2 * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate))))
-    test = binomial_test(observed, n, rate)
-    expected = n * rate
-    small = (F.abs(h) < 0.2) & (test["p_value"] < alpha)
-    warnings = F.array_compact(F.array(F.when(n < 20, "small_sample"), F.when(expected < 5, "few_expected"), F.when(small, "small_effect")))
-    return F.struct(
-        observed.cast("long").alias("observed"), n.cast("long").alias("n"), rate.cast("double").alias("rate"), expected.cast("double").alias("expected"),
-        F.when(expected > 0, observed / expected).alias("risk_ratio"), h.alias("effect"), test["p_value"].alias("p_value"), test["direction"].alias("direction"),
-        (test["p_value"] >= alpha).alias("within_chance"), warnings.alias("warnings"),
-    )
+    inputs = F.struct(observed.cast("long").alias("k"), n.cast("long").alias("n"), F.coalesce(rate.cast("double"), F.lit(0.0)).alias("p"))
+
+    def of(s: Column) -> Column:
+        k, n, p = s["k"], s["n"], s["p"]
+        share = F.when(n > 0, k / n).otherwise(0.0)
+        h = 2 * F.asin(F.sqrt(share)) - 2 * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+
+        def report(r: Column) -> Column:
+            test, h = r["test"], r["h"]
+            warnings = F.array_compact(F.array(F.when(n < 20, "small_sample"), F.when(n * p < 5, "few_expected"), F.when((F.abs(h) < 0.2) & (test["p_value"] < alpha), "small_effect")))
+            return F.struct(
+                k.alias("observed"), n.alias("n"), p.alias("rate"), (n * p).alias("expected"), F.when(n * p > 0, k / (n * p)).alias("risk_ratio"), h.alias("effect"),
+                test["p_value"].alias("p_value"), test["direction"].alias("direction"), (test["p_value"] >= alpha).alias("within_chance"), warnings.alias("warnings"),
+            )
+
+        return bound(F.struct(binomial_test(k, n, p).alias("test"), h.alias("h")), report)
+
+    return bound(inputs, of)
 
 
 def correct_multiple(results: DataFrame, p_col: str = "p_value", family: tuple[str, ...] = (), order: tuple[str, ...] = (), method: str = "benjamini_hochberg", alpha: float = 0.05) -> DataFrame:
