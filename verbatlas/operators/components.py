@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     split; hubs are never gathered. Rounds needed grow with the logarithm of the longest path.
     Lineage is cut by a written table each round. Self loops give a component of one node.
     """
+    edges = stash(edges.select("a", "b"), "components")  # read twice below; whatever made it runs once
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = stash(edges.select("a", "b").where("a <> b").distinct(), "components")
+    now = edges.where("a <> b").distinct()
     seen = None
     for _ in range(max_rounds):
         now = stash(_small_star(_large_star(now)), "components")
