@@ -150,7 +150,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), F.array_distinct(F.transform(meta, lambda x: (F.crc32(x) % META).cast("int"))).alias("meta"))
     made = map_texts(slim, "id", "raw", lambda texts: [[text_features(t) for t in texts]], "text array<int>", ("meta",))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
-    data = made.join(known, F.col("id") == F.col("_id"), "left").drop("_id").withColumn("fit", F.coalesce(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(5)) != 0, F.lit(True)))
+    # Labels grow with the documents, so they are never broadcast, at any size.
+    data = made.join(known.hint("merge"), F.col("id") == F.col("_id"), "left").drop("_id").withColumn("fit", F.coalesce(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(5)) != 0, F.lit(True)))
     data = stash(data, "quality-features")
     views = calibrate(data, tuple(map(fitted, class_counts(data, None, sure))))
     for _ in range(rounds):
