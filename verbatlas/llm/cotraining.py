@@ -23,11 +23,12 @@ BINS, RANGE = 400, 20.0
 _LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum())
 
 
-def text_features(text: bytes | None) -> list[int]:
-    """Hashes of the distinct words, and of what is no letter or digit in them."""
+def text_features(text: bytes | None) -> bytes:
+    """Hashes of the distinct words, and of what is no letter or digit in them, two bytes each."""
     words = set(split_words(text or b""))
     marks = {w.translate(None, _LETTERS) for w in words}
-    return sorted({zlib.crc32(w) % TEXT for w in words} | {zlib.crc32(m, 1) % TEXT for m in marks if m})
+    found = {zlib.crc32(w) % TEXT for w in words} | {zlib.crc32(m, 1) % TEXT for m in marks if m}
+    return np.sort(np.fromiter(found, np.uint16, len(found))).tobytes()
 
 
 class View(NamedTuple):
@@ -68,7 +69,8 @@ def calibrated(view: View, hist: np.ndarray) -> View:
 
 
 def batch_arrays(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    return [np.array(x, np.int64) for x in batch.column(name).to_pylist()]
+    """Feature numbers of each row of a batch, from bytes or from lists."""
+    return [np.frombuffer(x, np.uint16).astype(np.int64) if isinstance(x, bytes) else np.array(x, np.int64) for x in batch.column(name).to_pylist()]
 
 
 def summed(rows: DataFrame, width: int) -> np.ndarray:
@@ -148,7 +150,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\x00"))) for c in meta_cols]
     meta = F.array(*parts, F.concat_ws("|", *parts), F.concat(F.lit("size="), size))
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"), F.array_distinct(F.transform(meta, lambda x: (F.crc32(x) % META).cast("int"))).alias("meta"))
-    made = map_texts(slim, "id", "raw", lambda texts: [[text_features(t) for t in texts]], "text array<int>", ("meta",))
+    made = map_texts(slim, "id", "raw", lambda texts: [[text_features(t) for t in texts]], "text binary", ("meta",))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     # Labels grow with the documents, so they are never broadcast, at any size.
     data = made.join(known.hint("merge"), F.col("id") == F.col("_id"), "left").drop("_id").withColumn("fit", F.coalesce(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(5)) != 0, F.lit(True)))
