@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm.cotraining import quality_scores
-from verbatlas.llm.decontamination import contaminated
+from verbatlas.llm.decontamination import MASKS, contaminated
 from verbatlas.llm.jaccard import jaccard_groups
 from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.licenses import license_digest, scan_licenses
@@ -82,4 +82,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _masked(t: str) -> str:
+    """Both masks' words at position ``pos`` of list ``t``, each as one string."""
+    masks = [" || ' ' || ".join(f"{t}[pos + {o}]" for o in mask) for mask in MASKS]
+    return "[" + ", ".join(f"CASE WHEN pos + {mask[-1]} <= len({t}) THEN '{i} ' || {text} END" for i, (mask, text) in enumerate(zip(MASKS, masks, strict=True))) + "]"
+
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS t FROM documents), i AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
+dp AS (SELECT doc_id, t, unnest(generate_series(1, len(t) - 4)) AS pos FROM d), ip AS (SELECT item_id, t, unnest(generate_series(1, len(t) - 4)) AS pos FROM i),
+ds AS (SELECT doc_id, t, pos, unnest({_masked('t')}) AS seed FROM dp), s AS (SELECT item_id, t AS u, pos AS iat, unnest({_masked('t')}) AS seed FROM ip),
+h AS (SELECT doc_id, item_id, pos, len(u) AS n, list_transform(generate_series(-11, 19), lambda k: CASE WHEN pos + k >= 1 AND iat + k >= 1 AND pos + k <= len(t) AND iat + k <= len(u) AND t[pos + k] = u[iat + k] THEN 1 ELSE 0 END) AS f FROM ds JOIN s USING (seed) WHERE seed IS NOT NULL),
+m AS (SELECT doc_id, item_id, pos, least(12, n) AS w, list_max(list_transform(generate_series(1, 20), lambda k: list_sum(f[k:k + 11]))) AS m FROM h)
+SELECT doc_id, item_id, min(pos) - 1 AS first_word, count(*) AS hits, max(m) AS matched, max(w) AS "window" FROM m WHERE m >= ceil(w * 10 / 12) GROUP BY 1, 2""",
+    "op3_mixing": f"""WITH r AS (SELECT doc_id, source, len({_RUNS.format("coalesce(text, '')")}) AS size, (('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM r GROUP BY 1),
+o AS (SELECT *, 3 * ss AS cap, row_number() OVER k AS rank, coalesce(sum(3 * ss) OVER b, 0) AS cb, coalesce(sum(w) OVER b, 0) AS wb, sum(ss) OVER () AS t, sum(w) OVER () AS wt FROM s WINDOW k AS (ORDER BY 3 * ss / w, source NULLS LAST), b AS (ORDER BY 3 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (t - cb)::DOUBLE / (wt - wb) AS level FROM o), fr AS (SELECT min(rank) AS first, min_by(level, rank) AS level FROM l WHERE cap > level * w),
+tg AS (SELECT source, ss, CASE WHEN first IS NULL OR rank < first THEN cap::DOUBLE ELSE fr.level * w END AS target FROM l, fr),
+e AS (SELECT r.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate FROM r JOIN tg ON r.source IS NOT DISTINCT FROM tg.source),
+f AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, greatest(0, target - floor(rate) * ss) AS budget FROM e),
+q AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM f), k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656.0) AS rank FROM q),
+c AS (SELECT *, sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank) AS upto FROM k), a AS (SELECT *, coalesce(rank IS NOT NULL AND upto <= budget, false) AS taken0 FROM c),
+g1 AS (SELECT source, max(budget) - sum(CASE WHEN taken0 THEN size ELSE 0 END) AS gap FROM a WHERE rank IS NOT NULL GROUP BY 1),
+x1 AS (SELECT a.source, min_by(rank, (abs(size - gap), rank)) AS r1 FROM a JOIN g1 ON a.source IS NOT DISTINCT FROM g1.source WHERE rank IS NOT NULL AND NOT taken0 AND size < 2 * gap GROUP BY 1),
+b1 AS (SELECT a.*, taken0 OR coalesce(rank = r1, false) AS taken1 FROM a LEFT JOIN x1 ON a.source IS NOT DISTINCT FROM x1.source),
+g2 AS (SELECT source, max(budget) - sum(CASE WHEN taken1 THEN size ELSE 0 END) AS gap FROM b1 WHERE rank IS NOT NULL GROUP BY 1),
+x2 AS (SELECT b1.source, min_by(rank, (abs(size - gap), rank)) AS r2 FROM b1 JOIN g2 ON b1.source IS NOT DISTINCT FROM g2.source WHERE rank IS NOT NULL AND NOT taken1 AND size < 2 * gap GROUP BY 1)
+SELECT doc_id, size, b1.source, ss AS source_size, target, (size * (whole + (taken1 OR coalesce(rank = r2, false))::int))::BIGINT AS taken, (whole + (taken1 OR coalesce(rank = r2, false))::int)::BIGINT AS copies FROM b1 LEFT JOIN x2 ON b1.source IS NOT DISTINCT FROM x2.source""",
+    "op6_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {_RUNS.format(f"coalesce({_LOWER}, '')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(generate_series(1, len(w) - 2), lambda k: array_to_string(w[k:k + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+g AS (SELECT doc_id, unnest(s) AS i, len(s) AS n FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, max(x.n) AS na, max(y.n) AS nb FROM g x JOIN g y ON x.i = y.i AND x.doc_id <> y.doc_id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)), r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT doc_id, len(s) AS n_shingles, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links, least(doc_id, coalesce((SELECT min(y) FROM r WHERE x = doc_id), doc_id)) AS component_id FROM s""",
+}
