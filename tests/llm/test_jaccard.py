@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from verbatlas.llm import jaccard
 from verbatlas.llm.jaccard import Bounds, jaccard_groups, shingle_set
 
 
@@ -58,6 +60,32 @@ def test_equals_all_pairs(spark, width, num, den, seed):
     assert got == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize(("block", "sketch_block"), [(3, 7), (10, 4096)])
+def test_small_blocks_give_the_same(spark, monkeypatch, block, sketch_block):
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(jaccard, "SKETCH_BLOCK", sketch_block)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    rows = corpus(rng, 60)
+    for i in range(100, 180):
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((False, r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_groups(docs, 3, 80, 100).collect()), key=str)
+    assert got == brute(rows, 3, 80, 100)
+
+
+def test_sketches_never_claim_more_than_there_is():
+    rng = random.Random(1)
+    for _ in range(200):
+        a = np.unique(np.array([rng.randrange(1 << 60) for _ in range(rng.randrange(1, 900))], np.uint64))
+        b = np.unique(np.concatenate([a[rng.randrange(len(a)) :], np.array([rng.randrange(1 << 60) for _ in range(rng.randrange(0, 50))], np.uint64)]))
+        bits = sum((x ^ y).bit_count() for x, y in zip(jaccard.parity_sketch(a), jaccard.parity_sketch(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_groups(docs).count() == 0

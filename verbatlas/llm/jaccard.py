@@ -9,7 +9,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.llm.batches import LOWER, map_texts, text_groups
@@ -20,6 +20,8 @@ from verbatlas.sources.shared import stash
 FLUSH, FAMILY_BLOCK = 1_000_000, 256
 #: Columns of a dense block of differences at a time.
 DENSE = 1 << 14
+#: Bits of a set's parity sketch, and sets in a block when sketches are compared.
+SKETCH, SKETCH_BLOCK = 1024, 4096
 _U = np.uint64
 
 
@@ -82,6 +84,48 @@ def set_key(found: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def parity_sketch(found: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each of SKETCH bits: two sets differ in at least as many shingles as their sketches in bits."""
+    return np.packbits((np.bincount(((found >> _U(7)) % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def spanning(good: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, row) that span the components of a symmetric boolean matrix."""
+    edges, left = [], np.ones(len(good), bool)
+    for start in range(len(good)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero(good[at] & left)
+            left[near] = False
+            todo += near.tolist()
+            edges += [(at, x) for x in near.tolist()]
+    return edges
+
+
+def spanning_between(good: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that span the components of a bipartite boolean matrix."""
+    edges, rows_left, columns_left = [], np.ones(good.shape[0], bool), np.ones(good.shape[1], bool)
+    for start in np.flatnonzero(good.any(axis=1)).tolist():
+        if not rows_left[start]:
+            continue
+        rows_left[start] = False
+        todo = [start]
+        while todo:
+            row = todo.pop()
+            for column in np.flatnonzero(good[row] & columns_left).tolist():
+                columns_left[column] = False
+                edges.append((row, column))
+                near = np.flatnonzero(good[:, column] & rows_left)
+                rows_left[near] = False
+                edges += [(x, column) for x in near.tolist()]
+                todo += near.tolist()
+    return edges
+
+
 class Bounds:
     """What a Jaccard threshold num / den allows.
 
@@ -332,22 +376,55 @@ def family_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int,
     links = {left[i][0]: int(n) for i, n in enumerate(good @ copies[1]) if n}
     if not same:
         links |= {right[j][0]: int(n) for j, n in enumerate(copies[0] @ good) if n}
-    names = [x[0] for x in left] + ([] if same else [x[0] for x in right])
-    root = list(range(len(names)))
+    edges = [(left[i][0], left[j][0]) for i, j in spanning(good)] if same else [(left[i][0], right[j][0]) for i, j in spanning_between(good)]
+    return edges, links
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    edges = []
-    for i, j in np.argwhere(good).tolist():
-        a, b = find(i), find(j if same else len(left) + j)
-        if a != b:
-            root[b] = a
-            edges.append((names[i], names[j if same else len(left) + j]))
-    return edges, links
+def refined_families(families: DataFrame, sketched: DataFrame, bounds: Bounds) -> DataFrame:
+    """``families`` (node, component), where every family beyond one block is parted by its sketches.
+
+    Sets that share a passage by chance chain into wide families. Blocks of SKETCH_BLOCK sketches, by
+    set size, meet the blocks whose sizes allow links; a pair whose sketches differ in more bits than
+    linked sets of those sizes may differ in shingles is not linked, so no link is lost. Only an
+    edge list that spans what is left comes out of a pair of blocks.
+    """
+    wide = families.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_BLOCK).select("component")
+    rows = families.join(wide, "component", "left_semi").join(sketched, families["node"] == sketched["set"]).select("component", "set", "n_shingles", "sketch")
+    rows = stash(rows, "jaccard-sketches")
+    by_size = rows.groupBy("component", "n_shingles").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("component").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    placed = by_size.withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    rows = rows.join(placed, ["component", "n_shingles"]).withColumn("block", F.floor((F.col("_start") + F.pmod(F.xxhash64("set"), F.col("_n"))) / SKETCH_BLOCK).cast("int")).drop("_start", "_n")
+    spans = rows.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    other = spans.select("component", F.col("block").alias("right"), F.col("lo").alias("lo2"))
+    pairs = spans.withColumnRenamed("block", "left").join(other, "component").where((F.col("left") <= F.col("right")) & (F.col("lo2") * bounds.num <= F.col("hi") * bounds.den)).select("component", "left", "right")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("left", "right"))))
+    met = rows.join(sides, ["component", "block"]).select("component", "left", "right", "block", "set", "n_shingles", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, left, right), group in groupby(found, key=lambda r: r[:3]):
+            sides: dict[int, list] = {left: [], right: []}
+            for r in group:
+                sides[r[3]].append(r[4:])
+            if not sides[left] or not sides[right]:
+                continue
+            names, sizes, signs = [], [], []
+            for x in (sides[left], sides[right]):
+                names.append([r[0] for r in x])
+                sizes.append(np.array([r[1] for r in x], np.int64))
+                signs.append(np.unpackbits(np.frombuffer(b"".join(r[2] for r in x), np.uint8)).reshape(len(x), SKETCH).astype(np.float32) * 2 - 1)
+            apart = (SKETCH - signs[0] @ signs[1].T) / 2
+            total = sizes[0][:, None] + sizes[1][None]
+            good = (apart * (bounds.den + bounds.num) <= total * (bounds.den - bounds.num) + 0.5) & (np.minimum(sizes[0][:, None], sizes[1][None]) * bounds.den >= np.maximum(sizes[0][:, None], sizes[1][None]) * bounds.num)
+            if left == right:
+                np.fill_diagonal(good, False)
+            edges = spanning(good) if left == right else spanning_between(good)
+            if edges:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([names[0][i] for i, _ in edges], pa.int64()), "b": pa.array([names[1][j] for _, j in edges], pa.int64())})
+
+    edges = met.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(compare, "a long, b long")
+    return families.join(wide, "component", "left_anti").select("node", "component").unionByName(connected_components(edges))
 
 
 def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,8 +432,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
     Exact: no link is missed or guessed. Equal sets are one set throughout. An index of lists, whose
     entries stand in blocks of equal size and position, gives edges between sets that may be linked
-    (blocks that sizes or positions rule out are skipped); their components are families. Families
-    are compared block against block, each set by its differences from one of them. Work within a
+    (blocks that sizes or positions rule out are skipped); their components are families, and wide
+    families are parted by sketches that bound differences. Families are compared block against block, each set by its differences from one of them. Work within a
     family of m different sets grows with m squared over many tasks; nothing is emitted for pairs.
 
     Returns id, n_shingles, n_links (other documents linked directly), component_id (smallest id of
@@ -369,11 +446,13 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
     def sizes(texts: list[bytes | None]) -> list[list]:
         found = list(shingle_sets(texts, width))
-        return [[len(s) for s in found], [set_key(s) for s in found]]
+        return [[len(s) for s in found], [set_key(s) for s in found], [parity_sketch(s) for s in found]]
 
-    keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long"), "jaccard-keys")
+    keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long, sketch binary"), "jaccard-keys")
     live = keys.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    families = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds)), "jaccard-families")
+    chained = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds)), "jaccard-chains")
+    sketched = live.groupBy("set").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
+    families = stash(refined_families(chained, sketched, bounds), "jaccard-families")
     blocks = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
     distinct_sets = stash(live.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-sets")
     members = families.withColumnRenamed("node", "set").join(blocks, "component").join(distinct_sets, "set")
@@ -407,5 +486,5 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     smallest = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = labels.join(smallest, "label").join(links, "set", "left").select("set", "component_id", (F.col("copies") - 1 + F.coalesce("_more", F.lit(0))).alias("n_links"))
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    out = keys.join(known, "set", "left")
+    out = keys.drop("sketch").join(known, "set", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
