@@ -86,6 +86,17 @@ def test_sketches_never_claim_more_than_there_is():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_packed_entries_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 400):
+        e = np.empty(n, jaccard.ENTRY)
+        e["list"], e["set"] = rng.integers(0, 1 << 63, n, np.uint64), rng.choice(rng.integers(-(1 << 63), 1 << 63, 7), n)
+        e["size"], e["at"], e["run"] = e["set"] % 1000 + 1000, rng.integers(0, 900, n), rng.integers(1, 9, n)
+        back = jaccard.unpack(jaccard.pack(e))
+        low = lambda x: sorted((int(r["list"]) % (1 << 40), *(int(r[f]) for f in ("set", "size", "at", "run"))) for r in x)
+        assert low(back) == low(e)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_groups(docs).count() == 0

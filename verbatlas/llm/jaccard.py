@@ -215,18 +215,46 @@ def index_entries(found: np.ndarray, bounds: Bounds) -> tuple[np.ndarray, np.nda
 ENTRY = np.dtype([("list", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u4"), ("run", "<u4")])
 
 
+#: Bytes of a list's key that travel: lists that agree in them by chance only add candidates.
+KEY_BYTES = 5
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, byte by byte, so that compression finds the small ones."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def pack(entries: np.ndarray) -> bytes:
-    """Column by column, so that the shuffle's compression finds the small numbers."""
-    return b"".join(np.ascontiguousarray(entries[f]).view(np.uint8).reshape(-1, entries[f].dtype.itemsize).T.tobytes() for f in entries.dtype.names)
+    """Entries set by set: each set and its size once, then for each entry its list key, the step to its set and position, and its run."""
+    entries = entries[np.lexsort((entries["at"], entries["set"]))]
+    sets, first, owner = np.unique(entries["set"], return_index=True, return_inverse=True)
+    steps = np.diff(owner, prepend=0)
+    at = entries["at"].astype(np.int64)
+    jumps = np.where(np.diff(owner, prepend=-1) > 0, at, np.diff(at, prepend=0))
+    head = np.array([len(entries), len(sets)], "<u8").tobytes()
+    return head + planes(sets.view(np.uint64), 8) + planes(entries["size"][first], 4) + planes(entries["list"], KEY_BYTES) + planes(steps, 4) + planes(jumps, 4) + planes(entries["run"], 4)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // ENTRY.itemsize
-    out, p = np.empty(n, ENTRY), 0
-    for f in ENTRY.names:
-        w = ENTRY[f].itemsize
-        out[f] = np.frombuffer(blob, np.uint8, n * w, p).reshape(w, n).T.copy().view(ENTRY[f]).ravel()
-        p += n * w
+    n, m = np.frombuffer(blob, "<u8", 2).tolist()
+    out, p = np.empty(n, ENTRY), 16
+    columns = []
+    for count, width in ((m, 8), (m, 4), (n, KEY_BYTES), (n, 4), (n, 4), (n, 4)):
+        columns.append(unplaned(blob, p, count, width))
+        p += count * width
+    sets, sizes, lists, steps, jumps, runs = columns
+    owner = np.cumsum(steps.astype(np.int64))
+    new = np.diff(owner, prepend=-1) > 0
+    total = np.cumsum(jumps.astype(np.int64))
+    starts = np.flatnonzero(new)
+    base = np.repeat(total[starts] - jumps[starts].astype(np.int64), np.diff(np.append(starts, n)))
+    out["list"], out["set"], out["size"], out["at"], out["run"] = lists, sets.view(np.int64)[owner], sizes[owner], total - base, runs
     return out
 
 
@@ -278,7 +306,7 @@ def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds)
     distinct sizes and positions before the shuffle) and send entries in one binary value for each
     of the shuffle's partitions.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -286,7 +314,7 @@ def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds)
 
         def flush() -> pa.RecordBatch:
             entries, edges = merged_blocks(np.concatenate(held) if held else np.zeros(0, ENTRY))
-            bucket = (entries["list"] % _U(buckets)).astype(np.int64)
+            bucket = ((entries["list"] >> _U(40)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
@@ -332,7 +360,7 @@ def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds)
         yield pa.RecordBatch.from_pydict({"a": all_edges[:, 0].copy(), "b": all_edges[:, 1].copy()})
 
     sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(index, "bucket int, entries binary, edges binary")
-    return sent.repartition(buckets // 4, "bucket").mapInArrow(join, "a long, b long").where("a <> b").distinct()
+    return sent.repartition(buckets, "bucket").mapInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
 def differences(sets: list[np.ndarray], pivot: np.ndarray) -> list[np.ndarray]:
@@ -414,9 +442,12 @@ def refined_families(families: DataFrame, sketched: DataFrame, bounds: Bounds) -
                 names.append([r[0] for r in x])
                 sizes.append(np.array([r[1] for r in x], np.int64))
                 signs.append(np.unpackbits(np.frombuffer(b"".join(r[2] for r in x), np.uint8)).reshape(len(x), SKETCH).astype(np.float32) * 2 - 1)
-            apart = (SKETCH - signs[0] @ signs[1].T) / 2
-            total = sizes[0][:, None] + sizes[1][None]
-            good = (apart * (bounds.den + bounds.num) <= total * (bounds.den - bounds.num) + 0.5) & (np.minimum(sizes[0][:, None], sizes[1][None]) * bounds.den >= np.maximum(sizes[0][:, None], sizes[1][None]) * bounds.num)
+            good = np.empty((len(sizes[0]), len(sizes[1])), bool)
+            for i in range(0, len(good), 256):  # a strip at a time keeps numbers few
+                n = sizes[0][i : i + 256, None]
+                apart = (SKETCH - signs[0][i : i + 256] @ signs[1].T) / 2
+                near = np.minimum(n, sizes[1]) * bounds.den >= np.maximum(n, sizes[1]) * bounds.num
+                good[i : i + 256] = near & (apart * (bounds.den + bounds.num) <= (n + sizes[1]) * (bounds.den - bounds.num) + 0.5)
             if left == right:
                 np.fill_diagonal(good, False)
             edges = spanning(good) if left == right else spanning_between(good)
