@@ -20,7 +20,7 @@ from verbatlas.sources.shared import stash
 FLUSH, FAMILY_BLOCK = 1_000_000, 256
 #: Columns of a dense block of differences at a time.
 DENSE = 1 << 14
-#: Bits of a set's parity sketch, and sets in a block when sketches are compared.
+#: Least bits of a set's parity sketch (large sets have at least twice as many as shingles), and sets in a block when least sketches are compared.
 SKETCH, SKETCH_BLOCK = 1024, 4096
 _U = np.uint64
 
@@ -85,8 +85,20 @@ def set_key(found: np.ndarray) -> int:
 
 
 def parity_sketch(found: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each of SKETCH bits: two sets differ in at least as many shingles as their sketches in bits."""
-    return np.packbits((np.bincount(((found >> _U(7)) % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Parities of how many shingles fall on each bit: two sets differ in at least as many shingles as their sketches in bits.
+
+    The number of bits is a power of two; halves laid over one another give the next smaller sketch.
+    """
+    bits = SKETCH
+    while bits < 2 * len(found):
+        bits *= 2
+    return np.packbits((np.bincount(((found >> _U(7)) % _U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded_signs(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of one length as rows of +1 and -1, folded to ``bits``."""
+    rows = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8)).reshape(len(sketches), -1, bits)
+    return (np.bitwise_xor.reduce(rows, axis=1)).astype(np.float32) * 2 - 1
 
 
 def spanning(good: np.ndarray) -> list[tuple[int, int]]:
@@ -419,10 +431,12 @@ def refined_families(families: DataFrame, sketched: DataFrame, bounds: Bounds) -
     wide = families.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_BLOCK).select("component")
     rows = families.join(wide, "component", "left_semi").join(sketched, families["node"] == sketched["set"]).select("component", "set", "n_shingles", "sketch")
     rows = stash(rows, "jaccard-sketches")
-    by_size = rows.groupBy("component", "n_shingles").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("component").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    # Blocks hold sketches of one length; longer ones stand fewer to a block, so that a block's bits are bounded.
+    by_size = rows.groupBy("component", "n_shingles").agg(F.count("*").alias("_n"), F.max(F.round(F.log2(F.octet_length("sketch") * 8 / SKETCH)).cast("int")).alias("_level"))
+    upto = Window.partitionBy("component", "_level").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
     placed = by_size.withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    rows = rows.join(placed, ["component", "n_shingles"]).withColumn("block", F.floor((F.col("_start") + F.pmod(F.xxhash64("set"), F.col("_n"))) / SKETCH_BLOCK).cast("int")).drop("_start", "_n")
+    at = F.floor((F.col("_start") + F.pmod(F.xxhash64("set"), F.col("_n"))) / F.greatest(F.lit(2), F.floor(F.lit(SKETCH_BLOCK) / F.pow(F.lit(2.0), "_level"))))
+    rows = rows.join(placed, ["component", "n_shingles"]).withColumn("block", F.col("_level") * (1 << 40) + at.cast("long")).drop("_start", "_n", "_level")
     spans = rows.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     other = spans.select("component", F.col("block").alias("right"), F.col("lo").alias("lo2"))
     pairs = spans.withColumnRenamed("block", "left").join(other, "component").where((F.col("left") <= F.col("right")) & (F.col("lo2") * bounds.num <= F.col("hi") * bounds.den)).select("component", "left", "right")
@@ -438,14 +452,15 @@ def refined_families(families: DataFrame, sketched: DataFrame, bounds: Bounds) -
             if not sides[left] or not sides[right]:
                 continue
             names, sizes, signs = [], [], []
+            bits = 8 * min(len(x[0][2]) for x in (sides[left], sides[right]))
             for x in (sides[left], sides[right]):
                 names.append([r[0] for r in x])
                 sizes.append(np.array([r[1] for r in x], np.int64))
-                signs.append(np.unpackbits(np.frombuffer(b"".join(r[2] for r in x), np.uint8)).reshape(len(x), SKETCH).astype(np.float32) * 2 - 1)
+                signs.append(folded_signs([r[2] for r in x], bits))
             good = np.empty((len(sizes[0]), len(sizes[1])), bool)
             for i in range(0, len(good), 256):  # a strip at a time keeps numbers few
                 n = sizes[0][i : i + 256, None]
-                apart = (SKETCH - signs[0][i : i + 256] @ signs[1].T) / 2
+                apart = (bits - signs[0][i : i + 256] @ signs[1].T) / 2
                 near = np.minimum(n, sizes[1]) * bounds.den >= np.maximum(n, sizes[1]) * bounds.num
                 good[i : i + 256] = near & (apart * (bounds.den + bounds.num) <= (n + sizes[1]) * (bounds.den - bounds.num) + 0.5)
             if left == right:
