@@ -112,6 +112,60 @@ def test_next_word_distributions_sum_to_one(spark):
         assert p == pytest.approx(1 - total, abs=0.01)
 
 
+def brute_force_scores(texts):
+    """log10 probabilities of texts under the states of every length that their own counts give."""
+    t = suffix_tree
+    seqs = [["<begin>", *text.lower().split(), "<end>"] for text in texts]
+    n = Counter(tuple(s[i - k : i + 1]) for s in seqs for i in range(1, len(s)) for k in range(i + 1))
+    words = Counter(w for s in seqs for w in s[1:])
+    z = sum(words.values()) + len(words) + 1
+    states, level = {}, [(c,) for c in [*words, "<begin>"] if c != "<end>"]
+
+    def p(w, c):
+        if not c:
+            return (words[w] + 1) / z
+        if c not in states:
+            return p(w, c[1:])
+        total, kept, after = states[c]
+        if w in after:
+            return (after[w] + t.SMOOTHING * p(w, c[1:])) / (total + t.SMOOTHING)
+        beyond = 1 - sum(p(x, c[1:]) for x in after)
+        return (total - kept + t.SMOOTHING * beyond) / ((total + t.SMOOTHING) * beyond) * p(w, c[1:])
+
+    while level:
+        found = []
+        for c in level:
+            follow = {w: n[(*c, w)] for w in words if n[(*c, w)]}
+            total, after = sum(follow.values()), {w: x for w, x in follow.items() if x >= t.LEAST_NEXT}
+            if total < t.LEAST_CONTEXT or not after:
+                continue
+            expected = {w: p(w, c[1:]) for w in after}
+            kept = sum(after.values())
+            rest, other = (min(max(1 - x, 1e-12), 1) for x in (kept / total, sum(expected.values())))
+            gain = sum(x / total * math.log(x / total / expected[w]) for w, x in after.items()) + rest * math.log(rest / other)
+            if gain > max(t.LEAST_DIVERGENCE, (len(after) + t.CHANCE * math.sqrt(2 * len(after))) / (2 * total)):
+                found.append((c, (total, kept, after)))
+        states |= dict(found)
+        level = [(x, *c) for c, _ in found for x in [*words, "<begin>"] if n[(x, *c)]]
+    return [sum(math.log10(p(s[i], tuple(s[max(0, i - 20) : i]))) for i in range(1, len(s))) for s in seqs], max(map(len, states))
+
+
+@pytest.mark.parametrize("share", [2.0**-20, 0.02, 1.0])
+def test_states_of_every_length_equal_brute_force_whatever_is_broadcast(spark, monkeypatch, share):
+    rng = random.Random(5)
+    passage = "we hold that a repeated passage of many words is learnt as a whole"
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))) for _ in range(150)]
+    texts += [f"{' '.join(rng.choice('abcdefgh') for _ in range(5))} {passage} {rng.choice('abcd')}" for _ in range(12)]
+    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", share)
+    monkeypatch.setattr(suffix_tree, "VALUE_SHARE", share)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree, model = suffix_tree.fit_suffix_tree(frame)
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(frame, tree, model).collect()}
+    want, deepest = brute_force_scores(texts)
+    assert deepest > 2 and tree.longest > 3
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_scores_of_empty_tables(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_tree.score_held_out(frame).count() == 0

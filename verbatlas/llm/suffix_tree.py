@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,21 @@ from verbatlas.sources.shared import stash
 
 #: The end of a text, as a word; no word holds a line break.
 END = b"\n"
-#: Shares of all tokens. A word of at least HEAD_SHARE is known to every task, a context of at least
-#: CONTEXT_SHARE may become a state, a (state, word) count of at least NEXT_SHARE is kept: so at most
-#: 1 / share of each exist, at any input size.
-HEAD_SHARE, CONTEXT_SHARE, NEXT_SHARE = 2.0**-19, 2.0**-13, 2.0**-20
+#: Stands before a text, as a context only.
+BEGIN = b"\r"
+#: Shares of all tokens that bound what is broadcast: words of at least HEAD_SHARE and grams of at least
+#: VALUE_SHARE (1 / share of each length at most). All others are joined; the shares change no score.
+HEAD_SHARE, VALUE_SHARE = 2.0**-19, 2.0**-20
+#: A context seen so often may become a state, a next word seen so often after it is kept, at any input size.
 LEAST_CONTEXT, LEAST_NEXT = 8, 3
 #: A state is kept if its next words diverge from its parent's by so many nats a token, and by more than chance.
 LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 50.0
 FLUSH = 1_000_000
+#: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
+FILTER_BITS = 27
+_BLOCK = 15
 
 
 def hash_of(word: bytes) -> int:
@@ -57,44 +64,73 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-class States(NamedTuple):
-    """Retained contexts of one length: sorted keys, token counts, counts kept for next words, and those counts by sorted (key index, word)."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    keys: np.ndarray
-    total: np.ndarray
-    kept: np.ndarray
-    codes: np.ndarray
-    counts: np.ndarray
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key's state, -1 if there is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+def pair_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Key of the gram that starts with one gram and ends with another, each a word shorter."""
+    return mix(prefix * np.uint64(0x9E3779B97F4A7C15) + suffix)
+
+
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of single words as contexts, apart from their hashes in the vocabulary."""
+    return mix(hashes + np.uint64(0x632BE59BD9B4E019))
+
+
+def longer(keys: np.ndarray) -> np.ndarray:
+    """Keys of the grams a word longer that end at the same places; the first place has none."""
+    out = np.zeros_like(keys)
+    out[1:] = pair_keys(keys[:-1], keys[1:])
+    return out
+
 
-    def next_count(self, state: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
-        if not len(self.codes):
-            return np.zeros(len(word))
-        code = state * width + word
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where((word >= 0) & (self.codes[at] == code), self.counts[at], 0).astype(float)
+class KeyFilter(NamedTuple):
+    """A set of keys with false hits, of one size for any number of keys."""
 
+    bits: np.ndarray
 
-NO_STATES = States(*(np.zeros(0, np.int64) for _ in range(5)))
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64((1 << FILTER_BITS) - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of a one-column table of keys; blocks of bits are made in Spark."""
+    at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    blocks = keys.select(F.shiftright(at, _BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("bit")).groupBy("block", "bit").count()
+    found = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    bits = np.zeros((1 << (FILTER_BITS - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
+    for block, own in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        bits[block] = np.frombuffer(own, np.uint8)
+    return KeyFilter(bits.reshape(-1))
+
+
+class States(NamedTuple):
+    """Sorted keys of frequent states."""
+
+    keys: np.ndarray
 
 
 class SuffixTree:
-    """Words that every task knows, and the states of one and two words. Everything has a bound by the shares above."""
+    """The frequent head of the model: words and grams that every task knows, and a filter of all grams that bear on a score.
+
+    A gram's ``bonus`` is what its last word gains, in log10, over its parent's probability, against
+    the mere weight of the state before it; its ``weight`` is what the parent's probability is scaled
+    by if the gram is a state and the next word is not kept there. So a text's score is a plain sum.
+    """
 
     def __init__(self, tokens: int, distinct: int, head: dict[bytes, int], head_counts: np.ndarray):
         self.tokens, self.distinct, self.head = tokens, distinct, head
         self.root = (head_counts + 1.0) / (tokens + distinct + 1)
-        self.one, self.two = NO_STATES, NO_STATES
-
-    @property
-    def width(self) -> int:
-        return len(self.head) + 1
+        self.hashes = np.array([hash_of(w) for w in head], np.int64).view(np.uint64)
+        self.one = States(np.zeros(0, np.uint64))
+        #: Words of the longest gram; sorted keys of the frequent ones with bonus and weight.
+        self.longest = 0
+        self.keys, self.bonus, self.weight = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+        self.some: KeyFilter | None = None
 
     def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Word ids of some texts (-1 beyond the head) with an end after each, first positions, the words, token counts."""
@@ -112,149 +148,198 @@ class SuffixTree:
         first[np.cumsum(sizes) - sizes] = True
         return ids, first, words, sizes
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The word before each token, and the one before that; before a text stands an end, and beyond it nothing (-1)."""
-        end = self.head.get(END, -1)
-        before = np.empty_like(ids)
-        before[1:], before[:1] = ids[:-1], end
-        before[first] = end
-        earlier = np.empty_like(ids)
-        earlier[1:], earlier[:1] = before[:-1], -1
-        earlier[first] = -1
-        return before, earlier
-
-    def pair_keys(self, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        return np.where((before >= 0) & (earlier >= 0), earlier * self.width + before, -1)
-
-    def probabilities(self, state: States, at: np.ndarray, ids: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """P(word | state) where ``at`` names one; beyond the head ``parent`` is 1, as the root's factor comes later."""
-        if not len(state.keys):
-            return parent
-        n = state.next_count(at, ids, self.width)
-        spread = (state.total[at] - state.kept[at] + SMOOTHING) * parent
-        return np.where(at >= 0, (n + spread) / (state.total[at] + SMOOTHING), parent)
-
-    def score(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of each token, by the longest suffix that is a state, and by the root alone; of a word beyond the head, both without the root's factor."""
-        root = np.where(ids >= 0, self.root[ids] if len(self.root) else 1.0, 1.0)
-        before, earlier = self.contexts(ids, first)
-        p = self.probabilities(self.one, self.one.find(before), ids, root)
-        p = self.probabilities(self.two, self.two.find(self.pair_keys(before, earlier)), ids, p)
-        return np.log10(p), np.log10(root)
-
-
-def count_codes(train: DataFrame, text_col: str, codes_of: Callable[[list[bytes | None]], np.ndarray]) -> DataFrame:
-    """code, n over all of ``train``; tasks add up before the shuffle."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return codes, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+    def sequence(self, ids: np.ndarray, first: np.ndarray, words: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes with a begin before each text, their places in the text, and where each token stands. Without ``words`` all must be of the head."""
+        at = np.arange(len(ids)) + np.cumsum(first)
+        hashes = np.full(len(ids) + int(first.sum()), hash_of(BEGIN), np.int64).view(np.uint64)
+        if len(self.hashes):
+            hashes[at] = self.hashes[ids]
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            hashes[at[rare]] = np.fromiter((hash_of(words[i]) for i in rare.tolist()), np.int64, len(rare)).view(np.uint64)
+        begins = np.flatnonzero(first) + np.arange(int(first.sum()))
+        place = np.arange(len(hashes)) - np.repeat(begins, np.diff(np.append(begins, len(hashes))))
+        return hashes, place, at
+
+    def grams(self, hashes: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and keys of the grams that may bear on a score, by length: none does unless the one without its first word does."""
+        keys, here = hashes, np.arange(len(hashes))
+        for n in range(1, self.longest + 1):
+            if n > 1:
+                keys = longer(keys)
+                here = here[place[here] >= n - 1]
+            own = (word_keys(keys) if n == 1 else keys)[here]
+            good = self.some.has(own)
+            yield here[good], own[good]
+            here = here[good] if n > 1 else here
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key among the frequent grams, -1 if it is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def score(self, ids: np.ndarray, first: np.ndarray, words: list[bytes] | None = None, missed: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of each token, by the longest suffix that is a state, and by the root alone.
+
+        Grams beyond the frequent ones are not in it: their token positions and keys go to ``missed``.
+        Words beyond the head count as unseen.
+        """
+        known = self.root[ids] if len(self.root) else 1.0
+        base = np.log10(np.where(ids >= 0, known, 1.0 / (self.tokens + self.distinct + 1)))
+        hashes, place, at = self.sequence(ids, first, words)
+        gain = np.zeros(len(hashes) + 1)
+        text = np.cumsum(place == 0) - 1
+        for here, keys in self.grams(hashes, place):
+            found = self.find(keys)
+            got = found >= 0
+            gain[here[got]] += self.bonus[found[got]]
+            gain[here[got] + 1] += self.weight[found[got]]
+            if missed is not None:
+                missed.append((text[here[~got]], keys[~got]))
+        return base + gain[at], base
+
+
+def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadcast, length: int) -> DataFrame:
+    """prefix, suffix, n of the grams of ``length`` words of which one of both may be a context; tasks add up before the shuffle."""
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, prefix, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        return keys, prefix[first], suffix[first], np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+
+    def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"prefix": part[1].view(np.int64), "suffix": part[2].view(np.int64), "n": part[3]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in batches:
             for group in text_groups(batch.column(0).to_pylist()):
-                parts.append(np.unique(codes_of(group), return_counts=True))
-                held += len(parts[-1][0])
-                if held >= FLUSH:
+                ids, first, words, _ = tree.value.ids(group)
+                shorter, place, _ = tree.value.sequence(ids, first, words)
+                for _ in range(length - 2):
+                    shorter = longer(shorter)
+                own = known.value.has(word_keys(shorter) if length == 2 else shorter)
+                here = np.flatnonzero((place[1:] >= length - 1) & (own[:-1] | own[1:]))
+                prefix, suffix = shorter[here], shorter[here + 1]
+                keys, at, n = np.unique(pair_keys(prefix, suffix), return_index=True, return_counts=True)
+                parts.append((keys, prefix[at], suffix[at], n))
+                held += len(keys)
+                if held >= 2 * FLUSH:
                     parts = [merged(parts)]
                     held = len(parts[0][0])
                     if held >= FLUSH:
-                        yield pa.RecordBatch.from_pydict({"code": parts[0][0], "n": parts[0][1]})
+                        yield out(parts[0])
                         parts, held = [], 0
         if parts:
-            codes, counts = merged(parts)
-            yield pa.RecordBatch.from_pydict({"code": codes.astype(np.int64), "n": counts})
+            yield out(merged(parts))
+
+    return train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
+
+
+def keyed(counted: DataFrame, length: int) -> DataFrame:
+    """``counted`` with each gram's key; the parts of pairs are words, so their prefixes become keys of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix, suffix = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            context, parent = (word_keys(prefix), word_keys(suffix)) if length == 2 else (prefix, suffix)
+            arrays = [pa.array(x.view(np.int64)) for x in (pair_keys(prefix, suffix), context, parent, suffix)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)], ["key", "context", "parent", "suffix", "n"])
+
+    return counted.mapInArrow(run, "key long, context long, parent long, suffix long, n long")
+
 
-    return train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def key_of_word(word: bytes) -> int:
+    return int(word_keys(np.array([hash_of(word)], np.int64).view(np.uint64)).view(np.int64)[0])
 
 
-def kept_counts(counted: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with at least NEXT_SHARE of all tokens: at most 1 / NEXT_SHARE rows come to the driver."""
-    found = counted.where(F.col("n") >= max(LEAST_NEXT, math.ceil(tokens * NEXT_SHARE))).toArrow()
-    codes, counts = found.column("code").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(codes)
-    return codes[order], counts[order]
+def first_contexts(vocabulary: DataFrame) -> DataFrame:
+    """context, total: the words that may be contexts, and the begin of a text, which is as frequent as its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = word_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["context", "total"])
 
+    h = F.when(F.col("word") == F.lit(END), F.lit(hash_of(BEGIN))).otherwise(F.col("h"))
+    return vocabulary.where(F.col("n") >= LEAST_CONTEXT).select(h.alias("h"), "n").mapInArrow(run, "context long, total long")
 
-def retained(keys: np.ndarray, totals: np.ndarray, codes: np.ndarray, counts: np.ndarray, width: int, parent: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> States:
-    """The contexts whose next words diverge from their parent state's.
 
-    ``codes``: candidate index times width plus word. ``parent(candidate, word)``: the parent's probabilities.
+def retained(rows: DataFrame) -> DataFrame:
+    """context, total, kept, other (the parent's mass of the kept words): the contexts whose next words diverge from their parent state's.
+
+    ``rows``: context, total, n, expected (the parent's probability), one for each kept next word.
     """
-    at, word = codes // width, codes % width
-    expected = parent(at, word)
-    p = counts / totals[at]
-    kept = np.bincount(at, counts, len(keys))
-    mass, other = kept / totals, np.bincount(at, expected, len(keys))
-    gain = np.bincount(at, p * np.log(p / expected), len(keys))
-    rest, rest_other = np.clip(1 - mass, 1e-12, 1), np.clip(1 - other, 1e-12, 1)
-    gain += rest * np.log(rest / rest_other)
-    cells = np.bincount(at, minlength=len(keys))
-    chance = (cells + CHANCE * np.sqrt(2.0 * cells)) / (2.0 * totals)
-    good = (gain > np.maximum(LEAST_DIVERGENCE, chance)) & (cells > 0)
-    new = np.cumsum(good) - 1
-    here = good[at]
-    return States(keys[good], totals[good], kept[good].astype(np.int64), new[at[here]] * width + word[here], counts[here])
+    p = F.col("n") / F.col("total")
+    sums = rows.groupBy("context", "total").agg(F.sum("n").alias("kept"), F.sum("expected").alias("other"), F.sum(p * F.ln(p / F.col("expected"))).alias("gain"), F.count("*").alias("cells"))
+    rest, rest_other = (F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0)) for x in (F.col("kept") / F.col("total"), F.col("other")))
+    chance = (F.col("cells") + CHANCE * F.sqrt(2.0 * F.col("cells"))) / (2.0 * F.col("total"))
+    return sums.where(F.col("gain") + rest * F.ln(rest / rest_other) > F.greatest(F.lit(LEAST_DIVERGENCE), chance)).select("context", "total", "kept", "other")
 
 
 def fit_suffix_tree(train: DataFrame, text_col: str = "text") -> tuple[SuffixTree, DataFrame]:
-    """The tree learnt from all of ``train``, and the whole vocabulary as a table (h, word, n).
+    """The frequent head of the model learnt from all of ``train``, and the whole model as a table.
 
-    Three passes count words, then words after one word, then words after two, over all training
-    texts. Contexts come from the shares above and are kept by a divergence test against their
-    parent; what is counted stays in Spark, and only rows above a share reach the driver.
+    The table's rows are (h, value, seen): log10(n + 1) of a word under its hash, seen 1; bonus and
+    weight of a gram under its key, seen 0. Contexts grow by a word at the front as long as states
+    are found: one is tried if it occurs LEAST_CONTEXT times and its own suffix is a state. Each
+    length takes a pass over the texts; counts, states and probabilities are Spark tables.
     """
+    sc = train.sparkSession.sparkContext
     vocabulary = stash(word_counts(train, text_col), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = vocabulary.where(F.col("n") >= max(1, math.ceil(tokens * HEAD_SHARE))).orderBy(F.desc("n"), "word").select("word", "n").toArrow()
-    counts = top.column("n").to_numpy().astype(np.int64)
-    tree = SuffixTree(tokens, distinct, {w: i for i, w in enumerate(top.column("word").to_pylist())}, counts)
-    least = max(LEAST_CONTEXT, math.ceil(tokens * CONTEXT_SHARE))
-    width = tree.width
-    ones = np.flatnonzero(counts >= least)
-    sc = train.sparkSession.sparkContext
+    tree = SuffixTree(tokens, distinct, {w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy().astype(np.int64))
+    model = vocabulary.select("h", F.log10(F.col("n") + 1.0).alias("value"), F.lit(1).alias("seen"))
     shared = sc.broadcast(tree)
-
-    def after_one(texts: list[bytes | None]) -> np.ndarray:
-        t = shared.value
-        ids, first, _, _ = t.ids(texts)
-        before, _ = t.contexts(ids, first)
-        here = (before >= 0) & (before < len(ones)) & (ids >= 0)
-        return before[here] * width + ids[here]
-
-    if len(ones):  # ids go down in count, so candidates are the first ids
-        codes, n = kept_counts(count_codes(train, text_col, after_one), tokens)
-        tree.one = retained(ones, counts[ones], codes, n, width, lambda _, w: tree.root[w])
-        # A pair (a, b) is a candidate if it is frequent and b, its parent, is a state.
-        frequent = (n >= least) & (tree.one.find(codes % width) >= 0)
-        pairs, pair_n = codes[frequent], n[frequent]
-        if len(pairs):
-            shared_pairs = sc.broadcast(pairs)
-            base = sc.broadcast(tree)
-
-            def after_two(texts: list[bytes | None]) -> np.ndarray:
-                t, keys = base.value, shared_pairs.value
-                ids, first, _, _ = t.ids(texts)
-                pair = t.pair_keys(*t.contexts(ids, first))
-                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                here = (keys[at] == pair) & (ids >= 0)
-                return at[here] * width + ids[here]
-
-            def parent(at: np.ndarray, word: np.ndarray) -> np.ndarray:
-                return tree.probabilities(tree.one, tree.one.find(pairs[at] % width), word, tree.root[word])
-
-            codes, n = kept_counts(count_codes(train, text_col, after_two), tokens)
-            tree.two = retained(pairs, pair_n, codes, n, width, parent)
-    return tree, vocabulary
-
-
-def score_texts(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    contexts = stash(first_contexts(vocabulary), "lm-contexts")
+    parents = vocabulary.select(F.col("h").alias("suffix"), ((F.col("n") + 1.0) / F.lit(float(tokens + distinct + 1))).alias("expected"))
+    parts: list[DataFrame] = []
+    # What is not kept goes to the other words alone, else ever longer contexts would drift from their own counts.
+    beyond = F.greatest(1 - F.col("other"), F.lit(1e-12))
+    spread = (F.col("total") - F.col("kept") + SMOOTHING * beyond) / ((F.col("total") + SMOOTHING) * beyond)
+    length = 1
+    while not contexts.isEmpty():
+        length += 1
+        known = sc.broadcast(key_filter(contexts.select("context")))
+        counted = stash(keyed(count_grams(train, text_col, shared, known, length), length), "lm-counts")
+        known.destroy()
+        rows = stash(counted.join(contexts, "context").join(parents, "suffix").select("key", "context", "total", "n", "expected"), "lm-rows")
+        states = stash(retained(rows).withColumn("weight", F.log10(spread)), "lm-states")
+        p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
+        grams = rows.join(states.drop("total"), "context").select("key", "n", p.alias("p"), (F.log10(p / F.col("expected")) - F.col("weight")).alias("bonus"))
+        grams = stash(grams, "lm-grams")
+        if length == 2:
+            tree.one = States(np.sort(frequent(states.select(F.col("context").alias("key"), F.col("total").alias("n")), tokens).column("key").to_numpy().view(np.uint64)))
+        parts += [grams.select("key", "n", "bonus", F.lit(0.0).alias("weight")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.lit(0.0).alias("bonus"), "weight")]
+        contexts = counted.where(F.col("n") >= LEAST_CONTEXT).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("total"))
+        contexts = stash(contexts, "lm-contexts")
+        parents = grams.select(F.col("key").alias("suffix"), F.col("p").alias("expected"))
+    if parts:
+        values = functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("bonus").alias("bonus"), F.sum("weight").alias("weight"))
+        values = stash(values, "lm-values")
+        top = frequent(values, tokens)
+        keys = top.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tree.longest, tree.keys, tree.some = length, keys[order], key_filter(values.select("key"))
+        tree.bonus, tree.weight = (top.column(c).to_numpy()[order] for c in ("bonus", "weight"))
+        model = model.unionByName(values.select(F.col("key").alias("h"), (F.col("bonus") + F.col("weight")).alias("value"), F.lit(0).alias("seen")))
+    return tree, model
+
+
+def frequent(values: DataFrame, tokens: int) -> pa.Table:
+    """Rows with at least VALUE_SHARE of all tokens: 1 / VALUE_SHARE of each length at most come to the driver."""
+    return values.where(F.col("n") >= max(LEAST_NEXT, math.ceil(tokens * VALUE_SHARE))).toArrow()
+
+
+def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """log10 probability of every whole text: id, ``keep``, n_tokens, n_known, base_score, score.
 
-    The tree is broadcast. Words beyond its head (each rarer than HEAD_SHARE, so none is hot) go to
-    a join with the whole vocabulary as (text, hash, count) rows; a text's terms are then summed.
+    The tree is broadcast. Words and grams beyond it (each rarer than a share, so none is hot) go to
+    a join with the whole model as (text, hash, count) rows; a text's terms are then summed.
     Null texts count as empty (one token, the end); repeated rows get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tree)
@@ -265,34 +350,44 @@ def score_texts(docs: DataFrame, tree: SuffixTree, vocabulary: DataFrame, id_col
         for group in text_groups(texts):
             ids, first, words, sizes = t.ids(group)
             starts = np.cumsum(sizes) - sizes
-            scores, base = t.score(ids, first)
-            rare = ids < 0
+            rare = np.flatnonzero(ids < 0)
+            missed = [(np.searchsorted(starts, rare, "right") - 1, np.fromiter((hash_of(words[i]) for i in rare.tolist()), np.int64, len(rare)).view(np.uint64))]
+            scores, base = t.score(ids, first, words, missed)
             out[0] += [xxhash.xxh64_intdigest(x or b"") >> 1 for x in group]
             out[1] += sizes.tolist()
-            out[2] += np.add.reduceat((~rare).astype(np.int64), starts).tolist()
+            out[2] += np.add.reduceat((ids >= 0).astype(np.int64), starts).tolist()
             out[3] += np.add.reduceat(base, starts).tolist()
             out[4] += np.add.reduceat(scores, starts).tolist()
-            for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-                own = Counter(words[a + i] for i in np.flatnonzero(rare[a : a + n]).tolist())
-                out[5].append([hash_of(w) for w in own])
-                out[6].append(list(own.values()))
+            text, keys = (np.concatenate(x) for x in zip(*missed, strict=True))
+            order = np.lexsort((keys, text))
+            text, keys = text[order], keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            counts = np.diff(np.append(at, len(keys))).astype(np.int32)
+            ends = np.searchsorted(text[at], np.arange(len(group) + 1))
+            own = keys[at].view(np.int64)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[5].append(own[a:b])
+                out[6].append(counts[a:b])
         return out
 
     made = stash(map_texts(docs, id_col, text_col, work, "_key long, n_tokens long, _known long, _base double, _score double, _h array<long>, _n array<int>", keep), "lm-texts")
     rare = made.where(F.size("_h") > 0).select("_key", F.explode(F.arrays_zip("_h", "_n")).alias("_w")).select("_key", F.col("_w._h").alias("h"), F.col("_w._n").alias("_count"))
-    found = rare.join(vocabulary.select("h", F.col("n").alias("_c")), "h", "left")
-    log_root = F.log10((F.coalesce("_c", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
-    sums = found.groupBy("_key").agg(F.sum("_count").alias("_all"), F.sum(F.when(F.col("_c") > 0, F.col("_count")).otherwise(0)).alias("_seen"), F.sum(F.col("_count") * log_root).alias("_log"))
+    found = rare.join(model, "h", "left")
+    term = F.col("_count") * F.coalesce("value", F.lit(0.0))
+    word = F.col("seen") == 1
+    sums = found.groupBy("_key").agg(F.sum("_count").alias("_all"), F.sum(F.when(word, F.col("_count")).otherwise(0)).alias("_seen"), F.sum(F.when(word, term).otherwise(0.0)).alias("_words"), F.sum(term).alias("_terms"))
     # Equal texts share a key; each of m copies gets the m-th part of their sums.
     own = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x)
     part = F.coalesce(F.try_divide(own, F.col("_all")), F.lit(0.0))
     joined = made.join(sums, "_key", "left")
-    extra = part * F.coalesce("_log", F.lit(0.0))
-    return joined.select(id_col, *keep, "n_tokens", (F.col("_known") + F.round(part * F.coalesce("_seen", F.lit(0))).cast("long")).alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("_base") + extra).alias("base_score"), (F.col("_score") + extra).alias("score"))
+    more = [part * F.coalesce(c, F.lit(0.0)) for c in ("_words", "_terms")]
+    return joined.select(id_col, *keep, "n_tokens", (F.col("_known") + F.round(part * F.coalesce("_seen", F.lit(0))).cast("long")).alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("_base") + more[0]).alias("base_score"), (F.col("_score") + more[1]).alias("score"))
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all ``docs`` under the tree learnt from those whose CRC-32 of the id is not 2 modulo 7; a null id is held out."""
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(True)))
-    tree, vocabulary = fit_suffix_tree(docs.where(~F.col("held_out")), text_col)
-    return score_texts(docs, tree, vocabulary, id_col, text_col, ("held_out",))
+    tree, model = fit_suffix_tree(docs.where(~F.col("held_out")), text_col)
+    return score_texts(docs, tree, model, id_col, text_col, ("held_out",))
