@@ -274,6 +274,58 @@ def test_every_keyword_occurs_in_what_its_pattern_matches():
             assert r.keyword in samples[r.label] or r.label == "lgpl"
 
 
+def alternatives(pattern):
+    """Strings that a rule's name pattern matches: every choice of its groups, with and without optional parts."""
+    import re._parser as parser
+
+    def made(tokens):
+        out = [""]
+        for op, arg in tokens:
+            op = str(op)
+            if op == "LITERAL":
+                own = [chr(arg)]
+            elif op == "IN":
+                own = [next(chr(c) for c in range(97, 128) if re.match(in_class(arg), chr(c)))] if str(arg[0][0]) != "LITERAL" else [chr(x) for k, x in arg if str(k) == "LITERAL"]
+            elif op == "BRANCH":
+                own = [x for branch in arg[1] for x in made(branch)]
+            elif op == "SUBPATTERN":
+                own = made(arg[-1])
+            elif op == "MAX_REPEAT":
+                own = ([""] if arg[0] == 0 else []) + made(arg[2])
+            else:
+                own = [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    import re
+
+    def in_class(arg):
+        return {"RANGE": "[0-9]", "CATEGORY": r"\S"}[str(arg[0][0])] if str(arg[0][0]) != "RANGE" else f"[{chr(arg[0][1][0])}-{chr(arg[0][1][1])}0-9a-z]"
+
+    return [x for x in made(parser.parse(pattern)) if re.fullmatch(pattern, x)]
+
+
+def test_every_alternative_of_a_name_opens_its_rules():
+    rules, _ = licenses.compiled()
+    for f in licenses.FAMILIES:
+        names = alternatives(f.name)
+        assert names
+        for name in names:
+            assert any(word in name for word in (f.word, *f.others)), name
+    labels = {rules[i][0].label for _, _, i in licenses.detect("Creative Commons Attribution-Share Alike 3.0; GNU Library General Public License; Zero-Clause BSD; Do What The Fun You Want To Public License")}
+    assert {"cc-by-sa", "lgpl", "0bsd", "wtfpl"} <= labels
+
+
+def test_wrapped_texts_give_the_same_detections():
+    plain = "Permission is hereby granted, free of charge, to any person obtaining a copy; GNU Library General Public License version 2.0. All advertising materials mentioning features or use of this software, under the Apache License"
+    want = licenses.detect(plain)
+    assert len(want) > 3
+    for gap in ("\n", "\r\n    ", "  ", "\t"):
+        text = "x" + gap + plain.replace(" ", gap)
+        got = licenses.detect(text)
+        assert [(" ".join(text[a:b].split()), i) for a, b, i in got] == [(plain[a:b], i) for a, b, i in want]
+
+
 # -- quality
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from typing import NamedTuple
@@ -20,6 +21,7 @@ class Rule(NamedTuple):
     pattern: str  # over lower-cased text
     priority: int
     confidence: float
+    others: tuple[str, ...] = ()  # keywords of alternatives that lack the first
 
 
 class Family(NamedTuple):
@@ -30,11 +32,12 @@ class Family(NamedTuple):
     word: str
     name: str
     site: str = ""
+    others: tuple[str, ...] = ()
 
 
 # fmt: off
 FAMILIES = [
-    Family("0bsd", r"0bsd", "0bsd", r"(?:0bsd|zero[- ]clause bsd)", "opensource.org/licenses/0bsd"),
+    Family("0bsd", r"0bsd", "0bsd", r"(?:0bsd|zero[- ]clause bsd)", "opensource.org/licenses/0bsd", ("clause bsd",)),
     Family("afl", r"afl-[123](?:\.\d)?", "academic free", r"academic free license", "opensource.org/licenses/afl"),
     Family("agpl", r"agpl-[13](?:\.0)?(?:-only|-or-later)?", "affero", r"(?:gnu )?affero general public license", "gnu.org/licenses/agpl"),
     Family("apache", r"apache-(?:1\.[01]|2\.0)", "apache", r"apache (?:software )?license", "apache.org/licenses/license-"),
@@ -52,7 +55,7 @@ FAMILIES = [
     Family("cc-by-nc-nd", r"cc-by-nc-nd-[1-4]\.[05]", "noderiv", r"creative commons attribution[- ]noncommercial[- ]noderiv(?:ative)?s?", "creativecommons.org/licenses/by-nc-nd/"),
     Family("cc-by-nc-sa", r"cc-by-nc-sa-[1-4]\.[05]", "sharealike", r"creative commons attribution[- ]noncommercial[- ]sharealike", "creativecommons.org/licenses/by-nc-sa/"),
     Family("cc-by-nd", r"cc-by-nd-[1-4]\.[05]", "noderiv", r"creative commons attribution[- ]noderiv(?:ative)?s?", "creativecommons.org/licenses/by-nd/"),
-    Family("cc-by-sa", r"cc-by-sa-[1-4]\.[05]", "sharealike", r"creative commons attribution[- ]share ?alike", "creativecommons.org/licenses/by-sa/"),
+    Family("cc-by-sa", r"cc-by-sa-[1-4]\.[05]", "sharealike", r"creative commons attribution[- ]share ?alike", "creativecommons.org/licenses/by-sa/", ("share alike",)),
     Family("cddl", r"cddl-1\.[01]", "development and distribution", r"common development and distribution license", "opensource.org/licenses/cddl"),
     Family("cecill", r"cecill-[12b-c](?:\.[01])?", "cecill", r"cecill(?:-[bc])? (?:free software )?licen[sc]e", "cecill.info/licences"),
     Family("cpal", r"cpal-1\.0", "common public attribution", r"common public attribution license", "opensource.org/licenses/cpal"),
@@ -70,7 +73,7 @@ FAMILIES = [
     Family("ipl", r"ipl-1\.0", "ibm public", r"ibm public license", "opensource.org/licenses/ipl"),
     Family("isc", r"isc", "isc license", r"isc license", "opensource.org/licenses/isc"),
     Family("json", r"json", "json license", r"json license", "json.org/license"),
-    Family("lgpl", r"lgpl-[23](?:\.[01])?(?:-only|-or-later|\+)?", "lesser general", r"(?:gnu )?(?:lesser|library) general public license", "gnu.org/licenses/lgpl"),
+    Family("lgpl", r"lgpl-[23](?:\.[01])?(?:-only|-or-later|\+)?", "lesser general", r"(?:gnu )?(?:lesser|library) general public license", "gnu.org/licenses/lgpl", ("library general",)),
     Family("libpng", r"libpng(?:-2\.0)?", "libpng", r"libpng license", "libpng.org/pub/png/src/libpng-license"),
     Family("lppl", r"lppl-1\.[0-3][ac]?", "latex project", r"latex project public license", "latex-project.org/lppl"),
     Family("mit", r"mit(?:-0)?", "mit", r"mit license", "opensource.org/licenses/mit"),
@@ -95,7 +98,7 @@ FAMILIES = [
     Family("upl", r"upl-1\.0", "universal permissive", r"universal permissive license", "opensource.org/licenses/upl"),
     Family("vim", r"vim", "vim license", r"vim license", "vimhelp.org/uganda"),
     Family("w3c", r"w3c", "w3c", r"w3c (?:software )?(?:notice and )?license", "w3.org/consortium/legal"),
-    Family("wtfpl", r"wtfpl", "wtf", r"(?:wtfpl|do what the f\S+ you want to public license)", "wtfpl.net"),
+    Family("wtfpl", r"wtfpl", "wtf", r"(?:wtfpl|do what the f\S+ you want to public license)", "wtfpl.net", ("do what the f",)),
     Family("x11", r"x11", "x11", r"x11 license", "xfree86.org/3.3.6/copyright"),
     Family("zlib", r"zlib", "zlib", r"zlib(?:/libpng)? license", "zlib.net/zlib_license"),
     Family("zpl", r"zpl-[12]\.[01]", "zope", r"zope public license", "opensource.org/licenses/zpl"),
@@ -129,9 +132,9 @@ def build_rules() -> list[Rule]:
     rules = list(PHRASES)
     for f in FAMILIES:
         rules.append(Rule(f.label, "identifier", "license-identifier", rf"spdx-license-identifier:\s*{f.spdx}(?![\w.-])", 9, 1.0))
-        rules.append(Rule(f.label, "grant", f.word, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{f.name}", 8, 0.95))
-        rules.append(Rule(f.label, "version", f.word, rf"(?<!\w){f.name},? (?:version |v\.? ?)?\d(?:\.\d)*", 7, 0.9))
-        rules.append(Rule(f.label, "name", f.word, rf"(?<!\w){f.name}(?!\w)", 3, 0.75))
+        rules.append(Rule(f.label, "grant", f.word, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{f.name}", 8, 0.95, f.others))
+        rules.append(Rule(f.label, "version", f.word, rf"(?<!\w){f.name},? (?:version |v\.? ?)?\d(?:\.\d)*", 7, 0.9, f.others))
+        rules.append(Rule(f.label, "name", f.word, rf"(?<!\w){f.name}(?!\w)", 3, 0.75, f.others))
         if f.site:
             rules.append(Rule(f.label, "address", f.site, rf"(?:https?://)?(?:www\.)?{re.escape(f.site)}[\w./-]*", 6, 0.9))
     return rules
@@ -142,7 +145,8 @@ def compiled() -> tuple[list[tuple[Rule, re.Pattern]], ahocorasick.Automaton]:
     rules = [(r, re.compile(r.pattern)) for r in build_rules()]
     by_keyword: dict[str, list[int]] = {}
     for i, (r, _) in enumerate(rules):
-        by_keyword.setdefault(r.keyword, []).append(i)
+        for keyword in (r.keyword, *r.others):
+            by_keyword.setdefault(keyword, []).append(i)
     gate = ahocorasick.Automaton()
     for keyword, ids in by_keyword.items():
         gate.add_word(keyword, tuple(ids))
@@ -160,12 +164,30 @@ def resolve(found: list[tuple[int, int, int]], rules: list[tuple[Rule, re.Patter
 
 
 def detect(text: str) -> list[tuple[int, int, int]]:
-    """Resolved detections in a text; rules run only if their keyword occurs."""
+    """Resolved detections in a text, whose runs of white space count as one space; rules run only if a keyword of theirs occurs."""
     rules, gate = compiled()
     text = text.translate(_lower_ascii)
-    wanted = {i for _, ids in gate.iter(text) for i in ids}
-    return resolve([(m.start(), m.end(), i) for i in sorted(wanted) for m in rules[i][1].finditer(text)], rules) if wanted else []
-
+    folded = _RUNS.sub(" ", text)
+    wanted = {i for _, ids in gate.iter(folded) for i in ids}
+    if not wanted:
+        return []
+    found = resolve([(m.start(), m.end(), i) for i in sorted(wanted) for m in rules[i][1].finditer(folded)], rules)
+    if not found or len(folded) == len(text):
+        return found
+    after, cut = [0], [0]  # from folded place after[j] on, cut[j] characters are gone
+    for m in _RUNS.finditer(text):
+        if m.end() - m.start() > 1:
+            after.append(m.start() - cut[-1] + 1)
+            cut.append(cut[-1] + m.end() - m.start() - 1)
+
+    def place(at: int) -> int:
+        return at + cut[bisect.bisect_right(after, at) - 1]
+
+    return [(place(a), place(b - 1) + 1, i) for a, b, i in found]
+
+
+#: Runs of white space other than one plain space.
+_RUNS = re.compile(r"[^\S ]\s*| \s+")
 
 _lower_ascii = {c: c + 32 for c in range(65, 91)}
 #: Bytes of ASCII that are no letters or digits become spaces: then words are what split() gives.
