@@ -278,6 +278,13 @@ def cohort_sweep(spark, sf):
     return out.select("term", "n", "observed", F.round("corrected_p", 6).alias("corrected_p"))
 
 
+@query("cohort_sweep_all")
+def cohort_sweep_all(spark, sf):
+    """The sweep over all terms that the operator takes by default; DuckDB's tail, term by term, is too slow for these."""
+    out = B.cohort_sweep(occ(spark, sf).select("term", "cohort"), V.plain_units(spark, sf), "A", top=None)
+    return out.select("term", "n", "observed", F.round("corrected_p", 6).alias("corrected_p"))
+
+
 # -- graph
 
 
@@ -454,6 +461,15 @@ def binomial_assess(spark, sf):
     return s.select("term", "n", "observed", F.round("sig.expected", 6).alias("expected"), F.round("sig.p_value", 6).alias("p_value"), F.round("sig.effect", 6).alias("effect"))
 
 
+@query("binomial_assess_all")
+def binomial_assess_all(spark, sf):
+    """Every term, however rare or common, with the warnings; DuckDB's tail, term by term, is too slow for these."""
+    share = V.plain_units(spark, sf).agg((F.sum(F.when(F.col("cohort") == "A", F.col("n_words")).otherwise(0)) / F.sum("n_words")).alias("rate"))
+    c = occ(spark, sf).groupBy("term").agg(F.count("*").alias("n"), F.sum((F.col("cohort") == "A").cast("int")).alias("observed"))
+    s = c.join(F.broadcast(share)).withColumn("sig", assess(F.col("observed"), F.col("n"), F.col("rate")))
+    return s.select("term", "n", "observed", F.round("sig.expected", 6).alias("expected"), F.round("sig.p_value", 6).alias("p_value"), F.round("sig.effect", 6).alias("effect"), "sig.warnings")
+
+
 def source_tests(spark, sf):
     """Documents in English of every source against the share over all, as a family of tests."""
     d = V.table(spark, sf, "documents")
