@@ -15,8 +15,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a folder of our own on a local master only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_folder()
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -29,3 +32,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/verbatlas/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``stash`` that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/verbatlas/" in path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
