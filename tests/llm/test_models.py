@@ -88,37 +88,62 @@ def test_contexts_that_tell_more_are_kept_and_help(spark):
             w += [x, x + x, rng.choice("fghij")] if rng.random() < 0.9 else [x]
         docs.append((i, " ".join(w)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    tree, _ = suffix_tree.fit_suffix_tree(frame)
-    assert len(tree.one.keys) >= 5
     out = suffix_tree.score_held_out(frame)
     held = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > 0.75 * held[1]
 
 
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.3)) % 4000}" for _ in range(60)) for _ in range(300)]
+    train = [*texts[:200], *texts[:40]]
+    tree, model = suffix_tree.fit_suffix_tree(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in suffix_tree.score_texts(frame, tree, model).collect()}
+    others = sorted(got[i] for i in range(40, 300))
+    assert sum(got[i] > others[int(0.95 * len(others))] for i in range(40)) >= 38
+
+
 def test_next_word_distributions_sum_to_one(spark):
     rng = random.Random(3)
     frame = spark.createDataFrame([(i, " ".join(rng.choice(["a b", "c d e", "a c", "f"]) for _ in range(20))) for i in range(200)], "doc_id long, text string")
-    tree, vocabulary = suffix_tree.fit_suffix_tree(frame)
-    words = list(tree.head)
-    for before in (["a"], ["c"], ["c", "d"], ["b", "a"]):
-        total = 1 / (tree.tokens + tree.distinct + 1)  # the unknown word, at the root
-        text = [(" ".join([*before, w.decode()])).encode() for w in words if w != suffix_tree.END]
-        p = 0.0
-        for t in text:
-            ids, first, _, _ = tree.ids([t])
-            p += 10 ** tree.score(ids, first)[0][len(before)]
-        ids, first, _, _ = tree.ids([" ".join(before).encode()])
-        p += 10 ** tree.score(ids, first)[0][len(before)]
-        assert p == pytest.approx(1 - total, abs=0.01)
-
-
-def brute_force_scores(texts):
-    """log10 probabilities of texts under the states of every length that their own counts give."""
+    tree, model = suffix_tree.fit_suffix_tree(frame)
+    assert tree.longest >= 3
+    befores = ["a", "c", "c d", "b a"]
+    texts = [*befores, *(f"{b} {w}" for b in befores for w in "abcdef"), *(f"{b} unseen" for b in befores)]
+    out = suffix_tree.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tree, model)
+    got = {texts[r.doc_id]: r.score for r in out.collect()}
+    ends = {t: suffix_tree_end(texts_of(frame), t) for t in texts}
+    want, _ = brute_force_scores(texts_of(frame), texts)
+    assert [got[t] for t in texts] == pytest.approx(want, rel=1e-9)
+    for b in befores:  # the text so far, then every next word or the end
+        so_far = got[b] - ends[b]
+        total = 10 ** ends[b] + sum(10 ** (got[f"{b} {w}"] - ends[f"{b} {w}"] - so_far) for w in [*"abcdef", "unseen"])
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def texts_of(frame):
+    return [r.text for r in frame.orderBy("doc_id").collect()]
+
+
+def suffix_tree_end(train, text):
+    """log10 probability that ``text`` ends where it does."""
+    return brute_force_scores(train, [text], last=True)[0][0]
+
+
+def brute_force_scores(texts, scored=None, last=False):
+    """log10 probabilities of ``scored`` (or of ``texts``) under the states of every length that the texts' own counts give."""
     t = suffix_tree
-    seqs = [["<begin>", *text.lower().split(), "<end>"] for text in texts]
-    n = Counter(tuple(s[i - k : i + 1]) for s in seqs for i in range(1, len(s)) for k in range(i + 1))
+    as_words = lambda x: ["<begin>", *(x or "").lower().split(), "<end>"]
+    seqs = [as_words(text) for text in texts]
+    n = Counter(tuple(s[i - k : i + 1]) for s in seqs for i in range(1, len(s)) for k in range(min(i, t.DEPTH) + 1))
     words = Counter(w for s in seqs for w in s[1:])
+    starts = Counter({("<begin>",): len(seqs)})
     z = sum(words.values()) + len(words) + 1
+    after_of = {}
+    for g, x in n.items():
+        if len(g) > 1:
+            after_of.setdefault(g[:-1], {})[g[-1]] = x
     states, level = {}, [(c,) for c in [*words, "<begin>"] if c != "<end>"]
 
     def p(w, c):
@@ -132,12 +157,18 @@ def brute_force_scores(texts):
         beyond = 1 - sum(p(x, c[1:]) for x in after)
         return (total - kept + t.SMOOTHING * beyond) / ((total + t.SMOOTHING) * beyond) * p(w, c[1:])
 
-    while level:
-        found = []
+    for depth in range(1, t.DEPTH + 1):
+        found, tried = [], []
         for c in level:
-            follow = {w: n[(*c, w)] for w in words if n[(*c, w)]}
-            total, after = sum(follow.values()), {w: x for w, x in follow.items() if x >= t.LEAST_NEXT}
-            if total < t.LEAST_CONTEXT or not after:
+            total = n[c] or starts[c]
+            if total < t.LEAST_CONTEXT[depth]:
+                continue
+            tried.append(c)
+            after = {w: x for w, x in after_of.get(c, {}).items() if x >= t.LEAST_NEXT[depth]}
+            if depth == 1:
+                mean = {w: total * p(w, ()) for w in after}
+                after = {w: x for w, x in after.items() if x > 2 or x > mean[w] and x * math.log(x / mean[w]) - x + mean[w] >= t.NEXT_GAIN}
+            if not after:
                 continue
             expected = {w: p(w, c[1:]) for w in after}
             kept = sum(after.values())
@@ -146,8 +177,12 @@ def brute_force_scores(texts):
             if gain > max(t.LEAST_DIVERGENCE, (len(after) + t.CHANCE * math.sqrt(2 * len(after))) / (2 * total)):
                 found.append((c, (total, kept, after)))
         states |= dict(found)
-        level = [(x, *c) for c, _ in found for x in [*words, "<begin>"] if n[(x, *c)]]
-    return [sum(math.log10(p(s[i], tuple(s[max(0, i - 20) : i]))) for i in range(1, len(s))) for s in seqs], max(map(len, states))
+        level = [(*c, w) for c in tried for w in after_of.get(c, {}) if w != "<end>" and (*c[1:], w) in states]
+    out = []
+    for s in map(as_words, scored if scored is not None else texts):
+        terms = [math.log10(p(s[i], tuple(s[max(0, i - t.DEPTH) : i]))) for i in range(1, len(s))]
+        out.append(terms[-1] if last else sum(terms))
+    return out, max(map(len, states), default=0)
 
 
 @pytest.mark.parametrize("share", [2.0**-20, 0.02, 1.0])
@@ -156,14 +191,16 @@ def test_states_of_every_length_equal_brute_force_whatever_is_broadcast(spark, m
     passage = "we hold that a repeated passage of many words is learnt as a whole"
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))) for _ in range(150)]
     texts += [f"{' '.join(rng.choice('abcdefgh') for _ in range(5))} {passage} {rng.choice('abcd')}" for _ in range(12)]
-    monkeypatch.setattr(suffix_tree, "HEAD_SHARE", share)
-    monkeypatch.setattr(suffix_tree, "VALUE_SHARE", share)
+    texts += [f"rare{i // 2} {' '.join(f'r{i // 2}x{k}' for k in range(8))} a b" for i in range(20)]
+    monkeypatch.setattr(suffix_tree, "SHARE", share)
+    monkeypatch.setattr(suffix_tree, "FLUSH", 500)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     tree, model = suffix_tree.fit_suffix_tree(frame)
-    got = {r.doc_id: r.score for r in suffix_tree.score_texts(frame, tree, model).collect()}
-    want, deepest = brute_force_scores(texts)
+    odd = [*texts, "nothing known here", "", None]
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), tree, model).collect()}
+    want, deepest = brute_force_scores(texts, odd)
     assert deepest > 2 and tree.longest > 3
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+    assert [got[i] for i in range(len(odd))] == pytest.approx(want, rel=1e-9)
 
 
 def test_scores_of_empty_tables(spark):

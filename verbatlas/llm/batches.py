@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,87 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list[
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, arrow, strict=False)), *made], schema=arrow)
 
     return slim.mapInArrow(run, schema)
+
+
+_U = np.uint64
+#: A random 64-bit value for each byte, A-Z as a-z, and the odd base of the polynomial that makes a word's hash.
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)[np.frombuffer(LOWER, np.uint8)]
+_BASE = _U(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes whose hashes are summed at a time; a longer word is summed piece by piece.
+_PIECE = 1 << 20
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit scramble."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, _BASE, np.uint64))
+
+
+def _long_word(raw: np.ndarray) -> np.uint64:
+    """The polynomial of one word of any length, in pieces."""
+    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    powers = _powers(_PIECE)
+    for i in range(0, len(raw), _PIECE):
+        piece = _BYTE[raw[i : i + _PIECE]]
+        total += scale * np.sum(piece * powers[: len(piece)], dtype=np.uint64)
+        scale = scale * powers[-1:]
+    return total[0]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and how many words each text has."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = ~_SPACE[raw]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    del edge, inside
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.zeros(0, np.uint64), counts
+    lengths = stops - starts
+    sums = np.empty(len(starts), np.uint64)
+    powers = _powers(min(int(lengths.max()), _PIECE))
+    upto = np.cumsum(lengths)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PIECE, "right")))
+        if lengths[at] > _PIECE:
+            sums[at] = _long_word(raw[starts[at] : stops[at]])
+        else:
+            own = lengths[at:stop]
+            first = np.cumsum(own) - own
+            place = np.arange(int(own.sum())) - np.repeat(first, own)
+            sums[at:stop] = np.add.reduceat(_BYTE[raw[np.repeat(starts[at:stop], own) + place]] * powers[place], first)
+        at = stop
+    return mixed(sums + lengths.astype(np.uint64)), counts
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, byte by byte, so that compression finds the small ones."""
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Columns of whole numbers of any lengths, each in its own number of bytes."""
+    return np.array([len(c) for c, _ in columns], "<u8").tobytes() + b"".join(planes(c, w) for c, w in columns)
+
+
+def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    at, out = 8 * len(widths), []
+    for n, w in zip(np.frombuffer(blob, "<u8", len(widths)).tolist(), widths, strict=True):
+        out.append(unplaned(blob, at, n, w))
+        at += n * w
+    return out

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.llm.batches import LOWER, map_texts, text_groups
+from verbatlas.llm.batches import map_texts, mixed, planes, text_groups, unplaned, word_hashes
 from verbatlas.operators.components import connected_components
 from verbatlas.sources.shared import stash
 
@@ -23,36 +23,7 @@ DENSE = 1 << 14
 #: Least bits of a set's parity sketch (large sets have at least twice as many as shingles), and sets in a block when least sketches are compared.
 SKETCH, SKETCH_BLOCK = 1024, 4096
 _U = np.uint64
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit scramble."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-#: A random 64-bit value for each byte, A-Z as a-z, and the odd base of the polynomial that makes a word's hash.
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)[np.frombuffer(LOWER, np.uint8)]
 _BASE = _U(0x9E3779B97F4A7C15)
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, and how many words each text has."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    inside = ~_SPACE[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    lengths = stops - starts
-    powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
-    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    sums = np.add.reduceat(_BYTE[raw[inside]] * powers[place], np.cumsum(lengths) - lengths)
-    return mixed(sums + lengths.astype(np.uint64)), counts
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
@@ -231,17 +202,6 @@ ENTRY = np.dtype([("list", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u4"
 KEY_BYTES = 5
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of whole numbers, byte by byte, so that compression finds the small ones."""
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplaned(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def pack(entries: np.ndarray) -> bytes:
     """Entries set by set: each set and its size once, then for each entry its list key, the step to its set and position, and its run."""
     entries = entries[np.lexsort((entries["at"], entries["set"]))]

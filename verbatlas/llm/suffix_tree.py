@@ -4,80 +4,63 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.batches import map_texts, split_words, text_groups
-from verbatlas.sources.shared import stash
-
-#: The end of a text, as a word; no word holds a line break.
-END = b"\n"
-#: Stands before a text, as a context only.
-BEGIN = b"\r"
-#: Shares of all tokens that bound what is broadcast: words of at least HEAD_SHARE and grams of at least
-#: VALUE_SHARE (1 / share of each length at most). All others are joined; the shares change no score.
-HEAD_SHARE, VALUE_SHARE = 2.0**-19, 2.0**-20
-#: A context seen so often may become a state, a next word seen so often after it is kept, at any input size.
-LEAST_CONTEXT, LEAST_NEXT = 8, 3
+from verbatlas.llm.batches import mixed, pack, text_groups, unpack, word_hashes
+from verbatlas.sources.shared import discard, stash
+
+_U = np.uint64
+#: Hashes that stand for the begin of a text (a context only) and for its end (a token).
+BEGIN, END = _U(0x7F4A7C15F39CC060), _U(0x106AA07032BBD1B8)
+#: Shares of all tokens that bound what is broadcast: words and grams of at least SHARE (1 / SHARE of each
+#: length at most). All others are joined; the share changes no score.
+SHARE = 2.0**-20
+#: Most words of a context.
+DEPTH = 4
+#: How often a context must be seen, and a word after it, by the number of words of the context; the same at any input size.
+LEAST_CONTEXT, LEAST_NEXT = (0, 2, 8, 8, 8), (0, 2, 3, 3, 3)
+#: A word seen twice after a context is kept if the root expects it so seldom that its likelihood gains so many nats.
+NEXT_GAIN = 6.0
 #: A state is kept if its next words diverge from its parent's by so many nats a token, and by more than chance.
 LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
-SMOOTHING = 50.0
-FLUSH = 1_000_000
+SMOOTHING = 5.0
+#: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
+FLUSH, PART_TOKENS = 4_000_000, 8_000_000
+#: Contexts and grams are told apart by so many bits of a hash (words by 64).
+KEY = _U((1 << 48) - 1)
 #: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
 FILTER_BITS = 27
 _BLOCK = 15
 
 
-def hash_of(word: bytes) -> int:
-    """A signed 64-bit hash, for joins."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of some texts between a begin and an end each, their places in the text, and the texts' sizes."""
+    words, counts = word_hashes([t or b"" for t in texts])
+    sizes = counts + 2
+    starts = np.cumsum(sizes) - sizes
+    out, inner = np.empty(int(sizes.sum()), np.uint64), np.ones(int(sizes.sum()), bool)
+    for at, mark in ((starts, BEGIN), (starts + sizes - 1, END)):
+        out[at], inner[at] = mark, False
+    out[inner] = words
+    return out, np.arange(len(out)) - np.repeat(starts, sizes), sizes
 
 
-def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """h, word, n over all tokens of ``train``; tasks add up before the shuffle and hold FLUSH words at most."""
-
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"h": pa.array(map(hash_of, counts), pa.int64()), "word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(split_words(text or b""))
-                counts[END] += 1
-                if len(counts) >= FLUSH:
-                    yield out(counts)
-                    counts = Counter()
-        yield out(counts)
-
-    rows = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "h long, word binary, n long")
-    return rows.groupBy("h", "word").agg(F.sum("n").alias("n"))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of single words as grams."""
+    return mixed(hashes + _U(0x632BE59BD9B4E019)) & KEY
 
 
 def pair_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """Key of the gram that starts with one gram and ends with another, each a word shorter."""
-    return mix(prefix * np.uint64(0x9E3779B97F4A7C15) + suffix)
-
-
-def word_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of single words as contexts, apart from their hashes in the vocabulary."""
-    return mix(hashes + np.uint64(0x632BE59BD9B4E019))
+    return mixed(prefix * _U(0x9E3779B97F4A7C15) + suffix) & KEY
 
 
 def longer(keys: np.ndarray) -> np.ndarray:
@@ -87,20 +70,37 @@ def longer(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, an index of each, and how often it occurs (or its sum of ``n``)."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, n.dtype)
+    return ranked[at], order[at], sums
+
+
+def found_in(ranked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key in a sorted array, -1 if it is not there."""
+    if not len(ranked):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(ranked, keys), len(ranked) - 1)
+    return np.where(ranked[at] == keys, at, -1)
+
+
 class KeyFilter(NamedTuple):
     """A set of keys with false hits, of one size for any number of keys."""
 
     bits: np.ndarray
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64((1 << FILTER_BITS) - 1)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        at = keys & _U((1 << FILTER_BITS) - 1)
+        return (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
 
 
 def key_filter(keys: DataFrame) -> KeyFilter:
     """The filter of a one-column table of keys; blocks of bits are made in Spark."""
     at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    blocks = keys.select(F.shiftright(at, _BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("bit")).groupBy("block", "bit").count()
+    blocks = keys.select(F.shiftright(at, _BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("bit"))
     found = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
     bits = np.zeros((1 << (FILTER_BITS - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
     for block, own in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
@@ -108,168 +108,172 @@ def key_filter(keys: DataFrame) -> KeyFilter:
     return KeyFilter(bits.reshape(-1))
 
 
-class States(NamedTuple):
-    """Sorted keys of frequent states."""
-
-    keys: np.ndarray
-
-
 class SuffixTree:
-    """The frequent head of the model: words and grams that every task knows, and a filter of all grams that bear on a score.
+    """The frequent head of the model: words and grams that every task knows, and a filter of all grams and words.
 
-    A gram's ``bonus`` is what its last word gains, in log10, over its parent's probability, against
-    the mere weight of the state before it; its ``weight`` is what the parent's probability is scaled
-    by if the gram is a state and the next word is not kept there. So a text's score is a plain sum.
+    A gram's value is the sum of two: what its last word gains, in log10, over its parent's
+    probability against the mere weight of the state before it, and the weight by which the parent's
+    probability is scaled if the gram is a state and the next word is not kept there. A text's score
+    is the root's plus the values of all its grams.
     """
 
-    def __init__(self, tokens: int, distinct: int, head: dict[bytes, int], head_counts: np.ndarray):
-        self.tokens, self.distinct, self.head = tokens, distinct, head
-        self.root = (head_counts + 1.0) / (tokens + distinct + 1)
-        self.hashes = np.array([hash_of(w) for w in head], np.int64).view(np.uint64)
-        self.one = States(np.zeros(0, np.uint64))
-        #: Words of the longest gram; sorted keys of the frequent ones with bonus and weight.
-        self.longest = 0
-        self.keys, self.bonus, self.weight = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    def __init__(self, tokens: int, distinct: int, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.tokens, self.distinct = tokens, distinct
+        #: Sorted hashes of the frequent words, and their counts.
+        self.hashes, self.counts = hashes[order], counts[order]
+        #: Words of the longest gram, sorted keys of the frequent grams, their values.
+        self.longest, self.keys, self.values = 0, np.zeros(0, np.uint64), np.zeros(0)
         self.some: KeyFilter | None = None
 
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Word ids of some texts (-1 beyond the head) with an end after each, first positions, the words, token counts."""
-        get = self.head.get
-        words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            own = split_words(text or b"")
-            sizes.append(len(own) + 1)
-            words += own
-            words.append(END)
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        sizes = np.array(sizes, np.int64)
-        first = np.zeros(len(words), bool)
-        first[np.cumsum(sizes) - sizes] = True
-        return ids, first, words, sizes
-
-    def sequence(self, ids: np.ndarray, first: np.ndarray, words: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes with a begin before each text, their places in the text, and where each token stands. Without ``words`` all must be of the head."""
-        at = np.arange(len(ids)) + np.cumsum(first)
-        hashes = np.full(len(ids) + int(first.sum()), hash_of(BEGIN), np.int64).view(np.uint64)
-        if len(self.hashes):
-            hashes[at] = self.hashes[ids]
-        rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            hashes[at[rare]] = np.fromiter((hash_of(words[i]) for i in rare.tolist()), np.int64, len(rare)).view(np.uint64)
-        begins = np.flatnonzero(first) + np.arange(int(first.sum()))
-        place = np.arange(len(hashes)) - np.repeat(begins, np.diff(np.append(begins, len(hashes))))
-        return hashes, place, at
-
-    def grams(self, hashes: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and keys of the grams that may bear on a score, by length: none does unless the one without its first word does."""
-        keys, here = hashes, np.arange(len(hashes))
+    @property
+    def mass(self) -> float:
+        return float(self.tokens + self.distinct + 1)
+
+    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: tokens, frequent known ones, log10 P by the root alone and by the whole tree, as far as the head goes.
+
+        Words beyond the head count as unseen here. They, and other grams that may bear on a score, are the last value: text, key (of
+        a word its hash), and whether it is a gram.
+        """
+        h, place, sizes = sequences(texts)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        token = place > 0
+        at = found_in(self.hashes, h)
+        known = (at >= 0) & token
+        base = np.full(len(h), -math.log10(self.mass))
+        base[known] += np.log10(self.counts[at[known]] + 1.0)
+        base[~token] = 0
+        rare = np.flatnonzero(token & ~known & (self.some.has(h) if self.some else False))
+        missed = [(text[rare], h[rare], np.zeros(len(rare), bool))]
+        gain = np.zeros(len(texts))
+        keys, here = word_keys(h), np.arange(len(h))
         for n in range(1, self.longest + 1):
             if n > 1:
                 keys = longer(keys)
                 here = here[place[here] >= n - 1]
-            own = (word_keys(keys) if n == 1 else keys)[here]
-            good = self.some.has(own)
-            yield here[good], own[good]
-            here = here[good] if n > 1 else here
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key among the frequent grams, -1 if it is none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def score(self, ids: np.ndarray, first: np.ndarray, words: list[bytes] | None = None, missed: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of each token, by the longest suffix that is a state, and by the root alone.
-
-        Grams beyond the frequent ones are not in it: their token positions and keys go to ``missed``.
-        Words beyond the head count as unseen.
-        """
-        known = self.root[ids] if len(self.root) else 1.0
-        base = np.log10(np.where(ids >= 0, known, 1.0 / (self.tokens + self.distinct + 1)))
-        hashes, place, at = self.sequence(ids, first, words)
-        gain = np.zeros(len(hashes) + 1)
-        text = np.cumsum(place == 0) - 1
-        for here, keys in self.grams(hashes, place):
-            found = self.find(keys)
+            here_now = here[self.some.has(keys[here])]
+            own = keys[here_now]
+            found = found_in(self.keys, own)
             got = found >= 0
-            gain[here[got]] += self.bonus[found[got]]
-            gain[here[got] + 1] += self.weight[found[got]]
-            if missed is not None:
-                missed.append((text[here[~got]], keys[~got]))
-        return base + gain[at], base
+            gain += np.bincount(text[here_now[got]], self.values[found[got]], len(texts))
+            missed.append((text[here_now[~got]], own[~got], np.ones(int((~got).sum()), bool)))
+            # A gram bears on no score unless the one without its first word does; a word may without.
+            here = here_now if n > 1 else here
+        by = lambda x: np.bincount(text, x, len(texts))
+        roots = by(base)
+        return sizes - 1, by(known).astype(np.int64), roots, roots + gain, tuple(np.concatenate(x) for x in zip(*missed, strict=True))
 
 
-def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadcast, length: int) -> DataFrame:
-    """prefix, suffix, n of the grams of ``length`` words of which one of both may be a context; tasks add up before the shuffle."""
+def word_counts(train: DataFrame, text_col: str) -> DataFrame:
+    """h, key, n over all tokens of ``train``; tasks add up before the shuffle."""
 
-    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        keys, prefix, suffix, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        return keys, prefix[first], suffix[first], np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h in flushed(batches, lambda h, place: h[place > 0]):
+            words, _, n = totals(h)
+            yield pa.RecordBatch.from_pydict({"h": words.view(np.int64), "key": word_keys(words).view(np.int64), "n": n})
 
-    def out(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"prefix": part[1].view(np.int64), "suffix": part[2].view(np.int64), "n": part[3]})
+    rows = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "h long, key long, n long")
+    return rows.groupBy("h", "key").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for batch in batches:
-            for group in text_groups(batch.column(0).to_pylist()):
-                ids, first, words, _ = tree.value.ids(group)
-                shorter, place, _ = tree.value.sequence(ids, first, words)
-                for _ in range(length - 2):
-                    shorter = longer(shorter)
-                own = known.value.has(word_keys(shorter) if length == 2 else shorter)
-                here = np.flatnonzero((place[1:] >= length - 1) & (own[:-1] | own[1:]))
-                prefix, suffix = shorter[here], shorter[here + 1]
-                keys, at, n = np.unique(pair_keys(prefix, suffix), return_index=True, return_counts=True)
-                parts.append((keys, prefix[at], suffix[at], n))
-                held += len(keys)
-                if held >= 2 * FLUSH:
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held >= FLUSH:
-                        yield out(parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield out(merged(parts))
-
-    return train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_NEXT)
-
-
-def keyed(counted: DataFrame, length: int) -> DataFrame:
-    """``counted`` with each gram's key; the parts of pairs are words, so their prefixes become keys of contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix, suffix = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            context, parent = (word_keys(prefix), word_keys(suffix)) if length == 2 else (prefix, suffix)
-            arrays = [pa.array(x.view(np.int64)) for x in (pair_keys(prefix, suffix), context, parent, suffix)]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(2)], ["key", "context", "parent", "suffix", "n"])
+def flushed(batches: Iterator[pa.RecordBatch], work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """Arrays (or stacked arrays) that ``work`` makes of groups of texts, joined until they hold FLUSH places."""
+    held, n = [], 0
+    for batch in batches:
+        for group in text_groups(batch.column(0).to_pylist()):
+            h, place, _ = sequences(group)
+            held.append(work(h, place))
+            n += held[-1].shape[-1]
+            if n >= FLUSH:
+                yield np.concatenate(held, axis=-1)
+                held, n = [], 0
+    if n:
+        yield np.concatenate(held, axis=-1)
 
-    return counted.mapInArrow(run, "key long, context long, parent long, suffix long, n long")
 
+def parts_of(tokens: int, train: DataFrame) -> int:
+    """Parts of a join by key: as many as the shuffle has partitions, more for large inputs, so that a part's size is bounded."""
+    return max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
 
-def key_of_word(word: bytes) -> int:
-    return int(word_keys(np.array([hash_of(word)], np.int64).view(np.uint64)).view(np.int64)[0])
 
+def bucketed(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]], kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, packed columns) for each bucket that has rows; columns are parallel to ``bucket``."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        own = order[a:b]
+        yield int(bucket[own[0]]), kind, pack([(c[own], w) for c, w in columns])
 
-def first_contexts(vocabulary: DataFrame) -> DataFrame:
-    """context, total: the words that may be contexts, and the begin of a text, which is as frequent as its end."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = word_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["context", "total"])
+def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadcast, length: int) -> DataFrame:
+    """key, context, parent, n, expected of the grams of ``length`` words that may matter.
 
-    h = F.when(F.col("word") == F.lit(END), F.lit(hash_of(BEGIN))).otherwise(F.col("h"))
-    return vocabulary.where(F.col("n") >= LEAST_CONTEXT).select(h.alias("h"), "n").mapInArrow(run, "context long, total long")
+    ``context``: the gram without its last word; ``parent``: without its first. Pairs are counted if their last word passes the filter ``known``,
+    longer grams if their context does. Tasks count FLUSH places at a time and send the distinct grams packed, in one value for each part of the join;
+    pairs meet at their last word, so that its count, and what the root expects, is known there (a frequent word's
+    pairs are spread over all parts, its count comes with ``tree``).
+    """
+    parts = parts_of(tree.value.tokens, train)
+
+    def grams(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+        shorter = word_keys(h)
+        for _ in range(length - 2):
+            shorter = longer(shorter)
+        here = np.flatnonzero(place[1:] >= length - 1)
+        here = here[known.value.has(shorter[here + (length == 2)])]
+        return np.stack([shorter[here], shorter[here + 1]])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = np.sort(word_keys(tree.value.hashes))
+        for prefix, suffix in flushed(batches, grams):
+            keys, at, n = totals(pair_keys(prefix, suffix))
+            prefix, suffix = prefix[at], suffix[at]
+            meet = keys if length > 2 else np.where(found_in(frequent, suffix) >= 0, keys, suffix)
+            bucket = (mixed(meet) % _U(parts)).astype(np.int64)
+            order = np.argsort(suffix)
+            rows = list(bucketed(bucket[order], [(prefix[order], 6), (suffix[order], 6), (n[order], 5)]))
+            yield pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "blob": pa.array([r[2] for r in rows], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        t = tree.value
+        frequent, counts = word_keys(t.hashes), t.counts
+        order = np.argsort(frequent)
+        frequent, counts = frequent[order], counts[order]
+        begin = word_keys(np.array([BEGIN]))
+        for bucket in list(held):
+            prefix, suffix, n = (np.concatenate(x) for x in zip(*(unpack(b, (6, 6, 5)) for b in held.pop(bucket)), strict=True))
+            keys, at, n = totals(pair_keys(prefix, suffix), n.astype(np.int64))
+            prefix, suffix = prefix[at], suffix[at]
+            expected = np.zeros(len(keys))
+            if length == 2:
+                words, _, own = totals(suffix, n)
+                head = found_in(frequent, words)
+                own = np.where(head >= 0, counts[np.maximum(head, 0)] if len(counts) else 0, own)
+                expected = (own[np.searchsorted(words, suffix)] + 1) / t.mass
+                head = found_in(frequent, prefix)
+                least = np.where(head >= 0, counts[np.maximum(head, 0)] if len(counts) else 0, n)  # of the context: its count, or what is seen here
+                least[prefix == begin] = n[prefix == begin]
+                good = (n > 2) | (n == 2) & (gain_of(n, np.maximum(least, n) * expected) >= NEXT_GAIN)
+            else:
+                good = n >= LEAST_NEXT[length - 1]
+            yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": suffix[good].view(np.int64), "n": n[good], "expected": expected[good]})
+
+    sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
+    return sent.repartition(parts, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected double")
+
+
+def gain_of(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Nats that ``n`` occurrences gain over an expected number, if that is smaller."""
+    return np.where(n > expected, n * np.log(n / expected) - n + expected, 0.0)
 
 
 def retained(rows: DataFrame) -> DataFrame:
-    """context, total, kept, other (the parent's mass of the kept words): the contexts whose next words diverge from their parent state's.
+    """context, kept, other (the parent's mass of the kept words): the contexts whose next words diverge from their parent state's.
 
     ``rows``: context, total, n, expected (the parent's probability), one for each kept next word.
     """
@@ -277,113 +281,188 @@ def retained(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("context", "total").agg(F.sum("n").alias("kept"), F.sum("expected").alias("other"), F.sum(p * F.ln(p / F.col("expected"))).alias("gain"), F.count("*").alias("cells"))
     rest, rest_other = (F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0)) for x in (F.col("kept") / F.col("total"), F.col("other")))
     chance = (F.col("cells") + CHANCE * F.sqrt(2.0 * F.col("cells"))) / (2.0 * F.col("total"))
-    return sums.where(F.col("gain") + rest * F.ln(rest / rest_other) > F.greatest(F.lit(LEAST_DIVERGENCE), chance)).select("context", "total", "kept", "other")
+    return sums.where(F.col("gain") + rest * F.ln(rest / rest_other) > F.greatest(F.lit(LEAST_DIVERGENCE), chance)).select("context", "kept", "other")
 
 
-def fit_suffix_tree(train: DataFrame, text_col: str = "text") -> tuple[SuffixTree, DataFrame]:
-    """The frequent head of the model learnt from all of ``train``, and the whole model as a table.
+def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH) -> tuple[SuffixTree, DataFrame]:
+    """The frequent head of the model learnt from all of ``train``, and the rest of it as a table.
 
-    The table's rows are (h, value, seen): log10(n + 1) of a word under its hash, seen 1; bonus and
-    weight of a gram under its key, seen 0. Contexts grow by a word at the front as long as states
-    are found: one is tried if it occurs LEAST_CONTEXT times and its own suffix is a state. Each
+    The table's rows are (key, value, gram): the count of a word beyond the head under its hash, gram false; the value of a
+    gram beyond it under its key, gram true. Contexts grow by a word at the front, up to ``depth`` words: one is tried if it occurs
+    LEAST_CONTEXT times, the words before its last were tried, and its own suffix is a state. Each
     length takes a pass over the texts; counts, states and probabilities are Spark tables.
     """
     sc = train.sparkSession.sparkContext
     vocabulary = stash(word_counts(train, text_col), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary.where(F.col("n") >= max(1, math.ceil(tokens * HEAD_SHARE))).orderBy(F.desc("n"), "word").select("word", "n").toArrow()
-    tree = SuffixTree(tokens, distinct, {w: i for i, w in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy().astype(np.int64))
-    model = vocabulary.select("h", F.log10(F.col("n") + 1.0).alias("value"), F.lit(1).alias("seen"))
+    floor = max(1, math.ceil(tokens * SHARE))
+    top = vocabulary.where(F.col("n") >= floor).select("h", "n").toArrow()
+    tree = SuffixTree(tokens, distinct, top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
     shared = sc.broadcast(tree)
-    contexts = stash(first_contexts(vocabulary), "lm-contexts")
-    parents = vocabulary.select(F.col("h").alias("suffix"), ((F.col("n") + 1.0) / F.lit(float(tokens + distinct + 1))).alias("expected"))
-    parts: list[DataFrame] = []
+    begin = F.lit(int(word_keys(np.array([BEGIN]))[0]))
+    # The begin of a text is as frequent as its end.
+    contexts = vocabulary.select(F.when(F.col("h") == F.lit(int(END)), begin).otherwise(F.col("key")).alias("context"), F.col("n").alias("total")).where(F.col("total") >= LEAST_CONTEXT[1])
+    tried = vocabulary.where("n >= 2").select("key")
+    parents = None
     # What is not kept goes to the other words alone, else ever longer contexts would drift from their own counts.
     beyond = F.greatest(1 - F.col("other"), F.lit(1e-12))
     spread = (F.col("total") - F.col("kept") + SMOOTHING * beyond) / ((F.col("total") + SMOOTHING) * beyond)
-    length = 1
-    while not contexts.isEmpty():
-        length += 1
-        known = sc.broadcast(key_filter(contexts.select("context")))
-        counted = stash(keyed(count_grams(train, text_col, shared, known, length), length), "lm-counts")
-        known.destroy()
-        rows = stash(counted.join(contexts, "context").join(parents, "suffix").select("key", "context", "total", "n", "expected"), "lm-rows")
-        states = stash(retained(rows).withColumn("weight", F.log10(spread)), "lm-states")
-        p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
-        grams = rows.join(states.drop("total"), "context").select("key", "n", p.alias("p"), (F.log10(p / F.col("expected")) - F.col("weight")).alias("bonus"))
-        grams = stash(grams, "lm-grams")
+    tables: list[DataFrame] = []
+    spent: list[DataFrame] = []
+    for length in range(2, depth + 2):
+        if tried.isEmpty():
+            break
+        known = sc.broadcast(key_filter(tried))
+        counted = stash(count_grams(train, text_col, shared, known, length), "lm-counts")
+        spent.append(counted)
+        rows = counted
+        if parents is not None:
+            rows = counted.drop("expected").join(parents, "parent")
+        rows = rows.join(contexts, "context").select("key", "context", "n", "total", "expected")
         if length == 2:
-            tree.one = States(np.sort(frequent(states.select(F.col("context").alias("key"), F.col("total").alias("n")), tokens).column("key").to_numpy().view(np.uint64)))
-        parts += [grams.select("key", "n", "bonus", F.lit(0.0).alias("weight")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.lit(0.0).alias("bonus"), "weight")]
-        contexts = counted.where(F.col("n") >= LEAST_CONTEXT).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("total"))
+            mean = F.col("total") * F.col("expected")
+            rows = rows.where((F.col("n") > 2) | (F.col("n") > mean) & (F.col("n") * F.ln(F.col("n") / mean) - F.col("n") + mean >= NEXT_GAIN))
+        p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
+        grams = rows.join(retained(rows), "context").withColumns({"p": p, "weight": F.log10(spread)})
+        grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p")).alias("p"), (F.log10(F.col("p") / F.col("expected")) - F.col("weight")).alias("bonus"), "context", "total", "weight"), "lm-grams")
+        states = grams.groupBy("context").agg(F.first("total").alias("total"), F.first("weight").alias("weight"))
+        tables += [grams.select("key", "n", F.col("bonus").alias("value")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("weight").alias("value"))]
+        if length == depth + 1:
+            break
+        contexts = counted.where(F.col("n") >= LEAST_CONTEXT[length]).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("total"))
         contexts = stash(contexts, "lm-contexts")
-        parents = grams.select(F.col("key").alias("suffix"), F.col("p").alias("expected"))
-    if parts:
-        values = functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("bonus").alias("bonus"), F.sum("weight").alias("weight"))
+        spent.append(contexts)
+        tried = contexts.select("context")
+        parents = grams.where(F.col("p").isNotNull()).select(F.col("key").alias("parent"), F.col("p").alias("expected"))
+    rest = vocabulary.where(F.col("n") < floor).select(F.col("h").alias("key"), F.col("n").cast("double").alias("value"), F.lit(False).alias("gram"))
+    if tables:
+        values = functools.reduce(DataFrame.unionByName, tables).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
         values = stash(values, "lm-values")
-        top = frequent(values, tokens)
+        top = values.where(F.col("n") >= max(2, floor)).toArrow()
         keys = top.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree.longest, tree.keys, tree.some = length, keys[order], key_filter(values.select("key"))
-        tree.bonus, tree.weight = (top.column(c).to_numpy()[order] for c in ("bonus", "weight"))
-        model = model.unionByName(values.select(F.col("key").alias("h"), (F.col("bonus") + F.col("weight")).alias("value"), F.lit(0).alias("seen")))
-    return tree, model
-
-
-def frequent(values: DataFrame, tokens: int) -> pa.Table:
-    """Rows with at least VALUE_SHARE of all tokens: 1 / VALUE_SHARE of each length at most come to the driver."""
-    return values.where(F.col("n") >= max(LEAST_NEXT, math.ceil(tokens * VALUE_SHARE))).toArrow()
+        tree.longest, tree.keys, tree.values = len(tables) // 2 + 1, keys[order], top.column("value").to_numpy()[order]
+        tree.some = key_filter(values.select("key").unionByName(rest.select("key")))
+        rest = rest.unionByName(values.where(F.col("n") < max(2, floor)).select("key", "value", F.lit(True).alias("gram")))
+    elif tokens:
+        tree.some = key_filter(rest.select("key"))
+    for table in spent:
+        discard(table)
+    return tree, rest
 
 
 def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """log10 probability of every whole text: id, ``keep``, n_tokens, n_known, base_score, score.
 
-    The tree is broadcast. Words and grams beyond it (each rarer than a share, so none is hot) go to
-    a join with the whole model as (text, hash, count) rows; a text's terms are then summed.
-    Null texts count as empty (one token, the end); repeated rows get equal scores.
+    The tree is broadcast. Words and grams beyond it (each rarer than a share of all tokens) go to
+    a join with the rest of the model: tasks send them packed, part by part, each part meets its
+    rows of the model, and a text's sums come back. Null texts count as empty (one token, the end);
+    rows stay as they are, repeated or without id.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tree)
+    parts = parts_of(tree.tokens, docs)
+    slim = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
+    own = [f for f in slim.schema if f.name != "_text"]
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in own]
+    sums = "n_tokens long, n_known long, base_score double, score double"
 
-    def work(texts: list[bytes | None]) -> list[list]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        out: list[list] = [[] for _ in range(7)]
-        for group in text_groups(texts):
-            ids, first, words, sizes = t.ids(group)
-            starts = np.cumsum(sizes) - sizes
-            rare = np.flatnonzero(ids < 0)
-            missed = [(np.searchsorted(starts, rare, "right") - 1, np.fromiter((hash_of(words[i]) for i in rare.tolist()), np.int64, len(rare)).view(np.uint64))]
-            scores, base = t.score(ids, first, words, missed)
-            out[0] += [xxhash.xxh64_intdigest(x or b"") >> 1 for x in group]
-            out[1] += sizes.tolist()
-            out[2] += np.add.reduceat((ids >= 0).astype(np.int64), starts).tolist()
-            out[3] += np.add.reduceat(base, starts).tolist()
-            out[4] += np.add.reduceat(scores, starts).tolist()
-            text, keys = (np.concatenate(x) for x in zip(*missed, strict=True))
-            order = np.lexsort((keys, text))
-            text, keys = text[order], keys[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(keys))).astype(np.int32)
-            ends = np.searchsorted(text[at], np.arange(len(group) + 1))
-            own = keys[at].view(np.int64)
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                out[5].append(own[a:b])
-                out[6].append(counts[a:b])
-        return out
-
-    made = stash(map_texts(docs, id_col, text_col, work, "_key long, n_tokens long, _known long, _base double, _score double, _h array<long>, _n array<int>", keep), "lm-texts")
-    rare = made.where(F.size("_h") > 0).select("_key", F.explode(F.arrays_zip("_h", "_n")).alias("_w")).select("_key", F.col("_w._h").alias("h"), F.col("_w._n").alias("_count"))
-    found = rare.join(model, "h", "left")
-    term = F.col("_count") * F.coalesce("value", F.lit(0.0))
-    word = F.col("seen") == 1
-    sums = found.groupBy("_key").agg(F.sum("_count").alias("_all"), F.sum(F.when(word, F.col("_count")).otherwise(0)).alias("_seen"), F.sum(F.when(word, term).otherwise(0.0)).alias("_words"), F.sum(term).alias("_terms"))
-    # Equal texts share a key; each of m copies gets the m-th part of their sums.
-    own = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x)
-    part = F.coalesce(F.try_divide(own, F.col("_all")), F.lit(0.0))
-    joined = made.join(sums, "_key", "left")
-    more = [part * F.coalesce(c, F.lit(0.0)) for c in ("_words", "_terms")]
-    return joined.select(id_col, *keep, "n_tokens", (F.col("_known") + F.round(part * F.coalesce("_seen", F.lit(0))).cast("long")).alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("_base") + more[0]).alias("base_score"), (F.col("_score") + more[1]).alias("score"))
+        first = TaskContext.get().partitionId() << 32
+        sent: list[tuple[np.ndarray, ...]] = []
+        n = held = 0
+
+        def flush() -> pa.RecordBatch:
+            row, key, gram, times = (np.concatenate(x) for x in zip(*sent, strict=True))
+            bucket = (mixed(key) % _U(parts)).astype(np.int64)
+            columns = [(row - row.min() if len(row) else row, 4), (key, 8), (gram, 1), (times, 4)]
+            rows = list(bucketed(bucket, columns))
+            low = first + (int(row.min()) if len(row) else 0)
+            return batch_of(None, [low] * len(rows), None, [r[0] for r in rows], [r[2] for r in rows])
+
+        def batch_of(own: list | None, row: list, made: tuple | None, bucket: list, blob: list) -> pa.RecordBatch:
+            size = len(row)
+            arrays = own or [pa.nulls(size, f.type) for f in arrow_own]
+            made = [pa.array(x) for x in made] if made else [pa.nulls(size, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([*arrays, *made, pa.array(row, pa.int64()), pa.array(bucket, pa.int64()), pa.array(blob, pa.binary())], names=columns_out)
+
+        arrow_own = None
+        columns_out = [f.name for f in own] + ["n_tokens", "n_known", "base_score", "score", "_row", "_bucket", "_blob"]
+        for batch in batches:
+            arrow_own = list(batch.schema)[:-1]
+            made: list[list] = [[], [], [], []]
+            start = n
+            for group in text_groups(batch.column(batch.num_columns - 1).to_pylist()):
+                sizes, seen, base, whole, (text, key, gram) = t.score(group)
+                for column, values in zip(made, (sizes, seen, base, whole), strict=True):
+                    column.append(values)
+                order = np.lexsort((key, text))
+                text, key, gram = text[order], key[order], gram[order]
+                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+                sent.append((text[new] + n, key[new], gram[new], np.diff(np.append(new, len(key)))))
+                held += len(new)
+                n += len(group)
+                if held >= FLUSH:
+                    yield flush()
+                    sent, held = [], 0
+            if n > start:
+                rows = list(range(first + start, first + n))
+                yield batch_of(list(batch.columns[:-1]), rows, tuple(np.concatenate(x) for x in made), [i % parts for i in range(start, n)], [None] * len(rows))
+        if held:
+            yield flush()
+
+    def model_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, value = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            gram = np.array(batch.column(2).to_pylist(), np.uint64)
+            rows = list(bucketed((mixed(key) % _U(parts)).astype(np.int64), [(key, 8), (value.view(np.uint64), 8), (gram, 1)]))
+            yield pa.RecordBatch.from_pydict({"_bucket": pa.array([r[0] for r in rows], pa.int64()), "_model": pa.array([r[2] for r in rows], pa.binary())})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[tuple[int, bytes]]]] = {}
+        width = len(own)
+        for batch in batches:
+            row, bucket, blob, model_blob = (batch.column(width + i).to_pylist() for i in (4, 5, 6, 7))
+            done = np.ones(len(row), bool)
+            for i, (r, b, blob_, m) in enumerate(zip(row, bucket, blob, model_blob, strict=True)):
+                if m is not None or blob_ is not None:
+                    done[i] = False
+                    models, rows = held.setdefault(b, ([], []))
+                    if m is not None:
+                        models.append(m)
+                    else:
+                        rows.append((r, blob_))
+            if done.any():
+                kept = batch.filter(pa.array(done))
+                yield pa.RecordBatch.from_arrays([*kept.columns[: width + 4], kept.column(width + 4)], names=[*batch.schema.names[: width + 4], "_row"])
+        none = [pa.nulls(0, f.type) for f in list(batch.schema)[:width]] if held else []
+        for bucket in list(held):
+            models, rows = held.pop(bucket)
+            if not rows or not models:
+                continue
+            key, value, gram = (np.concatenate(x) for x in zip(*(unpack(m, (8, 8, 1)) for m in models), strict=True))
+            order = np.argsort(key)
+            key, value, gram = key[order], value[order].view(np.float64), gram[order] > 0
+            got = [(unpack(b, (4, 8, 1, 4)), low) for low, b in rows]
+            row = np.concatenate([x[0].astype(np.int64) + low for x, low in got])
+            wanted, is_gram, times = (np.concatenate([x[i] for x, _ in got]) for i in (1, 2, 3))
+            at = found_in(key, wanted)
+            good = (at >= 0) & (gram[np.maximum(at, 0)] == (is_gram > 0))
+            row, at, times = row[good], at[good], times[good].astype(np.int64)
+            word = ~gram[at]
+            term = np.where(word, np.log10(np.where(word, value[at], 0) + 1.0), value[at]) * times
+            ids, back = np.unique(row, return_inverse=True)
+            by = lambda x: np.bincount(back, x, len(ids))
+            if len(ids):
+                blanks = [pa.nulls(len(ids), x.type) for x in none]
+                yield pa.RecordBatch.from_arrays([*blanks, pa.nulls(len(ids), pa.int64()), pa.array(by(np.where(word, times, 0)).astype(np.int64)), pa.array(by(np.where(word, term, 0))), pa.array(by(term)), pa.array(ids)], names=[*(f.name for f in own), "n_tokens", "n_known", "base_score", "score", "_row"])
+
+    made = slim.mapInArrow(score, ", ".join([*names, sums, "_row long, _bucket long, _blob binary"]))
+    rest = model.mapInArrow(model_parts, "_bucket long, _model binary")
+    met = made.unionByName(rest, allowMissingColumns=True).repartition(parts, "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long"]))
+    first = [F.first(f"`{f.name}`", ignorenulls=True).alias(f.name) for f in own]
+    total = met.groupBy("_row").agg(*first, F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    return total.select(id_col, *keep, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
