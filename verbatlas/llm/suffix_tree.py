@@ -21,7 +21,7 @@ _U = np.uint64
 BEGIN, END = _U(0x7F4A7C15F39CC060), _U(0x106AA07032BBD1B8)
 #: Shares of all tokens that bound what is broadcast: words and grams of at least SHARE (1 / SHARE of each
 #: length at most). All others are joined; the share changes no score.
-SHARE = 2.0**-20
+SHARE = 2.0**-21
 #: Most words of a context.
 DEPTH = 4
 #: How often a context must be seen, and a word after it, by the number of words of the context; the same at any input size.
@@ -33,9 +33,11 @@ LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 5.0
 #: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
-FLUSH, PART_TOKENS = 4_000_000, 8_000_000
+FLUSH, PART_TOKENS = 2_000_000, 8_000_000
 #: Contexts and grams are told apart by so many bits of a hash (words by 64).
 KEY = _U((1 << 48) - 1)
+#: Set in a gram's key where words' hashes stand beside it.
+GRAM = _U(1 << 63)
 #: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
 FILTER_BITS = 27
 _BLOCK = 15
@@ -130,11 +132,11 @@ class SuffixTree:
     def mass(self) -> float:
         return float(self.tokens + self.distinct + 1)
 
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Of each text: tokens, frequent known ones, log10 P by the root alone and by the whole tree, as far as the head goes.
 
-        Words beyond the head count as unseen here. They, and other grams that may bear on a score, are the last value: text, key (of
-        a word its hash), and whether it is a gram.
+        Words beyond the head count as unseen here. They, and other grams that may bear on a score, are the last value: text, and
+        key (of a word its hash, of a gram with the bit GRAM).
         """
         h, place, sizes = sequences(texts)
         text = np.repeat(np.arange(len(texts)), sizes)
@@ -145,7 +147,7 @@ class SuffixTree:
         base[known] += np.log10(self.counts[at[known]] + 1.0)
         base[~token] = 0
         rare = np.flatnonzero(token & ~known & (self.some.has(h) if self.some else False))
-        missed = [(text[rare], h[rare], np.zeros(len(rare), bool))]
+        missed = [(text[rare], h[rare])]
         gain = np.zeros(len(texts))
         keys, here = word_keys(h), np.arange(len(h))
         for n in range(1, self.longest + 1):
@@ -157,7 +159,7 @@ class SuffixTree:
             found = found_in(self.keys, own)
             got = found >= 0
             gain += np.bincount(text[here_now[got]], self.values[found[got]], len(texts))
-            missed.append((text[here_now[~got]], own[~got], np.ones(int((~got).sum()), bool)))
+            missed.append((text[here_now[~got]], own[~got] | GRAM))
             # A gram bears on no score unless the one without its first word does; a word may without.
             here = here_now if n > 1 else here
         by = lambda x: np.bincount(text, x, len(texts))
@@ -166,15 +168,26 @@ class SuffixTree:
 
 
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """h, key, n over all tokens of ``train``; tasks add up before the shuffle."""
+    """h, n over all tokens of ``train``; tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h in flushed(batches, lambda h, place: h[place > 0]):
             words, _, n = totals(h)
-            yield pa.RecordBatch.from_pydict({"h": words.view(np.int64), "key": word_keys(words).view(np.int64), "n": n})
+            yield pa.RecordBatch.from_pydict({"h": words.view(np.int64), "n": n})
 
-    rows = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "h long, key long, n long")
-    return rows.groupBy("h", "key").agg(F.sum("n").alias("n"))
+    rows = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "h long, n long")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def keyed(vocabulary: DataFrame) -> DataFrame:
+    """``vocabulary`` with the words' keys as grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word_keys(h.view(np.uint64)).view(np.int64))], names=["h", "n", "key"])
+
+    return vocabulary.select("h", "n").mapInArrow(run, "h long, n long, key long")
 
 
 def flushed(batches: Iterator[pa.RecordBatch], work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
@@ -197,20 +210,30 @@ def parts_of(tokens: int, train: DataFrame) -> int:
     return max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
 
 
-def bucketed(bucket: np.ndarray, columns: list[tuple[np.ndarray, int]], kind: int = 0) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, packed columns) for each bucket that has rows; columns are parallel to ``bucket``."""
-    order = np.argsort(bucket, kind="stable")
+def bucketed(bucket: np.ndarray, parts: int, columns: list[np.ndarray], packed: Callable[..., bytes]) -> tuple[list[int], list[bytes]]:
+    """The buckets that have rows, and what ``packed`` makes of each one's rows of ``columns``, in the order given."""
+    order = np.argsort(bucket.astype(np.uint16) if parts < 1 << 16 else bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        own = order[a:b]
-        yield int(bucket[own[0]]), kind, pack([(c[own], w) for c, w in columns])
+    ranked = [c[order] for c in columns]
+    return bucket[order[cut[:-1]]].tolist(), [packed(*(c[a:b] for c in ranked)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadcast, length: int) -> DataFrame:
+def packed_grams(suffix: np.ndarray, prefix: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows in the order of their suffixes, each of which is written once."""
+    at = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]]))
+    return pack([(suffix[at], 6), (np.diff(np.append(at, len(suffix))), 4), (prefix, 6), (n, 5)])
+
+
+def unpacked_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    suffix, sizes, prefix, n = unpack(blob, (6, 4, 6, 5))
+    return np.repeat(suffix, sizes.astype(np.int64)), prefix, n.astype(np.int64)
+
+
+def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadcast, useful: Broadcast | None, length: int) -> DataFrame:
     """key, context, parent, n, expected of the grams of ``length`` words that may matter.
 
-    ``context``: the gram without its last word; ``parent``: without its first. Pairs are counted if their last word passes the filter ``known``,
-    longer grams if their context does. Tasks count FLUSH places at a time and send the distinct grams packed, in one value for each part of the join;
+    ``context``: the gram without its last word; ``parent``: without its first (of rare pairs null). Pairs are counted if their last word passes
+    the filter ``known``, longer grams if their context does and their parent passes ``useful``. Tasks count FLUSH places at a time and send the distinct grams packed, in one value for each part of the join;
     pairs meet at their last word, so that its count, and what the root expects, is known there (a frequent word's
     pairs are spread over all parts, its count comes with ``tree``).
     """
@@ -222,6 +245,8 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
             shorter = longer(shorter)
         here = np.flatnonzero(place[1:] >= length - 1)
         here = here[known.value.has(shorter[here + (length == 2)])]
+        if useful:
+            here = here[useful.value.has(shorter[here + 1])]
         return np.stack([shorter[here], shorter[here + 1]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +257,8 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
             meet = keys if length > 2 else np.where(found_in(frequent, suffix) >= 0, keys, suffix)
             bucket = (mixed(meet) % _U(parts)).astype(np.int64)
             order = np.argsort(suffix)
-            rows = list(bucketed(bucket[order], [(prefix[order], 6), (suffix[order], 6), (n[order], 5)]))
-            yield pa.RecordBatch.from_pydict({"bucket": [r[0] for r in rows], "blob": pa.array([r[2] for r in rows], pa.binary())})
+            where, blobs = bucketed(bucket[order], parts, [suffix[order], prefix[order], n[order]], packed_grams)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(where, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -246,8 +271,8 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
         frequent, counts = frequent[order], counts[order]
         begin = word_keys(np.array([BEGIN]))
         for bucket in list(held):
-            prefix, suffix, n = (np.concatenate(x) for x in zip(*(unpack(b, (6, 6, 5)) for b in held.pop(bucket)), strict=True))
-            keys, at, n = totals(pair_keys(prefix, suffix), n.astype(np.int64))
+            suffix, prefix, n = (np.concatenate(x) for x in zip(*map(unpacked_grams, held.pop(bucket)), strict=True))
+            keys, at, n = totals(pair_keys(prefix, suffix), n)
             prefix, suffix = prefix[at], suffix[at]
             expected = np.zeros(len(keys))
             if length == 2:
@@ -261,7 +286,7 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
                 good = (n > 2) | (n == 2) & (gain_of(n, np.maximum(least, n) * expected) >= NEXT_GAIN)
             else:
                 good = n >= LEAST_NEXT[length - 1]
-            yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": suffix[good].view(np.int64), "n": n[good], "expected": expected[good]})
+            yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": expected[good]})
 
     sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
     return sent.repartition(parts, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected double")
@@ -275,10 +300,10 @@ def gain_of(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
 def retained(rows: DataFrame) -> DataFrame:
     """context, kept, other (the parent's mass of the kept words): the contexts whose next words diverge from their parent state's.
 
-    ``rows``: context, total, n, expected (the parent's probability), one for each kept next word.
+    ``rows``: key, context, total, n, expected (the parent's probability), one for each kept next word.
     """
     p = F.col("n") / F.col("total")
-    sums = rows.groupBy("context", "total").agg(F.sum("n").alias("kept"), F.sum("expected").alias("other"), F.sum(p * F.ln(p / F.col("expected"))).alias("gain"), F.count("*").alias("cells"))
+    sums = rows.groupBy("context", "total").agg(F.sum("n").alias("kept"), F.sum("expected").alias("other"), F.sum(p * F.ln(p / F.col("expected"))).alias("gain"), F.count("key").alias("cells"))
     rest, rest_other = (F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0)) for x in (F.col("kept") / F.col("total"), F.col("other")))
     chance = (F.col("cells") + CHANCE * F.sqrt(2.0 * F.col("cells"))) / (2.0 * F.col("total"))
     return sums.where(F.col("gain") + rest * F.ln(rest / rest_other) > F.greatest(F.lit(LEAST_DIVERGENCE), chance)).select("context", "kept", "other")
@@ -293,9 +318,9 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     length takes a pass over the texts; counts, states and probabilities are Spark tables.
     """
     sc = train.sparkSession.sparkContext
-    vocabulary = stash(word_counts(train, text_col), "lm-words")
+    vocabulary = stash(keyed(word_counts(train, text_col)), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = max(1, math.ceil(tokens * SHARE))
+    floor = max(2, math.ceil(tokens * SHARE))
     top = vocabulary.where(F.col("n") >= floor).select("h", "n").toArrow()
     tree = SuffixTree(tokens, distinct, top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy())
     shared = sc.broadcast(tree)
@@ -303,18 +328,16 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     # The begin of a text is as frequent as its end.
     contexts = vocabulary.select(F.when(F.col("h") == F.lit(int(END)), begin).otherwise(F.col("key")).alias("context"), F.col("n").alias("total")).where(F.col("total") >= LEAST_CONTEXT[1])
     tried = vocabulary.where("n >= 2").select("key")
-    parents = None
+    parents = useful = None
     # What is not kept goes to the other words alone, else ever longer contexts would drift from their own counts.
     beyond = F.greatest(1 - F.col("other"), F.lit(1e-12))
     spread = (F.col("total") - F.col("kept") + SMOOTHING * beyond) / ((F.col("total") + SMOOTHING) * beyond)
     tables: list[DataFrame] = []
-    spent: list[DataFrame] = []
     for length in range(2, depth + 2):
         if tried.isEmpty():
             break
         known = sc.broadcast(key_filter(tried))
-        counted = stash(count_grams(train, text_col, shared, known, length), "lm-counts")
-        spent.append(counted)
+        counted = stash(count_grams(train, text_col, shared, known, useful, length), "lm-counts")
         rows = counted
         if parents is not None:
             rows = counted.drop("expected").join(parents, "parent")
@@ -324,30 +347,29 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
             rows = rows.where((F.col("n") > 2) | (F.col("n") > mean) & (F.col("n") * F.ln(F.col("n") / mean) - F.col("n") + mean >= NEXT_GAIN))
         p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
         grams = rows.join(retained(rows), "context").withColumns({"p": p, "weight": F.log10(spread)})
-        grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p")).alias("p"), (F.log10(F.col("p") / F.col("expected")) - F.col("weight")).alias("bonus"), "context", "total", "weight"), "lm-grams")
+        bonus = F.log10(F.col("p") / F.col("expected")) - F.col("weight")
+        grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p")).alias("p"), bonus.cast("float").alias("bonus"), "context", "total", F.col("weight").cast("float").alias("weight")), "lm-grams")
         states = grams.groupBy("context").agg(F.first("total").alias("total"), F.first("weight").alias("weight"))
-        tables += [grams.select("key", "n", F.col("bonus").alias("value")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("weight").alias("value"))]
-        if length == depth + 1:
-            break
-        contexts = counted.where(F.col("n") >= LEAST_CONTEXT[length]).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("total"))
-        contexts = stash(contexts, "lm-contexts")
-        spent.append(contexts)
-        tried = contexts.select("context")
-        parents = grams.where(F.col("p").isNotNull()).select(F.col("key").alias("parent"), F.col("p").alias("expected"))
+        tables += [grams.select("key", "n", F.col("bonus").cast("double").alias("value")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("weight").cast("double").alias("value"))]
+        if length <= depth:
+            longer_ones = counted.where(F.col("n") >= LEAST_CONTEXT[length]).join(states.select(F.col("context").alias("parent")), "parent")
+            longer_ones = stash(longer_ones.select(F.col("key").alias("context"), F.col("n").alias("total")), "lm-contexts")
+            if length > 2:
+                discard(contexts)
+            contexts, tried = longer_ones, longer_ones.select("context")
+            parents = grams.where(F.col("p").isNotNull()).select(F.col("key").alias("parent"), F.col("p").alias("expected"))
+            useful = sc.broadcast(key_filter(parents.select("parent").unionByName(tried.select(F.col("context").alias("parent")))))
+        discard(counted)
     rest = vocabulary.where(F.col("n") < floor).select(F.col("h").alias("key"), F.col("n").cast("double").alias("value"), F.lit(False).alias("gram"))
     if tables:
-        values = functools.reduce(DataFrame.unionByName, tables).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-        values = stash(values, "lm-values")
-        top = values.where(F.col("n") >= max(2, floor)).toArrow()
-        keys = top.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        tree.longest, tree.keys, tree.values = len(tables) // 2 + 1, keys[order], top.column("value").to_numpy()[order]
+        values = functools.reduce(DataFrame.unionByName, tables)
+        top = values.where(F.col("n") >= floor).select("key", "value").toArrow()
+        tree.keys, _, tree.values = totals(top.column("key").to_numpy().view(np.uint64), top.column("value").to_numpy())
+        tree.longest = len(tables) // 2 + 1
         tree.some = key_filter(values.select("key").unionByName(rest.select("key")))
-        rest = rest.unionByName(values.where(F.col("n") < max(2, floor)).select("key", "value", F.lit(True).alias("gram")))
+        rest = rest.unionByName(values.where(F.col("n") < floor).select("key", "value", F.lit(True).alias("gram")))
     elif tokens:
         tree.some = key_filter(rest.select("key"))
-    for table in spent:
-        discard(table)
     return tree, rest
 
 
@@ -373,12 +395,10 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
         n = held = 0
 
         def flush() -> pa.RecordBatch:
-            row, key, gram, times = (np.concatenate(x) for x in zip(*sent, strict=True))
-            bucket = (mixed(key) % _U(parts)).astype(np.int64)
-            columns = [(row - row.min() if len(row) else row, 4), (key, 8), (gram, 1), (times, 4)]
-            rows = list(bucketed(bucket, columns))
-            low = first + (int(row.min()) if len(row) else 0)
-            return batch_of(None, [low] * len(rows), None, [r[0] for r in rows], [r[2] for r in rows])
+            row, key, times = (np.concatenate(x) for x in zip(*sent, strict=True))
+            low = int(row.min())
+            where, blobs = bucketed((mixed(key) % _U(parts)).astype(np.int64), parts, [row - low, key, times], lambda r, k, n: pack([(np.diff(r, prepend=0), 4), (k, 8), (n, 4)]))
+            return batch_of(None, [first + low] * len(blobs), None, where, blobs)
 
         def batch_of(own: list | None, row: list, made: tuple | None, bucket: list, blob: list) -> pa.RecordBatch:
             size = len(row)
@@ -393,13 +413,13 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
             made: list[list] = [[], [], [], []]
             start = n
             for group in text_groups(batch.column(batch.num_columns - 1).to_pylist()):
-                sizes, seen, base, whole, (text, key, gram) = t.score(group)
+                sizes, seen, base, whole, (text, key) = t.score(group)
                 for column, values in zip(made, (sizes, seen, base, whole), strict=True):
                     column.append(values)
                 order = np.lexsort((key, text))
-                text, key, gram = text[order], key[order], gram[order]
+                text, key = text[order], key[order]
                 new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
-                sent.append((text[new] + n, key[new], gram[new], np.diff(np.append(new, len(key)))))
+                sent.append((text[new] + n, key[new], np.diff(np.append(new, len(key)))))
                 held += len(new)
                 n += len(group)
                 if held >= FLUSH:
@@ -414,9 +434,10 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
     def model_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, value = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            gram = np.array(batch.column(2).to_pylist(), np.uint64)
-            rows = list(bucketed((mixed(key) % _U(parts)).astype(np.int64), [(key, 8), (value.view(np.uint64), 8), (gram, 1)]))
-            yield pa.RecordBatch.from_pydict({"_bucket": pa.array([r[0] for r in rows], pa.int64()), "_model": pa.array([r[2] for r in rows], pa.binary())})
+            gram = batch.column(2).to_numpy(zero_copy_only=False)
+            key = np.where(gram, key | GRAM, key)
+            where, blobs = bucketed((mixed(key) % _U(parts)).astype(np.int64), parts, [key, value.view(np.uint64), gram], lambda k, v, g: pack([(k, 8), (v, 8), (g, 1)]))
+            yield pa.RecordBatch.from_pydict({"_bucket": pa.array(where, pa.int64()), "_model": pa.array(blobs, pa.binary())})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[bytes], list[tuple[int, bytes]]]] = {}
@@ -441,13 +462,13 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
             if not rows or not models:
                 continue
             key, value, gram = (np.concatenate(x) for x in zip(*(unpack(m, (8, 8, 1)) for m in models), strict=True))
-            order = np.argsort(key)
-            key, value, gram = key[order], value[order].view(np.float64), gram[order] > 0
-            got = [(unpack(b, (4, 8, 1, 4)), low) for low, b in rows]
-            row = np.concatenate([x[0].astype(np.int64) + low for x, low in got])
-            wanted, is_gram, times = (np.concatenate([x[i] for x, _ in got]) for i in (1, 2, 3))
+            key, first, value = totals(key, value.view(np.float64))
+            gram = gram[first] > 0
+            got = [(unpack(b, (4, 8, 4)), low) for low, b in rows]
+            row = np.concatenate([np.cumsum(x[0].astype(np.int64)) + low for x, low in got])
+            wanted, times = (np.concatenate([x[i] for x, _ in got]) for i in (1, 2))
             at = found_in(key, wanted)
-            good = (at >= 0) & (gram[np.maximum(at, 0)] == (is_gram > 0))
+            good = at >= 0
             row, at, times = row[good], at[good], times[good].astype(np.int64)
             word = ~gram[at]
             term = np.where(word, np.log10(np.where(word, value[at], 0) + 1.0), value[at]) * times
