@@ -133,6 +133,38 @@ def test_mix_comes_near_targets(spark):
     assert rows_of(out, *cols) == rows_of(again, *cols)
 
 
+def test_inclusion_follows_the_stated_probabilities(spark):
+    rng = random.Random(12)
+    docs = [(i, "b" if i % 3 else "a", " ".join(["w"] * rng.choice([1, 3, 7, 12, 25]))) for i in range(24000)]
+    got = mix_to_targets(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()
+    size = {i: len(t.split()) for i, _, t in docs}
+    for source, target in {r.source: r.target for r in got}.items():
+        own = [r for r in got if r.source == source]
+        words = Counter()
+        for r in own:
+            words[size[r.doc_id].bit_length()] += r["size"]
+        low, high = 0.0, 10.0  # expected copies: min(3, level * digits), by bisection
+        for _ in range(80):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(3, level * w) * n for w, n in words.items()) < target else (low, level)
+        rates = {w: min(3, level * w) for w in words}
+        assert len({round(r - int(r), 3) for r in rates.values()}) > 2
+        for w, rate in rates.items():
+            copies = [r.copies for r in own if size[r.doc_id].bit_length() == w]
+            assert set(copies) <= {int(rate), int(rate) + 1}
+            assert abs(sum(copies) / len(copies) - rate) < 4 * (0.25 / len(copies)) ** 0.5 + 2 / len(copies)
+
+
+def test_a_third_of_equal_rows_is_drawn_row_by_row(spark):
+    docs = [(None, "a", "one two three")] * 1000 + [(i, "ab"[i % 2], "w " * (i % 9)) for i in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = mix_to_targets(frame).collect()
+    assert len(got) == 3000
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 16
+
+
 def test_mix_of_empty_table(spark):
     assert mix_to_targets(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
 

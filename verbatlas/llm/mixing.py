@@ -41,16 +41,49 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) ->
     return ranked.select("source", "source_size", F.when(capped, F.col("_cap").cast("double")).otherwise(F.col("_first._level") * F.col("_w")).alias("target"))
 
 
-def pareto_rank(uniform: Column, inclusion: Column) -> Column:
-    """Random odds over inclusion odds, mapped from (0, inf) to whole numbers in the same order; null where nothing is drawn."""
+def propensity(size: Column) -> Column:
+    """How strongly a document is wanted beside others of its source: the number of binary digits of its size."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def expected_copies(classes: DataFrame, targets: DataFrame, max_repeat: int) -> DataFrame:
+    """``targets`` with what each class of a source expects, and the words left to the draw.
+
+    ``classes``: source, w, words (documents of one propensity, some dozens a source). Copies are in proportion to w
+    and at most ``max_repeat``, and sum to the target: classes with large w stop at the cap first, so running sums in that
+    order find the common level. Whole copies are certain; the rest is the class's inclusion probability.
+
+    Adds rule (map of w to whole and part), budget (words left), odds (of the part of open words that the budget is).
+    """
+    ranked = lookup(classes, targets.select("source", "target"), "source")
+    order = Window.partitionBy("source").orderBy(F.desc("w"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumns({"_capped": F.coalesce(F.sum("words").over(before), F.lit(0)) * max_repeat, "_rest": F.sum(F.col("w") * F.col("words")).over(Window.partitionBy("source")) - F.coalesce(F.sum(F.col("w") * F.col("words")).over(before), F.lit(0))})
+    level = F.try_divide(F.col("target") - F.col("_capped"), F.col("_rest"))
+    free = F.max(F.when(level * F.col("w") <= max_repeat, F.struct("w", level.alias("level")))).over(Window.partitionBy("source"))
+    expected = F.when(free.isNull() | (F.col("w") > free["w"]), F.lit(float(max_repeat))).otherwise(free["level"] * F.col("w"))
+    ranked = ranked.withColumn("_copies", expected).withColumn("whole", F.floor("_copies").cast("long")).withColumn("part", F.col("_copies") - F.col("whole"))
+    rules = ranked.groupBy("source").agg(
+        F.map_from_entries(F.collect_list(F.struct("w", F.struct("whole", "part")))).alias("rule"), F.sum(F.col("whole") * F.col("words")).alias("_sure"), F.sum(F.when(F.col("part") > 0, F.col("words")).otherwise(0)).alias("_open")
+    )
+    out = lookup(targets, rules, "source").withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("_sure")))
+    share = F.least(F.greatest(F.coalesce(F.try_divide("budget", "_open"), F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return out.select("source", "source_size", "target", "rule", "budget", (share / (1 - share)).alias("odds"))
+
+
+def pareto_rank(uniform: Column, inclusion: Column, scale: Column) -> Column:
+    """Random odds over inclusion odds, mapped from (0, inf) to whole numbers in the same order; null where nothing is drawn.
+
+    ``scale`` is one number a source; it brings the ranks where the draw will end near the middle of their range.
+    """
     odds = F.try_divide(inclusion, 1 - inclusion)
-    ratio = F.try_divide(uniform / (1 - uniform), odds)
+    ratio = F.try_divide(uniform / (1 - uniform), odds) * scale
     return F.floor(ratio / (1 + ratio) * F.lit(float(2**RANK_BITS))).cast("long")
 
 
 def uniform_of(key: Column, seed: str) -> Column:
     """A number in (0, 1) that depends on key and seed alone."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), key)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -82,23 +115,34 @@ def draw_within_budget(rows: DataFrame) -> DataFrame:
 def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, seed: str = "mix-1", closing_draws: int = 2) -> DataFrame:
     """How many words the mix takes of every document, so that each source's sum comes near its target.
 
-    A document's expected copies are target / source size: the whole part is certain, the rest is
-    its inclusion probability in a Pareto sample of fixed size (in words) from its source. The sample
-    is the prefix of the rank order that fits the words left; each of ``closing_draws`` then adds the
-    one document whose size is nearest to the gap. Sampling depends on id and seed alone: reruns
-    agree, and rows that repeat an id within a source are drawn together or not at all.
+    A document's expected copies are in proportion to its ``propensity`` (long documents are wanted more) and sum, in
+    words, to its source's target. The whole part is certain, the rest is its inclusion probability, which differs from
+    document to document, in a Pareto sample of fixed size (in words) from its source: documents are ranked by random odds
+    over inclusion odds, and the sample is the prefix of that order that fits the words left. Documents are
+    not divisible, so each of ``closing_draws`` then adds the one document of the rest whose size is nearest to the gap: two documents a
+    source at most, a rounding of the fixed size. Sampling depends on seed, id and text alone: reruns agree.
 
     Returns id, size, source, source_size, target, taken (size times copies), copies. Null texts and
-    texts without words have size 0 and take nothing; a null source is a source of its own; null ids
-    share one draw; an empty table gives an empty result. Extra columns are ignored.
+    texts without words have size 0 and take nothing; a null source is a source of its own. Rows that agree in id, source and
+    text are interchangeable and drawn one by one; null ids are ids like others. An empty table gives an empty result. Extra columns are ignored.
     """
-    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), uniform_of(F.col(id_col), seed).alias("uniform")), "mix-rows")
-    targets = stash(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat), "mix-targets")
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = targets.withColumn("whole", F.floor(copies).cast("long")).withColumn("part", copies - F.col("whole"))
-    targets = targets.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    open_rows = lookup(rows, targets, "source").where((F.col("part") > 0) & (F.col("size") > 0)).withColumn("rank", pareto_rank(F.col("uniform"), F.col("part")))
-    draw = open_rows.select("id", "source", "budget", "size", "rank")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.md5(text).alias("_text"))
+    groups = slim.groupBy("id", "source", "size", "_text").agg(F.count("*").alias("_n"))
+    numbered = groups.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    key = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("null")), "_text", F.col("_k").cast("string"))
+    rows = stash(numbered.select("id", "source", "size", propensity(F.col("size")).alias("w"), uniform_of(key, seed).alias("uniform")), "mix-rows")
+    classes = stash(rows.groupBy("source", "w").agg(F.sum("size").alias("words")), "mix-classes")
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat)
+    targets = stash(expected_copies(classes, targets, max_repeat), "mix-targets")
+
+    def ranked(frame: DataFrame) -> DataFrame:
+        """``frame`` with its whole copies, and its rank if there is something to draw."""
+        own = F.col("rule")[F.col("w")]
+        frame = frame.withColumns({"whole": own["whole"], "part": own["part"]})
+        return frame.withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), pareto_rank(F.col("uniform"), F.col("part"), F.col("odds"))))
+
+    draw = ranked(lookup(rows, targets, "source")).where(F.col("rank").isNotNull()).select("id", "source", "budget", "size", "rank")
     last = stash(draw_within_budget(draw), "mix-last")
     # A source whose open rows all fit its budget has no row in ``last``: it takes all of them.
     drawn = lookup(draw, last, "source", "left")
@@ -118,7 +162,7 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
         extra = stash(one, "mix-extra")
     rule = lookup(targets, last, "source", "left")
     rule = lookup(rule, extra, "source", "left") if extra is not None else rule.withColumn("more", F.lit(None).cast("array<bigint>"))
-    final = lookup(rows, rule, "source").withColumn("rank", pareto_rank(F.col("uniform"), F.col("part")))
-    sampled = (F.col("part") > 0) & (F.col("size") > 0) & (F.col("last_rank").isNull() | (F.col("rank") <= F.col("last_rank")) | F.coalesce(F.array_contains("more", F.col("rank")), F.lit(False)))
-    final = final.withColumn("copies", F.col("whole") + F.coalesce(sampled, F.lit(False)).cast("long"))
+    final = ranked(lookup(rows, rule, "source"))
+    sampled = F.col("rank").isNotNull() & (F.col("last_rank").isNull() | (F.col("rank") <= F.col("last_rank")) | F.coalesce(F.array_contains("more", F.col("rank")), F.lit(False)))
+    final = final.withColumn("copies", F.col("whole") + sampled.cast("long"))
     return final.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

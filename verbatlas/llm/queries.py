@@ -100,14 +100,22 @@ ds AS (SELECT doc_id, t, pos, unnest({_masked('t')}) AS seed FROM dp), s AS (SEL
 h AS (SELECT doc_id, item_id, pos, len(u) AS n, list_transform(generate_series(-11, 19), lambda k: CASE WHEN pos + k >= 1 AND iat + k >= 1 AND pos + k <= len(t) AND iat + k <= len(u) AND t[pos + k] = u[iat + k] THEN 1 ELSE 0 END) AS f FROM ds JOIN s USING (seed) WHERE seed IS NOT NULL),
 m AS (SELECT doc_id, item_id, pos, least(12, n) AS w, list_max(list_transform(generate_series(1, 20), lambda k: list_sum(f[k:k + 11]))) AS m FROM h)
 SELECT doc_id, item_id, min(pos) - 1 AS first_word, count(*) AS hits, max(m) AS matched, max(w) AS "window" FROM m WHERE m >= ceil(w * 10 / 12) GROUP BY 1, 2""",
-    "op3_mixing": f"""WITH r AS (SELECT doc_id, source, len({_RUNS.format("coalesce(text, '')")}) AS size, (('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
+    "op3_mixing": f"""WITH r0 AS (SELECT doc_id, source, len({_RUNS.format("coalesce(text, '')")}) AS size, md5(coalesce(text, '')) AS tx FROM documents),
+r AS (SELECT doc_id, source, size, length(bin(size)) AS w, (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null') || '|' || tx || '|' || row_number() OVER (PARTITION BY doc_id, source, tx)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM r0),
 s AS (SELECT source, sum(size)::BIGINT AS ss, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM r GROUP BY 1),
 o AS (SELECT *, 3 * ss AS cap, row_number() OVER k AS rank, coalesce(sum(3 * ss) OVER b, 0) AS cb, coalesce(sum(w) OVER b, 0) AS wb, sum(ss) OVER () AS t, sum(w) OVER () AS wt FROM s WINDOW k AS (ORDER BY 3 * ss / w, source NULLS LAST), b AS (ORDER BY 3 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, (t - cb)::DOUBLE / (wt - wb) AS level FROM o), fr AS (SELECT min(rank) AS first, min_by(level, rank) AS level FROM l WHERE cap > level * w),
 tg AS (SELECT source, ss, CASE WHEN first IS NULL OR rank < first THEN cap::DOUBLE ELSE fr.level * w END AS target FROM l, fr),
-e AS (SELECT r.*, ss, target, CASE WHEN ss > 0 THEN target / ss ELSE 0 END AS rate FROM r JOIN tg ON r.source IS NOT DISTINCT FROM tg.source),
-f AS (SELECT *, floor(rate) AS whole, rate - floor(rate) AS part, greatest(0, target - floor(rate) * ss) AS budget FROM e),
-q AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS odds FROM f), k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656.0) AS rank FROM q),
+c0 AS (SELECT source, w, sum(size)::BIGINT AS words FROM r GROUP BY 1, 2),
+c1 AS (SELECT c0.*, target, (coalesce(sum(words) OVER b, 0) * 3)::DOUBLE AS capped, (sum(w * words) OVER (PARTITION BY c0.source) - coalesce(sum(w * words) OVER b, 0))::DOUBLE AS rest FROM c0 JOIN tg ON c0.source IS NOT DISTINCT FROM tg.source WINDOW b AS (PARTITION BY c0.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c2 AS (SELECT *, CASE WHEN rest <> 0 THEN (target - capped) / rest END AS level FROM c1),
+c3 AS (SELECT *, max(CASE WHEN level * w <= 3 THEN w END) OVER (PARTITION BY source) AS fw, max_by(level, w) FILTER (WHERE level * w <= 3) OVER (PARTITION BY source) AS fl FROM c2),
+c4 AS (SELECT source, w, words, target, CASE WHEN fw IS NULL OR w > fw THEN 3.0::DOUBLE ELSE fl * w END AS copies FROM c3),
+c5 AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS part FROM c4),
+c6 AS (SELECT source, greatest(0, max(target) - sum(whole * words)) AS budget, sum(CASE WHEN part > 0 THEN words ELSE 0 END)::DOUBLE AS op FROM c5 GROUP BY 1),
+c7 AS (SELECT source, budget, least(greatest(coalesce(CASE WHEN op <> 0 THEN budget / op END, 0.5), 1e-6::DOUBLE), (1 - 1e-6)::DOUBLE) AS share FROM c6),
+f AS (SELECT r.doc_id, r.source, r.size, r.u, tg.ss, tg.target, whole, part, budget, share / (1 - share) AS odds1 FROM r JOIN c5 ON r.source IS NOT DISTINCT FROM c5.source AND r.w = c5.w JOIN c7 ON r.source IS NOT DISTINCT FROM c7.source JOIN tg ON r.source IS NOT DISTINCT FROM tg.source),
+q AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN (u / (1 - u)) / (part / (1 - part)) * odds1 END AS odds FROM f), k AS (SELECT *, floor(odds / (1 + odds) * 281474976710656.0) AS rank FROM q),
 c AS (SELECT *, sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank) AS upto FROM k), a AS (SELECT *, coalesce(rank IS NOT NULL AND upto <= budget, false) AS taken0 FROM c),
 g1 AS (SELECT source, max(budget) - sum(CASE WHEN taken0 THEN size ELSE 0 END) AS gap FROM a WHERE rank IS NOT NULL GROUP BY 1),
 x1 AS (SELECT a.source, min_by(rank, (abs(size - gap), rank)) AS r1 FROM a JOIN g1 ON a.source IS NOT DISTINCT FROM g1.source WHERE rank IS NOT NULL AND NOT taken0 AND size < 2 * gap GROUP BY 1),
