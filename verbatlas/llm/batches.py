@@ -121,13 +121,16 @@ def unplaned(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
 
 
 def pack(columns: list[tuple[np.ndarray, int]]) -> bytes:
-    """Columns of whole numbers of any lengths, each in its own number of bytes."""
-    return np.array([len(c) for c, _ in columns], "<u8").tobytes() + b"".join(planes(c, w) for c, w in columns)
+    """Columns of whole numbers of any lengths, each in its own number of bytes, compressed."""
+    raw = b"".join(planes(c, w) for c, w in columns)
+    return np.array([len(c) for c, _ in columns], "<u8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
-    at, out = 8 * len(widths), []
-    for n, w in zip(np.frombuffer(blob, "<u8", len(widths)).tolist(), widths, strict=True):
-        out.append(unplaned(blob, at, n, w))
+    lengths = np.frombuffer(blob, "<u8", len(widths)).tolist()
+    raw = pa.decompress(blob[8 * len(widths) :], sum(n * w for n, w in zip(lengths, widths, strict=True)), "zstd", asbytes=True)
+    at, out = 0, []
+    for n, w in zip(lengths, widths, strict=True):
+        out.append(unplaned(raw, at, n, w))
         at += n * w
     return out

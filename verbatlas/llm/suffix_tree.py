@@ -23,19 +23,19 @@ BEGIN, END = _U(0x7F4A7C15F39CC060), _U(0x106AA07032BBD1B8)
 #: length at most). All others are joined; the share changes no score.
 SHARE = 2.0**-21
 #: Most words of a context.
-DEPTH = 4
+DEPTH = 3
 #: How often a context must be seen, and a word after it, by the number of words of the context; the same at any input size.
 LEAST_CONTEXT, LEAST_NEXT = (0, 2, 8, 8, 8), (0, 2, 3, 3, 3)
 #: A word seen twice after a context is kept if the root expects it so seldom that its likelihood gains so many nats.
-NEXT_GAIN = 6.0
+NEXT_GAIN = 8.0
 #: A state is kept if its next words diverge from its parent's by so many nats a token, and by more than chance.
 LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 5.0
 #: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
-FLUSH, PART_TOKENS = 2_000_000, 8_000_000
-#: Contexts and grams are told apart by so many bits of a hash (words by 64).
-KEY = _U((1 << 48) - 1)
+FLUSH, PART_TOKENS = 1_000_000, 4_000_000
+#: Bits of a hash by which grams, and single words as grams, are told apart (as words they have 64).
+KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
 GRAM = _U(1 << 63)
 #: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
@@ -57,7 +57,7 @@ def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def word_keys(hashes: np.ndarray) -> np.ndarray:
     """Keys of single words as grams."""
-    return mixed(hashes + _U(0x632BE59BD9B4E019)) & KEY
+    return mixed(hashes + _U(0x632BE59BD9B4E019)) & WORD_KEY
 
 
 def pair_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -101,6 +101,7 @@ class KeyFilter(NamedTuple):
 
 def key_filter(keys: DataFrame) -> KeyFilter:
     """The filter of a one-column table of keys; blocks of bits are made in Spark."""
+    keys = keys.coalesce(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     blocks = keys.select(F.shiftright(at, _BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("bit"))
     found = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
@@ -286,10 +287,10 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
                 good = (n > 2) | (n == 2) & (gain_of(n, np.maximum(least, n) * expected) >= NEXT_GAIN)
             else:
                 good = n >= LEAST_NEXT[length - 1]
-            yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": expected[good]})
+            yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": pa.array(expected[good].astype(np.float32))})
 
     sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(parts, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected double")
+    return sent.repartition(parts, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected float")
 
 
 def gain_of(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -318,7 +319,8 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     length takes a pass over the texts; counts, states and probabilities are Spark tables.
     """
     sc = train.sparkSession.sparkContext
-    vocabulary = stash(keyed(word_counts(train, text_col)), "lm-words")
+    vocabulary = stash(word_counts(train, text_col), "lm-words")
+    known_words = keyed(vocabulary)
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = max(2, math.ceil(tokens * SHARE))
     top = vocabulary.where(F.col("n") >= floor).select("h", "n").toArrow()
@@ -326,8 +328,8 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     shared = sc.broadcast(tree)
     begin = F.lit(int(word_keys(np.array([BEGIN]))[0]))
     # The begin of a text is as frequent as its end.
-    contexts = vocabulary.select(F.when(F.col("h") == F.lit(int(END)), begin).otherwise(F.col("key")).alias("context"), F.col("n").alias("total")).where(F.col("total") >= LEAST_CONTEXT[1])
-    tried = vocabulary.where("n >= 2").select("key")
+    contexts = known_words.select(F.when(F.col("h") == F.lit(int(END)), begin).otherwise(F.col("key")).alias("context"), F.col("n").alias("total")).where(F.col("total") >= LEAST_CONTEXT[1])
+    tried = known_words.where("n >= 2").select("key")
     parents = useful = None
     # What is not kept goes to the other words alone, else ever longer contexts would drift from their own counts.
     beyond = F.greatest(1 - F.col("other"), F.lit(1e-12))
@@ -348,7 +350,7 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
         p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
         grams = rows.join(retained(rows), "context").withColumns({"p": p, "weight": F.log10(spread)})
         bonus = F.log10(F.col("p") / F.col("expected")) - F.col("weight")
-        grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p")).alias("p"), bonus.cast("float").alias("bonus"), "context", "total", F.col("weight").cast("float").alias("weight")), "lm-grams")
+        grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p").cast("float")).alias("p"), bonus.cast("float").alias("bonus"), "context", "total", F.col("weight").cast("float").alias("weight")), "lm-grams")
         states = grams.groupBy("context").agg(F.first("total").alias("total"), F.first("weight").alias("weight"))
         tables += [grams.select("key", "n", F.col("bonus").cast("double").alias("value")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("weight").cast("double").alias("value"))]
         if length <= depth:
