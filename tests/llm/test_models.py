@@ -388,6 +388,37 @@ def test_views_teach_each_other(spark):
     assert all(0 <= getattr(r, c) <= 1 for r in got.values() for c in ("text_score", "meta_score", "score"))
 
 
+def test_rounds_beat_the_first_views_on_rows_that_taught_nothing(spark):
+    """Few labels; bad pages are told by layout to one view and by many different words to the other."""
+    rng = random.Random(21)
+    good_words, bad_words = [f"g{i}" for i in range(3000)], [f"b{i}" for i in range(3000)]
+    docs, truth = [], {}
+    for i in range(3000):
+        good = rng.random() < 0.7
+        words = [rng.choice(good_words if good else bad_words) if rng.random() < 0.25 else f"c{rng.randrange(300)}" for _ in range(30)]
+        loud = not good and rng.random() < 0.7
+        text = " ".join(w.upper() + "!!" if loud and rng.random() < 0.5 else w for w in words)
+        docs.append((i, text, f"s{rng.randrange(5)}", "en", len(text)))
+        truth[i] = good
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(90)], "doc_id long, quality int")
+    right = {}
+    for rounds in (0, 3):
+        got = {r.doc_id: r for r in cotraining.quality_scores(frame, labels, rounds=rounds).collect()}
+        right[rounds] = sum((got[i].score >= 0.5) == truth[i] for i in range(90, 3000)) / 2910
+    assert right[3] > right[0] + 0.02 and right[3] > 0.95
+
+
+def test_exchange_keeps_the_classes_balance():
+    view = cotraining.View(np.zeros(1), 1.0, 0.0)
+    unlabelled = np.bincount(np.clip(np.random.default_rng(1).normal(1000, 300, 100_000).astype(int), 0, cotraining.BINS - 1), minlength=cotraining.BINS)
+    low, high = cotraining.exchange_cuts(view, unlabelled, 0.5, 0.8, 0.5)
+    edges = np.arange(cotraining.BINS) / cotraining.BINS * 40 - 20
+    assert unlabelled[edges >= high].sum() == pytest.approx(40_000, rel=0.02) or high >= 0
+    assert unlabelled[edges < low].sum() == pytest.approx(10_000, rel=0.02)
+    assert cotraining.exchange_cuts(view._replace(slope=-1.0), unlabelled, 0.5, 0.8, 0.9) == (-math.inf, math.inf)
+
+
 def test_quality_without_labels_or_rows(spark):
     _, frame, labels = quality_table(spark, 40)
     got = cotraining.quality_scores(frame, labels.limit(0)).collect()

@@ -5,10 +5,13 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 5.0
 #: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
-FLUSH, PART_TOKENS = 1_000_000, 4_000_000
+FLUSH, PART_TOKENS = 1_000_000, 1_000_000
 #: Bits of a hash by which grams, and single words as grams, are told apart (as words they have 64).
 KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
@@ -81,12 +84,33 @@ def totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
     return ranked[at], order[at], sums
 
 
-def found_in(ranked: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted array, -1 if it is not there."""
-    if not len(ranked):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(ranked, keys), len(ranked) - 1)
-    return np.where(ranked[at] == keys, at, -1)
+class Table:
+    """Places of uniform keys by their low bits: a lookup reads one short run, where a binary search would read a dozen places."""
+
+    def __init__(self, keys: np.ndarray):
+        size = 1 << max(4, len(keys).bit_length() + 1)
+        self.mask = _U(size - 1)
+        slot = keys & self.mask
+        self.order = np.argsort(slot)
+        self.keys = keys[self.order]
+        self.start = np.searchsorted(slot[self.order], np.arange(size + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key in the array that made the table, -1 if it is not there."""
+        out = np.full(len(keys), -1)
+        if not len(self.keys):
+            return out
+        slot = (keys & self.mask).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        todo = np.flatnonzero(at < end)
+        at, end, keys = at[todo], end[todo], keys[todo]
+        while len(todo):
+            same = self.keys[at] == keys
+            out[todo[same]] = self.order[at[same]]
+            at = at + 1
+            left = np.flatnonzero(~same & (at < end))
+            todo, at, end, keys = todo[left], at[left], end[left], keys[left]
+        return out
 
 
 class KeyFilter(NamedTuple):
@@ -121,12 +145,11 @@ class SuffixTree:
     """
 
     def __init__(self, tokens: int, distinct: int, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
         self.tokens, self.distinct = tokens, distinct
-        #: Sorted hashes of the frequent words, and their counts.
-        self.hashes, self.counts = hashes[order], counts[order]
-        #: Words of the longest gram, sorted keys of the frequent grams, their values.
-        self.longest, self.keys, self.values = 0, np.zeros(0, np.uint64), np.zeros(0)
+        #: Hashes of the frequent words, and their counts.
+        self.hashes, self.counts, self.heads = hashes, counts, Table(hashes)
+        #: Words of the longest gram, the frequent grams, their values.
+        self.longest, self.grams, self.values = 0, Table(hashes[:0]), np.zeros(0)
         self.some: KeyFilter | None = None
 
     @property
@@ -142,7 +165,7 @@ class SuffixTree:
         h, place, sizes = sequences(texts)
         text = np.repeat(np.arange(len(texts)), sizes)
         token = place > 0
-        at = found_in(self.hashes, h)
+        at = self.heads.find(h)
         known = (at >= 0) & token
         base = np.full(len(h), -math.log10(self.mass))
         base[known] += np.log10(self.counts[at[known]] + 1.0)
@@ -157,7 +180,7 @@ class SuffixTree:
                 here = here[place[here] >= n - 1]
             here_now = here[self.some.has(keys[here])]
             own = keys[here_now]
-            found = found_in(self.keys, own)
+            found = self.grams.find(own)
             got = found >= 0
             gain += np.bincount(text[here_now[got]], self.values[found[got]], len(texts))
             missed.append((text[here_now[~got]], own[~got] | GRAM))
@@ -207,10 +230,20 @@ def flushed(batches: Iterator[pa.RecordBatch], work: Callable[[np.ndarray, np.nd
 
 
 def parts_of(tokens: int, train: DataFrame) -> int:
-    """Parts of a join by key: as many as the shuffle has partitions, more for large inputs, so that a part's size is bounded."""
+    """Parts of a join by key: as many as the shuffle has partitions, more for large inputs, so that a part, which a task holds, is of bounded size."""
     return max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
 
 
+def dealt(sent: DataFrame, bucket: str) -> DataFrame:
+    """Rows of a part next to one another; a task takes its parts one after the other."""
+    return sent.repartition(bucket).sortWithinPartitions(bucket)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
 def bucketed(bucket: np.ndarray, parts: int, columns: list[np.ndarray], packed: Callable[..., bytes]) -> tuple[list[int], list[bytes]]:
     """The buckets that have rows, and what ``packed`` makes of each one's rows of ``columns``, in the order given."""
     order = np.argsort(bucket.astype(np.uint16) if parts < 1 << 16 else bucket, kind="stable")
@@ -251,38 +284,32 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
         return np.stack([shorter[here], shorter[here + 1]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.sort(word_keys(tree.value.hashes))
+        frequent = Table(word_keys(tree.value.hashes))
         for prefix, suffix in flushed(batches, grams):
             keys, at, n = totals(pair_keys(prefix, suffix))
             prefix, suffix = prefix[at], suffix[at]
-            meet = keys if length > 2 else np.where(found_in(frequent, suffix) >= 0, keys, suffix)
+            meet = keys if length > 2 else np.where(frequent.find(suffix) >= 0, keys, suffix)
             bucket = (mixed(meet) % _U(parts)).astype(np.int64)
             order = np.argsort(suffix)
             where, blobs = bucketed(bucket[order], parts, [suffix[order], prefix[order], n[order]], packed_grams)
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(where, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(bucket, []).append(blob)
         t = tree.value
-        frequent, counts = word_keys(t.hashes), t.counts
-        order = np.argsort(frequent)
-        frequent, counts = frequent[order], counts[order]
+        frequent, counts = Table(word_keys(t.hashes)), np.append(t.counts, 0)
         begin = word_keys(np.array([BEGIN]))
-        for bucket in list(held):
-            suffix, prefix, n = (np.concatenate(x) for x in zip(*map(unpacked_grams, held.pop(bucket)), strict=True))
+        for _, rows in groupby(rows_of(batches), key=itemgetter(0)):
+            suffix, prefix, n = (np.concatenate(x) for x in zip(*(unpacked_grams(blob) for _, blob in rows), strict=True))
             keys, at, n = totals(pair_keys(prefix, suffix), n)
             prefix, suffix = prefix[at], suffix[at]
             expected = np.zeros(len(keys))
             if length == 2:
                 words, _, own = totals(suffix, n)
-                head = found_in(frequent, words)
-                own = np.where(head >= 0, counts[np.maximum(head, 0)] if len(counts) else 0, own)
+                head = frequent.find(words)
+                own = np.where(head >= 0, counts[head], own)
                 expected = (own[np.searchsorted(words, suffix)] + 1) / t.mass
-                head = found_in(frequent, prefix)
-                least = np.where(head >= 0, counts[np.maximum(head, 0)] if len(counts) else 0, n)  # of the context: its count, or what is seen here
+                head = frequent.find(prefix)
+                least = np.where(head >= 0, counts[head], n)  # of the context: its count, or what is seen here
                 least[prefix == begin] = n[prefix == begin]
                 good = (n > 2) | (n == 2) & (gain_of(n, np.maximum(least, n) * expected) >= NEXT_GAIN)
             else:
@@ -290,7 +317,7 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
             yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": pa.array(expected[good].astype(np.float32))})
 
     sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(parts, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected float")
+    return dealt(sent, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected float")
 
 
 def gain_of(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -366,8 +393,8 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     if tables:
         values = functools.reduce(DataFrame.unionByName, tables)
         top = values.where(F.col("n") >= floor).select("key", "value").toArrow()
-        tree.keys, _, tree.values = totals(top.column("key").to_numpy().view(np.uint64), top.column("value").to_numpy())
-        tree.longest = len(tables) // 2 + 1
+        keys, _, tree.values = totals(top.column("key").to_numpy().view(np.uint64), top.column("value").to_numpy())
+        tree.grams, tree.longest = Table(keys), len(tables) // 2 + 1
         tree.some = key_filter(values.select("key").unionByName(rest.select("key")))
         rest = rest.unionByName(values.where(F.col("n") < floor).select("key", "value", F.lit(True).alias("gram")))
     elif tokens:
@@ -429,7 +456,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                     sent, held = [], 0
             if n > start:
                 rows = list(range(first + start, first + n))
-                yield batch_of(list(batch.columns[:-1]), rows, tuple(np.concatenate(x) for x in made), [i % parts for i in range(start, n)], [None] * len(rows))
+                yield batch_of(list(batch.columns[:-1]), rows, tuple(np.concatenate(x) for x in made), [-1 - i % parts for i in range(start, n)], [None] * len(rows))
         if held:
             yield flush()
 
@@ -442,34 +469,40 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
             yield pa.RecordBatch.from_pydict({"_bucket": pa.array(where, pa.int64()), "_model": pa.array(blobs, pa.binary())})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], list[tuple[int, bytes]]]] = {}
         width = len(own)
-        for batch in batches:
-            row, bucket, blob, model_blob = (batch.column(width + i).to_pylist() for i in (4, 5, 6, 7))
-            done = np.ones(len(row), bool)
-            for i, (r, b, blob_, m) in enumerate(zip(row, bucket, blob, model_blob, strict=True)):
-                if m is not None or blob_ is not None:
-                    done[i] = False
-                    models, rows = held.setdefault(b, ([], []))
-                    if m is not None:
-                        models.append(m)
-                    else:
-                        rows.append((r, blob_))
-            if done.any():
-                kept = batch.filter(pa.array(done))
-                yield pa.RecordBatch.from_arrays([*kept.columns[: width + 4], kept.column(width + 4)], names=[*batch.schema.names[: width + 4], "_row"])
-        none = [pa.nulls(0, f.type) for f in list(batch.schema)[:width]] if held else []
-        for bucket in list(held):
-            models, rows = held.pop(bucket)
-            if not rows or not models:
+        names_out = [*(f.name for f in own), "n_tokens", "n_known", "base_score", "score", "_row"]
+        blank: list[pa.DataType] = []
+
+        def parted() -> Iterator[tuple | pa.RecordBatch]:
+            """Rows of texts as they come, and (bucket, place, postings, model) of the others."""
+            for batch in batches:
+                blank[:] = [f.type for f in list(batch.schema)[:width]]
+                text = pa.compute.and_(batch.column(width + 6).is_null(), batch.column(width + 7).is_null())
+                kept = batch.filter(text)
+                if kept.num_rows:
+                    yield pa.RecordBatch.from_arrays(kept.columns[: width + 5], names=names_out)
+                rest = batch.filter(pa.compute.invert(text))
+                yield from zip(*(rest.column(width + i).to_pylist() for i in (5, 4, 6, 7)), strict=True)
+
+        for bucket, rows in groupby(parted(), key=lambda r: r[0] if isinstance(r, tuple) else None):
+            if bucket is None:
+                yield from rows
+                continue
+            models, sent = [], []
+            for _, row, blob, model in rows:
+                if model is not None:
+                    models.append(model)
+                else:
+                    sent.append((row, blob))
+            if not models or not sent:
                 continue
             key, value, gram = (np.concatenate(x) for x in zip(*(unpack(m, (8, 8, 1)) for m in models), strict=True))
             key, first, value = totals(key, value.view(np.float64))
             gram = gram[first] > 0
-            got = [(unpack(b, (4, 8, 4)), low) for low, b in rows]
+            got = [(unpack(b, (4, 8, 4)), low) for low, b in sent]
             row = np.concatenate([np.cumsum(x[0].astype(np.int64)) + low for x, low in got])
             wanted, times = (np.concatenate([x[i] for x, _ in got]) for i in (1, 2))
-            at = found_in(key, wanted)
+            at = Table(key).find(wanted)
             good = at >= 0
             row, at, times = row[good], at[good], times[good].astype(np.int64)
             word = ~gram[at]
@@ -477,12 +510,11 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
             ids, back = np.unique(row, return_inverse=True)
             by = lambda x: np.bincount(back, x, len(ids))
             if len(ids):
-                blanks = [pa.nulls(len(ids), x.type) for x in none]
-                yield pa.RecordBatch.from_arrays([*blanks, pa.nulls(len(ids), pa.int64()), pa.array(by(np.where(word, times, 0)).astype(np.int64)), pa.array(by(np.where(word, term, 0))), pa.array(by(term)), pa.array(ids)], names=[*(f.name for f in own), "n_tokens", "n_known", "base_score", "score", "_row"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), t) for t in blank), pa.nulls(len(ids), pa.int64()), pa.array(by(np.where(word, times, 0)).astype(np.int64)), pa.array(by(np.where(word, term, 0))), pa.array(by(term)), pa.array(ids)], names=names_out)
 
     made = slim.mapInArrow(score, ", ".join([*names, sums, "_row long, _bucket long, _blob binary"]))
     rest = model.mapInArrow(model_parts, "_bucket long, _model binary")
-    met = made.unionByName(rest, allowMissingColumns=True).repartition(parts, "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long"]))
+    met = dealt(made.unionByName(rest, allowMissingColumns=True), "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long"]))
     first = [F.first(f"`{f.name}`", ignorenulls=True).alias(f.name) for f in own]
     total = met.groupBy("_row").agg(*first, F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
     return total.select(id_col, *keep, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
