@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,9 @@ def discard(table: DataFrame) -> None:
         if "/verbatlas/" in path:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
