@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.llm.batches import mixed, pack, text_groups, unpack, word_hashes
-from verbatlas.sources.shared import discard, stash
+from verbatlas.sources.shared import discard, stash, tidy
 
 _U = np.uint64
 #: Hashes that stand for the begin of a text (a context only) and for its end (a token).
@@ -389,6 +389,8 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
             parents = grams.where(F.col("p").isNotNull()).select(F.col("key").alias("parent"), F.col("p").alias("expected"))
             useful = sc.broadcast(key_filter(parents.select("parent").unionByName(tried.select(F.col("context").alias("parent")))))
         discard(counted)
+        del counted, rows
+        tidy(train.sparkSession)
     rest = vocabulary.where(F.col("n") < floor).select(F.col("h").alias("key"), F.col("n").cast("double").alias("value"), F.lit(False).alias("gram"))
     if tables:
         values = functools.reduce(DataFrame.unionByName, tables)
