@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verbatlas.llm.tokens import CountingTransducer, count_tokens
+from verbatlas.llm import tokens
+from verbatlas.llm.tokens import CountingTransducer, count_tokens, kinds_of
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -14,7 +15,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def both():
     from tokenizers import Tokenizer
 
-    return CountingTransducer(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    spec = open(PATH, encoding="utf-8").read()
+    return CountingTransducer(spec, kinds_of(spec)), Tokenizer.from_file(PATH)
 
 
 CASES = [
@@ -36,15 +38,46 @@ def test_random_equal_library(both, text):
     assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
-def test_chunks_compose_like_the_whole(both):
-    own, _ = both
+def test_every_code_point_counts_as_the_library_does(both):
+    own, library = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"x{chr(c)}y" for c in points[i : i + 20_000]]
+        assert own.counts([t.encode() for t in texts]) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunk_maps_compose_like_the_whole(both, monkeypatch):
+    own, library = both
     rng = random.Random(3)
-    for _ in range(100):
-        text = "".join(rng.choice("ab'S é \n1!") for _ in range(rng.randrange(1, 80)))
-        cuts = sorted(rng.sample(range(len(text) + 1), min(4, len(text))))
-        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        last = own.scan([own.chunk(p) for p in parts])[-1]
-        assert last.count + sum(own.word(w) for w in (last.left, last.right) if w) == own.count(text)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(tokens, "CHUNK", size)
+        for _ in range(60):
+            text = "".join(rng.choice(["a", "b", "ing", "'s", "S", "é", "1", "!", "the"]) for _ in range(rng.randrange(1, 40)))
+            maps = [own.chunk(x) for x in own.symbols(text.lower())]
+            want = len(library.encode(text, add_special_tokens=False).ids)
+            assert own.total(maps) == want
+            left = own.compose(own.compose(maps[0], maps[-1]), maps[0])
+            right = own.compose(maps[0], own.compose(maps[-1], maps[0]))
+            assert own.total([left]) == own.total([right])
+
+
+def test_transitions_are_forgotten_and_compiled_again(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(tokens, "MOST_MOVES", 50)
+    monkeypatch.setattr(tokens, "MOST_KNOWN", 20)
+    texts = [f"word{i} thing{i * 7} unbelievable{i}ness" for i in range(200)]
+    assert own.counts([t.encode() for t in texts]) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_long_text_without_white_space_takes_linear_time(both):
+    import time
+
+    own, library = both
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    start = time.perf_counter()
+    assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert time.perf_counter() - start < 60
 
 
 def test_operator_rows(spark, both):
@@ -56,4 +89,6 @@ def test_operator_rows(spark, both):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
     assert count_tokens(docs, PATH).count() == len(texts) + 2
+    broken = spark.sql("SELECT 1 AS doc_id, cast(unhex('6162FF6364') AS string) AS text")
+    assert count_tokens(broken, PATH).first().n_tokens == len(library.encode("ab\ufffdcd", add_special_tokens=False).ids)
     assert count_tokens(docs.limit(0), PATH).count() == 0

@@ -80,8 +80,8 @@ def _long_word(raw: np.ndarray) -> np.uint64:
     return total[0]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, and how many words each text has."""
+def spans_of_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes of some texts, where their words start and stop in them, the words' hashes, and how many words each text has."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     inside = ~_SPACE[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
@@ -90,7 +90,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return raw, starts, stops, np.zeros(0, np.uint64), counts
     lengths = stops - starts
     sums = np.empty(len(starts), np.uint64)
     powers = _powers(min(int(lengths.max()), _PIECE))
@@ -106,7 +106,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             place = np.arange(int(own.sum())) - np.repeat(first, own)
             sums[at:stop] = np.add.reduceat(_BYTE[raw[np.repeat(starts[at:stop], own) + place]] * powers[place], first)
         at = stop
-    return mixed(sums + lengths.astype(np.uint64)), counts
+    return raw, starts, stops, mixed(sums + lengths.astype(np.uint64)), counts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts, and how many words each text has."""
+    return spans_of_words(texts)[3:]
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
