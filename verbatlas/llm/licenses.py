@@ -121,6 +121,145 @@ PHRASES = [
     Rule("public-domain", "text", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 2, 0.7),
     Rule("proprietary", "text", "all rights reserved", r"all rights reserved", 1, 0.4),
     Rule("proprietary", "text", "confidential", r"proprietary and confidential", 3, 0.8),
+    Rule("afl", "text", "academic free", r"licensed under the academic free license version \d\.\d", 8, 0.95),
+    Rule("agpl", "text", "remote network interaction", r"remote network interaction; use with the gnu general public license", 6, 0.95),
+    Rule("agpl", "text", "interacting with it remotely", r"prominently offer all users interacting with it remotely through a computer network", 6, 0.95),
+    Rule("apache", "text", "in compliance with the license", r"you may not use this file except in compliance with the license", 5, 0.9),
+    Rule("apache", "text", "unless required by applicable law", r"unless required by applicable law or agreed to in writing,? software distributed under the license", 5, 0.9),
+    Rule("apache", "text", "each contributor hereby grants", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free,? irrevocable", 6, 0.95),
+    Rule("apache", "text", "apache software foundation", r"this product includes software developed (?:by|at) the apache software foundation", 5, 0.85),
+    Rule("apache", "text", "contributor license agreements", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements", 6, 0.95),
+    Rule("apache", "text", "asl 2.0", r"\basl 2\.0\b", 4, 0.7),
+    Rule("artistic", "text", "standard version", r"you may distribute (?:verbatim copies of the source form of )?the standard version", 4, 0.75),
+    Rule("artistic", "text", "same terms as perl", r"under the same terms as perl(?: \d)?(?: itself)?", 6, 0.9),
+    Rule("beerware", "text", "buy me a beer", r"you can buy me a beer in return", 6, 0.98),
+    Rule("blueoak", "text", "everyone who gets this software", r"each contributor licenses you to do everything with this software", 6, 0.95, ("each contributor licenses you",)),
+    Rule("boost", "text", "boost software license", r"distributed under the boost software license,? version 1\.0", 8, 0.98),
+    Rule("boost", "text", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", 6, 0.98),
+    Rule("bsd-0-clause", "text", "with or without fee is hereby granted", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\.", 4, 0.7),
+    Rule("bsd-1-clause", "text", "bsd 1-clause", r"bsd 1-clause", 6, 0.9),
+    Rule("bsd-2-clause", "text", "retain the above copyright", r"redistributions of source code must retain the above copyright notice, this list of conditions", 4, 0.8),
+    Rule("bsd-2-clause", "text", "in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice", 4, 0.8),
+    Rule("bsd-3-clause", "text", "neither the name of", r"neither the name of .{1,120}? nor the names of its contributors may be used", 6, 0.95),
+    Rule("bsd-4-clause", "text", "acknowledgement", r"this product includes software developed by the university of california, berkeley and its contributors", 6, 0.95, ("university of california",)),
+    Rule("bsd", "text", "bsd-style", r"bsd-style license", 4, 0.7),
+    Rule("bsd", "text", "regents of the university", r"copyright .{0,80}?the regents of the university of california", 3, 0.6),
+    Rule("bsl-business", "text", "change date", r"change date: ?.{0,40}?change license:", 6, 0.9),
+    Rule("bsl-business", "text", "additional use grant", r"additional use grant:", 5, 0.85),
+    Rule("cc0", "text", "no rights reserved", r"\bcc0\b.{0,60}?no rights reserved", 6, 0.9),
+    Rule("cc0", "text", "waived all copyright", r"has waived all copyright and related or neighboring rights", 6, 0.95),
+    Rule("cc0", "text", "public domain dedication", r"creative commons (?:cc0|zero)(?: 1\.0)?(?: universal)? public domain dedication", 7, 0.97),
+    Rule("cc-by", "text", "give appropriate credit", r"you must give appropriate credit, provide a link to the license", 4, 0.7),
+    Rule("cc-by", "text", "cc by", r"\bcc by [234]\.0\b", 6, 0.9),
+    Rule("cc-by-sa", "text", "under the same license as the original", r"you must distribute your contributions under the same license as the original", 5, 0.85),
+    Rule("cc-by-sa", "text", "cc by-sa", r"\bcc by-sa(?: [234]\.0)?\b", 6, 0.9),
+    Rule("cc-by-nc", "text", "for commercial purposes", r"you may not use the material for commercial purposes", 5, 0.85),
+    Rule("cc-by-nc", "text", "cc by-nc", r"\bcc by-nc(?: [234]\.0)?\b(?!-)", 6, 0.9),
+    Rule("cc-by-nc-sa", "text", "cc by-nc-sa", r"\bcc by-nc-sa(?: [234]\.0)?\b", 7, 0.92),
+    Rule("cc-by-nc-nd", "text", "cc by-nc-nd", r"\bcc by-nc-nd(?: [234]\.0)?\b", 7, 0.92),
+    Rule("cc-by-nd", "text", "cc by-nd", r"\bcc by-nd(?: [234]\.0)?\b", 7, 0.92),
+    Rule("cc-by-nd", "text", "distribute the modified material", r"if you remix, transform, or build upon the material, you may not distribute the modified material", 6, 0.9),
+    Rule("cddl", "text", "cddl", r"\bcddl(?:[- ]?1\.[01])?\b", 5, 0.85),
+    Rule("cddl", "text", "common development and distribution", r"the contents of this file are subject to the terms of the common development and distribution license", 8, 0.98),
+    Rule("cecill", "text", "french law", r"governed by the cecill(?:-[bc])? license under french law", 7, 0.97),
+    Rule("cpal", "text", "attribution copyright notice", r"display of attribution information is required in larger works", 6, 0.9, ("display of attribution",)),
+    Rule("curl", "text", "all rights reserved.", r"copyright \(c\) \d{4} ?- ?\d{4}, daniel stenberg", 6, 0.9, ("daniel stenberg",)),
+    Rule("ecl", "text", "educational community", r"licensed under the educational community license, version [12]\.0", 8, 0.97),
+    Rule("elastic", "text", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service", 6, 0.95),
+    Rule("epl", "text", "this program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 8, 0.98),
+    Rule("epl", "text", "epl", r"\bepl[- ][12]\.0\b", 5, 0.85),
+    Rule("eupl", "text", "eupl", r"licensed under the eupl\b", 7, 0.95),
+    Rule("fdl", "text", "invariant sections", r"with no invariant sections, no front-cover texts,? and no back-cover texts", 7, 0.97),
+    Rule("fdl", "text", "free documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license", 8, 0.98),
+    Rule("gpl", "text", "any later version", r"either version [123] of the license,? or \(at your option\) any later version", 5, 0.85),
+    Rule("gpl", "text", "should have received a copy of the gnu general", r"you should have received a copy of the gnu general public license", 6, 0.9),
+    Rule("gpl", "text", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public license", 6, 0.9),
+    Rule("gpl", "text", "gplv", r"\bgplv[23]\+?(?!\w)", 5, 0.9),
+    Rule("gpl", "text", "gnu gpl", r"\bgnu gpl\b(?: ?v?[123](?:\.0)?)?", 5, 0.85),
+    Rule("gpl", "text", "classpath exception", r"gpl(?:v2|-2\.0)? with (?:the )?classpath exception", 6, 0.9),
+    Rule("gpl", "text", "everyone is permitted to copy", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", 4, 0.75),
+    Rule("hpnd", "text", "appear in supporting documentation", r"both that copyright notice and this permission notice appear in supporting documentation", 5, 0.85),
+    Rule("icu", "text", "international business machines", r"copyright \(c\) 1995-\d{4} international business machines corporation and others", 6, 0.9),
+    Rule("ijg", "text", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group", 7, 0.97),
+    Rule("info-zip", "text", "info-zip", r"info-zip license", 6, 0.95),
+    Rule("isc", "text", "internet systems consortium", r"copyright .{0,60}?internet systems consortium", 5, 0.8),
+    Rule("jasper", "text", "jasper license", r"jasper license version 2\.0", 6, 0.95),
+    Rule("json", "text", "good, not evil", r"the software shall be used for good, not evil", 7, 0.99),
+    Rule("lgpl", "text", "should have received a copy of the gnu lesser", r"you should have received a copy of the gnu lesser general public license", 6, 0.92),
+    Rule("lgpl", "text", "should have received a copy of the gnu library", r"you should have received a copy of the gnu library general public license", 6, 0.92),
+    Rule("lgpl", "text", "lgpl", r"\blgpl(?:v?[23](?:\.[01])?)?\+?(?![\w.-])", 5, 0.85),
+    Rule("libpng", "text", "png reference library", r"the png reference library is supplied \"as is\"", 6, 0.95),
+    Rule("libtiff", "text", "sam leffler", r"the names of sam leffler and silicon graphics may not be used", 6, 0.95),
+    Rule("lppl", "text", "latex project public", r"this work may be distributed and/or modified under the conditions of the latex project public license", 8, 0.98),
+    Rule("lppl", "text", "lppl maintenance status", r"this work has the lppl maintenance status", 6, 0.95),
+    Rule("mit", "text", "mit-style", r"mit[- ]style license", 4, 0.7, ("mit style",)),
+    Rule("mit", "text", "expat", r"\bexpat license\b", 5, 0.85),
+    Rule("mit", "text", "without restriction", r"to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge", 6, 0.95),
+    Rule("mit", "text", "in no event shall the authors", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability", 3, 0.6),
+    Rule("mit", "text", "mit)", r"license:? \(?mit\)", 5, 0.85),
+    Rule("mpl", "text", "mozilla.org/mpl/2.0", r"if a copy of the mpl was not distributed with this file", 6, 0.97, ("a copy of the mpl",)),
+    Rule("mpl", "text", "subject to the mozilla public", r"the contents of this file are subject to the mozilla public license version 1\.[01]", 8, 0.98),
+    Rule("mpl", "text", "mpl", r"\bmpl[- ]?(?:1\.[01]|2\.0)\b", 5, 0.85),
+    Rule("mpl", "text", "incompatible with secondary licenses", r"this source code form is \"incompatible with secondary licenses\"", 6, 0.97),
+    Rule("ms-pl", "text", "ms-pl", r"\(ms-pl\)", 5, 0.9),
+    Rule("ms-rl", "text", "ms-rl", r"\(ms-rl\)", 5, 0.9),
+    Rule("mulanpsl", "text", "mulan psl", r"licensed under mulan psl v[12]", 7, 0.97),
+    Rule("ncsa", "text", "computational science", r"permission is hereby granted.{0,200}?to deal with the software without restriction", 5, 0.85, ("to deal with the software",)),
+    Rule("npl", "text", "netscape public", r"subject to the netscape public license", 7, 0.95),
+    Rule("odbl", "text", "open database license", r"this .{0,60}?is made available under the open database license", 7, 0.97),
+    Rule("odbl", "text", "openstreetmap contributors", r"(?:©|\(c\)) openstreetmap contributors", 4, 0.7),
+    Rule("odc-by", "text", "open data commons attribution", r"open data commons attribution license", 6, 0.95),
+    Rule("pddl", "text", "public domain dedication and license", r"public domain dedication and license", 6, 0.95),
+    Rule("ofl", "text", "reserved font name", r"with reserved font name", 6, 0.92),
+    Rule("ofl", "text", "sil open font", r"this font software is licensed under the sil open font license", 8, 0.98),
+    Rule("ogl-uk", "text", "open government licence", r"open government licence(?: v?[123](?:\.0)?)?", 6, 0.93),
+    Rule("openssl", "text", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit", 7, 0.98),
+    Rule("ssleay", "text", "eric young", r"this product includes cryptographic software written by eric young", 7, 0.98),
+    Rule("osl", "text", "open software license", r"licensed under the open software license version [123]\.[01]", 8, 0.97),
+    Rule("php", "text", "freely available from", r"this product includes php(?: software)?, freely available from", 7, 0.98),
+    Rule("polyform-nc", "text", "polyform noncommercial", r"polyform noncommercial license(?: 1\.0\.0)?", 7, 0.97),
+    Rule("polyform-sb", "text", "polyform small business", r"polyform small business license(?: 1\.0\.0)?", 7, 0.97),
+    Rule("postgresql", "text", "without a written agreement", r"for any purpose, without fee, and without a written agreement is hereby granted", 6, 0.93),
+    Rule("psf", "text", "python software foundation", r"the python software foundation \(\"?psf\"?\)", 4, 0.75),
+    Rule("psf", "text", "beopen", r"beopen python open source license agreement", 6, 0.95),
+    Rule("qpl", "text", "q public", r"licensed under the q public license", 8, 0.95),
+    Rule("responsible-ai", "text", "openrail", r"\b(?:bigscience |creativeml )?open ?rail(?:-m|\+\+)?(?: license)?", 6, 0.9, ("open rail",)),
+    Rule("ruby", "text", "same terms as ruby", r"under the same terms as ruby(?: itself)?", 6, 0.9),
+    Rule("sleepycat", "text", "sleepycat", r"sleepycat (?:public )?license", 6, 0.95),
+    Rule("sspl", "text", "offering the program as a service", r"if you make the functionality of the program or a modified version available to third parties as a service", 6, 0.95, ("to third parties as a service",)),
+    Rule("sun-rpc", "text", "sun rpc", r"sun rpc is a product of sun microsystems", 6, 0.95),
+    Rule("tcl", "text", "scriptics", r"copyrighted by the regents of the university of california, sun microsystems, inc\., scriptics corporation", 6, 0.95),
+    Rule("unicode", "text", "unicode data files", r"unicode data files and (?:any associated documentation|software)", 6, 0.93),
+    Rule("unlicense", "text", "dedicate any and all copyright interest", r"dedicate any and all copyright interest in the software to the public domain", 6, 0.98),
+    Rule("upl", "text", "larger works", r"each a \"larger work\" to which the software is contributed", 6, 0.95, ("larger work\"",)),
+    Rule("vim", "text", "uganda", r"vim is charityware", 6, 0.95, ("charityware",)),
+    Rule("w3c", "text", "world wide web consortium", r"copyright .{0,30}?world wide web consortium", 5, 0.85),
+    Rule("wtfpl", "text", "everyone is permitted to copy", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", 6, 0.95),
+    Rule("x11", "text", "x consortium", r"except as contained in this notice, the name of the x consortium shall not be used in advertising", 7, 0.98),
+    Rule("zlib", "text", "misrepresented", r"the origin of this software must not be misrepresented", 5, 0.93),
+    Rule("zlib", "text", "altered source versions", r"altered source versions must be plainly marked as such", 5, 0.93),
+    Rule("zpl", "text", "zope corporation", r"copyright .{0,30}?zope (?:corporation|foundation) and contributors", 5, 0.85, ("zope foundation",)),
+    Rule("public-domain", "text", "no copyright", r"no copyright is claimed", 2, 0.6),
+    Rule("public-domain", "text", "hereby placed in the public domain", r"(?:is|are) hereby placed in the public domain", 4, 0.85),
+    Rule("public-domain", "text", "united states government", r"work of the united states government", 3, 0.7),
+    Rule("public-domain", "text", "disclaims copyright", r"the author disclaims copyright to this source code", 5, 0.95),
+    Rule("proprietary", "text", "trade secret", r"(?:contains|constitutes) (?:confidential information and )?trade secrets?", 3, 0.75),
+    Rule("proprietary", "text", "unauthorized copying", r"unauthorized copying of this file,? via any medium,? is strictly prohibited", 5, 0.95),
+    Rule("proprietary", "text", "without prior written permission", r"(?:reproduced|copied|redistributed|distributed) (?:.{0,40} )?without (?:the )?prior written permission", 3, 0.7, ("without the prior written permission",)),
+    Rule("proprietary", "text", "end user license agreement", r"end[- ]user license agreement", 3, 0.7, ("end-user license agreement",)),
+    Rule("proprietary", "text", "internal use only", r"for internal use only", 2, 0.5),
+    Rule("proprietary", "text", "evaluation purposes", r"for evaluation purposes only", 3, 0.7),
+    Rule("non-commercial", "text", "non-commercial use", r"(?:for|to) (?:research and )?non-commercial use only", 4, 0.8),
+    Rule("non-commercial", "text", "academic use", r"for (?:non-commercial )?academic use only", 4, 0.8),
+    Rule("non-commercial", "text", "research purposes", r"for (?:non-commercial )?research purposes only", 4, 0.8),
+    Rule("source-available", "text", "commons clause", r"commons clause\"? license condition", 6, 0.95),
+    Rule("source-available", "text", "fair source", r"fair source license", 6, 0.93),
+    Rule("source-available", "text", "functional source", r"functional source license", 6, 0.95),
+    Rule("dual", "text", "dual licensed", r"dual[- ]licensed under", 4, 0.7, ("dual-licensed",)),
+    Rule("dual", "text", "at your option", r"under either of .{1,80}? at your option", 4, 0.7),
+    Rule("notice", "text", "see the license file", r"(?:see|refer to) the license file (?:for|in)", 2, 0.5, ("refer to the license file",)),
+    Rule("notice", "text", "found in the license file", r"that can be found in the license file", 3, 0.6),
+    Rule("notice", "text", "third-party notices", r"third[- ]party (?:software )?notices", 2, 0.5, ("third party notices", "third-party software notices", "third party software notices")),
 ]
 #: Phrases whose labels every text with them has (fixed values): words that stand consecutively, and the label.
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
@@ -131,7 +270,7 @@ def build_rules() -> list[Rule]:
     """For each family an identifier, a grant, a name with version, a plain name and an address; then the phrases."""
     rules = list(PHRASES)
     for f in FAMILIES:
-        rules.append(Rule(f.label, "identifier", "license-identifier", rf"spdx-license-identifier:\s*{f.spdx}(?![\w.-])", 9, 1.0))
+        rules.append(Rule(f.label, "identifier", "license-identifier", rf"spdx-license-identifier:\s*(?:{f.spdx})(?![\w.-])", 9, 1.0))
         rules.append(Rule(f.label, "grant", f.word, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{f.name}", 8, 0.95, f.others))
         rules.append(Rule(f.label, "version", f.word, rf"(?<!\w){f.name},? (?:version |v\.? ?)?\d(?:\.\d)*", 7, 0.9, f.others))
         rules.append(Rule(f.label, "name", f.word, rf"(?<!\w){f.name}(?!\w)", 3, 0.75, f.others))
@@ -155,12 +294,21 @@ def compiled() -> tuple[list[tuple[Rule, re.Pattern]], ahocorasick.Automaton]:
 
 
 def resolve(found: list[tuple[int, int, int]], rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[int, int, int]]:
-    """Detections (start, end, rule) that no kept one of as high a priority contains; by priority, then length, then rule order."""
+    """Detections (start, end, rule) that no other contains which is of higher priority, or of the same and longer or of an earlier rule.
+
+    One such winner is kept itself, so nothing that a suppressed detection contains survives. A sweep from left to right, the longest
+    first at one start, keeps for each priority (there are few) the best detection that reaches furthest.
+    """
+    rank = lambda x: (-rules[x[2]][0].priority, x[0] - x[1], x[0], x[2])
     kept: list[tuple[int, int, int]] = []
-    for start, end, i in sorted(found, key=lambda x: (-rules[x[2]][0].priority, x[0] - x[1], x[0], x[2])):
-        if not any(a <= start and end <= b for a, b, _ in kept):
+    furthest: dict[int, int] = {}  # priority: how far a detection seen so far reaches
+    for start, end, i in sorted(found, key=lambda x: (x[0], -x[1], rank(x))):
+        own = rules[i][0].priority
+        if not any(reach >= end for priority, reach in furthest.items() if priority >= own):
             kept.append((start, end, i))
-    return sorted(kept)
+        furthest[own] = max(furthest.get(own, 0), end)
+    # Of equal spans the sweep met one of lower priority after a higher one; one of higher priority that starts later lies inside and wins nothing.
+    return kept
 
 
 def detect(text: str) -> list[tuple[int, int, int]]:
@@ -221,6 +369,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     containment. ``places`` are the word positions of the base phrases, never suppressed. Rows are
     independent: no shuffle.
 
+    Bytes that are no UTF-8 are read as U+FFFD.
+
     Returns id, n_words, places array<struct<word, label>>, detections (label, kind, priority,
     confidence, character span, matched text). Null texts count as empty. Repeated rows and rows
     without id stay as they are; extra columns are ignored.
@@ -234,7 +384,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             words = raw.translate(_WORDS).split()
             n_words.append(len(words))
             places.append([{"word": w, "label": label} for w, label in base_places(words)] if b"license" in raw.lower() else [])
-            text = raw.decode()
+            text = raw.decode(errors="replace")
             detections.append([{"label": (r := rules[i][0]).label, "kind": r.kind, "priority": r.priority, "confidence": r.confidence, "start": a, "end": b, "text": text[a:b]} for a, b, i in detect(text)])
         return [n_words, places, detections]
 
