@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -19,14 +20,57 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Payloads are padded with FILL to a positive multiple of FRAME bytes.
 FRAME, FILL = 576, 255
 WAV_RATE = 8000
+#: Bytes that are inflated at a time.
+PIECE = 1 << 16
+
+
+class Blob:
+    """Bytes in which the places of a mark are looked up once, however many media may end there."""
+
+    def __init__(self, b: bytes):
+        self.b = b
+        self.known: dict[bytes, list[int]] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.known:
+            found, at = [], self.b.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.b.find(mark, at + 1)
+            self.known[mark] = found
+        return self.known[mark]
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place from ``at`` on, -1 if there is none."""
+        found = self.places(mark)
+        i = bisect.bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+    def last(self, mark: bytes, start: int, stop: int) -> int:
+        """The last place in [start, stop), -1 if there is none."""
+        found = self.places(mark)
+        i = bisect.bisect_left(found, stop) - 1
+        return found[i] if i >= 0 and found[i] >= start else -1
+
+    @functools.cached_property
+    def zips(self) -> dict[int, int]:
+        """Start of each zip archive, as its end-of-directory record states it, and its end; the last record of a start counts."""
+        out = {}
+        for p in self.places(b"PK\x05\x06"):
+            if p + 22 <= len(self.b):
+                n, start = struct.unpack_from("<II", self.b, p + 12)
+                end = p + 22 + struct.unpack_from("<H", self.b, p + 20)[0]
+                if end <= len(self.b):
+                    out[p - n - start] = end
+        return out
 
 
-def png_length(b: bytes, at: int) -> int:
+def png_length(blob: Blob, at: int) -> int:
     """Walks chunks, checking each one's CRC, until IEND."""
-    p, first = at + 8, True
+    b, p, first = blob.b, at + 8, True
     while p + 12 <= len(b):
         (n,), kind = struct.unpack_from(">I", b, p), b[p + 4 : p + 8]
-        if (first and kind != b"IHDR") or p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+        if (first and (kind != b"IHDR" or n != 13)) or p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
             return 0
         first, p = False, p + 12 + n
         if kind == b"IEND":
@@ -34,8 +78,9 @@ def png_length(b: bytes, at: int) -> int:
     return 0
 
 
-def gif_length(b: bytes, at: int) -> int:
+def gif_length(blob: Blob, at: int) -> int:
     """Walks blocks and their sub-blocks until the trailer."""
+    b = blob.b
     if at + 13 > len(b):
         return 0
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
@@ -55,13 +100,13 @@ def gif_length(b: bytes, at: int) -> int:
     return 0
 
 
-def jpeg_length(b: bytes, at: int) -> int:
+def jpeg_length(blob: Blob, at: int) -> int:
     """Walks marker segments to the scan, then looks for the end marker."""
-    p = at + 2
+    b, p = blob.b, at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         kind = b[p + 1]
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = blob.first(b"\xff\xd9", p)
             return end + 2 - at if end > 0 else 0
         n = struct.unpack_from(">H", b, p + 2)[0]
         if n < 2:
@@ -81,7 +126,8 @@ def riff_chunks(b: bytes, at: int) -> Iterator[tuple[bytes, int, int]]:
         p += 8 + n + (n & 1)
 
 
-def riff_length(b: bytes, at: int, form: bytes, needed: set[bytes]) -> int:
+def riff_length(blob: Blob, at: int, form: bytes, needed: set[bytes]) -> int:
+    b = blob.b
     if at + 12 > len(b) or b[at + 8 : at + 12] != form:
         return 0
     n = 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -89,41 +135,46 @@ def riff_length(b: bytes, at: int, form: bytes, needed: set[bytes]) -> int:
     return n if at + n <= len(b) and (needed <= seen or form == b"WEBP" and any(c.startswith(b"VP8") for c in seen)) else 0
 
 
-def bmp_length(b: bytes, at: int) -> int:
+def bmp_length(blob: Blob, at: int) -> int:
+    b = blob.b
     if at + 26 > len(b) or b[at + 6 : at + 10] != bytes(4):
         return 0
     n, start, header = struct.unpack_from("<I", b, at + 2)[0], struct.unpack_from("<I", b, at + 10)[0], struct.unpack_from("<I", b, at + 14)[0]
     return n if header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= n and at + n <= len(b) else 0
 
 
-def pdf_length(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+def pdf_length(blob: Blob, at: int) -> int:
+    """Up to the last end mark before the next header: linearised and updated files have several."""
+    nxt = blob.first(b"%PDF-", at + 1)
+    end = blob.last(b"%%EOF", at, nxt if nxt >= 0 else len(blob.b))
+    return end + 5 - at if end > 0 and blob.last(b"startxref", at, end) >= 0 else 0
 
 
-def zip_length(b: bytes, at: int) -> int:
-    """Up to the end-of-directory record whose offsets agree with this start."""
-    p = b.find(b"PK\x05\x06", at)
-    if p < 0 or p + 22 > len(b):
-        return 0
-    n, start = struct.unpack_from("<II", b, p + 12)
-    return p + 22 + struct.unpack_from("<H", b, p + 20)[0] - at if at + start + n == p else 0
+def zip_length(blob: Blob, at: int) -> int:
+    """Up to an end-of-directory record whose offsets agree with this start; archives stored inside have their own."""
+    return blob.zips.get(at, at) - at
 
 
-def gzip_length(b: bytes, at: int) -> int:
+def gzip_length(blob: Blob, at: int) -> int:
+    """Inflates piece by piece, keeping nothing, until the stream ends."""
+    b = blob.b
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return 0
-    d = zlib.decompressobj(31)
+    d, p = zlib.decompressobj(31), at
     try:
-        d.decompress(b[at:])
+        while p < len(b) and not d.eof:
+            d.decompress(b[p : p + PIECE], PIECE)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, PIECE)
+            p += PIECE
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    return min(p, len(b)) - len(d.unused_data) - at if d.eof else 0
 
 
-def flac_length(b: bytes, at: int) -> int:
+def flac_length(blob: Blob, at: int) -> int:
     """Metadata blocks only: frames carry no total length, so the rest of the bytes belongs to it."""
-    p = at + 4
+    b, p = blob.b, at + 4
     while p + 4 <= len(b):
         last, n = b[p] & 0x80, int.from_bytes(b[p + 1 : p + 4], "big")
         if p == at + 4 and (b[p] & 0x7F or n != 34):
@@ -134,9 +185,9 @@ def flac_length(b: bytes, at: int) -> int:
     return 0
 
 
-def ogg_length(b: bytes, at: int) -> int:
+def ogg_length(blob: Blob, at: int) -> int:
     """Walks pages until the one that ends the stream."""
-    p = at
+    b, p = blob.b, at
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS":
         n = b[p + 26]
         if p + 27 + n > len(b):
@@ -148,7 +199,7 @@ def ogg_length(b: bytes, at: int) -> int:
 
 
 #: Magic bytes, the type they announce, and the check of structure and length (0: not valid).
-FORMATS: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Blob, int], int]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", png_length),
     (b"GIF87a", "image/gif", gif_length),
     (b"GIF89a", "image/gif", gif_length),
@@ -176,11 +227,11 @@ def magic_automaton() -> ahocorasick.Automaton:
 
 def sniff(b: bytes) -> list[tuple[str, int, int]]:
     """Valid media in ``b``: (type, offset, length), by offset; the longer first at one offset."""
-    found = []
+    found, blob = [], Blob(b)
     for end, (n, kinds) in magic_automaton().iter(b.decode("latin-1")):
         at = end - n + 1
         for kind, check in kinds:
-            if length := check(b, at):
+            if length := check(blob, at):
                 found.append((kind, at, length))
     return sorted(found, key=lambda x: (x[1], -x[2]))
 
@@ -206,8 +257,9 @@ def sniff_media(df: DataFrame, media_col: str = "media", declared_col: str = "de
     none does), media_length (its length by its own structure, null if none), type_corrected, and
     embedded: array<struct<type, offset, length>> of valid media inside, found at other offsets
     and not inside one another. ``carve`` cuts them out. Null media: nothing detected, no embedded
-    ones, the declared type kept. Rows are independent: no shuffle.
+    ones, the declared type kept. Rows are independent: no shuffle. Columns that have these names are replaced.
     """
+    df = df.drop("detected_type", "media_length", "type_corrected", "embedded")
 
     def work(media: list[bytes | None], declared: list) -> list[list]:
         kinds, lengths, corrected, inside = [], [], [], []
