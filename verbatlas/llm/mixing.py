@@ -164,5 +164,5 @@ def mix_to_targets(docs: DataFrame, id_col: str = "doc_id", source_col: str = "s
     rule = lookup(rule, extra, "source", "left") if extra is not None else rule.withColumn("more", F.lit(None).cast("array<bigint>"))
     final = ranked(lookup(rows, rule, "source"))
     sampled = F.col("rank").isNotNull() & (F.col("last_rank").isNull() | (F.col("rank") <= F.col("last_rank")) | F.coalesce(F.array_contains("more", F.col("rank")), F.lit(False)))
-    final = final.withColumn("copies", F.col("whole") + sampled.cast("long"))
+    final = final.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + sampled.cast("long")).otherwise(F.lit(0).cast("long")))
     return final.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

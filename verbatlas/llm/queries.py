@@ -122,7 +122,7 @@ x1 AS (SELECT a.source, min_by(rank, (abs(size - gap), rank)) AS r1 FROM a JOIN
 b1 AS (SELECT a.*, taken0 OR coalesce(rank = r1, false) AS taken1 FROM a LEFT JOIN x1 ON a.source IS NOT DISTINCT FROM x1.source),
 g2 AS (SELECT source, max(budget) - sum(CASE WHEN taken1 THEN size ELSE 0 END) AS gap FROM b1 WHERE rank IS NOT NULL GROUP BY 1),
 x2 AS (SELECT b1.source, min_by(rank, (abs(size - gap), rank)) AS r2 FROM b1 JOIN g2 ON b1.source IS NOT DISTINCT FROM g2.source WHERE rank IS NOT NULL AND NOT taken1 AND size < 2 * gap GROUP BY 1)
-SELECT doc_id, size, b1.source, ss AS source_size, target, (size * (whole + (taken1 OR coalesce(rank = r2, false))::int))::BIGINT AS taken, (whole + (taken1 OR coalesce(rank = r2, false))::int)::BIGINT AS copies FROM b1 LEFT JOIN x2 ON b1.source IS NOT DISTINCT FROM x2.source""",
+SELECT doc_id, size, b1.source, ss AS source_size, target, (size * (whole + (taken1 OR coalesce(rank = r2, false))::int))::BIGINT AS taken, (CASE WHEN size > 0 THEN whole + (taken1 OR coalesce(rank = r2, false))::int ELSE 0 END)::BIGINT AS copies FROM b1 LEFT JOIN x2 ON b1.source IS NOT DISTINCT FROM x2.source""",
     "op6_jaccard": f"""WITH RECURSIVE d AS (SELECT doc_id, {_RUNS.format(f"coalesce({_LOWER}, '')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(generate_series(1, len(w) - 2), lambda k: array_to_string(w[k:k + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
 g AS (SELECT doc_id, unnest(s) AS i, len(s) AS n FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, max(x.n) AS na, max(y.n) AS nb FROM g x JOIN g y ON x.i = y.i AND x.doc_id <> y.doc_id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY 1, 2),
