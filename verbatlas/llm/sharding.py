@@ -113,8 +113,8 @@ def assign_shards(docs: DataFrame, n_shards: int, text_col: str = "text", size:
     Groups of equal texts are atomic and ordered by the text's hash, so that a group of copies,
     however many rows it has, is one (key, bytes) row after partial aggregation. A group as large
     as an equal share of what is left gets a shard of its own (at most ``n_shards`` such groups are
-    looked at); the rest is cut at the smallest feasible capacity. Assignment is then an expression
-    on the row itself, without a join.
+    looked at): every partition has a shard at least as large, and the rest, cut at its own smallest feasible capacity, keeps
+    shards near equal. Assignment is then an expression on the row itself, without a join.
 
     Null texts are treated as empty. An empty table gives an empty result.
     """
@@ -139,16 +139,22 @@ def assign_shards(docs: DataFrame, n_shards: int, text_col: str = "text", size:
 
 
 def number_slots(rows: DataFrame, id_col: str, tie: str) -> DataFrame:
-    """``rows`` with ``slot``: gapless from 0 in each shard, without one task that holds a shard.
+    """``rows`` with ``slot``: gapless from 0 in each shard, without one task that holds a shard or a group of equal rows.
 
-    Rows are counted in SLOT_CELLS cells of a shard; the cells' prefix sums (a bounded table) give
-    offsets. Rows that agree in ``id_col`` and ``tie`` are interchangeable.
+    Equal rows are counted first, task by task, so that a group of any size is a few counts. Counts fall into cells of a shard (about
+    a million rows each, SLOT_CELLS at least), whose prefix sums (a bounded table) give offsets; each count is dealt out anew
+    before it becomes rows again. Rows that agree in all columns are interchangeable.
     """
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(id_col, tie), F.lit(SLOT_CELLS)).cast("int"))
+    columns = rows.columns
+    cells = max(SLOT_CELLS, rows.count() // 1_000_000)
+    counts = rows.withColumn("_part", F.spark_partition_id()).groupBy(*columns, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_cell", F.pmod(F.xxhash64(id_col, tie), F.lit(cells)).cast("int"))
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("shard", "_cell").agg(F.count("*").alias("_n")).select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_cell").orderBy(id_col, tie)
-    return rows.withColumn("_at", F.row_number().over(within)).join(offsets, ["shard", "_cell"]).withColumn("slot", F.col("_before") + F.col("_at") - 1).drop("_cell", "_at", "_before")
+    offsets = rows.groupBy("shard", F.pmod(F.xxhash64(id_col, tie), F.lit(cells)).cast("int").alias("_cell")).agg(F.count("*").alias("_all")).select("shard", "_cell", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("shard", "_cell").orderBy(id_col, tie, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(offsets, ["shard", "_cell"]).withColumn("_from", F.col("_before") + F.col("_at"))
+    dealt = placed.select(*columns, "_from", "_n").repartition("_from", "shard")
+    return dealt.withColumn("slot", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1))).select(*columns, "slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
