@@ -10,40 +10,66 @@ from verbatlas.llm.jaccard import jaccard_groups
 from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.mixing import mix_to_targets
 from verbatlas.llm.sharding import assign_shards, number_slots
-from verbatlas.operators.joins import lookup
 from verbatlas.sources.shared import stash
 
 N_SHARDS = 8
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row's whole content, under which rows are decided: ids may be null or repeat.
+
+    Rows with one key are equal in every column.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    present = [F.col(c).isNull() for c in docs.columns]
+    return docs.withColumn("_key", F.concat(*[F.hex(F.xxhash64(F.lit(i), *columns, *present)) for i in (1, 2)]))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those too far from every language, or without letters, go.
 
-    A document's row is looked up by its id: repeated ids go only if every row of theirs is rejected.
+    Each row is decided by itself, whatever its id.
     """
-    kept = identify_held_out(docs).groupBy("doc_id").agg(F.min("rejected").alias("_rejected"))
-    return lookup(docs, kept.where(~F.col("_rejected")), "doc_id").select(docs.columns)
+    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
+    return identify_held_out(whole, keep=("_row",)).where(~F.col("rejected")).select("_row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id; documents without id stay."""
-    groups = jaccard_groups(docs, width=5, num=80, den=100).select("doc_id", "component_id").distinct()
-    kept = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return lookup(docs, kept, "doc_id").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows are compared whatever their id; a row without id stays only if its group has none with one. Of equal rows
+    one stays. Documents without words are no copies of anything and all stay.
+    """
+    docs = keyed(docs)
+    groups = jaccard_groups(docs.select("_key", "text"), width=5, num=80, den=100, id_col="_key")
+    rows = groups.groupBy("_key").agg(F.min("component_id").alias("component"), F.max("n_shingles").alias("_words"), F.count("*").alias("_n"))
+    ids = docs.groupBy("_key").agg(F.first("doc_id").alias("doc_id"))
+    rows = rows.join(ids, "_key").withColumn("_group", F.when(F.col("_words") > 0, F.col("component")).otherwise(F.col("_key")))
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key")))
+    kept = rows.groupBy("_group").agg(least.alias("_least")).select(F.col("_least._key").alias("_key"))
+    kept = stash(rows.join(kept, "_key").select("_key", ((F.col("_n") > 1) & (F.col("_words") > 0)).alias("_many")), "pipeline-kept")
+    found = docs.join(kept, "_key")
+    once = found.where("_many").dropDuplicates(["_key"])
+    return found.where("NOT _many").unionByName(once).select([c for c in docs.columns if c != "_key"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return lookup(docs, found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that overlap no benchmark item; each row is decided by its own text, whatever its id."""
+    rows = keyed(docs)
+    found = contaminated(rows.select("_key", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select("_key").distinct()
+    return rows.join(found, "_key", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that it takes of a document; documents that it takes none of go."""
-    copies = mix_to_targets(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = copies.withColumnRenamed("source", "_source")
-    joined = lookup(docs, taken, "doc_id").where(F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """The mix: a row for each copy that it takes of a document; documents that it takes none of go.
+
+    Equal rows are drawn one by one, and their copies come from one of them.
+    """
+    rows = keyed(docs)
+    taken = mix_to_targets(rows.select("_key", "source", "text"), id_col="_key").groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")).where("_copies > 0")
+    found = rows.join(taken, "_key")
+    found = found.where("_n = 1").unionByName(found.where("_n > 1").dropDuplicates(["_key"]))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

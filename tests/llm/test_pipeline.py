@@ -15,28 +15,30 @@ from verbatlas.llm.sharding import KEY_BITS
 
 
 def pareto_copies(docs):
-    """doc_id -> copies, by the stated rule in plain Python."""
+    """key -> copies of (key, source, text), by the stated rule in plain Python."""
     size = {d: len((t or "").split()) for d, _, t in docs}
+    text = {d: t or "" for d, _, t in docs}
     by = defaultdict(list)
     for d, s, _ in docs:
         by[s].append(d)
     targets = filled({s: sum(size[d] for d in ids) for s, ids in by.items()}, (5, 2, 1), 3)
     copies = {}
     for s, ids in by.items():
-        total = sum(size[d] for d in ids)
-        rate = targets[s] / total if total else 0.0
-        whole, part = math.floor(rate), rate - math.floor(rate)
-        copies |= {d: whole for d in ids}
-        if not part:
-            continue
-        budget = max(0.0, targets[s] - whole * total)
-        rank = {}
+        low, high = 0.0, 1000.0  # expected copies: min(3, level * binary digits of the size), by bisection
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(3, level * size[d].bit_length()) * size[d] for d in ids) < targets[s] else (low, level)
+        rate = {d: min(3, level * max(1, size[d].bit_length())) for d in ids}
+        whole, part = {d: math.floor(rate[d]) for d in ids}, {d: rate[d] - math.floor(rate[d]) for d in ids}
+        copies |= {d: whole[d] if size[d] else 0 for d in ids}
+        budget = max(0.0, targets[s] - sum(whole[d] * size[d] for d in ids))
+        order = []
         for d in ids:
-            u = (int(hashlib.md5(f"mix-1|{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            q = (u / (1 - u)) / (part / (1 - part))
-            rank[d] = math.floor(q / (1 + q) * 2**48)
+            u = (int(hashlib.md5(f"mix-1|{d}|{hashlib.md5(text[d].encode()).hexdigest()}|1".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if part[d] and size[d]:
+                order.append(((u / (1 - u)) / (part[d] / (1 - part[d])), d))
+        order = [d for _, d in sorted(order)]
         got, chosen = 0, set()
-        order = sorted((d for d in ids if size[d]), key=rank.get)
         for d in order:
             if got + size[d] > budget:
                 break
@@ -46,7 +48,7 @@ def pareto_copies(docs):
             gap = budget - got
             rest = [d for d in order if d not in chosen and size[d] < 2 * gap]
             if rest:
-                d = min(rest, key=lambda d: (abs(size[d] - gap), rank[d]))
+                d = min(rest, key=lambda d: (abs(size[d] - gap), order.index(d)))
                 got += size[d]
                 chosen.add(d)
         for d in chosen:
@@ -98,7 +100,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     three = stage["decontamination"](spark, two, sf)
     assert sorted(map(tuple, three.collect())) == sorted(kept)
 
-    copies = pareto_copies([(r[0], r[3], r[1]) for r in kept])
+    key = {r.doc_id: r._key for r in corpus_pipeline.keyed(three).collect()}
+    by_key = pareto_copies([(key[r[0]], r[3], r[1]) for r in kept])
+    copies = {d: by_key[k] for d, k in key.items()}
     four = stage["mixing"](spark, three, sf)
     assert Counter(r.doc_id for r in four.collect()) == Counter({d: n for d, n in copies.items() if n})
     assert four.columns == docs.columns
@@ -117,7 +121,36 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(None, "kalo melo kalo", "aa", "s1", 5)] * 2])
-def test_odd_tables_pass_through(spark, tmp_path, rows):
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)]])
+def test_tables_without_words_give_nothing(spark, tmp_path, rows):
     sf = make(spark, tmp_path, rows, [(1, None)])
-    assert corpus_pipeline.run(spark, sf).count() <= 6
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_rows_are_decided_one_by_one_whatever_their_ids(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: f"ka{rng.randrange(900)}lo"
+    text = lambda n=30: " ".join(word() for _ in range(n))
+    item = text(20)
+    clean = [(None, text(), "aa", "s1", 1), (None, text(), "aa", "s2", 1), (5, text(), "aa", "s1", 1), (5, text(), "aa", "s1", 2), (6, text(), "aa", "s2", 3)]
+    dirty = [(None, f"{text()} {item}", "aa", "s1", 1), (5, f"{item} {text()}", "aa", "s1", 1)]
+    twins = [(7, clean[4][1], "aa", "s2", 3), (None, clean[4][1], "aa", "s2", 3), clean[4], clean[0]]
+    more = [(100 + i, text(), "aa", f"s{i % 2}", 0) for i in range(60)]
+    sf = make(spark, tmp_path, clean + dirty + twins + more, [(1, item)])
+    docs, stage = spark.read.parquet(f"{sf}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(stage["language"](spark, docs, sf)) == rows(docs)
+    deduped = stage["near_duplicates"](spark, docs, sf)
+    assert rows(deduped) == sorted(clean + dirty + more, key=str)
+    assert rows(stage["decontamination"](spark, docs, sf)) == sorted(clean + twins + more, key=str)
+    mixed = Counter(map(tuple, stage["mixing"](spark, docs, sf).collect()))
+    assert set(mixed) <= set(clean + dirty + twins + more) and all(n <= 3 * (2 if r in (clean[0], clean[4]) else 1) for r, n in mixed.items())
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "decontamination", "mixing"])
+def test_stages_return_the_columns_of_documents(spark, tmp_path, name):
+    sf = make(spark, tmp_path, [(None, "kalo melo kalo", "aa", "s1", 5)] * 3 + [(1, "", None, None, None)], [(1, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    assert out.columns == docs.columns
+    assert out.count() == {"language": 0, "near_duplicates": 2, "decontamination": 4, "mixing": 3}[name]

@@ -36,7 +36,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
             if n == width or (counts == n).any():
                 code = np.full(max(len(h) - n + 1, 0), n, np.uint64)
                 for i in range(n):
-                    code = mixed(code * _BASE + h[i : len(h) - n + 1 + i])
+                    code = mixed(code * _BASE + h[i : len(code) + i])
                 codes[n] = code
         for stop, count in zip(stops.tolist(), counts.tolist(), strict=True):
             n = min(width, count)
