@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from verbatlas.functions.text import bound
 
@@ -81,10 +79,15 @@ def poisson_tail_upper(k: Column, lam: Column) -> Column:
     return F.when(k <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below))
 
 
-@F.pandas_udf(DoubleType())
-def chi2_sf_1df(x: pd.Series) -> pd.Series:
-    """Survival of chi-squared with one degree of freedom; Spark has no erfc."""
-    return x.map(lambda v: None if v is None or v != v else 1.0 if v <= 0 else math.erfc(math.sqrt(v / 2)))
+def chi2_sf_1df(x: Column) -> Column:
+    """Survival of chi-squared with one degree of freedom, erfc(sqrt(x / 2)): a series below 2, a continued fraction above. Null and NaN give null, 1 up to 0."""
+
+    def of(z: Column) -> Column:
+        terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("t"), z.alias("s")), lambda a, i: F.struct((-a["t"] * z * z / i).alias("t"), (a["s"] - a["t"] * z * z / i / (2 * i + 1)).alias("s")), lambda a: a["s"])
+        tail = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), z, lambda f, k: z + k / 2.0 / f)
+        return F.when(z < 2, 1 - 2 / math.sqrt(math.pi) * terms).otherwise(F.exp(-z * z) / (math.sqrt(math.pi) * tail))
+
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).when(x <= 0, 1.0).otherwise(bound(F.sqrt(F.greatest(x, F.lit(0.0)) / 2), of))
 
 
 def assess(observed: Column, n: Column, rate: Column, alpha: float = 0.05) -> Column:

@@ -27,7 +27,7 @@ def validate(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None) -> DataFrame:
     """claim_id, term, surface, at, order: terms named in a claim's text, in order of first mention.
 
-    ``lexicon``: surface (lower case), term. Each term is found by its longest surface that occurs.
+    ``lexicon``: surface (lower case), term. Each term is found by its longest surface that stands there between word borders.
     Claims meet the lexicon by the surface's first word, so the join is on a key, then the whole surface is looked for.
     """
     from verbatlas.functions.text import words
@@ -35,7 +35,7 @@ def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None
     text = claims.select("claim_id", F.lower("text").alias("text"))
     tokens = text.select("claim_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("first"))
     entries = lexicon.where(F.length("surface") > 2).select("surface", "term", F.element_at(words(F.col("surface")), 1).alias("first"))
-    hits = tokens.join(entries, "first").withColumn("at", F.instr(F.col("text"), F.col("surface"))).where("at > 0")
+    hits = tokens.join(entries, "first").withColumn("at", F.regexp_instr(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("surface"), F.lit(r"\E(?![\p{L}\p{N}])")))).where("at > 0")
     best = Window.partitionBy("claim_id", "term").orderBy(F.desc(F.length("surface")), "surface")
     one = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
     out = one.withColumn("order", F.row_number().over(Window.partitionBy("claim_id").orderBy("at", "term"))).select("claim_id", "term", "surface", "at", "order")

@@ -27,10 +27,12 @@ def matching(occurrences: DataFrame, units: DataFrame, terms: Sequence[str] | No
 
 
 def totals(found: DataFrame) -> DataFrame:
+    """One row: all hits and their distinct units; an empty frame gives zeros, null units count in total only."""
     return found.agg(F.count("*").alias("total"), F.countDistinct("unit_id").alias("units"))
 
 
 def by(found: DataFrame, *keys: str) -> DataFrame:
+    """Hits and distinct units by ``keys``; null keys are a group of their own."""
     return found.groupBy(*keys).agg(F.count("*").alias("total"), F.countDistinct("unit_id").alias("units"))
 
 
@@ -74,6 +76,7 @@ def phrase_search(units: DataFrame, phrase: str, strict: Column | None = None, l
 
 
 def phrase_positions(hits: DataFrame, phrase: Column, text: Column) -> DataFrame:
+    """``hits`` with the 1-based word positions of the phrase; none where it does not stand or the text is null."""
     return hits.withColumn("positions", T.positions_of(T.words(text), T.words(phrase)))
 
 
@@ -85,6 +88,7 @@ def unit_with_editions(units: DataFrame, translations: DataFrame, section: int,
 
 
 def unit_range(units: DataFrame, section: int, start: int, end: int) -> DataFrame:
+    """Units of a section from ``start`` to ``end``, both included, in order; none if the range is empty."""
     return units.where((F.col("section_id") == section) & F.col("unit_num").between(start, end)).orderBy("unit_num")
 
 
@@ -104,7 +108,13 @@ def profile(found: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
     return view.groupingSets([list(map(F.col, g)) for g in groups], *columns).agg(F.count("*").alias("total"), name.alias("grouping"), value.alias("value")).select("grouping", "value", "total")
 
 
+def section_list(units: DataFrame) -> DataFrame:
+    """section_id, ordinal, units, words of every section; units without a section are listed under null."""
+    return units.groupBy("section_id").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("units"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
+
+
 def corpus_totals(units: DataFrame, expected: int | None = None) -> DataFrame:
+    """One row of counts, with whether ``expected`` units are there (null if none is named); an empty corpus counts 0."""
     out = units.agg(F.count("*").alias("units"), F.countDistinct("section_id").alias("sections"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.max("n_words"), F.lit(0)).alias("longest"))
     return out.withColumn("complete", F.lit(None).cast("boolean") if expected is None else F.col("units") == expected)
 

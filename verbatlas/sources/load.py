@@ -18,6 +18,7 @@ EXTERNAL = "metadata struct<name:string>, chapters array<struct<id:long,english:
 LEXICON = "root string, headword string, text string, ref string"
 GOLDEN = "id string, tier string, kind string, question string, source_of_truth string, tool string, args string, expect string"
 # Fixed tag values of the annotation format.
+PERSON_GENDER_NUMBER = "^[123]?[MF]?[SDP]$"
 ASPECTS, CASES, STATES = ("PERF", "IMPF", "IMPV"), ("NOM", "ACC", "GEN"), ("DEF", "INDEF")
 DERIVATIONS = ("ACT_PCPL", "PASS_PCPL", "VN", "ADJ", "SUP")
 TAGS = (
@@ -26,14 +27,14 @@ TAGS = (
 )
 
 
-def read_edition(spark: SparkSession, path: str) -> DataFrame:
-    """section_id, unit_num, text of a JSON edition."""
-    return spark.read.schema(EDITION).option("multiLine", True).json(path).select(F.explode("quran").alias("q")).select(F.col("q.chapter").alias("section_id"), F.col("q.verse").alias("unit_num"), F.col("q.text").alias("text"))
+def read_edition(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """section_id, unit_num, text of a JSON edition: a document a file, or (in parts, for large ones) a line."""
+    return spark.read.schema(EDITION).option("multiLine", one_document).json(path).select(F.explode("quran").alias("q")).select(F.col("q.chapter").alias("section_id"), F.col("q.verse").alias("unit_num"), F.col("q.text").alias("text"))
 
 
-def read_structure(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each unit with its section's names and cohort."""
-    chapters = spark.read.schema(STRUCTURE).option("multiLine", True).json(path).select(F.explode("chapters").alias("c"))
+def read_structure(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """A row for each unit with its section's names and cohort; a document a file, or a line."""
+    chapters = spark.read.schema(STRUCTURE).option("multiLine", one_document).json(path).select(F.explode("chapters").alias("c"))
     return chapters.select(F.col("c.chapter").alias("section_id"), F.col("c.englishname").alias("section_name"), F.lower("c.revelation").alias("cohort"), F.explode("c.verses").alias("v")).select("section_id", "section_name", "cohort", F.col("v.verse").alias("unit_num"), F.col("v.juz").alias("juz"), F.col("v.ruku").alias("block_id"), F.col("v.page").alias("page"))
 
 
@@ -95,16 +96,16 @@ def parse_features(bundle: Column) -> Column:
     def last_of(values: Sequence[str]) -> Column:
         return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(plain, lambda x: x.isin(*values))), -1)
 
-    marks = F.filter(plain, lambda x: x.rlike("^[123]?[MF]?[SDP]$") & ~x.isin(*TAGS))
+    marks = F.filter(plain, lambda x: x.rlike(PERSON_GENDER_NUMBER) & ~x.isin(*TAGS))
 
     def mark(pattern: str, more: Sequence[str] = ()) -> Column:
-        source = F.filter(plain, lambda x: (x.rlike("^[123]?[MF]?[SDP]$") & ~x.isin(*TAGS)) | x.isin(*more)) if more else marks
+        source = F.filter(plain, lambda x: (x.rlike(PERSON_GENDER_NUMBER) & ~x.isin(*TAGS)) | x.isin(*more)) if more else marks
         found = F.filter(F.transform(source, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
         return F.element_at(F.concat(F.array(F.lit(None).cast("string")), found), -1)
 
     promoted = ("ROOT", "LEM", "VF", "MOOD")
     known = (*ASPECTS, *CASES, *STATES, *DERIVATIONS, "PREF", "SUFF", "PASS", "M", "F")
-    others = F.filter(plain, lambda x: ~x.isin(*known) & ~(x.rlike("^[123]?[MF]?[SDP]$") & ~x.isin(*TAGS)))
+    others = F.filter(plain, lambda x: ~x.isin(*known) & ~(x.rlike(PERSON_GENDER_NUMBER) & ~x.isin(*TAGS)))
     tags = F.filter(others, lambda x: x.isin(*TAGS))
     rest = F.filter(keyed, lambda x: ~F.substring_index(x, ":", 1).isin(*promoted))
     aspect = last_of(ASPECTS)
@@ -197,6 +198,7 @@ def load_lexicon(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
 
 
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Golden items from JSON lines; absent fields are null, repeated items stay."""
     return spark.read.schema(GOLDEN).json(path)
 
 
