@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.text import bound
+from verbatlas.operators.ranks import running, suffix_minimum
 
 #: Numbers whose match to a count proves nothing by itself (fixed values).
 LOADED, LOADED_RATIOS = (7, 19, 40, 99, 114, 786), (7, 19, 114)
@@ -120,20 +121,28 @@ def assess(observed: Column, n: Column, rate: Column, alpha: float = 0.05) -> Co
 def correct_multiple(results: DataFrame, p_col: str = "p_value", family: tuple[str, ...] = (), order: tuple[str, ...] = (), method: str = "benjamini_hochberg", alpha: float = 0.05) -> DataFrame:
     """``results`` with corrected_p and within_chance over each ``family`` of tests (all, if none is named).
 
-    The step-down minimum needs a family in order: families are sweeps over a vocabulary, a row
-    for each test. Null p-values count as 1.
+    Without a family all tests are one, however many there are: they are ranked over ranges of p, and no task holds them all. Named families are
+    ranked each in a window. Null p-values count as 1; ties in p get equal corrected values.
     """
     p = F.coalesce(F.col(p_col), F.lit(1.0))
-    every = Window.partitionBy(*family)
+    if method not in ("bonferroni", "benjamini_hochberg"):
+        raise ValueError(f"unknown method {method}")
+    if family:
+        every = Window.partitionBy(*family)
+        out = results.withColumn("_m", F.count("*").over(every))
+    else:
+        out = results.join(F.broadcast(results.agg(F.count("*").alias("_m"))))  # a one-row side
     if method == "bonferroni":
-        out = results.withColumn("corrected_p", F.least(F.lit(1.0), p * F.count("*").over(every)))
-    elif method == "benjamini_hochberg":
+        out = out.withColumn("corrected_p", F.least(F.lit(1.0), p * F.col("_m"))).drop("_m")
+    elif family:
         up = every.orderBy(p.asc(), *order)
-        ranked = results.withColumns({"_rank": F.row_number().over(up), "_m": F.count("*").over(every)})
         down = every.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = out.withColumn("_rank", F.row_number().over(up))
         out = ranked.withColumn("corrected_p", F.least(F.lit(1.0), F.min(p * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
     else:
-        raise ValueError(f"unknown method {method}")
+        ranked = running(out, [p.asc(), *map(F.col, order)])
+        found = suffix_minimum(ranked, p * F.col("_m") / F.col("_rank"), "_rank", "_least")
+        out = found.withColumn("corrected_p", F.least(F.lit(1.0), F.col("_least"))).drop("_rank", "_m", "_least")
     return out.withColumn("within_chance", F.col("corrected_p") >= alpha)
 
 

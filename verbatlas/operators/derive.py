@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions.text import bound, shingles
 from verbatlas.operators.components import connected_components
+from verbatlas.sources.shared import stash
 
 
 def term_counts(occurrences: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -47,7 +48,61 @@ def similar_sets(items: DataFrame, threshold: float, least_shared: int = 1, df_m
     return scored.where((F.col("score") >= threshold) & (F.col("shared") >= least_shared))
 
 
+def equal_groups(items: DataFrame, key: str = "unit_id", item: str = "item") -> DataFrame:
+    """key, rep, size, copies: sets that are equal share a representative, their smallest key.
+
+    ``items``: key, item, distinct. Sets are told apart by their size and two 64-bit sums of item hashes, which tasks add up before the
+    shuffle, so neither a large set nor a large group of equal ones is gathered.
+    """
+    sums = items.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64(item)).alias("_h1"), F.bit_xor(F.xxhash64(F.lit("second"), item)).alias("_h2"))
+    sums = stash(sums, "sets")
+    groups = sums.groupBy("size", "_h1", "_h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    return sums.join(groups, ["size", "_h1", "_h2"]).select("key", "rep", "size", "copies")
+
+
+def similar_groups(items: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1, key: str = "unit_id", item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """(membership as of ``equal_groups``, pairs of representatives as of ``similar_sets``).
+
+    Copies are never paired with one another: a group of m copies is m rows of membership. No link between different sets is lost.
+    """
+    members = stash(equal_groups(items, key, item), "set-groups")
+    own = items.join(members.where(F.col("key") == F.col("rep")).select(F.col("key").alias(key)), key, "left_semi")
+    return members, similar_sets(own, threshold, least_shared, df_max, least_size, key, item)
+
+
+def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All pairs a < b of members, copies with one another too: m squared rows of m copies, for callers who want that list."""
+    side = members.select("rep", F.col("key").alias("k"), "size")
+    equal = side.join(side.select("rep", F.col("k").alias("l")), "rep").where(F.col("k") < F.col("l")).select(F.col("k").alias("a"), F.col("l").alias("b"), F.col("size").cast("int").alias("shared"), F.col("size").cast("int").alias("size_a"), F.col("size").cast("int").alias("size_b"), F.lit(1.0).alias("score"))
+    left, right = side.select(F.col("rep").alias("a"), F.col("k").alias("ka")), side.select(F.col("rep").alias("b"), F.col("k").alias("kb"))
+    met = pairs.join(left, "a").join(right, "b")
+    flip = F.col("ka") < F.col("kb")
+    both = met.select(F.when(flip, F.col("ka")).otherwise(F.col("kb")).alias("a"), F.when(flip, F.col("kb")).otherwise(F.col("ka")).alias("b"), "shared", F.when(flip, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(flip, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"), "score")
+    return equal.unionByName(both)
+
+
+def group_clusters(members: DataFrame, pairs: DataFrame, least: float = 0.75, least_size: int = 3) -> DataFrame:
+    """unit_id, cluster (smallest member), size: like ``clusters``, from representatives and membership."""
+    found = connected_components(pairs.where(F.col("score") >= least).select("a", "b"))
+    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key").alias("unit_id"), F.coalesce("component", "rep").alias("cluster"))
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") >= least_size)
+    return labelled.join(sizes, "cluster").select("unit_id", "cluster", "size")
+
+
+def group_summary(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row, like ``edge_summary`` over all pairs of members, counted without making them."""
+    groups = stash(members.groupBy("rep").agg(F.max("copies").alias("n"), F.max("key").alias("hi")), "group-sizes")
+    left, right = groups.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hi").alias("ha")), groups.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hi").alias("hb"))
+    met = stash(pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") * F.col("nb")).alias("n"), "score", "ha", "hb"), "group-pairs")
+    counts = groups.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"), F.lit(1.0).alias("score")).unionByName(met.select("n", "score"))
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.when(F.col("score") == 1, F.col("n"))), F.lit(0)).alias("identical"), F.try_divide(F.sum(F.col("n") * F.col("score")), F.sum("n")).alias("mean_score"))
+    reach = groups.select("rep", F.col("hi").alias("far")).unionByName(met.select(F.col("a").alias("rep"), F.col("hb").alias("far"))).unionByName(met.select(F.col("b").alias("rep"), F.col("ha").alias("far"))).groupBy("rep").agg(F.max("far").alias("far"))
+    units = members.join(reach, "rep").agg(F.coalesce(F.sum((F.col("key") < F.col("far")).cast("long")), F.lit(0)).alias("units"))
+    return one.join(F.broadcast(units))  # one-row sides
+
+
 def capped_items(items: DataFrame, df_max: int, item: str = "item") -> DataFrame:
+    """Items in more than ``df_max`` sets, with their number of sets; what a capped search leaves out."""
     return items.groupBy(item).agg(F.count("*").alias("df")).where(F.col("df") > df_max)
 
 
@@ -61,7 +116,7 @@ def near_duplicates(units: DataFrame, tokens: Column, threshold: float = 0.6, le
 
     only_a / only_b: the first 12 words of one side that the other lacks, in order; identical: equal word lists.
     """
-    pairs = similar_sets(shingle_items(units, tokens, n, least_words), threshold, df_max=df_max)
+    pairs = expanded(*similar_groups(shingle_items(units, tokens, n, least_words), threshold, df_max=df_max))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"), "score"))
     words = units.select("unit_id", tokens.alias("w"))
     out = both.join(words.select(F.col("unit_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("unit_id").alias("b"), F.col("w").alias("wb")), "b")
@@ -84,14 +139,22 @@ def content_parallels(occurrences: DataFrame, threshold: float = 0.5, least_shar
 
 
 def quote_links(documents: DataFrame, doc_tokens: Column, units: DataFrame, unit_tokens: Column, n: int = 5, doc_id: str = "doc_id", unit_id: str = "unit_id") -> DataFrame:
-    """doc_id, unit_id, matched_runs, evidence: documents that hold an n-word run of a unit; evidence is the unit's last such run."""
+    """doc_id, unit_id, matched_runs, evidence: documents that hold an n-word run of a unit; evidence is the unit's last such run.
+
+    Runs are hashed where they stand. Documents' hashes meet the units' distinct ones first, so only shared runs are made distinct and shuffled;
+    Spark broadcasts those while they are few. Documents and units with fewer words, or null texts, have no runs; repeated ids count as one.
+    """
+
+    def grams(frame: DataFrame, key: str, tokens: Column, name: str, text: bool) -> DataFrame:
+        def of(t: Column) -> Column:
+            run = lambda i: F.array_join(F.slice(t, i, n), " ")
+            return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.struct(F.xxhash64(run(i)).alias("h"), run(i).alias("gram")) if text else F.xxhash64(run(i))))
 
-    def grams(frame: DataFrame, key: str, tokens: Column, name: str) -> DataFrame:
-        grams_of = bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))))
-        return frame.select(F.col(key).alias(name), F.posexplode(grams_of).alias("pos", "gram"))
+        return frame.select(F.col(key).alias(name), F.posexplode(bound(tokens, of)).alias("pos", "run"))
 
-    docs = grams(documents, doc_id, doc_tokens, "doc_id").select("doc_id", "gram").distinct()
-    return docs.join(grams(units, unit_id, unit_tokens, "unit_id"), "gram").groupBy("doc_id", "unit_id").agg(F.countDistinct("pos").alias("matched_runs"), F.max_by("gram", "pos").alias("evidence"))
+    own = grams(units, unit_id, unit_tokens, "unit_id", True).select("unit_id", "pos", "run.h", "run.gram")
+    docs = grams(documents, doc_id, doc_tokens, "doc_id", False).select("doc_id", F.col("run").alias("h")).join(own.select("h").distinct(), "h", "left_semi").distinct()
+    return docs.join(own, "h").groupBy("doc_id", "unit_id").agg(F.countDistinct("pos").alias("matched_runs"), F.max_by("gram", "pos").alias("evidence"))
 
 
 def mine_conditionals(words: DataFrame, particles: Mapping[str, str]) -> DataFrame:
@@ -138,6 +201,7 @@ def seed_concepts(concepts: DataFrame, occurrences: DataFrame) -> tuple[DataFram
 
 
 def similar_to(edges: DataFrame, unit: int, least: float = 0.6, limit: int = 20) -> DataFrame:
+    """The ``limit`` best edges (a, b, score) from a unit of at least ``least``; ties by b; none for an unknown unit."""
     return edges.where((F.col("a") == unit) & (F.col("score") >= least)).orderBy(F.desc("score"), "b").limit(limit)
 
 
@@ -166,4 +230,5 @@ def clusters(edges: DataFrame, least: float = 0.75, least_size: int = 3) -> Data
 
 
 def edge_summary(edges: DataFrame) -> DataFrame:
+    """One row: pairs, identical ones, their mean score (null without pairs), and units with an edge."""
     return edges.agg(F.count("*").alias("pairs"), F.coalesce(F.sum((F.col("score") == 1).cast("int")), F.lit(0)).alias("identical"), F.avg("score").alias("mean_score"), F.countDistinct("a").alias("units"))

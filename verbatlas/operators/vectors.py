@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors holds in memory.
-QUERY_BLOCK = 4096
+from verbatlas.sources.shared import stash
+
+#: Queries, and vectors, of a block: a pair of blocks is one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,40 +32,57 @@ def topk(vectors: DataFrame, query: list[float], k: int = 20, id_col: str = "vec
 
 
 def knn_batch(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank: the k nearest of all vectors for every query, exactly.
+    """query_id, id, score, rank: the k nearest of all vectors for every query, exactly; ties by id.
 
-    Queries go out in blocks of at most QUERY_BLOCK (a bounded broadcast); each task multiplies its
-    vectors with a block and keeps k for each query, so at most tasks times k candidates of a query are shuffled.
+    Both sides are packed into blocks. Vectors' blocks are dealt to parts, queries' blocks go to every part, and inside a part every block of
+    queries meets every block of vectors; a task holds two blocks at a time, and k candidates of each query and block are ranked at the end. Nothing passes through the driver. Null vectors are
+    left out on both sides; vectors whose length differs from a query's have no score with it; a zero vector scores 0.
     """
-    sc = vectors.sparkSession.sparkContext
-    ordered = queries.select(id_col, F.col(col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-ordered.count() // QUERY_BLOCK))
     id_type = dict(vectors.dtypes)[id_col]
-    out = None
-    for i in range(blocks):
-        rows = ordered.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i).collect()
-        names = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows]).reshape(len(rows), -1)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = sc.broadcast((names, np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            if not names:
-                return
+    blob = f"block int, ids array<{id_type}>, dim int, data binary"
+
+    def blocks(frame: DataFrame, size: int) -> DataFrame:
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            number = TaskContext.get().partitionId() << 12
+
+            def out(dim: int, rows: list) -> pa.RecordBatch:
+                nonlocal number
+                number += 1
+                return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int32()), "ids": pa.array([[r[0] for r in rows]]), "dim": pa.array([dim], pa.int32()), "data": pa.array([np.array([r[1] for r in rows], np.float64).tobytes()], pa.binary())})
+
             for batch in batches:
-                ids = np.array(batch.column(0).to_pylist())
-                v = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                scores = q @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T
+                for name, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    held.setdefault(len(v), []).append((name, [0.0 if x is None else x for x in v]))
+                    if len(held[len(v)]) == size:
+                        yield out(len(v), held.pop(len(v)))
+            for dim, rows in held.items():
+                yield out(dim, rows)
+
+        return frame.where(F.col(col).isNotNull()).select(id_col, F.col(col).cast("array<double>")).mapInArrow(packed, blob)
+
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = stash(blocks(queries, QUERY_BLOCK), "knn-queries").select(F.col("ids").alias("names"), "dim", F.col("data").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    mine = blocks(vectors, VECTOR_BLOCK).select("ids", "dim", "data", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"))
+    met = mine.join(wanted, ["dim", "part"]).select("names", "query", "ids", "data", "dim")
+
+    def unit(data: bytes, dim: int) -> np.ndarray:
+        v = np.frombuffer(data, np.float64).reshape(-1, dim) if dim else np.zeros((0, 0))
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, query, ids, data, dim = (batch.column(j)[i].as_py() for j in range(5))
+                ids = np.array(ids)
+                scores = unit(query, dim) @ unit(data, dim).T
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                picked = order.ravel()
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(names), order.shape[1]), id_col: ids[picked], "score": np.take_along_axis(scores, order, 1).ravel()})
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array(names), order.shape[1]), id_col: ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
 
-        part = vectors.select(id_col, F.col(col).cast("array<double>")).mapInArrow(nearest, f"query_id {id_type}, {id_col} {id_type}, score double")
-        out = part if out is None else out.unionByName(part)
+    found = met.mapInArrow(nearest, f"query_id {id_type}, {id_col} {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def store(vectors: DataFrame, path: str, model: str, dim: int, col: str = "embedding") -> None:

@@ -166,6 +166,10 @@ def dup_pairs(spark, sf):
     return D.similar_sets(D.shingle_items(V.plain_units(spark, sf).select("unit_id", "text"), X.words(F.col("text")), 3, 4), 0.6)
 
 
+def dup_groups(spark, sf):
+    return D.similar_groups(D.shingle_items(V.plain_units(spark, sf).select("unit_id", "text"), X.words(F.col("text")), 3, 4), 0.6)
+
+
 @query("near_duplicates", f"WITH {V.U}" + SH + """, f AS (SELECT a, b, shared, score FROM e UNION ALL SELECT b, a, shared, score FROM e)
 SELECT a, b, shared, round(score, 6) AS score, array_to_string(list_filter(x.tokens, lambda q: NOT list_contains(y.tokens, q))[1:12], ' ') AS only_a, array_to_string(list_filter(y.tokens, lambda q: NOT list_contains(x.tokens, q))[1:12], ' ') AS only_b, x.tokens = y.tokens AS identical
 FROM f JOIN u x ON a = x.unit_id JOIN u y ON b = y.unit_id""")
@@ -176,14 +180,25 @@ def near_duplicates(spark, sf):
 
 @query("dup_summary", f"WITH {V.U}" + SH + " SELECT count(*) AS pairs, coalesce(sum((score = 1)::int), 0) AS identical, round(avg(score), 6) AS mean_score, count(DISTINCT a) AS units FROM e")
 def dup_summary(spark, sf):
-    return D.edge_summary(dup_pairs(spark, sf)).withColumn("mean_score", F.round("mean_score", 6))
+    return D.group_summary(*dup_groups(spark, sf)).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query("dup_clusters", f"WITH RECURSIVE {V.U}" + SH + """, s AS (SELECT a, b FROM e WHERE score >= 0.75 UNION SELECT b, a FROM e WHERE score >= 0.75),
 r AS (SELECT a AS x, a AS y FROM s UNION SELECT r.x, s.b FROM r JOIN s ON r.y = s.a), c AS (SELECT x AS unit_id, min(y) AS cluster FROM r GROUP BY x)
 SELECT unit_id, cluster, size FROM c JOIN (SELECT cluster, count(*) AS size FROM c GROUP BY cluster HAVING count(*) >= 3) USING (cluster)""")
 def dup_clusters(spark, sf):
-    return D.clusters(dup_pairs(spark, sf))
+    return D.group_clusters(*dup_groups(spark, sf))
+
+
+@query("dup_links", f"WITH {V.U}" + SH + ", k AS (SELECT unit_id, list_sort(s) AS k FROM t), m AS (SELECT k, min(unit_id) AS rep FROM k GROUP BY k), n AS (SELECT rep FROM m) SELECT a, b, shared, round(score, 6) AS score FROM e WHERE a IN (SELECT rep FROM n) AND b IN (SELECT rep FROM n)")
+def dup_links(spark, sf):
+    """Near duplicates between representatives of equal texts; ``dup_membership`` has the copies."""
+    return dup_groups(spark, sf)[1].select("a", "b", "shared", F.round("score", 6).alias("score"))
+
+
+@query("dup_membership", f"WITH {V.U}" + SH + ", k AS (SELECT unit_id, list_sort(s) AS k FROM t) SELECT unit_id, min(unit_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS copies FROM k")
+def dup_membership(spark, sf):
+    return dup_groups(spark, sf)[0].select(F.col("key").alias("unit_id"), "rep", "copies")
 
 
 @query("dup_diff")

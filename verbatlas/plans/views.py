@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
+from verbatlas.operators.ranks import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +24,7 @@ def plain_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id, unit_num, block_id: the place of each document in its section, from ids alone."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.substring("source", 4, 10).cast("int").alias("s"))
-    num = F.row_number().over(Window.partitionBy("s").orderBy("unit_id"))
-    return d.select("unit_id", num.alias("unit_num"), F.floor((num - 1) / 10).cast("int").alias("block_id"))
+    return numbered(d, "s", "unit_id", "unit_num").select("unit_id", "unit_num", F.floor((F.col("unit_num") - 1) / 10).cast("int").alias("block_id"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
