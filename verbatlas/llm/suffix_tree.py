@@ -43,6 +43,8 @@ KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 GRAM = _U(1 << 63)
 #: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
 FILTER_BITS = 27
+#: Texts (as a power of two) whose sums come back together.
+GROUP_BITS = 14
 _BLOCK = 15
 
 
@@ -418,6 +420,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
     own = [f for f in slim.schema if f.name != "_text"]
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in own]
     sums = "n_tokens long, n_known long, base_score double, score double"
+    columns_met = [f.name for f in own] + ["n_tokens", "n_known", "base_score", "score", "_row", "_group", "_sums"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -472,7 +475,6 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(own)
-        names_out = [*(f.name for f in own), "n_tokens", "n_known", "base_score", "score", "_row"]
         blank: list[pa.DataType] = []
 
         def parted() -> Iterator[tuple | pa.RecordBatch]:
@@ -482,7 +484,9 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                 text = pa.compute.and_(batch.column(width + 6).is_null(), batch.column(width + 7).is_null())
                 kept = batch.filter(text)
                 if kept.num_rows:
-                    yield pa.RecordBatch.from_arrays(kept.columns[: width + 5], names=names_out)
+                    row = kept.column(width + 4)
+                    group = pa.array(row.to_numpy() >> GROUP_BITS)
+                    yield pa.RecordBatch.from_arrays([*kept.columns[: width + 5], group, pa.nulls(kept.num_rows, pa.binary())], names=columns_met)
                 rest = batch.filter(pa.compute.invert(text))
                 yield from zip(*(rest.column(width + i).to_pylist() for i in (5, 4, 6, 7)), strict=True)
 
@@ -507,18 +511,67 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
             at = Table(key).find(wanted)
             good = at >= 0
             row, at, times = row[good], at[good], times[good].astype(np.int64)
+            if not len(row):
+                continue
             word = ~gram[at]
-            term = np.where(word, np.log10(np.where(word, value[at], 0) + 1.0), value[at]) * times
             ids, back = np.unique(row, return_inverse=True)
             by = lambda x: np.bincount(back, x, len(ids))
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(ids), t) for t in blank), pa.nulls(len(ids), pa.int64()), pa.array(by(np.where(word, times, 0)).astype(np.int64)), pa.array(by(np.where(word, term, 0))), pa.array(by(term)), pa.array(ids)], names=names_out)
+            known = by(np.where(word, times, 0)).astype(np.uint64)
+            words = by(np.where(word, np.log10(np.where(word, value[at], 0) + 1.0) * times, 0))
+            grams = by(np.where(word, 0, value[at] * times)).astype(np.float32)
+            where, blobs = [], []
+            cut = np.flatnonzero(np.diff(ids >> GROUP_BITS, prepend=-1, append=-1))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                some = known[a:b] > 0  # most texts have no rare word in a part
+                place = (ids[a:b] & ((1 << GROUP_BITS) - 1)).astype(np.uint64)
+                where.append(int(ids[a] >> GROUP_BITS))
+                blobs.append(pack([(place, 2), (grams[a:b].view(np.uint32), 4), (known[a:b], 4), (words[a:b][some].view(np.uint64), 8)]))
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in blank), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())), pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], names=columns_met)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the sums of all parts to the texts of a group."""
+        width = len(own)
+
+        def groups() -> Iterator[list[pa.RecordBatch]]:
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                group = batch.column(width + 5).to_numpy()
+                cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    if a < b:
+                        if held and group[a] != last:
+                            yield held
+                            held = []
+                        last = group[a]
+                        held.append(batch.slice(a, b - a))
+            if held:
+                yield held
+
+        for held in groups():
+            table = pa.Table.from_batches(held).combine_chunks()
+            sums = table.column(width + 6)
+            texts = table.filter(sums.is_null())
+            known, words, grams = (np.zeros(1 << GROUP_BITS) for _ in range(3))
+            for blob in sums.drop_null().to_pylist():
+                place, g, k, w = unpack(blob, (2, 4, 4, 8))
+                place = place.astype(np.int64)
+                grams[place] += g.astype(np.uint32).view(np.float32)
+                known[place] += k.astype(np.float64)
+                words[place[k > 0]] += w.view(np.float64)
+            if not texts.num_rows:
+                continue
+            at = texts.column(width + 4).to_numpy() & ((1 << GROUP_BITS) - 1)
+            more = [known[at].astype(np.int64), words[at], words[at] + grams[at]]
+            found = [texts.column(width + 1 + i).to_numpy() + x for i, x in enumerate(more)]
+            out = pa.Table.from_arrays([*texts.columns[: width + 1], *map(pa.array, found)], names=columns_met[: width + 4])
+            yield from out.combine_chunks().to_batches()
 
     made = slim.mapInArrow(score, ", ".join([*names, sums, "_row long, _bucket long, _blob binary"]))
     rest = model.mapInArrow(model_parts, "_bucket long, _model binary")
-    met = dealt(made.unionByName(rest, allowMissingColumns=True), "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long"]))
-    first = [F.first(f"`{f.name}`", ignorenulls=True).alias(f.name) for f in own]
-    total = met.groupBy("_row").agg(*first, F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    met = dealt(made.unionByName(rest, allowMissingColumns=True), "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long, _group long, _sums binary"]))
+    total = dealt(met, "_group").mapInArrow(finish, ", ".join([*names, sums]))
     return total.select(id_col, *keep, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
