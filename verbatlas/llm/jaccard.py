@@ -17,7 +17,9 @@ from verbatlas.operators.components import connected_components
 from verbatlas.sources.shared import stash
 
 #: Index entries that a task holds before it sends them on, and sets in a block of a family.
-FLUSH, FAMILY_BLOCK = 1_000_000, 256
+FLUSH, FAMILY_BLOCK = 1_000_000, 512
+#: Shingles of the distinct sets for each bucket of the index: a task holds one bucket at a time.
+BUCKET_SHINGLES = 2_000_000
 #: Columns of a dense block of differences at a time.
 DENSE = 1 << 14
 #: Least bits of a set's parity sketch (large sets have at least twice as many as shingles), and sets in a block when least sketches are compared.
@@ -271,14 +273,14 @@ def block_edges(blocks: np.ndarray, bounds: Bounds) -> list[tuple[int, int]]:
     return edges
 
 
-def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds) -> DataFrame:
+def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds, shingles: int) -> DataFrame:
     """a, b: edges that connect every two different sets which may be linked.
 
     Tasks index their own texts, merge the blocks they share (so that a hot list shrinks to its
     distinct sizes and positions before the shuffle) and send entries in one binary value for each
-    of the shuffle's partitions.
+    bucket. There are as many buckets as the shuffle has partitions, more where the table has many ``shingles``, so that a bucket is of bounded size.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -311,32 +313,28 @@ def candidate_edges(docs: DataFrame, text_col: str, width: int, bounds: Bounds)
             yield flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        edges: list[np.ndarray] = []
-        for batch in batches:
-            for bucket, blob, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(rows, key=lambda r: r[0]):
+            held: list[np.ndarray] = []
+            edges: list[np.ndarray] = []
+            for _, blob, more in group:
                 if blob:
-                    held.setdefault(bucket, []).append(blob)
+                    held.append(unpack(blob))
                 if more:
                     edges.append(np.frombuffer(more, np.int64).reshape(-1, 2))
-        for bucket in list(held):
-            blocks, own = merged_blocks(np.concatenate([unpack(b) for b in held.pop(bucket)]))
-            edges.append(own)
-            new = np.flatnonzero(np.concatenate([[True], blocks["list"][1:] != blocks["list"][:-1], [True]]))
-            found = []
-            for i in np.flatnonzero(np.diff(new) > 1):
-                found += block_edges(blocks[new[i] : new[i + 1]], bounds)
-            edges.append(np.array(found, np.int64).reshape(-1, 2))
-            edges = [np.unique(np.concatenate(edges), axis=0)]
-        all_edges = edges[0] if len(edges) == 1 else np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_pydict({"a": all_edges[:, 0].copy(), "b": all_edges[:, 1].copy()})
+            if held:
+                blocks, own = merged_blocks(np.concatenate(held))
+                del held
+                new = np.flatnonzero(np.concatenate([[True], blocks["list"][1:] != blocks["list"][:-1], [True]]))
+                found = []
+                for i in np.flatnonzero(np.diff(new) > 1):
+                    found += block_edges(blocks[new[i] : new[i + 1]], bounds)
+                edges += [own, np.array(found, np.int64).reshape(-1, 2)]
+            found = np.unique(np.concatenate(edges), axis=0)
+            yield pa.RecordBatch.from_pydict({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
     sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(index, "bucket int, entries binary, edges binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(join, "a long, b long").where("a <> b").distinct()
-
-
-def differences(sets: list[np.ndarray], pivot: np.ndarray) -> list[np.ndarray]:
-    return [np.setxor1d(s, pivot, assume_unique=True) for s in sets]
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a long, b long").where("a <> b").distinct()
 
 
 def shared_differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -356,23 +354,22 @@ def shared_differences(left: list[np.ndarray], right: list[np.ndarray]) -> np.nd
     return np.rint(out).astype(np.int64)
 
 
-def family_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], bounds: Bounds, same: bool) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Edges spanning the links between two blocks (set, copies, shingles) of a family, and linked copies by set.
+def family_links(left: list[tuple[int, int, int, np.ndarray]], right: list[tuple[int, int, int, np.ndarray]], bounds: Bounds, same: bool) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Edges spanning the links between two blocks (set, copies, size, differences) of a family, and linked copies by set.
 
     One set's answers are computed, as differences from it; every other set's answers follow from
     its own few differences: |x ^ y| = |dx| + |dy| - 2 |dx & dy|, which gives their overlap.
     """
-    pivot = left[0][2]
-    dl = differences([s for _, _, s in left], pivot)
-    dr = dl if same else differences([s for _, _, s in right], pivot)
-    sizes = [np.array([len(s) for _, _, s in x], np.int64) for x in (left, right)]
+    dl = [d for *_, d in left]
+    dr = dl if same else [d for *_, d in right]
+    sizes = [np.array([n for _, _, n, _ in x], np.int64) for x in (left, right)]
     apart = [np.array([len(d) for d in x], np.int64) for x in (dl, dr)]
     xor = apart[0][:, None] + apart[1][None] - 2 * shared_differences(dl, dr)
     inter = (sizes[0][:, None] + sizes[1][None] - xor) // 2
     good = bounds.linked(inter, sizes[0][:, None], sizes[1][None])
     if same:
         np.fill_diagonal(good, False)
-    copies = [np.array([c for _, c, _ in x], np.int64) for x in (left, right)]
+    copies = [np.array([c for _, c, *_ in x], np.int64) for x in (left, right)]
     links = {left[i][0]: int(n) for i, n in enumerate(good @ copies[1]) if n}
     if not same:
         links |= {right[j][0]: int(n) for j, n in enumerate(copies[0] @ good) if n}
@@ -439,7 +436,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     Exact: no link is missed or guessed. Equal sets are one set throughout. An index of lists, whose
     entries stand in blocks of equal size and position, gives edges between sets that may be linked
     (blocks that sizes or positions rule out are skipped); their components are families, and wide
-    families are parted by sketches that bound differences. Families are compared block against block, each set by its differences from one of them. Work within a
+    families are parted by sketches that bound differences. Families are compared block against block, each set by its differences from one of them, and of
+    a family of several blocks only those differences travel. Work within a
     family of m different sets grows with m squared over many tasks; nothing is emitted for pairs.
 
     Returns id, n_shingles, n_links (other documents linked directly), component_id (smallest id of
@@ -456,7 +454,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
 
     keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long, sketch binary"), "jaccard-keys")
     live = keys.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    chained = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds)), "jaccard-chains")
+    shingles = live.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    chained = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds, shingles)), "jaccard-chains")
     sketched = live.groupBy("set").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     families = stash(refined_families(chained, sketched, bounds), "jaccard-families")
     blocks = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
@@ -470,17 +469,35 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
         return [[set_key(s) for s in found], [s.tobytes() for s in found]]
 
     made = map_texts(texts, "id", "text", sets_of, "found long, shingles binary", ("set", "component", "copies", "blocks", "block")).where("found = set").dropDuplicates(["set"])
-    pairs = made.select("component", "set", "copies", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set", "copies", "shingles")
+    made = stash(made, "jaccard-members")
+    pivots = made.where("blocks > 1").groupBy("component").agg(F.min_by("shingles", "set").alias("pivot"))
+
+    def lessen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of wide families as their differences from the family's pivot."""
+        for batch in batches:
+            own = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64), assume_unique=True).tobytes() for x, p in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own, pa.binary())], names=["component", "set", "copies", "block", "size", "shingles"])
+
+    sized = made.select("component", "set", "copies", "block", (F.octet_length("shingles") / 8).cast("int").alias("size"), "shingles", "blocks")
+    wide = sized.where("blocks > 1").drop("blocks").join(pivots, "component").mapInArrow(lessen, "component long, set long, copies long, block int, size int, shingles binary")
+    blocks_of = blocks.where("blocks > 1")
+    wide = wide.join(blocks_of, "component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    narrow = sized.where("blocks = 1").withColumn("other", F.lit(0))
+    pairs = narrow.unionByName(wide.select(narrow.columns))
+    pairs = pairs.select("component", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set", "copies", "size", "shingles", (F.col("blocks") > 1).alias("lessened"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for (_, left, right), group in groupby(rows, key=lambda r: r[:3]):
             sides: dict[int, list] = {left: [], right: []}
             for r in group:
-                sides[r[3]].append((r[4], r[5], np.frombuffer(r[6], np.uint64)))
+                sides[r[3]].append((r[4], r[5], r[6], np.frombuffer(r[7], np.uint64)))
+                lessened = r[8]
             if not sides[left] or not sides[right]:
                 continue
+            if not lessened:
+                pivot = sides[left][0][3]
+                sides[left] = [(*x[:3], np.setxor1d(x[3], pivot, assume_unique=True)) for x in sides[left]]
             edges, links = family_links(sides[left], sides[right], bounds, left == right)
             if edges:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in edges] + list(links), "b": [b for _, b in edges] + [None] * len(links), "links": [0] * len(edges) + list(links.values())}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))

@@ -24,32 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it overlaps; null and empty texts have none."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row in one of 8 shards (law ``bytes``); null texts have size 1, equal rows get slots of their own."""
     return shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row; null texts have none, a null source is the last source."""
     return mix_to_targets(table(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every row; null texts score by metadata, null ids have no label."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as stored samples, read back; a null text is an empty one, equal texts have equal values."""
     found = media_features(sniff_media(store_texts(table(spark, sf_dir, "documents"))))
     inside = F.concat(F.lit(";embedded="), F.array_join(F.transform("embedded", lambda e: F.concat_ws("@", e["type"], e["offset"].cast("string"))), ","))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat("feature", inside).alias("feature"), "detected_type", "type_corrected")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes, links and groups of every row; rows without words or id stand alone, repeated ids share their group."""
     return jaccard_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Token counts of every row under the vocabulary at ``tokenizer``; null texts have none."""
     if tokenizer is None:
         import public_tokenizers
 
@@ -58,14 +65,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every row; null texts and texts without letters are ``und`` with score 0, a null id is held out."""
     return identify_held_out(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every row; a null text is an empty one, a null id is held out."""
     return score_held_out(table(spark, sf_dir, "documents"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every row; null texts have none, and nulls for places that are not there."""
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
