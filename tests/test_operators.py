@@ -207,3 +207,74 @@ def test_reviews_need_another_person(spark):
     after, rejected = W.apply_reviews(findings, reviews)
     assert {r.finding_id: r.status for r in after.collect()} == {1: "approved", 2: "in_review", 3: "draft"}
     assert {r.finding_id: r.reason for r in rejected.collect()} == {2: "author reviews own finding", 3: "not in review", 9: "no such finding"}
+
+
+def test_components_with_hubs_equal_union_find(spark, monkeypatch):
+    import random
+
+    from verbatlas.operators import components
+
+    monkeypatch.setattr(components, "HUB_EDGES", 20)
+    monkeypatch.setattr(components, "HUBS", 1_000_000)
+    rng = random.Random(2)
+    edges = [(0, i) for i in range(1, 300)] + [(400 + i, 500) for i in range(60)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(150)] + [(500, 299), (950, 950)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(edges + [(1, None)], "a long, b long")
+    assert {r.node: r.component for r in components.connected_components(frame).collect()} == {x: find(x) for x in root}
+
+
+def test_ranks_over_ranges_equal_one_sorted_list(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from verbatlas.operators.ranks import numbered, running, suffix_minimum
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["x", "y", None]), rng.randrange(50)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, g string, v long").repartition(7)
+    got = {r.id: (r._rank, r.total) for r in running(frame, [F.col("v").asc(), F.col("id").asc()], {"total": F.col("v")}).collect()}
+    total, want = 0, {}
+    for n, (i, _, v) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])), 1):
+        total += v
+        want[i] = (n, total)
+    assert got == want
+    numbers = {r.id: r.n for r in numbered(frame, "g", "id", "n").collect()}
+    for g in ("x", "y", None):
+        assert [numbers[i] for i, own, _ in rows if own == g] == list(range(1, sum(own == g for _, own, _ in rows) + 1))
+    least = {r.id: r.least for r in suffix_minimum(frame, F.col("v"), "id", "least").collect()}
+    assert least == {i: min(v for j, _, v in rows if j >= i) for i, _, _ in rows}
+    assert running(frame.limit(0), [F.col("v")]).count() == 0
+
+
+def test_groups_of_equal_sets_give_the_same_as_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from verbatlas.operators import derive as D
+
+    rng = random.Random(4)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(4, 25))]
+        texts += [" ".join(words)] * rng.choice([1, 1, 3]) + ([" ".join([*words[:-1], "other"])] if rng.random() < 0.4 else [])
+    units = spark.createDataFrame(list(enumerate(texts)), "unit_id long, text string")
+    items = D.shingle_items(units, F.split("text", " "), 3, 4)
+    pairs = D.similar_sets(items, 0.6)
+    members, links = D.similar_groups(items, 0.6)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(D.expanded(members, links)) == rows(pairs) and pairs.count() > 50
+    assert rows(D.group_clusters(members, links)) == rows(D.clusters(pairs))
+    one, two = D.group_summary(members, links).first(), D.edge_summary(pairs).first()
+    assert (one.pairs, one.identical, one.units) == (two.pairs, two.identical, two.units) and abs(one.mean_score - two.mean_score) < 1e-9

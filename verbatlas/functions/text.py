@@ -53,6 +53,7 @@ def search_form(text: Column) -> Column:
 
 
 def align_form(text: Column) -> Column:
+    """``search_form`` with hamza as alef and runs of alef as one, under which two spellings of a word align."""
     return F.regexp_replace(fold_letters(search_form(text), True), ALEF + "{2,}", ALEF)
 
 
@@ -70,6 +71,7 @@ def term_key(value: Column) -> Column:
 
 
 def term_letters(value: Column) -> Column:
+    """The letters of a term's key, in order; none for null and blank."""
     return F.filter(F.split(term_key(value), ""), lambda x: x != "")
 
 
@@ -106,6 +108,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def letter_count(text: Column) -> Column:
+    """Letters without combining marks; null for null."""
     return F.regexp_count(strip_marks(text), F.lit(r"\p{L}"))
 
 
@@ -153,9 +156,11 @@ def quoted_runs(text: Column, least: int = 3) -> Column:
 
 
 def slug(text: Column, most: int = 120) -> Column:
+    """The whole text as lower-case words with dashes, cut to ``most`` characters; a text without words gives ''."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "-"), "^-+|-+$", ""), 1, most)
 
 
+# Formats of references and placeholders (fixed values).
 UNIT_ANCHOR, TERM_ANCHOR = r"\[\[(\d+:\d+)\]\]", r"\[\[root:([^\]]+)\]\]"
 PLACEHOLDER = r"\{\{([a-z_]+):([^}|]+)(?:\|([^}]+))?\}\}"
 
@@ -177,4 +182,5 @@ def payload_summary(text: Column, most: int = 120) -> Column:
 
 
 def redacted(text: Column) -> Column:
+    """Only the length; null for null."""
     return F.concat(F.lit("["), F.length(text).cast("string"), F.lit(" chars]"))

@@ -7,37 +7,53 @@ from pyspark.sql import functions as F
 
 from verbatlas.sources.shared import stash
 
+#: A node with more edges than this, and than 1 / HUBS of all, is a hub; so there are at most 2 * HUBS hubs.
+HUB_EDGES, HUBS = 10_000, 10_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _meet(edges: DataFrame, lowest: DataFrame, size: int) -> DataFrame:
+    """``edges`` (a, b) with m, the lowest neighbour of a; ``lowest``: a, m, n (edges of a).
+
+    Hubs' rows are broadcast (their number is bounded), so a hub's edges stay where they are; all other nodes have few edges and are joined by key.
+    """
+    edge = max(HUB_EDGES, size // HUBS)
+    slim = lowest.select("a", "m")
+    if size <= edge // 2:
+        return edges.join(slim, "a")
+    hubs = F.broadcast(lowest.where(F.col("n") > edge).select("a", "m"))
+    return edges.join(hubs, "a", "left_anti").join(lowest.where(F.col("n") <= edge).select("a", "m"), "a").unionByName(edges.join(hubs, "a"))
+
+
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _meet(both, lowest, size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _meet(down, lowest, size).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of the undirected ``edges`` (a, b).
 
-    Each round is a pair of groupings with partial aggregation and joins that adaptive execution may
-    split; hubs are never gathered. Rounds needed grow with the logarithm of the longest path.
-    Lineage is cut by a written table each round. Self loops give a component of one node.
+    Each round is a pair of groupings with partial aggregation, and joins in which a hub's edges are not gathered (``_meet``).
+    Rounds needed grow with the logarithm of the longest path. Lineage is cut by a written table each round. Self loops give a component of
+    one node; repeated edges count once; an edge with a null end is left out; no edges give no rows.
     """
-    edges = stash(edges.select("a", "b"), "components")  # read twice below; whatever made it runs once
+    edges = stash(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "components")  # read twice below; whatever made it runs once
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = edges.where("a <> b").distinct()
+    now, size = edges.where("a <> b").distinct(), edges.count()
     seen = None
     for _ in range(max_rounds):
-        now = stash(_small_star(_large_star(now)), "components")
+        now = stash(_small_star(_large_star(now, size), size), "components")
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == seen:
             break
-        seen = mark
+        seen, size = mark, mark[0]
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -23,6 +23,7 @@ def find(structures: DataFrame, terms: Sequence[str] | None = None, role: str =
 
 
 def particle_summary(structures: DataFrame) -> DataFrame:
+    """particle, total, explicit (those with a result marker), units; a null particle is a group, no structures give no rows."""
     return structures.groupBy("particle").agg(F.count("*").alias("total"), F.sum((F.col("confidence") >= 0.9).cast("int")).alias("explicit"), F.countDistinct("unit_id").alias("units"))
 
 
@@ -42,4 +43,5 @@ def side_terms(structures: DataFrame, top: int = 20) -> DataFrame:
 
 
 def with_unit(structures: DataFrame, units: DataFrame, unit: int) -> DataFrame:
+    """All structures of one unit beside its columns; none if the unit has none or is unknown."""
     return structures.where(F.col("unit_id") == unit).join(units, "unit_id")

@@ -18,6 +18,7 @@ def scope_terms(occurrences: DataFrame, scope: str = "unit") -> DataFrame:
 
 
 def scope_total(units: DataFrame, scope: str = "unit") -> DataFrame:
+    """One row: distinct keys of the scope; keys with a null part do not count, repeated units count once."""
     return units.agg(F.count_distinct(*SCOPES[scope]).alias("total"))
 
 
@@ -73,6 +74,7 @@ def cluster_map(occurrences: DataFrame, units: DataFrame, terms: Sequence[str],
 
 
 def missing_terms(occurrences: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """The asked terms that never occur; a repeated one is listed as often as it is asked."""
     spark = occurrences.sparkSession
     asked = spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
     return asked.join(occurrences.select("term"), "term", "left_anti")

@@ -57,6 +57,7 @@ def claim_support(claims: DataFrame, spans: DataFrame, retested: DataFrame | Non
 
 
 def lacking_baseline(statistics: DataFrame, baseline: str = "baseline") -> DataFrame:
+    """Statistics whose baseline is null; repeated rows stay."""
     return statistics.where(F.col(baseline).isNull())
 
 
@@ -200,6 +201,7 @@ def golden_report(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def golden_summary(report: DataFrame) -> DataFrame:
+    """tier, items, passed; a null outcome counts as not passed."""
     return report.groupBy("tier").agg(F.count("*").alias("items"), F.count_if("passed").alias("passed"))
 
 

@@ -59,6 +59,7 @@ def stored_runs(verdicts: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def review_queue(findings: DataFrame, status: str = "in_review") -> DataFrame:
+    """Findings of a status, oldest first, ties by id; a null status is in no queue."""
     return findings.where(F.col("status") == status).orderBy("created_at", "finding_id")
 
 
@@ -73,8 +74,9 @@ def apply_reviews(findings: DataFrame, reviews: DataFrame) -> tuple[DataFrame, D
 
 
 def latest_runs(runs: DataFrame, key: str, at: str) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.desc(at))
-    return runs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The latest row of each key (null times come first, ties by the other columns); an aggregate, so a frequent key gathers in no task."""
+    rest = [c for c in runs.columns if c not in (key, at)]
+    return runs.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("_r")).select(*[key if c == key else F.col(f"_r.{c}").alias(c) for c in runs.columns])
 
 
 def topic_collisions(topics: DataFrame, topic: Column, owner: str) -> DataFrame:

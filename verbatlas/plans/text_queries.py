@@ -100,10 +100,10 @@ def corpus_totals(spark, sf):
     return R.corpus_totals(V.plain_units(spark, sf)).drop("complete")
 
 
-@query("text_measures", rf"SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, len(regexp_extract_all(text, '\p{{L}}')) AS letters, CASE WHEN length(text) > 120 THEN concat(substr(text, 1, 120), '…') ELSE text END AS summary FROM documents")
+@query("text_measures", rf"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g')[1:120] AS slug, len(regexp_extract_all(text, '\p{{L}}')) AS letters, CASE WHEN length(text) > 120 THEN concat(substr(text, 1, 120), '…') ELSE text END AS summary FROM documents")
 def text_measures(spark, sf):
     t = F.col("text")
-    return V.table(spark, sf, "documents").select("doc_id", X.slug(F.substring(t, 1, 80)).alias("slug"), X.letter_count(t).alias("letters"), X.payload_summary(t).alias("summary"))
+    return V.table(spark, sf, "documents").select("doc_id", X.slug(t).alias("slug"), X.letter_count(t).alias("letters"), X.payload_summary(t).alias("summary"))
 
 
 @query("text_folding", r"""SELECT p_partkey, regexp_replace(translate(regexp_replace(translate(regexp_replace(regexp_replace(translate(trim(p_name), '''|>&<}AbptvjHxd*rzs$SDTZEg_fqklmnhwYy{', 'ءآأؤإئابةتثجحخدذرزسشصضطظعغـفقكلمنهوىيٱ'), '[^\x{0600}-\x{06FF}]', '', 'g'), '[\s\-\x{2010}-\x{2015}_.,/]+', '', 'g'), '', ''), '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{08D3}-\x{08FF}\x{0640}]', '', 'g'), 'آأإٱىةؤئکیھء', 'اااايهويكيها'), 'zzz', '') AS key FROM part""")
