@@ -36,7 +36,9 @@ LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 5.0
 #: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
-FLUSH, PART_TOKENS = 1_000_000, 1_000_000
+FLUSH, PART_TOKENS = 800_000, 1_000_000
+#: Words and grams of texts that a task holds before it sends them to the join.
+POSTINGS = 250_000
 #: Bits of a hash by which grams, and single words as grams, are told apart (as words they have 64).
 KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
@@ -369,6 +371,9 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
             break
         known = sc.broadcast(key_filter(tried))
         counted = stash(count_grams(train, text_col, shared, known, useful, length), "lm-counts")
+        known.destroy()
+        if useful:
+            useful.destroy()
         rows = counted
         if parents is not None:
             rows = counted.drop("expected").join(parents, "parent")
@@ -393,6 +398,7 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
         discard(counted)
         del counted, rows
         tidy(train.sparkSession)
+    shared.destroy()
     rest = vocabulary.where(F.col("n") < floor).select(F.col("h").alias("key"), F.col("n").cast("double").alias("value"), F.lit(False).alias("gram"))
     if tables:
         values = functools.reduce(DataFrame.unionByName, tables)
@@ -456,7 +462,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                 sent.append((text[new] + n, key[new], np.diff(np.append(new, len(key)))))
                 held += len(new)
                 n += len(group)
-                if held >= FLUSH:
+                if held >= POSTINGS:
                     yield flush()
                     sent, held = [], 0
             if n > start:
