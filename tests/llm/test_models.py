@@ -54,6 +54,42 @@ def test_centroids_are_the_nearest(spark):
     assert names == ["x", "y"] and scores[0] > 0.8
 
 
+def test_fit_and_prediction_equal_plain_python(spark):
+    """Document frequencies, IDF, and the nearest centroid of every text, by loops over n-grams."""
+    docs = language_docs(random.Random(5), 150)
+    docs += [(900, "KALA moku", None), (901, "schrift, pfad! 12", None), (902, None, "aa"), (903, "??", "bb")]
+    model = language.fit_centroids(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = f" {' '.join(letters)} ".encode() if letters else b""
+        found = Counter()
+        for n in language.LENGTHS:
+            for i in range(len(padded) - n + 1):
+                code = n
+                for b in padded[i : i + n]:
+                    code = (code * 257 + b) % 2**32
+                found[(code * 2654435761) % 2**32 >> (32 - 14)] += 1
+        return found
+
+    learnt = [grams(t) for _, t, lang in docs if lang is not None and grams(t)]
+    df = Counter(g for x in learnt for g in x)
+    idf = {g: math.log((1 + len(learnt)) / (1 + df[g])) + 1 for g in range(language.DIMENSIONS)}
+    assert model.idf == pytest.approx([idf[g] for g in range(language.DIMENSIONS)], rel=1e-5)
+    assert set(model.langs) == set(WORDS) and len(model.langs) == 9
+    names, scores, rejected = model.predict([(t or "").encode() for _, t, _ in docs])
+    for i, (_, text, _) in enumerate(docs):
+        vector = {g: math.log1p(n) * idf[g] for g, n in grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in vector.values()))
+        cosines = [sum(v * float(c[g]) for g, v in vector.items()) / norm for c in model.vectors] if norm else []
+        if not cosines:
+            assert (names[i], scores[i], rejected[i]) == ("und", 0.0, True)
+            continue
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert names[i] == model.langs[best] and scores[i] == pytest.approx(cosines[best], abs=1e-4)
+        assert rejected[i] == (scores[i] < model.floors[best])
+
+
 # -- suffix tree
 
 
@@ -494,6 +530,47 @@ def test_exchange_keeps_the_classes_balance():
     assert cotraining.exchange_cuts(np.stack([hist[1], hist[1], hist[2]]), 0.5, 0.5, 0.9) == (-math.inf, math.inf)
 
 
+def test_counts_and_scores_equal_plain_python(spark):
+    docs, frame, labels = quality_table(spark, 200)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(d[0], cotraining.text_features(d[1].encode()), sorted({1, 7, d[0] % 5}), known.get(d[0])) for d in docs]
+    data = spark.createDataFrame(rows, "id long, text binary, meta array<int>, y int")
+    counts = cotraining.class_counts(data, None)
+    features = [(set(np.frombuffer(t, np.uint16).tolist()), set(m), y) for _, t, m, y in rows]
+    for view, (found, sizes) in enumerate(counts):
+        for c in (0, 1):
+            own = [f[view] for f in features if f[2] == c]
+            assert sizes[c] == len(own)
+            want = Counter(x for f in own for x in f)
+            assert {i: int(n) for i, n in enumerate(found[c]) if n} == dict(want)
+    view = cotraining.View(*counts[0])
+    got = view.raw([np.array(sorted(f[0])) for f in features], np.array([2 if f[2] is None else f[2] for f in features]))
+    for f, raw in zip(features, got, strict=True):
+        total = 0.0
+        for x in f[0]:
+            c = [counts[0][0][k][x] - (f[2] == k) for k in (0, 1)]
+            n = [counts[0][1][k] - (f[2] == k) for k in (0, 1)]
+            pooled = (sum(c) + 0.5) / (sum(n) + 1)
+            rate = [(c[k] + cotraining.PULL * pooled) / (n[k] + cotraining.PULL) for k in (0, 1)]
+            total += math.log(rate[1] / rate[0])
+        assert raw == pytest.approx(total / math.sqrt(len(f[0])), rel=1e-9)
+
+
+def test_labels_by_rules_over_plain_text(spark):
+    """Labels and score of every text against all rules run over it without gates, all pairs of detections compared."""
+    rules, _ = licenses.compiled()
+    texts = [*TEXTS, "Licensed under the Apache License,\n  Version 2.0; BSD 3-Clause; GPLv3 or LGPL-2.1+", "this program is free software: you can redistribute it under the GNU General Public License v2", "cc by-nc-sa 4.0 and CC0 1.0 Universal"]
+    got = {r.doc_id: r for r in licenses.license_digest(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        folded = re.sub(r"\s+", " ", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        found = [(m.start(), m.end(), r) for r, (_, p) in enumerate(rules) for m in p.finditer(folded)]
+        better = lambda x: (-rules[x[2]][0].priority, x[0] - x[1], x[2])
+        kept = [x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] and better(y) < better(x) for y in found)]
+        base = {x for _, x in base_by_hand(text)[1]}
+        assert got[i].labels == ",".join(sorted({rules[r][0].label for *_, r in kept} | base))
+        assert got[i].score == max([0.0, *(rules[r][0].confidence for *_, r in kept), *([0.6] if base else [])])
+
+
 def test_quality_without_labels_or_rows(spark):
     _, frame, labels = quality_table(spark, 40)
     got = cotraining.quality_scores(frame, labels.limit(0)).collect()
