@@ -214,8 +214,7 @@ def test_components_with_hubs_equal_union_find(spark, monkeypatch):
 
     from verbatlas.operators import components
 
-    monkeypatch.setattr(components, "HUB_EDGES", 20)
-    monkeypatch.setattr(components, "HUBS", 1_000_000)
+    monkeypatch.setattr(components, "PLAIN", 20)
     rng = random.Random(2)
     edges = [(0, i) for i in range(1, 300)] + [(400 + i, 500) for i in range(60)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(150)] + [(500, 299), (950, 950)]
     rng.shuffle(edges)

@@ -7,32 +7,27 @@ from pyspark.sql import functions as F
 
 from verbatlas.sources.shared import stash
 
-#: A node with more edges than this, and than 1 / HUBS of all, is a hub; so there are at most 2 * HUBS hubs.
-HUB_EDGES, HUBS = 10_000, 10_000
+#: Parts into which every node's edges are dealt where there are more than PLAIN edges in all.
+SALTS, PLAIN = 16, 10_000
 
 
 def _meet(edges: DataFrame, lowest: DataFrame, size: int) -> DataFrame:
-    """``edges`` (a, b) with m, the lowest neighbour of a; ``lowest``: a, m, n (edges of a).
-
-    Hubs' rows are broadcast (their number is bounded), so a hub's edges stay where they are; all other nodes have few edges and are joined by key.
-    """
-    edge = max(HUB_EDGES, size // HUBS)
-    slim = lowest.select("a", "m")
-    if size <= edge // 2:
-        return edges.join(slim, "a")
-    hubs = F.broadcast(lowest.where(F.col("n") > edge).select("a", "m"))
-    return edges.join(hubs, "a", "left_anti").join(lowest.where(F.col("n") <= edge).select("a", "m"), "a").unionByName(edges.join(hubs, "a"))
+    """``edges`` (a, b) with m of ``lowest`` (a, m). A hub's edges are dealt to SALTS tasks by their other end; ``lowest`` goes to each of them."""
+    if size <= PLAIN:
+        return edges.join(lowest, "a")
+    salted = lowest.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "_s"]).drop("_s")
 
 
 def _large_star(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return _meet(both, lowest, size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, size: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    lowest = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    lowest = down.groupBy("a").agg(F.min("b").alias("m"))
     moved = _meet(down, lowest, size).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
 
@@ -40,7 +35,7 @@ def _small_star(edges: DataFrame, size: int) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of the undirected ``edges`` (a, b).
 
-    Each round is a pair of groupings with partial aggregation, and joins in which a hub's edges are not gathered (``_meet``).
+    Each round is a pair of groupings with partial aggregation, and joins that deal a hub's edges to several tasks (``_meet``).
     Rounds needed grow with the logarithm of the longest path. Lineage is cut by a written table each round. Self loops give a component of
     one node; repeated edges count once; an edge with a null end is left out; no edges give no rows.
     """
