@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.llm.batches import map_texts, mixed, planes, text_groups, unplaned, word_hashes
 from verbatlas.operators.components import connected_components
-from verbatlas.sources.shared import stash
+from verbatlas.sources.shared import stash, tidy
 
 #: Index entries that a task holds before it sends them on, and sets in a block of a family.
 FLUSH, FAMILY_BLOCK = 1_000_000, 512
@@ -458,6 +458,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     chained = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds, shingles)), "jaccard-chains")
     sketched = live.groupBy("set").agg(F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"))
     families = stash(refined_families(chained, sketched, bounds), "jaccard-families")
+    tidy(docs.sparkSession)
     blocks = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
     distinct_sets = stash(live.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-sets")
     members = families.withColumnRenamed("node", "set").join(blocks, "component").join(distinct_sets, "set")
@@ -503,6 +504,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in edges] + list(links), "b": [b for _, b in edges] + [None] * len(links), "links": [0] * len(edges) + list(links.values())}, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
 
     answers = stash(pairs.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right").mapInArrow(compare, "a long, b long, links long"), "jaccard-answers")
+    tidy(docs.sparkSession)
     components = connected_components(answers.where(F.col("b").isNotNull()).select("a", "b"))
     links = answers.where(F.col("b").isNull()).groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("_more"))
     labels = distinct_sets.join(components.withColumnRenamed("node", "set"), "set", "left").select("set", "rep", "copies", F.coalesce("component", "set").alias("label"))
