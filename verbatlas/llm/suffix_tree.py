@@ -44,7 +44,7 @@ KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
 GRAM = _U(1 << 63)
 #: Bits of a filter of keys; one that is full lets all keys pass, to the exact joins.
-FILTER_BITS = 27
+FILTER_BITS, FILTER_SHIFTS = 27, (0, 7, 13)
 #: Texts (as a power of two) whose sums come back together.
 GROUP_BITS = 14
 _BLOCK = 15
@@ -118,19 +118,27 @@ class Table:
 
 
 class KeyFilter(NamedTuple):
-    """A set of keys with false hits, of one size for any number of keys."""
+    """A set of keys with false hits, of one size for any number of keys; each key sets three bits, which other parts of it name."""
 
     bits: np.ndarray
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & _U((1 << FILTER_BITS) - 1)
-        return (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+        found = np.ones(len(keys), bool)
+        left = np.arange(len(keys))
+        for shift in FILTER_SHIFTS:
+            at = (keys[left] >> _U(shift)) & _U((1 << FILTER_BITS) - 1)
+            good = (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+            found[left[~good]] = False
+            left = left[good]
+        return found
 
 
 def key_filter(keys: DataFrame) -> KeyFilter:
     """The filter of a one-column table of keys; blocks of bits are made in Spark."""
     keys = keys.coalesce(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    key = F.col(keys.columns[0])
+    keys = keys.select(F.explode(F.array(*[F.shiftrightunsigned(key, n).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for n in FILTER_SHIFTS])).alias("at"))
+    at = F.col("at")
     blocks = keys.select(F.shiftright(at, _BLOCK).alias("block"), at.bitwiseAND(F.lit((1 << _BLOCK) - 1)).alias("bit"))
     found = blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
     bits = np.zeros((1 << (FILTER_BITS - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
@@ -292,7 +300,8 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
         for prefix, suffix in flushed(batches, grams):
             keys, at, n = totals(pair_keys(prefix, suffix))
             prefix, suffix = prefix[at], suffix[at]
-            meet = keys if length > 2 else np.where(frequent.find(suffix) >= 0, keys, suffix)
+            # Equal suffixes stand together, which packs them well; frequent ones are spread.
+            meet = suffix * _U(31) + (prefix & _U(15)) if length > 2 else np.where(frequent.find(suffix) >= 0, keys, suffix)
             bucket = (mixed(meet) % _U(parts)).astype(np.int64)
             order = np.argsort(suffix)
             where, blobs = bucketed(bucket[order], parts, [suffix[order], prefix[order], n[order]], packed_grams)
