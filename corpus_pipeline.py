@@ -30,8 +30,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Each row is decided by itself, whatever its id.
     """
-    whole = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
-    return identify_held_out(whole, keep=("_row",)).where(~F.col("rejected")).select("_row.*")
+    own = [f"_c{i}" for i in range(len(docs.columns))]  # apart from the names of what is found
+    whole = docs.select("doc_id", "lang", *[F.col(c).alias(name) for c, name in zip(docs.columns, own, strict=True)])
+    found = identify_held_out(whole, keep=tuple(own), text_col=own[docs.columns.index("text")])
+    return found.where(~F.col("rejected")).select(*[F.col(name).alias(c) for c, name in zip(docs.columns, own, strict=True)])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

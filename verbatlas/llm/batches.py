@@ -34,15 +34,17 @@ def text_groups(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[list
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, work: Callable[[list[bytes | None]], list[list]], columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs``' id (and ``keep``) beside ``columns``, which ``work`` makes from a batch of texts in UTF-8, null as None."""
-    slim = docs.select(F.col(id_col).alias(id_col), *keep, F.col(text_col).cast("string").cast("binary").alias("_text"))
+    """``docs``' id (and ``keep``) beside ``columns``, which ``work`` makes from a batch of texts in UTF-8, null as None. A kept text travels once."""
+    kept = keep.index(text_col) + 1 if text_col in keep else None
+    text = [F.col(text_col).cast("string").cast("binary").alias("_text")] if kept is None else []
+    slim = docs.select(F.col(id_col).alias(id_col), *keep, *text)
     schema = T.StructType([f for f in slim.schema if f.name != "_text"] + list(T._parse_datatype_string(columns)))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.columns[:-1]
-            made = work(batch.columns[-1].to_pylist())
+            own = batch.columns[:-1] if kept is None else batch.columns
+            made = work(batch.columns[-1].to_pylist() if kept is None else batch.columns[kept].cast(pa.binary()).to_pylist())
             made = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, list(arrow)[len(own):], strict=True)]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, arrow, strict=False)), *made], schema=arrow)
 

@@ -17,7 +17,7 @@ from verbatlas.operators.components import connected_components
 from verbatlas.sources.shared import stash, tidy
 
 #: Index entries that a task holds before it sends them on, and sets in a block of a family.
-FLUSH, FAMILY_BLOCK = 1_000_000, 512
+FLUSH, FAMILY_BLOCK = 500_000, 512
 #: Shingles of the distinct sets for each bucket of the index: a task holds one bucket at a time.
 BUCKET_SHINGLES = 2_000_000
 #: Columns of a dense block of differences at a time.

@@ -148,8 +148,8 @@ def crc_of_id(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string"))
 
 
-def identify_held_out(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify_held_out(docs: DataFrame, id_col: str = "doc_id", keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """Languages of all ``docs`` (beside id, held_out and ``keep``), learnt from those whose CRC-32 of the id is no multiple of 5; a null id is held out."""
     held = F.coalesce(crc_of_id(id_col) % 5 == 0, F.lit(True))
     docs = docs.withColumn("held_out", held)
-    return identify(docs, fit_centroids(docs.where(~F.col("held_out")), id_col), id_col, keep=("held_out", *keep))
+    return identify(docs, fit_centroids(docs.where(~F.col("held_out")), id_col, text_col), id_col, text_col, ("held_out", *keep))
