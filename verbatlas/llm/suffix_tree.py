@@ -36,9 +36,9 @@ LEAST_DIVERGENCE, CHANCE = 0.01, 3.0
 #: Weight of the parent's distribution in a state's, in tokens.
 SMOOTHING = 5.0
 #: Positions that a task holds before it counts and sends them on, and tokens for each part of a join.
-FLUSH, PART_TOKENS = 800_000, 1_000_000
+FLUSH, PART_TOKENS = 400_000, 1_000_000
 #: Words and grams of texts that a task holds before it sends them to the join.
-POSTINGS = 250_000
+POSTINGS = 150_000
 #: Bits of a hash by which grams, and single words as grams, are told apart (as words they have 64).
 KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
