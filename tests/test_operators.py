@@ -209,12 +209,11 @@ def test_reviews_need_another_person(spark):
     assert {r.finding_id: r.reason for r in rejected.collect()} == {2: "author reviews own finding", 3: "not in review", 9: "no such finding"}
 
 
-def test_components_with_hubs_equal_union_find(spark, monkeypatch):
+def test_components_with_hubs_equal_union_find(spark):
     import random
 
     from verbatlas.operators import components
 
-    monkeypatch.setattr(components, "PLAIN", 20)
     rng = random.Random(2)
     edges = [(0, i) for i in range(1, 300)] + [(400 + i, 500) for i in range(60)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(150)] + [(500, 299), (950, 950)]
     rng.shuffle(edges)

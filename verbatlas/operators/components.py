@@ -7,48 +7,37 @@ from pyspark.sql import functions as F
 
 from verbatlas.sources.shared import stash
 
-#: Parts into which every node's edges are dealt where there are more than PLAIN edges in all.
-SALTS, PLAIN = 16, 10_000
-
-
-def _meet(edges: DataFrame, lowest: DataFrame, size: int) -> DataFrame:
-    """``edges`` (a, b) with m of ``lowest`` (a, m). A hub's edges are dealt to SALTS tasks by their other end; ``lowest`` goes to each of them."""
-    if size <= PLAIN:
-        return edges.join(lowest, "a")
-    salted = lowest.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "_s"]).drop("_s")
-
-
-def _large_star(edges: DataFrame, size: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _meet(both, lowest, size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame, size: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = _meet(down, lowest, size).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of the undirected ``edges`` (a, b).
 
-    Each round is a pair of groupings with partial aggregation, and joins that deal a hub's edges to several tasks (``_meet``).
+    Each round is a pair of groupings with partial aggregation, and joins by node, which adaptive execution may split: a hub's edges
+    (narrow rows of two numbers) meet in one task unless it does.
     Rounds needed grow with the logarithm of the longest path. Lineage is cut by a written table each round. Self loops give a component of
     one node; repeated edges count once; an edge with a null end is left out; no edges give no rows.
     """
     edges = stash(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "components")  # read twice below; whatever made it runs once
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now, size = edges.where("a <> b").distinct(), edges.count()
+    now = edges.where("a <> b").distinct()
     seen = None
     for _ in range(max_rounds):
-        now = stash(_small_star(_large_star(now, size), size), "components")
+        now = stash(_small_star(_large_star(now)), "components")
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == seen:
             break
-        seen, size = mark, mark[0]
+        seen = mark
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
