@@ -14,6 +14,8 @@ from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.licenses import license_digest, scan_licenses
 from verbatlas.llm.media import media_features, sniff_media, store_texts
 from verbatlas.llm.mixing import mix_to_targets
+from verbatlas.llm.runs import periodic_runs, run_digest, with_planted_runs
+from verbatlas.llm.search import search_items
 from verbatlas.llm.sharding import shard_documents
 from verbatlas.llm.suffix_tree import score_held_out
 from verbatlas.llm.tokens import count_tokens
@@ -79,6 +81,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; null texts hold no terms, a null id comes last among equal scores."""
+    return search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50).select("item_id", "rank", "doc_id", "score")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every row, a tenth of which repeat a phrase of their own; null texts have no words, rows with a null id stay as they are."""
+    return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -90,10 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_scores": op9_scores,
     "op10_licenses": op10_licenses,
+    "op11_search": op11_search,
+    "op12_runs": op12_runs,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _RUNS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
@@ -138,4 +153,28 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(gen
 g AS (SELECT doc_id, unnest(s) AS i, len(s) AS n FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, max(x.n) AS na, max(y.n) AS nb FROM g x JOIN g y ON x.i = y.i AND x.doc_id <> y.doc_id AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n GROUP BY 1, 2),
 e AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)), r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT doc_id, len(s) AS n_shingles, (SELECT count(*) FROM e WHERE a = doc_id) AS n_links, least(doc_id, coalesce((SELECT min(y) FROM r WHERE x = doc_id), doc_id)) AS component_id FROM s""",
+    "op11_search": rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce({_LOWER}, ''), '{_TERM}') AS t FROM documents),
+g AS (SELECT count(*)::BIGINT AS n_all, sum(len(t))::BIGINT AS l_all FROM d WHERE len(t) > 0), p AS (SELECT r, len(t)::BIGINT AS n, unnest(t) AS term FROM d), tf AS (SELECT r, term, any_value(n) AS n, count(*)::BIGINT AS tf FROM p GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY 1),
+i AS (SELECT item_id, row_number() OVER () AS q, unnest(list_distinct(regexp_extract_all(coalesce({_LOWER}, ''), '{_TERM}'))) AS term FROM benchmark),
+s AS (SELECT q, any_value(item_id) AS item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all))))::BIGINT AS score FROM i JOIN tf USING (term) JOIN w USING (term), g GROUP BY q, r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50""",
+    "op12_runs": r"""WITH tab AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS tab FROM range(256) AS g(i)),
+h AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM documents, tab),
+d0 AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+d1 AS (SELECT doc_id, h, w, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) END AS a, g FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d1),
+d AS (SELECT row_number() OVER () AS r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM d2),
+x AS (SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM d WHERE n >= 24),
+e AS (SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 3 * (b.i - a.i) <= a.n),
+f AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM f GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+m AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+l AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, list({'s': start, 'l': length, 'p': period} ORDER BY start, period) AS runs,
+  max(length::DOUBLE / period) AS top FROM m GROUP BY 1),
+b AS (SELECT *, list_filter(runs, lambda x: x.l::DOUBLE / x.p = top)[1] AS best FROM l),
+k AS (SELECT d.r, d.doc_id, d.w, b.* EXCLUDE (r) FROM d LEFT JOIN b ON d.r = b.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS "start", best.l::BIGINT AS "length", best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+ sha256(array_to_string(CASE WHEN runs IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: len(list_filter(runs, lambda x: i >= x.s + x.p AND i < x.s + x.l)) = 0), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256 FROM k""",
 }
