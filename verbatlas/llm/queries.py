@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.llm.cotraining import quality_scores
 from verbatlas.llm.decontamination import MASKS, contaminated
+from verbatlas.llm.extraction import main_texts
 from verbatlas.llm.jaccard import jaccard_groups
 from verbatlas.llm.language import identify_held_out
 from verbatlas.llm.licenses import license_digest, scan_licenses
@@ -91,6 +92,11 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op13_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a null or empty page has none, null ids and urls stay."""
+    return main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "agreed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_search": op11_search,
     "op12_runs": op12_runs,
+    "op13_pages": op13_pages,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
