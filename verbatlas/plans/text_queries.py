@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ from verbatlas.operators import graph as G
 from verbatlas.operators import lexical as L
 from verbatlas.operators import passages as N
 from verbatlas.operators import retrieval as R
+from verbatlas.operators.term_index import TermIndex
 from verbatlas.plans import views as V
 from verbatlas.plans.registry import query
+from verbatlas.sources.shared import shared_folder
 
 T1 = f"WITH {V.U}, {V.W} "
 
@@ -155,6 +159,64 @@ def bm25_batch(spark, sf):
     return terms.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
+# -- the stored index: documents come in batches, are merged in part, and searched without their texts
+
+_INDEXES: dict[tuple[str, str], TermIndex] = {}
+
+
+def stored_index(spark, sf):
+    """Documents as of ``kind`` text and benchmark items as of ``kind`` item, in three batches, the first two of which are merged; built once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        made = TermIndex(spark, f"{shared_folder(spark).rstrip('/')}/verbatlas/index-{uuid.uuid4().hex}")
+        docs = V.table(spark, sf, "documents").select("doc_id", "lang", "text")
+        words = X.words(F.col("text"))
+        made.add(0, docs.where("lang = 'en'"), words)
+        made.add_kinds(1, {"text": (docs.where("lang <> 'en'"), words, "doc_id"), "item": (V.table(spark, sf, "benchmark"), words, "item_id")})
+        made.compact()
+        made.add(2, docs.where("lang IS NULL"), words)
+        _INDEXES[key] = made
+    return _INDEXES[key]
+
+
+@query("index_topk", T1 + BM + f" SELECT doc_id, round(sum({BS}), 6) AS score, array_to_string(list_sort(list(term)), ',') AS terms FROM pp JOIN df USING (term) JOIN dl USING (doc_id), st WHERE term IN ('heat', 'und', 'la') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20")
+def index_topk(spark, sf):
+    """``bm25_topk`` from the stored index."""
+    scores = stored_index(spark, sf).topk(["heat", "und", "la"], 20, ["text"])
+    return scores.select("doc_id", F.round("score", 6).alias("score"), joined("terms").alias("terms"))
+
+
+@query("index_batch", T1 + BM + f""", q AS (SELECT DISTINCT item_id AS query_id, unnest({V.TOKENS}) AS term FROM benchmark), s AS (SELECT query_id, doc_id, sum({BS}) AS score FROM q JOIN pp USING (term) JOIN df USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 3""")
+def index_batch(spark, sf):
+    """The three best documents of every benchmark item from the stored index."""
+    scores = stored_index(spark, sf).scores(queries_from_benchmark(spark, sf), ["text"]).withColumn("score", F.round("score", 6))
+    return L.best_documents(scores, 3, "kind", "doc_id").select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+@query("index_terms", f"WITH a AS (SELECT doc_id, {V.TOKENS} AS t FROM documents UNION ALL SELECT item_id, {V.TOKENS} FROM benchmark), p AS (SELECT unnest(list_distinct(t)) AS term FROM a) SELECT term, count(*) AS df FROM p WHERE length(term) <= 64 GROUP BY term")
+def index_terms(spark, sf):
+    """The dictionary over both kinds, summed over batches and the compaction."""
+    return stored_index(spark, sf).document_counts()
+
+
+@query("index_phrase", T1 + "SELECT a.unit_id, count(*) AS occurrences, array_to_string(list_sort(list_distinct(flatten(list([a.position, a.position + 1])))), ',') AS positions FROM w a JOIN w b ON a.unit_id = b.unit_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.unit_id")
+def index_phrase(spark, sf):
+    """Where a phrase stands, from lists of positions; no text is read."""
+    found = stored_index(spark, sf).phrase(["of", "the"], ["text"])
+    return found.select(F.col("doc_id").alias("unit_id"), "occurrences", joined("positions").alias("positions"))
+
+
+@query("index_phrases", f"""WITH d AS (SELECT doc_id, {V.TOKENS} AS t FROM documents), i AS (SELECT item_id, {V.TOKENS} AS t FROM benchmark), q AS (SELECT DISTINCT unnest(list_transform(generate_series(1, len(t) - 3), lambda k: array_to_string(t[k:k+3], ' '))) AS phrase FROM i WHERE len(t) >= 4),
+g AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 3), lambda k: array_to_string(t[k:k+3], ' '))) AS phrase FROM d WHERE len(t) >= 4)
+SELECT phrase, doc_id, count(*) AS occurrences FROM g JOIN q USING (phrase) GROUP BY 1, 2""")
+def index_phrases(spark, sf):
+    """Every run of four words of every benchmark item, looked up in all documents at once."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("t") - 3), lambda k: F.slice("t", k, 4))
+    items = V.table(spark, sf, "benchmark").select(X.words(F.col("text")).alias("t")).where("size(t) >= 4").select(F.explode(runs).alias("terms")).distinct()
+    return stored_index(spark, sf).phrases(items.select(F.array_join("terms", " ").alias("phrase_id"), "terms"), ["text"]).select(F.col("phrase_id").alias("phrase"), "doc_id", "occurrences")
+
+
 # -- derived edges
 
 SH = """, t AS (SELECT unit_id, list_distinct(list_transform(generate_series(1, len(tokens) - 2), lambda i: array_to_string(tokens[i:i+2], ' '))) AS s FROM u WHERE len(tokens) >= 4),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verbatlas.operators.lexical import build_index
+from verbatlas.operators.term_index import TermIndex
 
 
 def trace_rollup(spans: DataFrame, run: str = "run_id") -> DataFrame:
@@ -54,3 +55,17 @@ def read_index(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lengths, postings, df) of an index that ``upkeep`` keeps."""
     lengths, postings = (spark.read.parquet(f"{path}/{n}").drop("batch") for n in ("lengths", "postings"))
     return lengths, postings, postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def keep_index(stream: DataFrame, tokens: Column, index: TermIndex, checkpoint: str, doc_id: str = "doc_id", kind: str = "text", compact_every: int = 0) -> StreamingQuery:
+    """Adds a feed of new documents to a stored index, a part for each micro-batch; after every ``compact_every`` batches all parts are merged (0: never).
+
+    A batch that is run again after a failure writes its part anew, or finds it merged already.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        index.add(batch_id, batch, tokens, doc_id, kind)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            index.compact()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
