@@ -163,18 +163,24 @@ def mine_conditionals(words: DataFrame, particles: Mapping[str, str]) -> DataFra
     ``words``: unit_id, position, text, term, is_verb, tag (COND, RSLT or null), form. A marker's
     span ends before the next one. It splits at the first RSLT inside (confidence 0.9), else at the
     second verb inside (0.5), else it is left out. The particle is looked up by form, and is the form itself where unknown.
+
+    A span is named by its marker, the last one up to a word, which a running maximum within the unit gives, so each word is in one row: none is joined to spans. Words before the
+    first marker belong to none. Of several markers at one position the first form by name counts; words with a null unit or position are left out; a unit
+    without markers gives nothing.
     """
-    marks = words.where("tag = 'COND'").select("unit_id", F.col("position").alias("start"), F.coalesce("form", "text").alias("form"))
-    ends = words.groupBy("unit_id").agg(F.max("position").alias("last"))
-    order = Window.partitionBy("unit_id").orderBy("start")
-    spans = marks.join(ends, "unit_id").withColumn("stop", F.coalesce(F.lead("start").over(order), F.col("last") + 1))
-    inside = spans.join(words.select("unit_id", "position", "text", "term", "is_verb", "tag"), "unit_id").where("position >= start and position < stop")
-    later = F.col("position") > F.col("start")
-    by_span = inside.groupBy("unit_id", "start", "stop", "form").agg(
+    upto = Window.partitionBy("unit_id").orderBy("position").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tagged = words.where("unit_id IS NOT NULL AND position IS NOT NULL").select("unit_id", "position", "text", "term", "is_verb", "tag", F.when(F.col("tag") == "COND", F.coalesce("form", "text")).alias("_form"))
+    marked = F.when(F.col("tag") == "COND", F.col("position"))
+    counted = tagged.withColumn("_span", F.max(marked).over(upto)).where(F.col("_span").isNotNull())
+    later = F.col("position") > F.col("_span")
+    by_span = counted.groupBy("unit_id", F.col("_span").alias("start")).agg(
+        F.min("_form").alias("form"), F.max("position").alias("_last"),
         F.min(F.when(later & (F.col("tag") == "RSLT"), F.col("position"))).alias("result"),
         F.array_sort(F.collect_list(F.when(later & F.col("is_verb"), F.col("position")))).alias("verbs"),
         F.array_sort(F.collect_list(F.struct("position", "text", "term"))).alias("w"),
-    )
+    )
+    order = Window.partitionBy("unit_id").orderBy("start")
+    by_span = by_span.withColumn("stop", F.coalesce(F.lead("start").over(order), F.col("_last") + 1))
     split = by_span.withColumn("split", F.coalesce("result", F.when(F.size("verbs") >= 2, F.element_at("verbs", 2)))).where(F.col("split").isNotNull())
     before, after = F.filter("w", lambda x: x["position"] < F.col("split")), F.filter("w", lambda x: x["position"] >= F.col("split"))
 

@@ -119,14 +119,33 @@ def corpus_totals(units: DataFrame, expected: int | None = None) -> DataFrame:
     return out.withColumn("complete", F.lit(None).cast("boolean") if expected is None else F.col("units") == expected)
 
 
+def points_in_ranges(points: DataFrame, ranges: DataFrame, section: str, at: str, start: str, end: str) -> DataFrame:
+    """``points`` joined to the ``ranges`` of their section that hold them, both ends included; other names of the two differ.
+
+    A range lies in one or two bins of its level, the smallest power of two that is no shorter than it; a point lies in one bin of each level that occurs (at most 64).
+    They meet by (section, level, bin), so a point meets only ranges in whose bin it lies: at most those that begin within twice their length of it, whatever the size of the section.
+    Each range and point meets once. Null ends, sections or points and ranges that end before they start hold nothing; repeated rows stay.
+    """
+    length = (F.col(end).cast("long") - F.col(start).cast("long")).cast("long")
+    level = F.when(length > 0, F.length(F.bin(length))).otherwise(0)
+    shifted = lambda c: F.expr(f"shiftright(cast(`{c}` AS bigint), _level)")
+    binned = ranges.where(F.col(start) <= F.col(end)).withColumn("_level", level)
+    levels = [r[0] for r in binned.select("_level").distinct().collect()]  # at most 64
+    binned = binned.withColumn("_bin", F.explode(F.sequence(shifted(start), shifted(end))))
+    placed = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_bin", shifted(at))
+    return placed.join(binned, [section, "_level", "_bin"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_bin")
+
+
 def covering_notes(notes: DataFrame, points: DataFrame, chars: int = 4000) -> DataFrame:
-    """Range notes over each point (section_id, unit_num): a section join with a range test, oldest author first, cut with a flag.
+    """Range notes over each point (section_id, unit_num), one an edition, oldest author first, cut with a flag.
 
-    ``notes``: section_id, unit_start, unit_end, edition, year, text.
+    ``notes``: section_id, unit_start, unit_end, edition, year, text. Of an edition's notes over a point the one that starts first stands (then ends first, then by text): the
+    least of them is an aggregate, so a point under many notes is not sorted. A null year comes last; a null edition is an edition.
     """
-    hits = points.join(notes, "section_id").where(F.col("unit_num").between(F.col("unit_start"), F.col("unit_end")))
-    per_edition = Window.partitionBy("section_id", "unit_num", "edition").orderBy("unit_start", "unit_end", "text")
-    one = hits.withColumn("_n", F.row_number().over(per_edition)).where("_n = 1").drop("_n")
+    hits = points_in_ranges(points, notes.select("section_id", "unit_start", "unit_end", "edition", "year", "text"), "section_id", "unit_num", "unit_start", "unit_end")
+    rest = [c for c in points.columns if c not in ("section_id", "unit_num")]
+    first = F.min(F.struct("unit_start", "unit_end", "text", "year"))
+    one = hits.groupBy("section_id", "unit_num", "edition", *rest).agg(first.alias("_first")).select("section_id", "unit_num", *rest, "_first.unit_start", "_first.unit_end", "edition", "_first.year", "_first.text")
     order = Window.partitionBy("section_id", "unit_num").orderBy(F.coalesce("year", F.lit(9999)), "edition")
     return one.withColumns({"rank": F.row_number().over(order), "truncated": F.length("text") > chars, "text": F.substring("text", 1, chars)})
 
