@@ -22,52 +22,77 @@ def term_counts(occurrences: DataFrame, terms: DataFrame | None = None) -> DataF
     return terms.join(counts, "term", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("occurrences", "units")})
 
 
-def similar_sets(items: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1, key: str = "unit_id", item: str = "item") -> DataFrame:
-    """a, b (a < b), shared, size_a, size_b, score for pairs of sets with Jaccard at least ``threshold``.
+def packed_sets(items: DataFrame, key: str = "unit_id", item: str = "item") -> DataFrame:
+    """k, s: each set once, as a sorted array of 64-bit hashes of its items (numbers of 64 bits stand for themselves)."""
+    code = F.col(item) if dict(items.dtypes)[item] == "bigint" else F.xxhash64(item)
+    return items.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_set(code)).alias("s"))
 
-    ``items``: key, item, distinct. Exact without ``df_max``: each set is indexed by its rarest items
-    only, as many as two similar sets cannot both do without, so frequent items make no posting
-    lists. With ``df_max`` candidates come from items in 2..df_max sets, and a pair that shares only
-    more frequent ones is missed (``capped_items`` reports those). Scores count every shared item.
+
+def similar_packed(sets: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1) -> DataFrame:
+    """``similar_sets`` over packed sets (k, s); keys are unique.
+
+    Items of one set alone cannot be shared, so only the others are joined, ordered by rarity and kept, and an unshared item still takes its place at the head of the order. A
+    pair is a candidate if it shares an item among the rarest ones of both sides (as many as two similar sets cannot both do without), if sizes allow the threshold,
+    and if the shared items so far and what is left behind the last of them can still reach it. Only candidates' shared items are sent to one another.
     """
-    pairs = items.select(F.col(key).alias("k"), F.col(item).alias("i"))
-    df = pairs.groupBy("i").agg(F.count("*").alias("df"))
-    df = df.where(F.col("df").between(2, df_max)) if df_max is not None else df
-    sets = pairs.groupBy("k").agg(F.collect_set("i").alias("s")).where(F.size("s") >= least_size)
-    ranked = pairs.join(df, "i", "inner" if df_max is not None else "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "i"))).alias("r"))
-    n = F.size("s")
-    prefix = F.slice("r", 1, F.greatest(F.lit(0), F.size("r") if df_max is not None else n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
-    listed = sets.join(ranked, "k").select("k", n.alias("n"), F.explode(prefix).alias("x")).select("k", "n", F.col("x.i").alias("i"))
-    left, right = (listed.select("i", F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}")) for x in "12")
+    sets = stash(sets.where(F.size("s") >= least_size).select("k", "s", F.size("s").alias("n")), "packed-sets")
+    entries = sets.select("k", "n", F.explode("s").alias("i"))
+    shared = entries.groupBy("i").agg(F.count("*").alias("df")).where("df > 1")
+    order = F.array_sort(F.collect_list(F.struct("df", "i")))
+    ranked = stash(entries.join(shared, "i").groupBy("k", "n").agg(order.alias("r")), "ranked-sets")
+    n, alone = F.col("n"), F.col("n") - F.size("r")
+    if df_max is None:
+        prefix = F.slice("r", 1, F.greatest(F.lit(0), n - F.ceil(n * threshold - 1e-9).cast("int") + 1 - alone))
+    else:
+        prefix = F.filter("r", lambda x: x["df"] <= df_max)
+    listed = ranked.select("k", "n", alone.alias("alone"), F.posexplode(prefix).alias("p", "x")).select("k", "n", (F.col("p") + F.col("alone")).alias("p"), F.col("x.i").alias("i"))
+    left, right = (listed.select("i", F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}")) for x in "12")
     # Sets whose sizes differ too much cannot reach the threshold.
     close = (F.col("n1") >= threshold * F.col("n2") - 1e-9) & (F.col("n2") >= threshold * F.col("n1") - 1e-9)
-    candidates = left.join(right, "i").where((F.col("k1") < F.col("k2")) & close).select("k1", "k2").distinct()
-    a, b = sets.select(F.col("k").alias("k1"), F.col("s").alias("s1")), sets.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
-    scored = candidates.join(a, "k1").join(b, "k2").select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.size(F.array_intersect("s1", "s2")).alias("shared"), F.size("s1").alias("size_a"), F.size("s2").alias("size_b"))
+    met = left.join(right, "i").where((F.col("k1") < F.col("k2")) & close)
+    seen = met.groupBy("k1", "k2", "n1", "n2").agg(F.count("*").alias("c"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    if df_max is None:  # with a cap the items between two places may be shared though they are not listed
+        need = F.greatest(F.lit(least_shared), F.ceil((F.col("n1") + F.col("n2")) * threshold / (1 + threshold) - 1e-9))
+        seen = seen.where(F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) - 1 >= need)
+    codes = ranked.select("k", F.transform("r", lambda x: x["i"]).alias("s"))
+    a, b = codes.select(F.col("k").alias("k1"), F.col("s").alias("s1")), codes.select(F.col("k").alias("k2"), F.col("s").alias("s2"))
+    scored = seen.select("k1", "k2", "n1", "n2").join(a, "k1").join(b, "k2").select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.size(F.array_intersect("s1", "s2")).alias("shared"), F.col("n1").alias("size_a"), F.col("n2").alias("size_b"))
     scored = scored.withColumn("score", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
     return scored.where((F.col("score") >= threshold) & (F.col("shared") >= least_shared))
 
 
-def equal_groups(items: DataFrame, key: str = "unit_id", item: str = "item") -> DataFrame:
-    """key, rep, size, copies: sets that are equal share a representative, their smallest key.
+def similar_sets(items: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1, key: str = "unit_id", item: str = "item") -> DataFrame:
+    """a, b (a < b), shared, size_a, size_b, score for pairs of sets with Jaccard at least ``threshold``.
 
-    ``items``: key, item, distinct. Sets are told apart by their size and two 64-bit sums of item hashes, which tasks add up before the
-    shuffle, so neither a large set nor a large group of equal ones is gathered.
+    ``items``: key, item; repeated rows count once, rows without item are left out. Exact without ``df_max``: each set is indexed by its rarest items
+    only, as many as two similar sets cannot both do without, so frequent items make no posting
+    lists. With ``df_max`` candidates come from items in 2..df_max sets, and a pair that shares only
+    more frequent ones is missed (``capped_items`` reports those). Scores count every shared item.
     """
-    sums = items.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64(item)).alias("_h1"), F.bit_xor(F.xxhash64(F.lit("second"), item)).alias("_h2"))
-    sums = stash(sums, "sets")
-    groups = sums.groupBy("size", "_h1", "_h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    return sums.join(groups, ["size", "_h1", "_h2"]).select("key", "rep", "size", "copies")
+    return similar_packed(packed_sets(items.where(F.col(item).isNotNull()), key, item), threshold, least_shared, df_max, least_size)
 
 
-def similar_groups(items: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1, key: str = "unit_id", item: str = "item") -> tuple[DataFrame, DataFrame]:
-    """(membership as of ``equal_groups``, pairs of representatives as of ``similar_sets``).
+def equal_packed(sets: DataFrame) -> DataFrame:
+    """key, rep, size, copies of packed sets (k, s): sets that are equal share a representative, their smallest key; told apart by size and two 64-bit hashes."""
+    marks = sets.select(F.col("k").alias("key"), F.size("s").alias("size"), F.xxhash64("s").alias("_h1"), F.xxhash64(F.lit("second"), "s").alias("_h2"))
+    groups = marks.groupBy("size", "_h1", "_h2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    return marks.join(groups, ["size", "_h1", "_h2"]).select("key", "rep", "size", "copies")
+
+
+def packed_groups(sets: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(membership as of ``equal_packed``, pairs of representatives as of ``similar_packed``) of packed sets (k, s); they are made once.
 
     Copies are never paired with one another: a group of m copies is m rows of membership. No link between different sets is lost.
     """
-    members = stash(equal_groups(items, key, item), "set-groups")
-    own = items.join(members.where(F.col("key") == F.col("rep")).select(F.col("key").alias(key)), key, "left_semi")
-    return members, similar_sets(own, threshold, least_shared, df_max, least_size, key, item)
+    sets = stash(sets, "all-sets")
+    members = stash(equal_packed(sets), "set-groups")
+    copies = members.where("key <> rep").select(F.col("key").alias("k"))
+    return members, similar_packed(sets.join(copies, "k", "left_anti"), threshold, least_shared, df_max, least_size)
+
+
+def similar_groups(items: DataFrame, threshold: float, least_shared: int = 1, df_max: int | None = None, least_size: int = 1, key: str = "unit_id", item: str = "item") -> tuple[DataFrame, DataFrame]:
+    """``packed_groups`` of a table of items (key, item)."""
+    return packed_groups(packed_sets(items.where(F.col(item).isNotNull()), key, item), threshold, least_shared, df_max, least_size)
 
 
 def expanded(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -108,32 +133,60 @@ def capped_items(items: DataFrame, df_max: int, item: str = "item") -> DataFrame
 
 def shingle_items(units: DataFrame, tokens: Column, n: int, least_words: int) -> DataFrame:
     """unit_id, item: 64-bit hashes of the distinct n-grams of units with enough words; eight bytes shuffle better than words."""
-    return units.select("unit_id", tokens.alias("t")).where(F.size("t") >= least_words).select("unit_id", F.explode(shingles(F.col("t"), n)).alias("_s")).select("unit_id", F.xxhash64("_s").alias("item"))
+    return shingle_sets(units, tokens, n, least_words).select(F.col("k").alias("unit_id"), F.explode("s").alias("item"))
+
+
+def shingle_sets(units: DataFrame, tokens: Column, n: int, least_words: int) -> DataFrame:
+    """k (unit), s: the sorted distinct 64-bit hashes of the n-grams of units with enough words, made within the row."""
 
+    def of(h: Column) -> Column:
+        # A run is a hash of its words' hashes; a shorter text is one run.
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - n)), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))
+        return F.when(F.size(h) >= least_words, F.array_sort(F.array_distinct(runs)))
 
-def near_duplicates(units: DataFrame, tokens: Column, threshold: float = 0.6, least_words: int = 4, n: int = 3, df_max: int | None = None) -> DataFrame:
+    return units.select(F.col("unit_id").alias("k"), bound(F.transform(tokens, lambda t: F.xxhash64(t)), of).alias("s")).where(F.size("s") > 0)
+
+
+def near_duplicates(units: DataFrame, tokens: Column, threshold: float = 0.6, least_words: int = 4, n: int = 3, df_max: int | None = None, expand: bool = False) -> DataFrame:
     """Pairs of units whose n-gram sets have Jaccard at least ``threshold``, both directions, with word differences.
 
-    only_a / only_b: the first 12 words of one side that the other lacks, in order; identical: equal word lists.
+    only_a / only_b: the first 12 words of one side that the other lacks, in order; identical: equal word lists. Units with equal sets are represented by the smallest; ``duplicate_groups``
+    has who stands for whom. With ``expand`` all pairs of units are listed instead: m squared rows of m copies, for small inputs.
     """
-    pairs = expanded(*similar_groups(shingle_items(units, tokens, n, least_words), threshold, df_max=df_max))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", F.col("size_b").alias("size_a"), F.col("size_a").alias("size_b"), "score"))
-    words = units.select("unit_id", tokens.alias("w"))
-    out = both.join(words.select(F.col("unit_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("unit_id").alias("b"), F.col("w").alias("wb")), "b")
+    members, pairs = duplicate_groups(units, tokens, threshold, least_words, n, df_max)
+    if expand:
+        pairs = expanded(members, pairs)
+    pairs = stash(pairs.select("a", "b", "shared", "score"), "duplicates")
+    ends = pairs.select(F.col("a").alias("unit_id")).unionByName(pairs.select(F.col("b").alias("unit_id"))).distinct()
+    words = units.join(ends, "unit_id", "left_semi").select("unit_id", tokens.alias("w"))
+    met = pairs.join(words.select(F.col("unit_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("unit_id").alias("b"), F.col("w").alias("wb")), "b")
 
     def lacking(x: str, y: str) -> Column:
         # The few words that the other side lacks come from a hashed difference, once for a pair.
-        return bound(F.array_except(x, y), lambda d: F.slice(F.filter(F.col(x), lambda w: F.array_contains(d, w)), 1, 12))
+        return bound(F.array_except(x, y), lambda d: F.when(F.size(d) > 0, F.slice(F.filter(F.col(x), lambda w: F.array_contains(d, w)), 1, 12)).otherwise(d))
+
+    told = met.select("a", "b", "shared", "score", lacking("wa", "wb").alias("la"), lacking("wb", "wa").alias("lb"), (F.col("wa") == F.col("wb")).alias("identical"))
+    ways = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(lx).alias("only_a"), F.col(ly).alias("only_b")) for x, y, lx, ly in (("a", "b", "la", "lb"), ("b", "a", "lb", "la"))]
+    return told.select("shared", "score", "identical", F.explode(F.array(*ways)).alias("_way")).select("_way.a", "_way.b", "shared", "score", "_way.only_a", "_way.only_b", "identical")
 
-    return out.select("a", "b", "shared", "score", lacking("wa", "wb").alias("only_a"), lacking("wb", "wa").alias("only_b"), (F.col("wa") == F.col("wb")).alias("identical"))
+
+def duplicate_groups(units: DataFrame, tokens: Column, threshold: float = 0.6, least_words: int = 4, n: int = 3, df_max: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(membership, pairs of representatives) of near-duplicate units; units with too few words or a null text are in neither."""
+    return packed_groups(shingle_sets(units, tokens, n, least_words), threshold, df_max=df_max)
 
 
 def content_parallels(occurrences: DataFrame, threshold: float = 0.5, least_shared: int = 5, common: int = 400, least_size: int = 5, df_max: int | None = None) -> DataFrame:
-    """Pairs of units that share content terms (those with at most ``common`` occurrences)."""
-    rare = term_counts(occurrences).where(F.col("occurrences") <= common).select("term")
-    items = occurrences.join(rare, "term").select("unit_id", F.col("term").alias("item")).distinct()
-    pairs = similar_sets(items, threshold, least_shared, df_max, least_size)
-    sets = items.groupBy("unit_id").agg(F.collect_set("item").alias("s"))
+    """Pairs of units that share content terms (those with at most ``common`` occurrences).
+
+    Occurrences are counted by unit and term once; terms travel as hashes until pairs are known. Units with fewer than ``least_size`` such terms have no
+    parallels; null terms and units count nowhere; repeated occurrences count towards ``common`` alone.
+    """
+    held = stash(occurrences.where("unit_id IS NOT NULL AND term IS NOT NULL").groupBy("unit_id", "term").agg(F.count("*").alias("n")), "unit-terms")
+    frequent = held.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > common).select("term")  # the few, so they are what is joined
+    items = held.join(frequent, "term", "left_anti").select("unit_id", F.col("term").alias("item"))
+    pairs = stash(similar_sets(items, threshold, least_shared, df_max, least_size), "parallels")
+    ends = pairs.select(F.col("a").alias("unit_id")).unionByName(pairs.select(F.col("b").alias("unit_id"))).distinct()
+    sets = items.join(ends, "unit_id", "left_semi").groupBy("unit_id").agg(F.collect_set("item").alias("s"))
     out = pairs.join(sets.select(F.col("unit_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("unit_id").alias("b"), F.col("s").alias("sb")), "b")
     return out.select("a", "b", "shared", "score", F.array_sort(F.array_intersect("sa", "sb")).alias("shared_terms"), F.array_sort(F.array_except("sa", "sb")).alias("only_a"), F.array_sort(F.array_except("sb", "sa")).alias("only_b"))
 
