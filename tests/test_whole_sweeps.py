@@ -33,5 +33,6 @@ def test_every_term_is_assessed_and_the_sweep_takes_twenty(spark):
         best = min(best, swept[i - 1][0] * len(swept) / i)
         want[swept[i - 1][1]] = best
     found = {r.term: r.corrected_p for r in __spark_entry__.queries()["cohort_sweep_all"](spark, SF).collect()}
-    assert found.keys() == {t for t, x in want.items() if x < 0.05}
+    assert found.keys() == want.keys()
+    assert {r.term for r in __spark_entry__.queries()["cohort_sweep"](spark, SF).collect()} == {t for t, x in want.items() if x < 0.05}
     assert all(x == pytest.approx(want[t], abs=2e-6) for t, x in found.items())

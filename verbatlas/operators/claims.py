@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import assess, loaded_numbers
+from verbatlas.functions.text import bound, words
 from verbatlas.operators.cooccurrence import SCOPES
 
 TYPES = ("always_with", "never_with", "mostly_with", "distribution", "conditional")
@@ -24,20 +27,44 @@ def validate(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
+def word_runs(tokens: Column, lengths: Sequence[int]) -> Column:
+    """The distinct 64-bit hashes of all runs of so many words, of each of ``lengths``, within the row."""
+
+    def of(h: Column) -> Column:
+        def runs(n: int) -> Column:
+            starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: run_hash(*[F.get(h, i + j) for j in range(n)]))
+
+        return F.flatten(F.array(*map(runs, lengths)))
+
+    return F.array_distinct(bound(F.transform(tokens, lambda t: F.xxhash64(t)), of))
+
+
+def run_hash(*word_hashes: Column) -> Column:
+    return F.xxhash64(F.lit(len(word_hashes)), *word_hashes)
+
+
 def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None) -> DataFrame:
     """claim_id, term, surface, at, order: terms named in a claim's text, in order of first mention.
 
-    ``lexicon``: surface (lower case), term. Each term is found by its longest surface that stands there between word borders.
-    Claims meet the lexicon by the surface's first word, so the join is on a key, then the whole surface is looked for.
+    ``lexicon``: surface (lower case), term. Each term is found by its longest surface that stands there between word borders; surfaces of
+    one or two characters or without a word are left out, and so are null texts, surfaces and terms. Repeated rows of the lexicon count once.
+
+    A surface meets the texts that hold all of its words in a row, by a hash of that run, never those that merely share a word with it; a text makes a row for each of its
+    runs and each number of words that a surface has (a lexicon has few: they are read first). Texts travel once, to the surfaces found in them, where signs between words
+    are compared too. Rows of one claim_id are one claim: their mentions meet.
     """
-    from verbatlas.functions.text import words
-
-    text = claims.select("claim_id", F.lower("text").alias("text"))
-    tokens = text.select("claim_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("first"))
-    entries = lexicon.where(F.length("surface") > 2).select("surface", "term", F.element_at(words(F.col("surface")), 1).alias("first"))
-    hits = tokens.join(entries, "first").withColumn("at", F.regexp_instr(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("surface"), F.lit(r"\E(?![\p{L}\p{N}])")))).where("at > 0")
-    best = Window.partitionBy("claim_id", "term").orderBy(F.desc(F.length("surface")), "surface")
-    one = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    entries = lexicon.where((F.length("surface") > 2) & F.col("term").isNotNull()).select("surface", "term", words(F.col("surface")).alias("_w")).where(F.size("_w") > 0).withColumn("_n", F.size("_w")).distinct()
+    lengths = sorted(r[0] for r in entries.select("_n").distinct().collect())
+    by_length = F.lit(None).cast("bigint")
+    for n in lengths:
+        by_length = F.when(F.col("_n") == n, run_hash(*[F.xxhash64(F.get("_w", F.lit(j))) for j in range(n)])).otherwise(by_length)
+    entries = entries.select("surface", "term", by_length.alias("_run"))
+    text = claims.where(F.col("text").isNotNull()).select("claim_id", F.lower("text").alias("text"))
+    runs = text.select("claim_id", F.explode(word_runs(words(F.col("text")), lengths) if lengths else F.array().cast("array<bigint>")).alias("_run")).join(entries.select("_run").distinct(), "_run", "left_semi").distinct()
+    hits = runs.join(entries, "_run").join(text, "claim_id").withColumn("at", F.regexp_instr(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("surface"), F.lit(r"\E(?![\p{L}\p{N}])")))).where("at > 0")
+    best = F.min(F.struct((-F.length("surface")).alias("_l"), "surface", "at"))
+    one = hits.groupBy("claim_id", "term").agg(best.alias("_best")).select("claim_id", "term", "_best.surface", "_best.at")
     out = one.withColumn("order", F.row_number().over(Window.partitionBy("claim_id").orderBy("at", "term"))).select("claim_id", "term", "surface", "at", "order")
     return out if most is None else out.where(F.col("order") <= most)
 
@@ -45,9 +72,9 @@ def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None
 def claim_type_of(text: Column, markers: dict[str, list[str]], default: str = "mostly_with") -> Column:
     """The first claim type of ``markers`` with a marker in the text."""
     out = F.lit(default)
-    for kind, words in reversed(list(markers.items())):
+    for kind, marks in reversed(list(markers.items())):
         test = F.lit(False)
-        for w in words:
+        for w in marks:
             test = test | F.contains(F.lower(text), F.lit(w))
         out = F.when(test, kind).otherwise(out)
     return out

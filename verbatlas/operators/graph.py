@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbatlas.sources.shared import stash
+
 
 def neighbourhood(edges: dict[str, DataFrame], sources: DataFrame, limit: int = 25) -> DataFrame:
     """src, kind, dst, weight, rank: for each source the ``limit`` heaviest neighbours of each kind.
@@ -18,6 +20,27 @@ def neighbourhood(edges: dict[str, DataFrame], sources: DataFrame, limit: int =
     return reduce(DataFrame.unionByName, typed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def reach(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+    """source, node, hops, via: every node within ``depth`` steps of each source, the fewest steps, and the smallest node before it on such a way.
+
+    ``edges``: src, dst, of one type with ``sources`` (source). A hop joins the frontier to the edges by node and leaves out what its source has met; the frontier of each hop is a
+    written table, so a lost executor costs its tasks alone. A source is not its own neighbour; repeated edges and sources count once; self loops and null ends lead nowhere; a
+    source without edges has no rows.
+    """
+    known = stash(edges.where("src <> dst").select("src", "dst").distinct(), "reach-edges")
+    frontier = sources.where(F.col("source").isNotNull()).select("source", F.col("source").alias("node")).distinct()
+    met = [frontier.select("source", "node")]
+    out = None
+    for hop in range(1, depth + 1):
+        seen = reduce(DataFrame.unionByName, met)
+        step = frontier.join(known, frontier["node"] == known["src"]).groupBy("source", F.col("dst").alias("next")).agg(F.min("node").alias("via"))
+        fresh = step.join(seen.select("source", F.col("node").alias("next")), ["source", "next"], "left_anti")
+        frontier = stash(fresh.select("source", F.col("next").alias("node"), F.lit(hop).alias("hops"), "via"), "reach")
+        met.append(frontier.select("source", "node"))
+        out = frontier if out is None else out.unionByName(frontier)
+    return out if out is not None else frontier.select("source", "node", F.lit(0).alias("hops"), F.col("node").alias("via")).limit(0)
+
+
 def cooccurring_units(occurrences: DataFrame, term: str, partner: str | None = None) -> DataFrame:
     """Units with a term, and with its partner if one is named."""
     units = occurrences.where(F.col("term") == term).select("unit_id").distinct()

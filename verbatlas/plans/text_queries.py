@@ -351,18 +351,26 @@ def timeline(spark, sf):
     return out.select("bucket", "term", "words", "total", F.round("rate", 6).alias("rate"))
 
 
-@query("cohort_sweep", T1 + f""", sh AS (SELECT sum(CASE WHEN cohort = 'A' THEN n_words ELSE 0 END) / sum(n_words) AS rate FROM u), c AS (SELECT term, count(*) AS n, sum((cohort = 'A')::int) AS k FROM w GROUP BY 1 HAVING count(*) BETWEEN 150 AND 100000000),
-p AS (SELECT term, n, k, {V.p_value('k', 'n', 'rate')} AS p FROM c, sh), r AS (SELECT *, row_number() OVER (ORDER BY p, term) AS rank, count(*) OVER () AS m FROM p),
-a AS (SELECT term, n, k, least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS cp FROM r) SELECT term, n, k AS observed, round(cp, 6) AS corrected_p FROM a WHERE cp < 0.05""")
+def sweep(least: int) -> str:
+    """SQL up to ``tails``: every term with so many occurrences against the cohort's share of words."""
+    return T1 + f""", sh AS (SELECT sum(CASE WHEN cohort = 'A' THEN n_words ELSE 0 END) / sum(n_words) AS rate FROM u), c AS (SELECT term, count(*) AS n, sum((cohort = 'A')::int) AS k, any_value(rate) AS rate FROM w, sh GROUP BY 1 HAVING count(*) >= {least}), {V.tails('c', 'term')}"""
+
+
+SWEPT = sweep(20) + """, r AS (SELECT *, row_number() OVER (ORDER BY p, term) AS rank, count(*) OVER () AS m FROM tails),
+a AS (SELECT term, n, k, least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS cp FROM r) SELECT term, n, k AS observed, round(cp, 6) AS corrected_p FROM a"""
+
+
+@query("cohort_sweep", SWEPT + " WHERE cp < 0.05")
 def cohort_sweep(spark, sf):
-    out = B.cohort_sweep(occ(spark, sf).select("term", "cohort"), V.plain_units(spark, sf), "A", least=150, top=None)
+    """The terms with 20 occurrences and more that a cohort uses more or less than chance would."""
+    out = B.cohort_sweep(occ(spark, sf).select("term", "cohort"), V.plain_units(spark, sf), "A", top=None)
     return out.select("term", "n", "observed", F.round("corrected_p", 6).alias("corrected_p"))
 
 
-@query("cohort_sweep_all")
+@query("cohort_sweep_all", SWEPT)
 def cohort_sweep_all(spark, sf):
-    """The sweep over all terms that the operator takes by default; DuckDB's tail, term by term, is too slow for these."""
-    out = B.cohort_sweep(occ(spark, sf).select("term", "cohort"), V.plain_units(spark, sf), "A", top=None)
+    """Every term of the sweep, those within chance too."""
+    out = B.cohort_sweep(occ(spark, sf).select("term", "cohort"), V.plain_units(spark, sf), "A", top=None, survivors=False)
     return out.select("term", "n", "observed", F.round("corrected_p", 6).alias("corrected_p"))
 
 
@@ -439,6 +447,15 @@ def neighbourhood(spark, sf):
     return G.neighbourhood({"similar": both, "term": terms}, sources, 5).withColumn("weight", F.round("weight", 6))
 
 
+@query("neighbourhood_depth", f"WITH RECURSIVE {V.U}" + SH + """, ed AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e), r AS (SELECT unit_id AS source, unit_id AS node, 0 AS hops FROM u UNION SELECT r.source, ed.dst, r.hops + 1 FROM r JOIN ed ON r.node = ed.src WHERE r.hops < 3),
+m AS (SELECT source, node, min(hops) AS hops FROM r GROUP BY 1, 2) SELECT m.source, m.node, m.hops, min(x.node) AS via FROM m JOIN ed ON ed.dst = m.node JOIN m x ON x.source = m.source AND x.node = ed.src AND x.hops = m.hops - 1 WHERE m.hops > 0 GROUP BY 1, 2, 3""")
+def neighbourhood_depth(spark, sf):
+    """Everything within three similarity links of every document, with the step before it."""
+    e = dup_pairs(spark, sf)
+    both = e.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return G.reach(both, V.table(spark, sf, "documents").select(F.col("doc_id").alias("source")), 3)
+
+
 # -- passages and structure
 
 PSQL = T1 + """, me AS (SELECT DISTINCT section_id, unit_num FROM w WHERE term = 'heti'), l AS (SELECT *, coalesce((unit_num - lag(unit_num) OVER (PARTITION BY section_id ORDER BY unit_num) > 3)::int, 1) AS nw FROM me),
@@ -533,24 +550,29 @@ def span_ids(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", E.span_id(F.lit("ayah"), F.col("doc_id"), F.col("source"), F.col("text")).alias("span_id"))
 
 
-@query("binomial_assess", T1 + f""", sh AS (SELECT sum(CASE WHEN cohort = 'A' THEN n_words ELSE 0 END) / sum(n_words) AS rate FROM u), c AS (SELECT term, count(*) AS n, sum((cohort = 'A')::int) AS k FROM w GROUP BY 1 HAVING count(*) BETWEEN 40 AND 400)
-SELECT term, n, k AS observed, round(n * rate, 6) AS expected, round({V.p_value('k', 'n', 'rate')}, 6) AS p_value, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(rate)), 6) AS effect FROM c, sh""")
-def binomial_assess(spark, sf):
-    share = V.plain_units(spark, sf).agg((F.sum(F.when(F.col("cohort") == "A", F.col("n_words")).otherwise(0)) / F.sum("n_words")).alias("rate"))
-    c = occ(spark, sf).groupBy("term").agg(F.count("*").alias("n"), F.sum((F.col("cohort") == "A").cast("int")).alias("observed")).where("n between 40 and 400")
-    s = c.join(F.broadcast(share)).withColumn("sig", assess(F.col("observed"), F.col("n"), F.col("rate")))
-    return s.select("term", "n", "observed", F.round("sig.expected", 6).alias("expected"), F.round("sig.p_value", 6).alias("p_value"), F.round("sig.effect", 6).alias("effect"))
+ASSESSED = sweep(1) + " SELECT term, n, k AS observed, round(n * rate, 6) AS expected, round(p, 6) AS p_value, round(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(rate)), 6) AS effect"
 
 
-@query("binomial_assess_all")
-def binomial_assess_all(spark, sf):
-    """Every term, however rare or common, with the warnings; DuckDB's tail, term by term, is too slow for these."""
+def assessed(spark, sf):
     share = V.plain_units(spark, sf).agg((F.sum(F.when(F.col("cohort") == "A", F.col("n_words")).otherwise(0)) / F.sum("n_words")).alias("rate"))
     c = occ(spark, sf).groupBy("term").agg(F.count("*").alias("n"), F.sum((F.col("cohort") == "A").cast("int")).alias("observed"))
     s = c.join(F.broadcast(share)).withColumn("sig", assess(F.col("observed"), F.col("n"), F.col("rate")))
     return s.select("term", "n", "observed", F.round("sig.expected", 6).alias("expected"), F.round("sig.p_value", 6).alias("p_value"), F.round("sig.effect", 6).alias("effect"), "sig.warnings")
 
 
+@query("binomial_assess", ASSESSED + " FROM tails")
+def binomial_assess(spark, sf):
+    """Every term, however rare or common, against a cohort's share of all words."""
+    return assessed(spark, sf).drop("warnings")
+
+
+@query("binomial_assess_all", ASSESSED + """, array_to_string(list_filter([CASE WHEN n < 20 THEN 'small_sample' END, CASE WHEN n * rate < 5 THEN 'few_expected' END,
+CASE WHEN abs(2 * asin(sqrt(k / n)) - 2 * asin(sqrt(rate))) < 0.2 AND p < 0.05 THEN 'small_effect' END], lambda x: x IS NOT NULL), ',') AS warnings FROM tails""")
+def binomial_assess_all(spark, sf):
+    """The same with the warnings."""
+    return assessed(spark, sf).withColumn("warnings", F.array_join("warnings", ","))
+
+
 def source_tests(spark, sf):
     """Documents in English of every source against the share over all, as a family of tests."""
     d = V.table(spark, sf, "documents")

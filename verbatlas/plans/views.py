@@ -73,3 +73,14 @@ def p_value(k: str, n: str, p: str) -> str:
     up = f"(SELECT sum(exp({pmf})) FROM generate_series(({k})::BIGINT, ({n})::BIGINT) AS g(i))"
     down = f"(SELECT sum(exp({pmf})) FROM generate_series(0::BIGINT, ({k})::BIGINT) AS g(i))"
     return f"CASE WHEN ({n}) <= 0 THEN 1.0 WHEN ({p}) <= 0 OR ({p}) >= 1 THEN 1.0 WHEN ({k}) >= ({n}) * ({p}) THEN least(1.0, 2 * {up}) ELSE least(1.0, 2 * {down}) END"
+
+
+def tails(rows: str, keys: str) -> str:
+    """SQL (CTEs ``_terms`` and ``tails``) for the doubled tails of all rows (keys, n, k, rate) at once: a row for each outcome on the observed side, summed by row.
+
+    All the outcomes are as many as all trials, so a whole sweep costs no more than its occurrences.
+    """
+    up = "k >= n * rate"
+    pmf = LPMF.format(n="n::DOUBLE", p="rate")
+    return f"""_terms AS (SELECT *, unnest(generate_series(CASE WHEN {up} THEN k ELSE 0 END::BIGINT, CASE WHEN {up} THEN n ELSE k END::BIGINT)) AS i FROM {rows} WHERE n > 0 AND rate > 0 AND rate < 1),
+tails AS (SELECT {keys}, any_value(n) AS n, any_value(k) AS k, any_value(rate) AS rate, least(1.0, 2 * sum(exp({pmf}))) AS p FROM _terms GROUP BY {keys})"""
