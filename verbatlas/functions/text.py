@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,6 +101,23 @@ def shingles(items: Column, n: int) -> Column:
     return bound(items, of)
 
 
+def run_hashes(tokens: Column, lengths: Sequence[int]) -> Column:
+    """The distinct 64-bit hashes of all runs of so many words, of each of ``lengths``, within the row."""
+
+    def of(h: Column) -> Column:
+        def runs(n: int) -> Column:
+            starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: run_hash(*[F.get(h, i + j) for j in range(n)]))
+
+        return F.flatten(F.array(*map(runs, lengths)))
+
+    return F.array_distinct(bound(F.transform(tokens, lambda t: F.xxhash64(t)), of))
+
+
+def run_hash(*word_hashes: Column) -> Column:
+    return F.xxhash64(F.lit(len(word_hashes)), *word_hashes)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
     union = F.size(F.array_union(a, b))

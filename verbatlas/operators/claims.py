@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions.stats import assess, loaded_numbers
-from verbatlas.functions.text import bound, words
+from verbatlas.functions.text import run_hash, run_hashes, words
 from verbatlas.operators.cooccurrence import SCOPES
 
 TYPES = ("always_with", "never_with", "mostly_with", "distribution", "conditional")
@@ -27,23 +25,6 @@ def validate(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
-def word_runs(tokens: Column, lengths: Sequence[int]) -> Column:
-    """The distinct 64-bit hashes of all runs of so many words, of each of ``lengths``, within the row."""
-
-    def of(h: Column) -> Column:
-        def runs(n: int) -> Column:
-            starts = F.when(F.size(h) >= n, F.sequence(F.lit(0), F.size(h) - n)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: run_hash(*[F.get(h, i + j) for j in range(n)]))
-
-        return F.flatten(F.array(*map(runs, lengths)))
-
-    return F.array_distinct(bound(F.transform(tokens, lambda t: F.xxhash64(t)), of))
-
-
-def run_hash(*word_hashes: Column) -> Column:
-    return F.xxhash64(F.lit(len(word_hashes)), *word_hashes)
-
-
 def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None) -> DataFrame:
     """claim_id, term, surface, at, order: terms named in a claim's text, in order of first mention.
 
@@ -61,7 +42,7 @@ def resolve_terms(claims: DataFrame, lexicon: DataFrame, most: int | None = None
         by_length = F.when(F.col("_n") == n, run_hash(*[F.xxhash64(F.get("_w", F.lit(j))) for j in range(n)])).otherwise(by_length)
     entries = entries.select("surface", "term", by_length.alias("_run"))
     text = claims.where(F.col("text").isNotNull()).select("claim_id", F.lower("text").alias("text"))
-    runs = text.select("claim_id", F.explode(word_runs(words(F.col("text")), lengths) if lengths else F.array().cast("array<bigint>")).alias("_run")).join(entries.select("_run").distinct(), "_run", "left_semi").distinct()
+    runs = text.select("claim_id", F.explode(run_hashes(words(F.col("text")), lengths) if lengths else F.array().cast("array<bigint>")).alias("_run")).join(entries.select("_run").distinct(), "_run", "left_semi").distinct()
     hits = runs.join(entries, "_run").join(text, "claim_id").withColumn("at", F.regexp_instr(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("surface"), F.lit(r"\E(?![\p{L}\p{N}])")))).where("at > 0")
     best = F.min(F.struct((-F.length("surface")).alias("_l"), "surface", "at"))
     one = hits.groupBy("claim_id", "term").agg(best.alias("_best")).select("claim_id", "term", "_best.surface", "_best.at")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as T
+from verbatlas.functions.text import run_hash, run_hashes
+from verbatlas.sources.shared import stash
 
 #: Most primary kinds first (fixed order); others follow.
 KIND_RANK = {"ayah": 0, "morphology": 1, "tafsir": 2, "hadith": 3, "translation": 4, "lexicon": 5}
@@ -96,10 +98,46 @@ def render_placeholders(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return out.select("doc_id", joined.alias("text"), "resolved", "violations", "citations")
 
 
+def contained(needles: DataFrame, texts: DataFrame, key: str, needle: str, text: str, width: int = 16) -> DataFrame:
+    """Distinct (key, needle) that stand somewhere inside a ``text`` of the same key, character by character.
+
+    A text that holds a needle holds its first ``width`` characters (or all of a shorter one), so the two meet by (key, hash of those), never by key alone: a text makes a
+    row for each of its runs of so many characters that some needle of its key begins with. A needle of up to ``width`` characters is then found. A longer one is compared with the
+    text itself: first one text for each needle, then, for the few that are not in that one, all texts that hold its beginning. An empty needle
+    stands in any text of its key, also an empty one. Null keys, needles and texts meet nothing; repeated rows count once.
+    """
+    wanted = stash(needles.where(F.col(key).isNotNull() & F.col(needle).isNotNull()).select(key, needle).distinct(), "needles")
+    held = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.col(text).alias("_t")).distinct()
+    held = stash(held.withColumn("_s", F.concat(F.hex(F.xxhash64("_t")), F.hex(F.xxhash64(F.lit("second"), "_t")))), "haystacks")
+    size = F.length(needle)
+    lengths = sorted(r[0] for r in wanted.where(size > 0).select(F.least(size, F.lit(width)).alias("n")).distinct().collect())  # at most ``width``
+    empty = wanted.where(size == 0).join(held.select(key).distinct(), key, "left_semi")
+    if not lengths:
+        return empty
+    letters = lambda c: F.split(c, "")
+    start = F.lit(None).cast("bigint")
+    for n in lengths:
+        start = F.when(F.least(size, F.lit(width)) == n, run_hash(*[F.xxhash64(F.get("_l", F.lit(i))) for i in range(n)])).otherwise(start)
+    begun = wanted.where(size > 0).withColumn("_l", letters(F.substring(needle, 1, width))).select(key, needle, start.alias("_h"))
+    found = held.select(key, "_s", F.explode(run_hashes(letters(F.col("_t")), lengths)).alias("_h")).join(begun.select(key, "_h").distinct(), [key, "_h"], "left_semi")
+    found = stash(found, "beginnings")
+    short = begun.where(size <= width).join(found.select(key, "_h").distinct(), [key, "_h"], "left_semi").select(key, needle)
+    long = begun.where(size > width)
+    body = held.select(key, "_s", "_t")
+
+    def read(pairs: DataFrame) -> DataFrame:
+        return pairs.join(body, [key, "_s"]).where(F.contains("_t", F.col(needle))).select(key, needle).distinct()
+
+    proven = stash(read(long.join(found.groupBy(key, "_h").agg(F.min("_s").alias("_s")), [key, "_h"])), "proven")
+    rest = read(long.join(proven, [key, needle], "left_anti").join(found, [key, "_h"]))
+    return short.unionByName(proven).unionByName(rest).unionByName(empty)
+
+
 def unverified_runs(documents: DataFrame, verified: DataFrame, runs: Column | None = None, form: Column | None = None) -> DataFrame:
     """run_id, run: quoted runs of documents (run_id, text) that occur in no verified text (run_id, text) of the same run.
 
-    ``runs`` finds quotations in ``text`` (script runs by default), ``form`` folds ``text`` before the comparison.
+    ``runs`` finds quotations in ``text`` (script runs by default), ``form`` folds ``text`` before the comparison. Each quotation of a run counts once; one without a run
+    or in a run without verified texts is unverified.
     """
     prose = F.regexp_replace(F.col("text"), T.PLACEHOLDER, " ")
     found = runs if runs is not None else T.quoted_runs(prose)
@@ -107,10 +145,10 @@ def unverified_runs(documents: DataFrame, verified: DataFrame, runs: Column | No
     def folded(c: Column) -> Column:
         return T.search_form(c) if form is None else F.lower(c)
 
-    quoted = documents.select("run_id", F.explode(found).alias("run")).distinct()
+    quoted = stash(documents.select("run_id", F.explode(found).alias("run")).distinct().withColumn("_q", folded(F.col("run"))), "quoted")
     sources = verified.where(F.col("text").isNotNull()).select("run_id", folded(F.col("text")).alias("_v"))
-    proven = quoted.join(sources, "run_id").where(F.contains("_v", folded(F.col("run")))).select("run_id", "run").distinct()
-    return quoted.join(proven, ["run_id", "run"], "left_anti")
+    proven = contained(quoted, sources, "run_id", "_q", "_v")
+    return quoted.join(proven, ["run_id", "_q"], "left_anti").select("run_id", "run")
 
 
 def disagreements(notes: DataFrame) -> DataFrame:
