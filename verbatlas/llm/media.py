@@ -30,6 +30,29 @@ class Blob:
     def __init__(self, b: bytes):
         self.b = b
         self.known: dict[bytes, list[int]] = {}
+        self.walks: dict[str, dict[int, object]] = {}
+
+    def walked(self, name: str, at: int, step: Callable[[bytes, int], tuple[int, object]]) -> object:
+        """Where a walk from ``at`` leads. ``step`` gives (next place, None), or (-1, result); walks that meet share the rest, so a blob is walked once for each kind of walk."""
+        known, path = self.walks.setdefault(name, {}), []
+        result = known.get(at)
+        while result is None:
+            path.append(at)
+            at, result = step(self.b, at)
+            if result is None:
+                result = known.get(at)
+        known.update(dict.fromkeys(path, result))
+        return result
+
+    @functools.cached_property
+    def gif_ends(self) -> np.ndarray:
+        """For each place that some walk over a GIF's blocks has passed, one more than where it ends (1: nowhere, 0: not passed)."""
+        return np.zeros(len(self.b) + 1, np.int64)
+
+    @functools.cached_property
+    def gif_stops(self) -> np.ndarray:
+        """The same for walks over sub-blocks: one more than the place of the empty one."""
+        return np.zeros(len(self.b) + 1, np.int64)
 
     def places(self, mark: bytes) -> list[int]:
         if mark not in self.known:
@@ -65,39 +88,62 @@ class Blob:
         return out
 
 
+def _png_step(b: bytes, p: int) -> tuple[int, int | None]:
+    if p + 12 > len(b):
+        return -1, 0
+    n, kind = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
+    if p + 12 + n > len(b) or zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+        return -1, 0
+    return (-1, p + 12 + n) if kind == b"IEND" else (p + 12 + n, None)
+
+
 def png_length(blob: Blob, at: int) -> int:
     """Walks chunks, checking each one's CRC, until IEND."""
-    b, p, first = blob.b, at + 8, True
-    while p + 12 <= len(b):
-        (n,), kind = struct.unpack_from(">I", b, p), b[p + 4 : p + 8]
-        if (first and (kind != b"IHDR" or n != 13)) or p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return 0
-        first, p = False, p + 12 + n
-        if kind == b"IEND":
-            return p - at
-    return 0
+    b = blob.b
+    if b[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return 0
+    end = blob.walked("png", at + 8, _png_step)
+    return end - at if end else 0
+
+
+def _gif_stop(blob: Blob, p: int) -> int:
+    """The place of the empty sub-block that ends a list of sub-blocks; the length of the bytes or more if there is none."""
+    b, stops, path, size = blob.b, blob.gif_stops, [], len(blob.b)
+    while p < size and b[p] and not stops[p]:
+        path.append(p)
+        p += 1 + b[p]
+    end = int(stops[p]) - 1 if p < size and stops[p] else p
+    if path:
+        stops[path] = end + 1
+    return end
 
 
 def gif_length(blob: Blob, at: int) -> int:
     """Walks blocks and their sub-blocks until the trailer."""
-    b = blob.b
-    if at + 13 > len(b):
+    b, size = blob.b, len(blob.b)
+    if at + 13 > size:
         return 0
     p = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-    while p < len(b):
+    ends, path, end = blob.gif_ends, [], 0
+    while p < size:
+        if ends[p]:
+            end = int(ends[p]) - 1
+            break
+        path.append(p)
         kind = b[p]
         if kind == 0x3B:
-            return p + 1 - at
+            end = p + 1
+            break
         if kind == 0x21:
             p += 2
-        elif kind == 0x2C and p + 10 <= len(b):
+        elif kind == 0x2C and p + 10 <= size:
             p += 10 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 0x80 else 0) + 1
         else:
-            return 0
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return 0
+            break
+        p = _gif_stop(blob, p) + 1
+    if path:
+        ends[path] = end + 1
+    return end - at if end else 0
 
 
 def jpeg_length(blob: Blob, at: int) -> int:
@@ -126,13 +172,28 @@ def riff_chunks(b: bytes, at: int) -> Iterator[tuple[bytes, int, int]]:
         p += 8 + n + (n & 1)
 
 
-def riff_length(blob: Blob, at: int, form: bytes, needed: set[bytes]) -> int:
+def _first_chunk(wanted: bytes) -> Callable[[bytes, int], tuple[int, int | None]]:
+    """A step to where the first chunk whose id begins with ``wanted`` ends; 0 if none comes."""
+
+    def step(b: bytes, p: int) -> tuple[int, int | None]:
+        if p + 8 > len(b):
+            return -1, 0
+        n = struct.unpack_from("<I", b, p + 4)[0]
+        if b.startswith(wanted, p):
+            return -1, p + 8 + n
+        return p + 8 + n + (n & 1), None
+
+    return step
+
+
+def riff_length(blob: Blob, at: int, form: bytes, needed: tuple[bytes, ...]) -> int:
+    """The length that the header states, if the chunks needed lie inside."""
     b = blob.b
     if at + 12 > len(b) or b[at + 8 : at + 12] != form:
         return 0
-    n = 8 + struct.unpack_from("<I", b, at + 4)[0]
-    seen = {c for c, _, _ in riff_chunks(b, at)}
-    return n if at + n <= len(b) and (needed <= seen or form == b"WEBP" and any(c.startswith(b"VP8") for c in seen)) else 0
+    end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+    ends = [blob.walked(f"riff {name!r}", at + 12, _first_chunk(name)) for name in needed]
+    return end - at if end <= len(b) and all(0 < e <= end for e in ends) else 0
 
 
 def bmp_length(blob: Blob, at: int) -> int:
@@ -172,30 +233,34 @@ def gzip_length(blob: Blob, at: int) -> int:
     return min(p, len(b)) - len(d.unused_data) - at if d.eof else 0
 
 
+def _flac_step(b: bytes, p: int) -> tuple[int, int | None]:
+    if p + 4 > len(b):
+        return -1, 0
+    end = p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    return (-1, end) if b[p] & 0x80 else (end, None)
+
+
 def flac_length(blob: Blob, at: int) -> int:
     """Metadata blocks only: frames carry no total length, so the rest of the bytes belongs to it."""
     b, p = blob.b, at + 4
-    while p + 4 <= len(b):
-        last, n = b[p] & 0x80, int.from_bytes(b[p + 1 : p + 4], "big")
-        if p == at + 4 and (b[p] & 0x7F or n != 34):
-            return 0
-        p += 4 + n
-        if last:
-            return len(b) - at if p <= len(b) else 0
-    return 0
+    if p + 4 > len(b) or b[p] & 0x7F or int.from_bytes(b[p + 1 : p + 4], "big") != 34:
+        return 0
+    end = blob.walked("flac", p, _flac_step)
+    return len(b) - at if 0 < end <= len(b) else 0
+
+
+def _ogg_step(b: bytes, p: int) -> tuple[int, int | None]:
+    if p + 27 > len(b) or b[p : p + 4] != b"OggS" or p + 27 + b[p + 26] > len(b):
+        return -1, 0
+    n = b[p + 26]
+    end = p + 27 + n + sum(b[p + 27 : p + 27 + n])
+    return (-1, end if end <= len(b) else 0) if b[p + 5] & 4 else (end, None)
 
 
 def ogg_length(blob: Blob, at: int) -> int:
     """Walks pages until the one that ends the stream."""
-    b, p = blob.b, at
-    while p + 27 <= len(b) and b[p : p + 4] == b"OggS":
-        n = b[p + 26]
-        if p + 27 + n > len(b):
-            return 0
-        last, p = b[p + 5] & 4, p + 27 + n + sum(b[p + 27 : p + 27 + n])
-        if last:
-            return p - at if p <= len(b) else 0
-    return 0
+    end = blob.walked("ogg", at, _ogg_step)
+    return end - at if end else 0
 
 
 #: Magic bytes, the type they announce, and the check of structure and length (0: not valid).
@@ -204,8 +269,8 @@ FORMATS: list[tuple[bytes, str, Callable[[Blob, int], int]]] = [
     (b"GIF87a", "image/gif", gif_length),
     (b"GIF89a", "image/gif", gif_length),
     (b"\xff\xd8\xff", "image/jpeg", jpeg_length),
-    (b"RIFF", "audio/wav", lambda b, at: riff_length(b, at, b"WAVE", {b"fmt ", b"data"})),
-    (b"RIFF", "image/webp", lambda b, at: riff_length(b, at, b"WEBP", {b"VP8 "})),
+    (b"RIFF", "audio/wav", lambda b, at: riff_length(b, at, b"WAVE", (b"fmt ", b"data"))),
+    (b"RIFF", "image/webp", lambda b, at: riff_length(b, at, b"WEBP", (b"VP8",))),
     (b"BM", "image/bmp", bmp_length),
     (b"%PDF-", "application/pdf", pdf_length),
     (b"PK\x03\x04", "application/zip", zip_length),
