@@ -264,11 +264,20 @@ PHRASES = [
 #: Phrases whose labels every text with them has (fixed values): words that stand consecutively, and the label.
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 # fmt: on
+#: Short names by which people call licenses: label, pattern.
+SHORT = [
+    ("agpl", r"agpl(?:-?v?3(?:\.0)?)?"), ("apache", r"apache(?:[- ]?v?[12](?:\.[01])?)?"), ("bsd", r"bsd"), ("bsd-2-clause", r"bsd[- ]2(?:[- ]clause)?"), ("bsd-3-clause", r"bsd[- ]3(?:[- ]clause)?"), ("cc0", r"cc0(?:[- ]1\.0)?"),
+    ("gpl", r"(?:gnu )?gpl(?:[- ]?v?[123](?:\.0)?)?(?:\+|-only|-or-later)?"), ("isc", r"isc"), ("lgpl", r"(?:gnu )?lgpl(?:[- ]?v?[23](?:\.[01])?)?(?:\+|-only|-or-later)?"), ("mit", r"mit"), ("mpl", r"mpl(?:[- ]?v?[12](?:\.[01])?)?"), ("unlicense", r"unlicense"), ("wtfpl", r"wtfpl"), ("zlib", r"zlib"),
+]
+_GRANTS = ("licensed", "released", "distributed", "available", "provided", "published")
 
 
 def build_rules() -> list[Rule]:
-    """For each family an identifier, a grant, a name with version, a plain name and an address; then the phrases."""
+    """For each family an identifier, a grant, a name with version, a plain name and an address; then the phrases, and grants that use a short name."""
     rules = list(PHRASES)
+    for label, name in SHORT:
+        pattern = rf"(?:(?:{'|'.join(_GRANTS)}) under (?:the )?(?:terms of )?(?:the )?{name}|(?<![\w-]){name}[- ]licensed|(?<!\w)licen[sc]e: ?{name})(?![\w-])"
+        rules.append(Rule(label, "short", "licensed under", pattern, 6, 0.85, (*(f"{g} under" for g in _GRANTS[1:]), "-licensed", " licensed", "license:", "licence:")))
     for f in FAMILIES:
         rules.append(Rule(f.label, "identifier", "license-identifier", rf"spdx-license-identifier:\s*(?:{f.spdx})(?![\w.-])", 9, 1.0))
         rules.append(Rule(f.label, "grant", f.word, rf"(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?{f.name}", 8, 0.95, f.others))
@@ -311,15 +320,44 @@ def resolve(found: list[tuple[int, int, int]], rules: list[tuple[Rule, re.Patter
     return kept
 
 
+@functools.lru_cache(maxsize=1)
+def _identifiers() -> list[tuple[int, re.Pattern]]:
+    """Rules that name an identifier, with the pattern of the identifier alone."""
+    spdx = {f.label: f.spdx for f in FAMILIES}
+    return [(i, re.compile(spdx[r.label])) for i, (r, _) in enumerate(compiled()[0]) if r.kind == "identifier" and r.label in spdx]
+
+
+#: An identifier, or several joined by and, or, with, in any brackets.
+_EXPRESSION = re.compile(r"license-identifier: ?((?:\( ?)*+[\w.+-]++(?:(?: ?\))*+ (?:and|or|with) (?:\( ?)*+[\w.+-]++)*+)")
+_OPERATORS = frozenset(("and", "or", "with"))
+
+
+def expression_parts(folded: str) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of each license that an SPDX expression names; exceptions after "with" name none."""
+    found = []
+    if "license-identifier" in folded:
+        for m in _EXPRESSION.finditer(folded):
+            for t in _PART.finditer(folded, m.start(1), m.end(1)):
+                if t[0] not in _OPERATORS:
+                    found += [(t.start(), t.end(), i) for i, pattern in _identifiers() if pattern.fullmatch(t[0].rstrip("+"))]
+    return found
+
+
+_PART = re.compile(r"[\w.+-]+")
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
-    """Resolved detections in a text, whose runs of white space count as one space; rules run only if a keyword of theirs occurs."""
+    """Resolved detections in a text; rules run only if a keyword of theirs occurs.
+
+    A run of white space counts as one space, and so does a line's end with the comment marks around it, so that sentences are found where they are wrapped in code.
+    """
     rules, gate = compiled()
     text = text.translate(_lower_ascii)
     folded = _RUNS.sub(" ", text)
     wanted = {i for _, ids in gate.iter(folded) for i in ids}
     if not wanted:
         return []
-    found = resolve([(m.start(), m.end(), i) for i in sorted(wanted) for m in rules[i][1].finditer(folded)], rules)
+    found = resolve([(m.start(), m.end(), i) for i in sorted(wanted) for m in rules[i][1].finditer(folded)] + expression_parts(folded), rules)
     if not found or len(folded) == len(text):
         return found
     after, cut = [0], [0]  # from folded place after[j] on, cut[j] characters are gone
@@ -334,8 +372,10 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return [(place(a), place(b - 1) + 1, i) for a, b, i in found]
 
 
-#: Runs of white space other than one plain space.
-_RUNS = re.compile(r"[^\S ]\s*| \s+")
+#: What counts as one space: line ends, with a mark that closes a comment before them and one that begins or carries on a comment after them, and other runs of white space than one plain space.
+_CLOSES = r"(?:(?:\*+/|-->|#\}|\*\))[^\S\n]*+)?+"
+_OPENS = r"(?:(?://+!?|/\*+!?|\*+|#+!?|;+|--+|%+|!+|>+|\.\\\"|<!--|\(\*|'|dnl|rem)(?=\s|\Z)[^\S\n]*+)?+"
+_RUNS = re.compile(rf"(?:[^\S\n]*+{_CLOSES}\n[^\S\n]*+{_OPENS})++|[^\S ]\s*| \s+")
 
 _lower_ascii = {c: c + 32 for c in range(65, 91)}
 #: Bytes of ASCII that are no letters or digits become spaces: then words are what split() gives.
