@@ -174,6 +174,7 @@ def stored_index(spark, sf):
         made.add(0, docs.where("lang = 'en'"), words)
         made.add_kinds(1, {"text": (docs.where("lang <> 'en'"), words, "doc_id"), "item": (V.table(spark, sf, "benchmark"), words, "item_id")})
         made.compact()
+        made.vacuum()
         made.add(2, docs.where("lang IS NULL"), words)
         _INDEXES[key] = made
     return _INDEXES[key]
