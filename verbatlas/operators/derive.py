@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbatlas.functions.diffs import changes
 from verbatlas.functions.text import bound, shingles
 from verbatlas.operators.components import connected_components
 from verbatlas.sources.shared import stash
@@ -265,20 +265,28 @@ def similar_to(edges: DataFrame, unit: int, least: float = 0.6, limit: int = 20)
 
 
 def word_diffs(pairs: DataFrame, a_words: str = "words_a", b_words: str = "words_b") -> DataFrame:
-    """``pairs`` with opcodes: array<struct<op, a, b>> of the word-level changes, for surviving pairs only."""
+    """``pairs`` with edits, common and opcodes of the word-level changes, for surviving pairs only.
+
+    ``edits``: words to delete and insert, as few as can be; ``common``: words of the longest common subsequence;
+    ``opcodes``: array<struct<op, a, b>> of a shortest script (where several are shortest, one of them, the same on reruns).
+    Work goes with the words times the edits. Null word lists count as empty; repeated rows are compared one by one.
+    """
     keep = [c for c in pairs.columns if c not in (a_words, b_words)]
+    kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.string()), ("b", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ops = []
+            edits, common, ops = [], [], []
             for a, b in zip(batch.column(a_words).to_pylist(), batch.column(b_words).to_pylist(), strict=True):
                 a, b = a or [], b or []
-                ops.append([{"op": tag, "a": " ".join(a[i:j]), "b": " ".join(b[k:m])} for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if tag != "equal"])
-            kind = pa.list_(pa.struct([("op", pa.string()), ("a", pa.string()), ("b", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ops, kind)], names=[*keep, "opcodes"])
+                found = changes(a, b)
+                ops.append([{"op": op, "a": " ".join(a[i:j]), "b": " ".join(b[k:m])} for op, i, j, k, m in found])
+                edits.append(sum(j - i + m - k for _, i, j, k, m in found))
+                common.append((len(a) + len(b) - edits[-1]) // 2)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(edits, pa.int64()), pa.array(common, pa.int64()), pa.array(ops, kind)], names=[*keep, "edits", "common", "opcodes"])
 
     types = dict(pairs.dtypes)
-    return pairs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", opcodes array<struct<op:string,a:string,b:string>>")
+    return pairs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", edits long, common long, opcodes array<struct<op:string,a:string,b:string>>")
 
 
 def clusters(edges: DataFrame, least: float = 0.75, least_size: int = 3) -> DataFrame:

@@ -243,7 +243,16 @@ def upsert_merge(spark, sf):
     return S.upsert(o, changed.unionByName(new), ["o_orderkey"])
 
 
-@query("word_alignment")
+# The fold's state: words done, tokens passed, words aligned, the last of them.
+ALIGNED = " ".join(f"WHEN array_to_string(tokens[s.past + 1:s.past + {n}], '') THEN {n}" for n in range(1, 5))
+
+
+@query("word_alignment", f"""WITH d AS (SELECT doc_id AS unit_id, {V.TOKENS} AS words FROM documents),
+t AS (SELECT unit_id, words, flatten(list_transform(words, lambda w, i: CASE WHEN (i - 1) % 3 = 0 AND length(w) > 3 THEN [substr(w, 1, 2), substr(w, 3)] ELSE [w] END)) AS tokens FROM d),
+f AS (SELECT unit_id, list_reduce(list_transform(words, lambda w, i: {{'word': w, 'pos': cast(i AS int), 'past': 0, 'aligned': 0, 'latest': 0}}),
+lambda s, x: list_transform([CASE x.word {ALIGNED} ELSE 0 END], lambda n: {{'word': '', 'pos': 0, 'past': s.past + greatest(n, 1), 'aligned': s.aligned + least(n, 1), 'latest': CASE WHEN n > 0 THEN x.pos ELSE s.latest END}})[1],
+{{'word': '', 'pos': 0, 'past': 0, 'aligned': 0, 'latest': 0}}) AS s FROM t)
+SELECT unit_id, cast(s.aligned AS bigint) AS aligned, s.latest AS last FROM f WHERE s.aligned > 0""")
 def word_alignment(spark, sf):
     """Documents' words against their own text with every third token broken in two."""
     d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), X.words(F.col("text")).alias("words"))

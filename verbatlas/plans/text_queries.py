@@ -268,11 +268,27 @@ def dup_membership(spark, sf):
     return dup_groups(spark, sf)[0].select(F.col("key").alias("unit_id"), "rep", "copies")
 
 
+def dup_word_diffs(spark, sf):
+    """Word diffs between representatives of equal texts; ``dup_membership`` has the copies."""
+    words = V.plain_units(spark, sf).select("unit_id", X.words(F.col("text")).alias("words"))
+    pairs = dup_groups(spark, sf)[1].select("a", "b", "score").join(words.select(F.col("unit_id").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("unit_id").alias("b"), F.col("words").alias("words_b")), "b")
+    return D.word_diffs(pairs)
+
+
 @query("dup_diff")
 def dup_diff(spark, sf):
-    words = V.plain_units(spark, sf).select("unit_id", X.words(F.col("text")).alias("words"))
-    pairs = dup_pairs(spark, sf).select("a", "b", "score").join(words.select(F.col("unit_id").alias("a"), F.col("words").alias("words_a")), "a").join(words.select(F.col("unit_id").alias("b"), F.col("words").alias("words_b")), "b")
-    return D.word_diffs(pairs).select("a", "b", F.size("opcodes").alias("changes"), F.to_json("opcodes").alias("opcodes"))
+    return dup_word_diffs(spark, sf).select("a", "b", F.size("opcodes").alias("changes"), F.to_json("opcodes").alias("opcodes"))
+
+
+# The longest common subsequence word by word: v is its length for the first i words of one text and the first j of the other.
+@query("dup_edits", f"WITH RECURSIVE {V.U}" + SH + """, k AS (SELECT unit_id, list_sort(s) AS k FROM t), n AS (SELECT min(unit_id) AS rep FROM k GROUP BY k),
+x AS (SELECT a, b, p.tokens AS l, q.tokens AS r FROM e JOIN u p ON a = p.unit_id JOIN u q ON b = q.unit_id WHERE a IN (SELECT rep FROM n) AND b IN (SELECT rep FROM n)),
+la AS (SELECT a, b, generate_subscripts(l, 1) AS i, hash(unnest(l)) AS word FROM x),
+s(a, b, i, j, word, v) AS (SELECT a, b, cast(0 AS bigint), generate_subscripts(r, 1), hash(unnest(r)), cast(0 AS bigint) FROM x UNION ALL
+SELECT a, b, i, j, word, max(v) OVER (PARTITION BY a, b ORDER BY j) FROM (SELECT s.a, s.b, la.i, s.j, s.word, greatest(s.v, CASE WHEN s.word = la.word THEN coalesce(lag(s.v) OVER (PARTITION BY s.a, s.b ORDER BY s.j), 0) + 1 ELSE 0 END) AS v FROM s JOIN la ON s.a = la.a AND s.b = la.b AND la.i = s.i + 1))
+SELECT x.a, x.b, v AS common, len(l) + len(r) - 2 * v AS edits FROM s JOIN x ON s.a = x.a AND s.b = x.b AND s.i = len(l) AND s.j = len(r)""")
+def dup_edits(spark, sf):
+    return dup_word_diffs(spark, sf).select("a", "b", "common", "edits")
 
 
 @query("content_parallels", T1 + """, c AS (SELECT DISTINCT unit_id, term FROM w WHERE term IN (SELECT term FROM w GROUP BY term HAVING count(*) <= 400)), z AS (SELECT unit_id, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 5),
