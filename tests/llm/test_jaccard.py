@@ -124,3 +124,23 @@ def test_shingles_of_short_texts():
     assert len(shingle_set(b"a b", 3)) == 1
     assert len(shingle_set(None, 3)) == 0
     assert len(shingle_set(b"a b a b a b a", 3)) == 2
+
+
+def test_rows_of_one_id_are_read_once(spark, monkeypatch):
+    """Near copies under one id: each text meets its own set alone, and results are those of rows told apart."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = [(7, " ".join(w if j != i % 120 else f"x{i}" for j, w in enumerate(base))) for i in range(240)]
+    rows += rows[:20] + [(None, rows[0][1]), (7, None), (7, "")]
+    read = []
+
+    def watched(docs, *args, **kwargs):
+        if "copies" in docs.columns:
+            read.append(docs)
+        return map_texts(docs, *args, **kwargs)
+
+    map_texts = jaccard.map_texts
+    monkeypatch.setattr(jaccard, "map_texts", watched)
+    got = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in got), key=str) == brute(rows, 3, 90, 100)
+    assert read[0].count() == 260  # 240 texts, 20 of them twice

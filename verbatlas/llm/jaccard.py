@@ -446,13 +446,13 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     as documents of their own and share the id. Extra columns are ignored.
     """
     bounds = Bounds(num, den)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
     def sizes(texts: list[bytes | None]) -> list[list]:
         found = list(shingle_sets(texts, width))
         return [[len(s) for s in found], [set_key(s) for s in found], [parity_sketch(s) for s in found]]
 
-    keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long, sketch binary"), "jaccard-keys")
+    keys = stash(map_texts(docs, "id", "text", sizes, "n_shingles long, set long, sketch binary", ("version",)), "jaccard-keys")
     live = keys.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     shingles = live.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     chained = stash(connected_components(candidate_edges(docs.where(F.col("id").isNotNull()), "text", width, bounds, shingles)), "jaccard-chains")
@@ -460,10 +460,12 @@ def jaccard_groups(docs: DataFrame, width: int = 3, num: int = 90, den: int = 10
     families = stash(refined_families(chained, sketched, bounds), "jaccard-families")
     tidy(docs.sparkSession)
     blocks = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
-    distinct_sets = stash(live.groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-sets")
+    # A set is read again from one row alone: an id may repeat, an id and the hash of its text tell its rows apart.
+    one = F.min(F.struct("id", "version"))
+    distinct_sets = stash(live.groupBy("set").agg(one.alias("one"), F.count("*").alias("copies")).select("set", F.col("one.id").alias("rep"), F.col("one.version").alias("version"), "copies"), "jaccard-sets")
     members = families.withColumnRenamed("node", "set").join(blocks, "component").join(distinct_sets, "set")
-    members = members.select("set", "component", "copies", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("id"))
-    texts = docs.join(members, "id")
+    members = members.select("set", "component", "copies", "blocks", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("id"), "version")
+    texts = docs.join(members, ["id", "version"])
 
     def sets_of(raw: list[bytes | None]) -> list[list]:
         found = list(shingle_sets(raw, width))
