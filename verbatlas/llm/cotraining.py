@@ -20,16 +20,15 @@ TEXT, META = 1 << 16, 1 << 12
 PULL = 2.0
 #: Raw scores are counted in so many bins over [-RANGE, RANGE] for calibration.
 BINS, RANGE = 2000, 20.0
-_LETTERS = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum())
+#: Cells a side in which pairs of both views' log odds are counted for their weights.
+GRID = 200
+_EDGES = bytes(b for b in range(128) if not chr(b).isalnum())
 
 
 def text_features(text: bytes | None) -> bytes:
-    """Hashes of the distinct words, of what is no letter or digit in them, and of how often a word follows itself; two bytes each."""
-    order = split_words(text or b"")
-    words = set(order)
-    again = sum(map(bytes.__eq__, order, order[1:]))
-    marks = {w.translate(None, _LETTERS) for w in words}
-    found = {zlib.crc32(w) % TEXT for w in words} | {zlib.crc32(m, 1) % TEXT for m in marks if m} | {zlib.crc32(b"again%d" % min(4, again.bit_length()), 2) % TEXT}
+    """Hashes of the distinct words, two bytes each; marks around a word are layout and belong to the other view."""
+    words = {w.strip(_EDGES) for w in set(split_words(text or b""))} - {b""}
+    found = {zlib.crc32(w) % TEXT for w in words}
     return np.sort(np.fromiter(found, np.uint16, len(found))).tobytes()
 
 
@@ -154,59 +153,112 @@ def class_counts(data: DataFrame, views: tuple[View, View] | None, cuts: tuple[t
     return [(x[:, :-1], x[:, -1]) for x in parts]
 
 
-def raw_scores(data: DataFrame, views: tuple[View, View], prior: float | None = None) -> np.ndarray:
-    """Documents by view, kind (class 0, class 1, unlabelled) and bin of the raw score; a labelled one does not count for itself.
-
-    With ``prior`` of the labelled ones only, and of the sum of both views' log odds.
-    """
+def raw_scores(data: DataFrame, views: tuple[View, View]) -> np.ndarray:
+    """Documents by view, kind (class 0, class 1, unlabelled) and bin of the raw score; a labelled one does not count for itself."""
     shared = data.sparkSession.sparkContext.broadcast(views)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(6 * BINS, np.int64)
         for batch in batches:
             y = np.array([2 if v is None else v for v in batch.column("y").to_pylist()], np.int64)
-            found = [(v.raw if prior is None else v.logit)(batch_arrays(batch, name), y) for v, name in zip(shared.value, ("text", "meta"), strict=True)]
-            if prior is not None:
-                found = [found[0] + found[1] - prior]
-            for i, raw in enumerate(found):
-                bins = np.clip(((raw + RANGE) / (2 * RANGE) * BINS).astype(int), 0, BINS - 1)
+            for i, (v, name) in enumerate(zip(shared.value, ("text", "meta"), strict=True)):
+                bins = np.clip(((v.raw(batch_arrays(batch, name), y) + RANGE) / (2 * RANGE) * BINS).astype(int), 0, BINS - 1)
                 total += np.bincount((3 * i + y) * BINS + bins, minlength=6 * BINS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
 
-    rows = data.select("text", "meta", "y") if prior is None else data.where(F.col("y").isNotNull()).select("text", "meta", "y")
-    return summed(rows.mapInArrow(run, "at long, n long"), 6 * BINS).reshape(2, 3, BINS)
+    return summed(data.select("text", "meta", "y").mapInArrow(run, "at long, n long"), 6 * BINS).reshape(2, 3, BINS)
+
+
+def joint_scores(data: DataFrame, views: tuple[View, View], prior: float) -> np.ndarray:
+    """Labelled documents by class and by both views' log odds above the prior (GRID cells each); none counts for itself."""
+    shared = data.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * GRID * GRID, np.int64)
+        for batch in batches:
+            at = y = np.array(batch.column("y").to_pylist(), np.int64)
+            for v, name in zip(shared.value, ("text", "meta"), strict=True):
+                z = v.logit(batch_arrays(batch, name), y) - prior
+                at = at * GRID + np.clip(((z + RANGE) / (2 * RANGE) * GRID).astype(int), 0, GRID - 1)
+            total += np.bincount(at, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
+
+    rows = data.where(F.col("y").isNotNull()).select("text", "meta", "y")
+    return summed(rows.mapInArrow(run, "at long, n long"), 2 * GRID * GRID).reshape(2, GRID, GRID)
+
+
+def view_weights(joint: np.ndarray, prior: float) -> np.ndarray:
+    """Weights (not negative) of both views' log odds above the prior and a shift, by damped Newton steps.
+
+    Views that were independent would add up with weights of one and the prior as shift; a weak pull leads there, labelled
+    documents lead away. A view that would weigh less than nothing weighs nothing.
+    """
+    n = joint.sum(axis=0)
+    rows, columns = np.nonzero(n)
+    n, pos = n[rows, columns], joint[1][rows, columns]
+    centre = lambda i: (i + 0.5) / GRID * 2 * RANGE - RANGE
+    design = np.stack([centre(rows), centre(columns), np.ones(len(n))], 1)
+    start = np.array([1.0, 1.0, prior])
+
+    def fit(free: np.ndarray) -> np.ndarray:
+        w, base = np.where(free, start, 0.0), np.where(free, start, 0.0)
+        x = design * free
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float((n * np.logaddexp(0, z) - pos * z).sum()) + 0.05 * float(((w - base) ** 2).sum())
+
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (n * p - pos) + 0.1 * (w - base))
+            size = 1.0
+            while size > 1e-4 and loss(w - size * step) > loss(w):
+                size /= 2
+            w = w - size * step
+        return w
+
+    found = fit(np.ones(3, bool))
+    return fit(np.append(found[:2] >= 0, True)) if (found[:2] < 0).any() else found
+
+
+def own_errors(hist: np.ndarray, view: View) -> tuple[float, float]:
+    """How often a view errs on the labelled documents that it takes for class 0 and for class 1, (e + 1) / (n + 2)."""
+    taken = view.slope * ((np.arange(BINS) + 0.5) / BINS * 2 * RANGE - RANGE) + view.shift >= 0
+    return tuple(float((hist[1 - k, own].sum() + 1) / (hist[:2, own].sum() + 2)) for k, own in enumerate((~taken, taken)))
 
 
-def exchange_cuts(hist: np.ndarray, share: float, prior: float, sure: float) -> tuple[float, float]:
+def exchange_cuts(hist: np.ndarray, share: float, prior: float, sure: float, pupil: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
     """Raw scores (low, high) beyond which a view hands out pseudo-labels; ``hist``: class 0, class 1 and unlabelled documents by score.
 
     Each class gets its part by the prior of ``share`` of the unlabelled documents, the most confident ones, so that the
     exchange keeps the classes' balance; and only where the labelled documents beyond the cut, none of which counted for itself, show at most 1 - ``sure``
-    of the other class's own rate (of n with e of the other class, (e + 1) / (n + 2)). A view that cannot be so sure of both classes hands out none.
+    of the other class's own rate (of n with e of the other class, (e + 1) / (n + 2)), and no more than ``pupil``, what the other view errs itself when it takes documents for class 0 and for class 1:
+    a view teaches only what it knows better. A view that cannot be so sure of both classes hands out none.
     """
     edges = np.arange(BINS + 1) / BINS * 2 * RANGE - RANGE
 
-    def cut(wrong: np.ndarray, right: np.ndarray, free: np.ndarray, quota: float, other: float) -> int:
+    def cut(wrong: np.ndarray, right: np.ndarray, free: np.ndarray, quota: float, most: float) -> int:
         """Bins from the confident end that may be handed out."""
         e, n, given = np.cumsum(wrong), np.cumsum(wrong + right), np.cumsum(free)
-        good = ((e + 1) / (n + 2) <= (1 - sure) * other) & (given <= max(quota, given[np.argmax(given > 0)]))
+        good = ((e + 1) / (n + 2) <= most) & (given <= max(quota, given[np.argmax(given > 0)]))
         return int(np.flatnonzero(good).max(initial=-1)) + 1
 
     quota = share * hist[2].sum()
-    low = cut(hist[1], hist[0], hist[2], quota * (1 - prior), prior)
-    high = cut(hist[0][::-1], hist[1][::-1], hist[2][::-1], quota * prior, 1 - prior)
+    low = cut(hist[1], hist[0], hist[2], quota * (1 - prior), min((1 - sure) * prior, pupil[0]))
+    high = cut(hist[0][::-1], hist[1][::-1], hist[2][::-1], quota * prior, min((1 - sure) * (1 - prior), pupil[1]))
     return (edges[low], edges[BINS - high]) if low and high else (-math.inf, math.inf)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), size_col: str = "n_chars", label_col: str = "quality", rounds: int = 3, share: float = 0.2, sure: float = 0.5) -> DataFrame:
     """Quality of every document from two views that teach each other.
 
-    Text view: the words of the whole text. Metadata view: ``meta_cols``, their pair, the
-    magnitude of ``size_col``, and how the page is laid out (``layout_features``). Both start from the labelled documents; in each round the documents of
-    which a view is surest (``share`` of the unlabelled ones more each round, of each class its part by the prior, none under ``sure``) teach the other view,
-    together with no more weight than the labelled ones; the round after which the labelled documents score best is kept. Labelled documents, each without its own part in the counts, calibrate the
-    views and their sum (calibrated log odds are added, and the prior, which both hold, is taken off once). Models have fixed size and are broadcast.
+    Text view: the words of the whole text, without marks, order or number. Metadata view: ``meta_cols``, their pair, the
+    magnitude of ``size_col``, and how the page is laid out (``layout_features``), but no word. Both start from the labelled documents; in each round the documents of
+    which a view is surest (``share`` of the unlabelled ones more each round, of each class its part by the prior, none under ``sure`` and none of which the other view is as sure) teach the other view,
+    together with no more weight than the labelled ones. After the last round labelled documents, each without its own part in the counts, calibrate the
+    views and weigh their log odds (``view_weights``). Models have fixed size and are broadcast.
 
     Returns id, text_score, meta_score, score (probabilities of class 1), label_pred (score at
     least one half). Null or empty texts have no words and score by metadata; null metadata is a
@@ -227,28 +279,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     prior = math.log(rate / (1 - rate))
     first = class_counts(data, None)
     views = tuple(View(c, n) for c, n in first)
-    best = None
     for i in range(rounds + 1):
         hist = raw_scores(data, views)
         views = tuple(v._replace(slope=x[0], shift=x[1]) for v, x in zip(views, (curve(h[:2]) for h in hist), strict=True))
-        both = raw_scores(data, views, prior)[0, :2]
-        slope, shift = curve(both)
-        loss = curve_loss(both, slope, shift)
-        if best is None or loss < best[0]:
-            best = (loss, views, slope, shift)
-        if i == rounds:
-            break
-        given = class_counts(data, views, tuple(exchange_cuts(h, share * (i + 1), rate, sure) for h in hist))
-        weight = [min(1.0, n.sum() / max(1.0, m.sum())) for (_, n), (_, m) in zip(first, given, strict=True)]
-        views = tuple(View(c + w * d, n + w * m) for (c, n), (d, m), w in zip(first, given, weight, strict=True))
-    _, views, slope, shift = best
+        if i < rounds:
+            errors = [own_errors(h, v) for h, v in zip(hist, views, strict=True)]
+            cuts = tuple(exchange_cuts(h, min(1.0, share * (i + 1)), rate, sure, pupil) for h, pupil in zip(hist, reversed(errors), strict=True))
+            given = class_counts(data, views, cuts)
+            weight = [min(1.0, n.sum() / max(1.0, m.sum())) for (_, n), (_, m) in zip(first, given, strict=True)]
+            views = tuple(View(c + w * d, n + w * m) for (c, n), (d, m), w in zip(first, given, weight, strict=True))
+    weights = view_weights(joint_scores(data, views, prior), prior)
     shared = docs.sparkSession.sparkContext.broadcast(views)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = np.array([2 if v is None else v for v in batch.column("y").to_pylist()], np.int64)
             by_text, by_meta = (v.logit(batch_arrays(batch, name), y) for v, name in zip(shared.value, ("text", "meta"), strict=True))
-            p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (by_text, by_meta, slope * (by_text + by_meta - prior) + shift)]
+            p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (by_text, by_meta, weights[0] * (by_text - prior) + weights[1] * (by_meta - prior) + weights[2])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, p), pa.array((p[2] >= 0.5).astype(np.int32))], names=["id", "text_score", "meta_score", "score", "label_pred"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
