@@ -474,6 +474,11 @@ def test_wrapped_texts_give_the_same_detections():
         assert [(" ".join(text[a:b].split()), i) for a, b, i in got] == [(plain[a:b], i) for a, b, i in want]
 
 
+def test_floors_hold_for_contexts_of_any_depth():
+    assert [suffix_tree.least_of(suffix_tree.LEAST_CONTEXT, n) for n in (1, 2, 4, 5, 9)] == [2, 8, 8, 8, 8]
+    assert [suffix_tree.least_of(suffix_tree.LEAST_NEXT, n) for n in (1, 2, 4, 5, 9)] == [2, 3, 3, 3, 3]
+
+
 # -- quality
 
 

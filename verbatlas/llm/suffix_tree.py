@@ -27,7 +27,7 @@ BEGIN, END = _U(0x7F4A7C15F39CC060), _U(0x106AA07032BBD1B8)
 SHARE = 2.0**-21
 #: Most words of a context.
 DEPTH = 3
-#: How often a context must be seen, and a word after it, by the number of words of the context; the same at any input size.
+#: How often a context must be seen, and a word after it, by the number of words of the context (the last also for longer ones); the same at any input size.
 LEAST_CONTEXT, LEAST_NEXT = (0, 2, 8, 8, 8), (0, 2, 3, 3, 3)
 #: A word seen twice after a context is kept if the root expects it so seldom that its likelihood gains so many nats.
 NEXT_GAIN = 8.0
@@ -50,6 +50,11 @@ GROUP_BITS = 14
 _BLOCK = 15
 
 
+def least_of(floors: tuple[int, ...], words: int) -> int:
+    """The floor for a context of so many words."""
+    return floors[min(words, len(floors) - 1)]
+
+
 def sequences(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of some texts between a begin and an end each, their places in the text, and the texts' sizes."""
     words, counts = word_hashes([t or b"" for t in texts])
@@ -326,7 +331,7 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
                 least[prefix == begin] = n[prefix == begin]
                 good = (n > 2) | (n == 2) & (gain_of(n, np.maximum(least, n) * expected) >= NEXT_GAIN)
             else:
-                good = n >= LEAST_NEXT[length - 1]
+                good = n >= least_of(LEAST_NEXT, length - 1)
             yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": pa.array(expected[good].astype(np.float32))})
 
     sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
@@ -397,7 +402,7 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
         states = grams.groupBy("context").agg(F.first("total").alias("total"), F.first("weight").alias("weight"))
         tables += [grams.select("key", "n", F.col("bonus").cast("double").alias("value")), states.select(F.col("context").alias("key"), F.col("total").alias("n"), F.col("weight").cast("double").alias("value"))]
         if length <= depth:
-            longer_ones = counted.where(F.col("n") >= LEAST_CONTEXT[length]).join(states.select(F.col("context").alias("parent")), "parent")
+            longer_ones = counted.where(F.col("n") >= least_of(LEAST_CONTEXT, length)).join(states.select(F.col("context").alias("parent")), "parent")
             longer_ones = stash(longer_ones.select(F.col("key").alias("context"), F.col("n").alias("total")), "lm-contexts")
             if length > 2:
                 discard(contexts)
