@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatlas.operators import derive as D
+from verbatlas.plans import catalogue
 
 
 def families(rng, n):
@@ -65,3 +66,33 @@ def test_parallels_list_what_is_shared(spark):
     rows = [(u, t) for u, ts in {1: "abcdefz", 2: "abcdegz", 3: "abz", 4: "qrstuz", 5: "qrstuz"}.items() for t in ts] + [(1, "a"), (None, "a"), (3, None)] + [(9, "z")] * 10
     found = D.content_parallels(spark.createDataFrame(rows, "unit_id long, term string"), common=10)
     assert sorted(map(tuple, found.collect())) == [(1, 2, 5, 5 / 7, list("abcde"), ["f"], ["g"]), (4, 5, 5, 1.0, list("qrstu"), [], [])]
+
+
+def test_registered_query_lists_every_pair(spark, tmp_path):
+    """Copies, texts whose sets are equal though their words are not, and near ones; held against comparing every pair."""
+    base = [f"w{i}" for i in range(30)]
+    texts = [base] * 5 + [base[:20] + ["x", "y"] + base[22:]] * 3 + [["a", "b", "a", "b", "a"], ["a", "b", "a", "b", "a", "b"], ["b", "a", "b", "a"]] + [["a", "b"]] * 2 + [None]
+    rows = [(i, None if t is None else " ".join(t), "en", "src1", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} if t and len(t) > 3 else None for t in texts]
+    want = set()
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            if a != b and x and y and len(x & y) / len(x | y) >= 0.6:
+                only = [" ".join([w for w in texts[p] if w not in texts[q]][:12]) for p, q in ((a, b), (b, a))]
+                want.add((a, b, len(x & y), round(len(x & y) / len(x | y), 6), *only, texts[a] == texts[b]))
+    assert (8, 9) in {r[:2] for r in want}
+    found = list(map(tuple, catalogue.QUERIES["near_duplicates"](spark, str(tmp_path)).collect()))
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_copies_in_blocks(spark):
+    units = spark.range(50).select(F.col("id").alias("unit_id"), F.when(F.col("id") < 40, "a b c d e f g h").otherwise("a b c d e f g i").alias("text"))
+    words = F.split("text", " ")
+    members, pairs = D.duplicate_groups(units, words)
+    texts = D.equal_texts(units, words, 4)
+    one = members.join(texts.where("key = rep").select("key"), "key")
+    told = pairs.select("a", "b", "shared", "score", F.array(F.lit("h")).alias("only_a"), F.array(F.lit("i")).alias("only_b"), F.lit(False).alias("identical"))
+    found = [(r.a, r.b, r.identical) for r in D.among_copies(told, one, texts, block=7).collect()]
+    assert len(found) == len(set(found)) == 40 * 39 + 10 * 9 + 40 * 10
+    assert all(same == ((a < 40) == (b < 40)) for a, b, same in found)
