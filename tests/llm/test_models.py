@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verbatlas.llm import cotraining, language, licenses, media, suffix_tree
+from verbatlas.llm import batches, cotraining, language, licenses, media, suffix_tree
 
 # -- language
 
@@ -240,6 +241,50 @@ def test_states_of_every_length_equal_brute_force_whatever_is_broadcast(spark, m
     assert [got[i] for i in range(len(odd))] == pytest.approx(want, rel=1e-6)
 
 
+def test_a_part_meets_its_model_some_postings_at_a_time(monkeypatch):
+    """Two million postings of a part in 40 values: what is held does not go with them, and the sums are those of all at once."""
+    t = suffix_tree
+    rng = np.random.default_rng(3)
+    keys = rng.integers(1, 1 << 62, 20_000, np.uint64)
+    gram = np.arange(20_000) % 2
+    values = rng.random(20_000)
+    model = t.pack([(keys, 8), (values.view(np.uint64), 8), (gram.astype(np.uint64), 1)])
+    blobs = []
+    for low in range(0, 40_000, 1000):
+        row = np.sort(rng.integers(0, 1000, 50_000))
+        wanted = np.where(rng.random(50_000) < 0.9, keys[rng.integers(0, 20_000, 50_000)], rng.integers(1, 1 << 62, 50_000, np.uint64))
+        blobs.append((low, t.pack([(np.diff(row, prepend=0), 4), (wanted, 8), (np.full(50_000, 2), 4)]), None))
+
+    def run() -> tuple[int, tuple]:
+        tracemalloc.start()
+        found = t.part_sums(iter([(None, None, model), *blobs]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak, found
+
+    peak, few = run()
+    monkeypatch.setattr(t, "MET", 1 << 60)
+    all_peak, every = run()
+    assert peak < 40e6 < 150e6 < all_peak
+    assert all(np.array_equal(a, b) for a, b in zip(few, every, strict=True)) and len(few[0]) == len(set(few[0].tolist())) > 39_000
+    assert t.part_sums(iter(blobs[:1])) is None and t.part_sums(iter([(None, None, model)])) is None
+
+
+def test_word_hashes_equal_their_polynomials():
+    texts = [b"", b"a  Bc\xff\n", b" " * 70_000 + b"end", b"x" * 70_000 + b" y" * 40_000, b"w" * (batches._PIECE + 3) + b" z"]
+    hashes, counts = batches.word_hashes(texts)
+    assert counts.tolist() == [0, 2, 1, 40_001, 2]
+    base, mask = int(batches._BASE), (1 << 64) - 1
+    want = {}
+    for w in {w for t in texts for w in batches.split_words(t)}:
+        total, power = 0, 1
+        for b in w:
+            power = power * base & mask
+            total = total + int(batches._BYTE[b]) * power & mask
+        want[w] = int(batches.mixed(np.array([total + len(w) & mask], np.uint64))[0])
+    assert hashes.tolist() == [want[w] for t in texts for w in batches.split_words(t)]
+
+
 def test_scores_of_empty_tables(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_tree.score_held_out(frame).count() == 0

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.llm.batches import mixed, pack, text_groups, unpack, word_hashes
+from verbatlas.llm.batches import let_go, mixed, pack, text_groups, unpack, word_hashes
 from verbatlas.sources.shared import discard, stash, tidy
 
 _U = np.uint64
@@ -39,6 +39,8 @@ SMOOTHING = 5.0
 FLUSH, PART_TOKENS = 400_000, 1_000_000
 #: Words and grams of texts that a task holds before it sends them to the join.
 POSTINGS = 150_000
+#: Of a part's words and grams, how many meet its model at a time.
+MET = 100_000
 #: Bits of a hash by which grams, and single words as grams, are told apart (as words they have 64).
 KEY, WORD_KEY = _U((1 << 48) - 1), _U((1 << 40) - 1)
 #: Set in a gram's key where words' hashes stand beside it.
@@ -86,7 +88,7 @@ def longer(keys: np.ndarray) -> np.ndarray:
 
 def totals(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, an index of each, and how often it occurs (or its sum of ``n``)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sums = np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, n.dtype)
@@ -244,6 +246,8 @@ def flushed(batches: Iterator[pa.RecordBatch], work: Callable[[np.ndarray, np.nd
                 held, n = [], 0
     if n:
         yield np.concatenate(held, axis=-1)
+    del held
+    let_go()
 
 
 def parts_of(tokens: int, train: DataFrame) -> int:
@@ -251,14 +255,16 @@ def parts_of(tokens: int, train: DataFrame) -> int:
     return max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PART_TOKENS))
 
 
-def dealt(sent: DataFrame, bucket: str) -> DataFrame:
-    """Rows of a part next to one another; a task takes its parts one after the other."""
-    return sent.repartition(bucket).sortWithinPartitions(bucket)
+def dealt(sent: DataFrame, bucket: str, *order: Column) -> DataFrame:
+    """Rows of a part next to one another, in the ``order`` given; a task takes its parts one after the other."""
+    return sent.repartition(bucket).sortWithinPartitions(bucket, *order)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Row by row, so that a batch of large values is not held twice."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
 
 
 def bucketed(bucket: np.ndarray, parts: int, columns: list[np.ndarray], packed: Callable[..., bytes]) -> tuple[list[int], list[bytes]]:
@@ -333,6 +339,8 @@ def count_grams(train: DataFrame, text_col: str, tree: Broadcast, known: Broadca
             else:
                 good = n >= least_of(LEAST_NEXT, length - 1)
             yield pa.RecordBatch.from_pydict({"key": keys[good].view(np.int64), "context": prefix[good].view(np.int64), "parent": pa.array(suffix[good].view(np.int64), mask=(n[good] < LEAST_CONTEXT[2]) & (length == 2)), "n": n[good], "expected": pa.array(expected[good].astype(np.float32))})
+            del suffix, prefix, n, keys, at, expected, good, rows
+            let_go()
 
     sent = train.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "bucket long, blob binary")
     return dealt(sent, "bucket").mapInArrow(merge, "key long, context long, parent long, n long, expected float")
@@ -426,6 +434,52 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     return tree, rest
 
 
+def part_sums(rows: Iterator[tuple[int | None, bytes | None, bytes | None]]) -> tuple[np.ndarray, ...] | None:
+    """Ids of the texts of a part that have words or grams in its model, their known words, and their sums over words and over grams.
+
+    ``rows``: (first id, postings, None) and (None, None, model), the model's first. Some MET postings meet the model at a time; a text's postings of a part stand in one value.
+    """
+    models, found, sent, held, met = [], [], [], 0, None
+
+    def sums() -> tuple[np.ndarray, ...]:
+        table, value, gram = met
+        row, wanted, times = (np.concatenate(x) for x in zip(*sent, strict=True))
+        at = table.find(wanted)
+        good = at >= 0
+        row, at, times = row[good], at[good], times[good].astype(np.int64)
+        word = ~gram[at]
+        ids, back = np.unique(row, return_inverse=True)
+        by = lambda x: np.bincount(back, x, len(ids))
+        known = by(np.where(word, times, 0)).astype(np.uint64)
+        words = by(np.where(word, np.log10(np.where(word, value[at], 0) + 1.0) * times, 0))
+        return ids, known, words, by(np.where(word, 0, value[at] * times)).astype(np.float32)
+
+    for low, blob, model in rows:
+        if model is not None:
+            models.append(unpack(model, (8, 8, 1)))
+            continue
+        if met is None:
+            if not models:
+                return None
+            key, value, gram = (np.concatenate(x) for x in zip(*models, strict=True))
+            models.clear()
+            key, first, value = totals(key, value.view(np.float64))
+            met = Table(key), value, gram[first] > 0
+        step, wanted, times = unpack(blob, (4, 8, 4))
+        sent.append((np.cumsum(step.astype(np.int64)) + low, wanted, times))
+        held += len(wanted)
+        if held >= MET:
+            found.append(sums())
+            sent, held = [], 0
+    if sent:
+        found.append(sums())
+    if not sum(len(x[0]) for x in found):
+        return None
+    ids, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(ids)
+    return ids[order], *(x[order] for x in rest)
+
+
 def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """log10 probability of every whole text: id, ``keep``, n_tokens, n_known, base_score, score.
 
@@ -484,6 +538,8 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                 yield batch_of(list(batch.columns[:-1]), rows, tuple(np.concatenate(x) for x in made), [-1 - i % parts for i in range(start, n)], [None] * len(rows))
         if held:
             yield flush()
+        sent.clear()
+        let_go()
 
     def model_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,38 +563,19 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                     row = kept.column(width + 4)
                     group = pa.array(row.to_numpy() >> GROUP_BITS)
                     yield pa.RecordBatch.from_arrays([*kept.columns[: width + 5], group, pa.nulls(kept.num_rows, pa.binary())], names=columns_met)
-                rest = batch.filter(pa.compute.invert(text))
-                yield from zip(*(rest.column(width + i).to_pylist() for i in (5, 4, 6, 7)), strict=True)
+                # Large values are taken one by one, so that a batch is not held twice.
+                rest = [batch.column(width + k) for k in (5, 4, 6, 7)]
+                for i in np.flatnonzero(~text.to_numpy(zero_copy_only=False)).tolist():
+                    yield tuple(c[i].as_py() for c in rest)
 
         for bucket, rows in groupby(parted(), key=lambda r: r[0] if isinstance(r, tuple) else None):
             if bucket is None:
                 yield from rows
                 continue
-            models, sent = [], []
-            for _, row, blob, model in rows:
-                if model is not None:
-                    models.append(model)
-                else:
-                    sent.append((row, blob))
-            if not models or not sent:
-                continue
-            key, value, gram = (np.concatenate(x) for x in zip(*(unpack(m, (8, 8, 1)) for m in models), strict=True))
-            key, first, value = totals(key, value.view(np.float64))
-            gram = gram[first] > 0
-            got = [(unpack(b, (4, 8, 4)), low) for low, b in sent]
-            row = np.concatenate([np.cumsum(x[0].astype(np.int64)) + low for x, low in got])
-            wanted, times = (np.concatenate([x[i] for x, _ in got]) for i in (1, 2))
-            at = Table(key).find(wanted)
-            good = at >= 0
-            row, at, times = row[good], at[good], times[good].astype(np.int64)
-            if not len(row):
+            found = part_sums((low, blob, model) for _, low, blob, model in rows)
+            if found is None:
                 continue
-            word = ~gram[at]
-            ids, back = np.unique(row, return_inverse=True)
-            by = lambda x: np.bincount(back, x, len(ids))
-            known = by(np.where(word, times, 0)).astype(np.uint64)
-            words = by(np.where(word, np.log10(np.where(word, value[at], 0) + 1.0) * times, 0))
-            grams = by(np.where(word, 0, value[at] * times)).astype(np.float32)
+            ids, known, words, grams = found
             where, blobs = [], []
             cut = np.flatnonzero(np.diff(ids >> GROUP_BITS, prepend=-1, append=-1))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -548,6 +585,8 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
                 blobs.append(pack([(place, 2), (grams[a:b].view(np.uint32), 4), (known[a:b], 4), (words[a:b][some].view(np.uint64), 8)]))
             n = len(blobs)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in blank), *(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())), pa.array(where, pa.int64()), pa.array(blobs, pa.binary())], names=columns_met)
+            del found, ids, known, words, grams
+            let_go()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the sums of all parts to the texts of a group."""
@@ -590,7 +629,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, model: DataFrame, id_col: str
 
     made = slim.mapInArrow(score, ", ".join([*names, sums, "_row long, _bucket long, _blob binary"]))
     rest = model.mapInArrow(model_parts, "_bucket long, _model binary")
-    met = dealt(made.unionByName(rest, allowMissingColumns=True), "_bucket").mapInArrow(join, ", ".join([*names, sums, "_row long, _group long, _sums binary"]))
+    met = dealt(made.unionByName(rest, allowMissingColumns=True), "_bucket", F.col("_model").isNull()).mapInArrow(join, ", ".join([*names, sums, "_row long, _group long, _sums binary"]))
     total = dealt(met, "_group").mapInArrow(finish, ", ".join([*names, sums]))
     return total.select(id_col, *keep, "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
