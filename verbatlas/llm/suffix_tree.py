@@ -386,7 +386,8 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
     parents = useful = None
     # What is not kept goes to the other words alone, else ever longer contexts would drift from their own counts.
     beyond = F.greatest(1 - F.col("other"), F.lit(1e-12))
-    spread = (F.col("total") - F.col("kept") + SMOOTHING * beyond) / ((F.col("total") + SMOOTHING) * beyond)
+    # Where keys of different grams collide, more may be kept than the context has.
+    spread = (F.greatest(F.col("total") - F.col("kept"), F.lit(0)) + SMOOTHING * beyond) / ((F.col("total") + SMOOTHING) * beyond)
     tables: list[DataFrame] = []
     for length in range(2, depth + 2):
         if tried.isEmpty():
@@ -397,13 +398,14 @@ def fit_suffix_tree(train: DataFrame, text_col: str = "text", depth: int = DEPTH
         if useful:
             useful.destroy()
         rows = counted
+        # Different words or grams of one key (there are some among 10^7) cannot be told apart when texts are scored: they are one context, one parent.
         if parents is not None:
-            rows = counted.drop("expected").join(parents, "parent")
-        rows = rows.join(contexts, "context").select("key", "context", "n", "total", "expected")
+            rows = counted.drop("expected").join(parents.groupBy("parent").agg(F.min("expected").alias("expected")), "parent")
+        rows = rows.join(contexts.groupBy("context").agg(F.sum("total").alias("total")), "context").select("key", "context", "n", "total", "expected")
         if length == 2:
             mean = F.col("total") * F.col("expected")
             rows = rows.where((F.col("n") > 2) | (F.col("n") > mean) & (F.col("n") * F.ln(F.col("n") / mean) - F.col("n") + mean >= NEXT_GAIN))
-        p = (F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING)
+        p = F.least((F.col("n") + SMOOTHING * F.col("expected")) / (F.col("total") + SMOOTHING), F.lit(1.0))
         grams = rows.join(retained(rows), "context").withColumns({"p": p, "weight": F.log10(spread)})
         bonus = F.log10(F.col("p") / F.col("expected")) - F.col("weight")
         grams = stash(grams.select("key", "n", F.when(F.col("n") >= min(LEAST_NEXT[2:]), F.col("p").cast("float")).alias("p"), bonus.cast("float").alias("bonus"), "context", "total", F.col("weight").cast("float").alias("weight")), "lm-grams")
