@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import types as T
 
 from verbatlas.functions import text as X
 from verbatlas.operators.joins import lookup
+from verbatlas.sources.shared import stash
 
 EDITION = "quran array<struct<chapter:int,verse:int,text:string>>"
 STRUCTURE = "chapters array<struct<chapter:int,name:string,arabicname:string,englishname:string,revelation:string,verses:array<struct<verse:int,juz:int,ruku:int,page:int,hizb:int,manzil:int,sajda:boolean>>>>"
@@ -214,8 +219,100 @@ def audit_editions(rows: DataFrame, editions: DataFrame, allowed: Sequence[str],
     return editions.join(counts, "slug", "left").select("slug", "status", F.coalesce("rows", F.lit(0)).alias("rows"), (F.coalesce(F.col("status").isin(list(allowed)), F.lit(False)) & F.coalesce("available", F.lit(True))).alias("shipped"))
 
 
+#: Files that Spark's line reader would unpack, and the size of the pieces in which others travel.
+PACKED_FILES, PIECE = "*.{gz,gzip,bz2,deflate,lz4,snappy,zst,zstd,xz}", 16 << 10
+BOM = b"\xef\xbb\xbf"
+
+
+class Digest:
+    """SHA-256 of a file that comes as its lines, each with a line feed behind it.
+
+    Whether the file ends in one, and whether a mark that the reader leaves out stood at its head, is seen from its size.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.seen, self.last = size, 0, b""
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(BOM)
+
+    def update(self, data: bytes) -> None:
+        for h in (self.plain, self.marked):
+            h.update(self.last)
+            h.update(memoryview(data)[:-1])
+        self.seen, self.last = self.seen + len(data), bytes(memoryview(data)[-1:])
+
+    def hexdigest(self, name: str) -> str:
+        more = self.seen - self.size
+        if more not in (0, 1, -3, -2):
+            raise ValueError(f"{name}: {self.seen} bytes read of {self.size}")
+        h = self.plain if more >= 0 else self.marked
+        if more in (0, -3):
+            h.update(self.last)
+        return h.hexdigest()
+
+
+def digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """file, sha256 of files of any size, but those without a line: no file is held whole.
+
+    Files are read as lines. A split that is a whole file is hashed where it is read; pieces of larger files go to a task for each file, in order, which takes them
+    one by one, since a digest goes from the first byte to the last. Files named as compressed ones, which Spark reads as lines only unpacked, are taken whole (2 GB at most).
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(place: tuple, number: int, data: bytes | None, sha256: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((place[0], place[1], place[2], number, data, sha256), kinds, strict=True)], names=names)
+
+        kinds, names = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), ["file", "size", "start", "number", "data", "sha256"]
+        place, digest, held, number = None, None, bytearray(), 0
+        for batch in batches:
+            lines = batch.column(4).cast(pa.large_binary())
+            data, ends = lines.buffers()[2], np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1, lines.offset * 8)
+            file = batch.column(0).dictionary_encode()
+            cut = np.flatnonzero((np.diff(file.indices.to_numpy(), prepend=-1) != 0) | (np.diff(batch.column(2).to_numpy(), prepend=-1) != 0)).tolist()
+            for a, b in zip(cut, [*cut[1:], len(lines)], strict=True):
+                now = tuple(batch.column(i)[a].as_py() for i in range(4))
+                if now != place:
+                    if digest:
+                        yield row(place, 0, None, digest.hexdigest(place[0]))
+                    elif held:
+                        yield row(place, number, bytes(held), None)
+                    place, digest, held, number = now, Digest(now[1]) if now[1] == now[3] else None, bytearray(), 0
+                some = memoryview(data)[ends[a] : ends[b]]
+                if digest:
+                    digest.update(some)
+                    continue
+                held += some
+                for i in range(0, len(held) - PIECE + 1, PIECE):
+                    yield row(place, number, bytes(held[i : i + PIECE]), None)
+                    number += 1
+                del held[: len(held) // PIECE * PIECE]
+        if digest:
+            yield row(place, 0, None, digest.hexdigest(place[0]))
+        elif held:
+            yield row(place, number, bytes(held), None)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(batch.column(j)[i].as_py() for j in range(3)) for batch in batches for i in range(batch.num_rows))
+        for file, members in groupby(rows, key=itemgetter(0)):
+            digest = None
+            for _, size, data in members:
+                digest = digest or Digest(size)
+                digest.update(data)
+            yield pa.RecordBatch.from_pydict({"file": [file], "sha256": [digest.hexdigest(file)]})
+
+    unpacked = F.col("_metadata.file_path").rlike(r"\.(" + PACKED_FILES[3:-1].replace(",", "|") + ")$")
+    line = F.concat(F.col("value").cast("binary"), F.lit(b"\n"))
+    lines = spark.read.option("lineSep", "\n").text(list(dict.fromkeys(paths))).where(~unpacked)
+    split = lines.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", "_metadata.file_block_length", line)
+    read = stash(split.mapInArrow(pieces, "file string, size long, start long, number long, data binary, sha256 string"), "file-pieces")
+    larger = read.where("data IS NOT NULL").repartition("file").sortWithinPartitions("file", "start", "number").select("file", "size", "data").mapInArrow(whole, "file string, sha256 string")
+    packed = spark.read.format("binaryFile").option("pathGlobFilter", PACKED_FILES).load(list(dict.fromkeys(paths))).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("sha256"))
+    return read.where("data IS NULL").select("file", "sha256").unionByName(larger).unionByName(packed)
+
+
 def provenance(spark: SparkSession, step: str, paths: Sequence[str], rows: DataFrame) -> DataFrame:
-    """step, source, sha256, bytes, rows: one log row for each source file of a step."""
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """step, source, sha256, bytes, rows: one log row for each source file of a step, of any size."""
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("path").alias("source"), F.col("length").alias("bytes"))
+    # A file without any line is a mark alone; Spark lists no empty files.
+    found = files.join(digests(spark, paths), "file", "left").withColumn("sha256", F.coalesce("sha256", F.when(F.col("bytes") == len(BOM), F.sha2(F.lit(BOM), 256))))
     count = rows.agg(F.count("*").alias("rows"))
-    return files.join(F.broadcast(count)).withColumn("step", F.lit(step))
+    return found.select("source", "sha256", "bytes").join(F.broadcast(count)).withColumn("step", F.lit(step))
